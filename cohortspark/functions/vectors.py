@@ -10,8 +10,12 @@ def l2_norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column, floor: float = 1e-12) -> Column:
-    """Unit-length array of doubles; the norm is floored so that a zero row stays zero."""
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(l2_norm(v), F.lit(floor)))
+    """Unit-length array of doubles; the norm is floored so that a zero row stays zero.
+
+    The norm is repeated as an array so that it is computed once per row, not once per element.
+    """
+    norm = F.array_repeat(F.greatest(l2_norm(v), F.lit(floor)), F.size(v))
+    return F.zip_with(v, norm, lambda x, n: x.cast("double") / n)
 
 
 def dot(a: Column, b: Column) -> Column:
