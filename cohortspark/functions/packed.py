@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortspark.functions.text import strip
 
@@ -48,24 +48,33 @@ def shown(pair_array: Column, names: list[str] | None = None) -> Column:
     return F.filter(pair_array, lambda p: F.array_contains(wanted, p["name"]))
 
 
-def packed_blocks(c: Column) -> Column:
-    """array<struct<grp, items>> of the well-formed blocks; the last block of a repeated group wins."""
+def named_blocks(c: Column) -> Column:
+    """array<struct<grp, items>> of the well-formed blocks, repeated groups included."""
     fitting = F.filter(_parts(c, r"\|"), lambda b: b.rlike(BLOCK))
     blocks = F.transform(fitting, lambda b: F.struct(
         strip(F.regexp_extract(b, BLOCK, 1)).alias("grp"),
         strip(F.regexp_extract(b, BLOCK, 2)).alias("body")))
-    named = F.transform(blocks, lambda b: F.struct(
+    return F.transform(blocks, lambda b: F.struct(
         b["grp"].alias("grp"),
         F.when(F.upper(b["body"]) == "NA", F.array().cast("array<string>"))
         .otherwise(_parts(b["body"], ";")).alias("items")))
-    groups = F.transform(named, lambda b: b["grp"])
-    return F.filter(named, lambda b, i: ~F.array_contains(
-        F.slice(groups, i + 2, F.greatest(F.size(groups) - i - 1, F.lit(0))), b["grp"]))
 
 
-def packed_map(c: Column) -> Column:
-    """map<group, array<item>> of the well-formed blocks."""
-    return F.map_from_entries(packed_blocks(c))
+def last_of_group(named: Column) -> Column:
+    """The last block of each group. Give it a plain column: it is read once per block."""
+    return F.filter(named, lambda b, i: ~F.exists(
+        F.slice(named, i + 2, F.greatest(F.size(named) - i - 1, F.lit(0))), lambda later: later["grp"] == b["grp"]))
+
+
+def with_blocks(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds the parsed blocks of a packed column; staged, so that the text is parsed once."""
+    return (df.withColumn(out, named_blocks(F.col(column)))
+            .withColumn(out, F.when(F.size(out) < 2, F.col(out)).otherwise(last_of_group(F.col(out)))))
+
+
+def blocks_map(blocks: Column) -> Column:
+    """map<group, array<item>> from distinct blocks."""
+    return F.map_from_entries(blocks)
 
 
 def block_pairs(blocks: Column) -> Column:
@@ -74,6 +83,5 @@ def block_pairs(blocks: Column) -> Column:
 
 
 def first_non_empty(lists: list[Column]) -> Column:
-    """The first array with an element, else an empty array."""
-    picks = [F.when(F.size(x) > 0, x) for x in lists]
-    return F.coalesce(*picks, F.array().cast("array<string>"))
+    """The first list that is there; lists without an item must be null. An empty array if none is."""
+    return F.coalesce(*lists, F.array().cast("array<string>"))

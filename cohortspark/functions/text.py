@@ -26,9 +26,14 @@ LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 SPACE_CLASS = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+# The same characters as one string, for trimming without a regular expression.
+SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+          "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only the blank."""
-    return F.regexp_replace(c, f"^{SPACE_CLASS}+|{SPACE_CLASS}+\\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def null_if_nan(c: Column) -> Column:

@@ -9,7 +9,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from cohortspark.functions.outcome import clip_high, clip_low, event_code
 from cohortspark.operators.ordered import Buckets, WINDOW_ROWS, exact_quantiles, plan_buckets, running
@@ -82,7 +83,6 @@ def risk_grid(counts: DataFrame, groups: list, window_rows: int = WINDOW_ROWS) -
 
     The clusters missing at a time are added as zero rows before the running sum.
     """
-    spark = counts.sparkSession
     times = counts.groupBy("time").agg(F.sum("d1").alias("_d")).filter(F.col("_d") > 0).select("time")
     zeros = times.select(F.explode(F.array(*[F.lit(g) for g in groups])).alias("cluster"), "time",
                          F.lit(0).alias("d1"), F.lit(0).alias("leaving"))
@@ -106,7 +106,7 @@ def logrank_components(frame: DataFrame, groups: list | None = None,
             .withColumn("total", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)))
     scale = F.col("d") * (F.col("total") - F.col("d")) / (F.col("total") * F.col("total") * (F.col("total") - 1))
     scaled = grid.withColumn("c", F.when(F.col("total") > 1, scale).otherwise(F.lit(0.0)))
-    names = F.array(*[F.lit(g) for g in groups])
+    names = F.array(*[F.lit(g) for g in groups]).cast(ArrayType(frame.schema["cluster"].dataType))
     cells = (scaled.select("d", "total", "c", "n", F.posexplode(F.arrays_zip("n", "dg")).alias("i", "a"))
              .select("d", "total", "c", "i", F.col("a.n").alias("ni"), F.col("a.dg").alias("di"),
                      F.posexplode("n").alias("j", "nj")))
@@ -190,10 +190,10 @@ def cause_specific_hazards(frame: DataFrame, reference, max_iter: int = 25, tol:
     def gradient_and_information(b):
         weight = F.array(*[F.lit(float(math.exp(x))) for x in b])
         row = (chunks
-               .withColumn("N", F.zip_with("n", weight, lambda x, y: x * y))
-               .withColumn("D", F.zip_with("dg", weight, lambda x, y: x * y))
-               .withColumn("s0", F.aggregate("N", F.lit(0.0), lambda a, x: a + x))
-               .withColumn("r", F.aggregate("D", F.lit(0.0), lambda a, x: a + x) / F.col("d"))
+               .withColumn("wn", F.zip_with("n", weight, lambda x, y: x * y))
+               .withColumn("wd", F.zip_with("dg", weight, lambda x, y: x * y))
+               .withColumn("s0", F.aggregate("wn", F.lit(0.0), lambda a, x: a + x))
+               .withColumn("r", F.aggregate("wd", F.lit(0.0), lambda a, x: a + x) / F.col("d"))
                .withColumn("ls", F.sequence("first", "last")))
 
         def over_ties(f):
@@ -204,14 +204,11 @@ def cause_specific_hazards(frame: DataFrame, reference, max_iter: int = 25, tol:
                .withColumn("q0", over_ties(lambda l, phi: 1 / (phi * phi)))
                .withColumn("q1", over_ties(lambda l, phi: l / (phi * phi)) / F.col("d"))
                .withColumn("q2", over_ties(lambda l, phi: l * l / (phi * phi)) / (F.col("d") * F.col("d")))
-               .select("N", "D", "p0", "p1", "q0", "q1", "q2",
-                       F.posexplode(F.arrays_zip("N", "D")).alias("i", "a"))
-               .select("p0", "p1", "q0", "q1", "q2", "i", F.col("a.N").alias("Ni"), F.col("a.D").alias("Di"),
-                       F.posexplode(F.arrays_zip("N", "D")).alias("j", "b")))
-        nj, dj = F.col("b.N"), F.col("b.D")
-        first = F.col("Ni") * F.col("p0") - F.col("Di") * F.col("p1")
-        cross = (F.col("Ni") * nj * F.col("q0") - (F.col("Ni") * dj + F.col("Di") * nj) * F.col("q1")
-                 + F.col("Di") * dj * F.col("q2"))
+               .select("p0", "p1", "q0", "q1", "q2", F.arrays_zip("wn", "wd").alias("w"))
+               .select("*", F.posexplode("w").alias("i", "a")).select("*", F.posexplode("w").alias("j", "b")))
+        ni, di, nj, dj = F.col("a.wn"), F.col("a.wd"), F.col("b.wn"), F.col("b.wd")
+        first = ni * F.col("p0") - di * F.col("p1")
+        cross = ni * nj * F.col("q0") - (ni * dj + di * nj) * F.col("q1") + di * dj * F.col("q2")
         cells = row.groupBy("i", "j").agg(F.sum(first).alias("m"), F.sum(cross).alias("c")).collect()
         grad, hess = np.zeros(k), np.zeros((k, k))
         for r in cells:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortspark.functions import packed, text
 from cohortspark.operators.joins import children_text, first_row
 from cohortspark.operators.summary import first_ids
-from cohortspark.runtime import has, present
+from cohortspark.runtime import has
 
 # Source columns in the order they are printed.
 LABS = ["SBP", "RR", "PR", "Body_temperature", "GCS_2", "WBC_Count", "CRP", "Creatinine", "T_Bilirubin",
@@ -162,36 +162,42 @@ def episode_rows(episodes: DataFrame, key: str, tie_order: list[str]) -> DataFra
 
 def _drug_lists(row: _Row, report: bool) -> Column:
     names = EMPIRIC_LISTS + (["tt_ab_name_list"] if report else [])
-    lists = [packed.comma_list(F.col(c)) for c in names if row.has(c)]
-    return packed.first_non_empty(lists) if lists else F.array().cast("array<string>")
+    # "has an item" is a cheap test, so only the list that is used gets parsed
+    lists = [F.when(F.col(c).rlike(r"[^,\s]"), packed.comma_list(F.col(c))) for c in names if row.has(c)]
+    return packed.first_non_empty(lists)
 
 
-def susceptibility_pairs(row_has, report: bool) -> Column:
-    """Shown (drug, result) pairs of an episode.
+def with_episode_lists(first: DataFrame, report: bool) -> DataFrame:
+    """Adds the drug list (_drugs) and the shown (drug, result) pairs (_pairs) of each episode.
 
     The flat list is a fallback: for narratives only when the packed string had no block, for reports
-    whenever no listed pair came out of it (then sorted and distinct).
+    whenever no listed pair came out of it (then sorted and distinct). Every list is a column of its
+    own, because an expression used twice would be parsed twice.
     """
+    row = _Row(first)
     empty = F.array().cast(packed.PAIR_TYPE)
-    blocks = (packed.packed_blocks(F.col("AST_ab_result_by_microbe")) if row_has("AST_ab_result_by_microbe")
-              else F.array().cast("array<struct<grp:string,items:array<string>>>"))
+    df = first.withColumn("_drugs", _drug_lists(row, report))
+    if row.has("AST_ab_result_by_microbe"):
+        df = packed.with_blocks(df, "AST_ab_result_by_microbe", "_blocks")
+    else:
+        df = df.withColumn("_blocks", F.array().cast("array<struct<grp:string,items:array<string>>>"))
     flat = (packed.shown(packed.flat_pairs(F.col("AST_ab_result_list_episode")))
-            if row_has("AST_ab_result_list_episode") else empty)
-    from_blocks = packed.block_pairs(blocks)
+            if row.has("AST_ab_result_list_episode") else empty)
+    df = df.withColumn("_boxed", packed.block_pairs(F.col("_blocks")))
     if report:
-        return F.when(F.size(from_blocks) > 0, from_blocks).otherwise(F.array_sort(F.array_distinct(flat)))
-    return F.when(F.size(blocks) > 0, from_blocks).otherwise(flat)
+        pairs = F.when(F.size("_boxed") > 0, F.col("_boxed")).otherwise(F.array_sort(F.array_distinct(flat)))
+    else:
+        pairs = F.when(F.size("_blocks") > 0, F.col("_boxed")).otherwise(flat)
+    return df.withColumn("_pairs", pairs).drop("_blocks", "_boxed")
 
 
 def episode_text(first: DataFrame, variant: str) -> Column:
     """The lines of one episode, closed by an empty line."""
     head, report, row = HEADINGS[variant], variant == "report", _Row(first)
     timing = text.day_offset_text(F.col("test_date"), F.col("_admission_date"))
-    drugs = _drug_lists(row, report)
-    drug_lines = F.transform(drugs, lambda d, i: F.concat(F.lit("  o Antibiotic_"), (i + 1).cast("string"),
-                                                         F.lit(": "), d))
-    result = susceptibility_pairs(row.has, report)
-    result_lines = F.transform(result, lambda p: F.concat(F.lit("  o "), p["name"], F.lit(": "), p["result"]))
+    drug_lines = F.transform("_drugs", lambda d, i: F.concat(F.lit("  o Antibiotic_"), (i + 1).cast("string"),
+                                                            F.lit(": "), d))
+    result_lines = F.transform("_pairs", lambda p: F.concat(F.lit("  o "), p["name"], F.lit(": "), p["result"]))
     no_drug = "  o NA" if report else "  o Antibiotic_1: NA"
     return F.concat_ws(
         "\n",
@@ -201,9 +207,9 @@ def episode_text(first: DataFrame, variant: str) -> Column:
         _line("- Polymicrobial", row.flag("BSI_episode_polymicrobial")),
         *[_line(f"- {c}", row.flag(c)) for c in EPISODE_FLAGS],
         F.lit(head["empiric"]),
-        F.when(F.size(drug_lines) > 0, F.array_join(drug_lines, "\n")).otherwise(no_drug),
+        F.when(F.size("_drugs") > 0, F.array_join(drug_lines, "\n")).otherwise(no_drug),
         F.lit("- AST (selected antibiotics):"),
-        F.when(F.size(result_lines) > 0, F.array_join(result_lines, "\n")).otherwise("  o NA"),
+        F.when(F.size("_pairs") > 0, F.array_join(result_lines, "\n")).otherwise("  o NA"),
         F.lit(""))
 
 
@@ -228,15 +234,15 @@ def build(admissions: DataFrame, episodes: DataFrame, ids: DataFrame | None = No
     firsts = episode_rows(episodes, key, episode_order or [])
     # only the parent date travels to the episodes; the rendered text travels back
     dated = firsts.join(adm.select(key, date.alias("_admission_date")), key)
+    dated = with_episode_lists(dated, report)
     rendered = dated.select(key, F.col("BSI_episode_num").alias("_num"), episode_text(dated, variant).alias("_lines"))
     blocks = children_text(rendered, key, ["_num"], F.col("_lines"), "_episodes")
     any_row = episodes.select(key).distinct().withColumn("_known", F.lit(True))
 
     joined = adm.join(blocks, key, "left").join(any_row, key, "left")
     row = _Row(joined)
-    body = F.when(F.col("_known").isNull(), head["no_episodes"]).otherwise(F.rtrim(F.col("_episodes")))
-    episode_section = F.rtrim(F.concat_ws("\n", F.lit(head["episodes"]), body))
-    episode_section = F.regexp_replace(episode_section, r"\s+\z", "")
+    body = F.when(F.col("_known").isNull(), head["no_episodes"]).otherwise(F.col("_episodes"))
+    episode_section = F.rtrim(F.concat_ws("\n", F.lit(head["episodes"]), body), F.lit(text.SPACES))
     sections = [_admin(row, head, report)]
     if report:
         sections.append(_fungemia(row, head))
