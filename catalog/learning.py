@@ -1,0 +1,126 @@
+"""Learning queries: customers with order statistics as features, a rule on them as cluster label."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from catalog.registry import Tables, query, rounded
+from cohortspark.operators import features as feat, layout as lay
+from cohortspark.operators.summary import mean_abs_attribution
+from cohortspark.plans import attribution, backmapping, phenotypes
+from cohortspark.runtime import cut
+
+WANTED = ["n_orders", "mean_price", "max_price", "urgent", "balance", "nation", "absent_column"]
+BINARY = ["urgent"]
+
+
+def customer_features(t: Tables) -> DataFrame:
+    orders = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(
+        F.count("*").cast("double").alias("n_orders"), F.avg("o_totalprice").alias("mean_price"), F.max("o_totalprice").alias("max_price"),
+        F.max((F.col("o_orderpriority") == "1-URGENT").cast("double")).alias("urgent"))
+    people = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))
+    return people.join(orders, "id", "left")
+
+
+def rule_labels(t: Tables) -> DataFrame:
+    """0 for few orders, else 1 or 2 by account balance; -1 (noise) for customers without an order."""
+    df = customer_features(t)
+    label = (F.when(F.col("n_orders").isNull(), -1).when(F.col("n_orders") < 8, 0).when(F.col("balance") < 4500, 1).otherwise(2))
+    return df.select("id", label.cast("long").alias("cluster_label"))
+
+
+@query("feature_frame", """
+WITH o AS (SELECT o_custkey AS id, count(*)::DOUBLE AS n_orders, avg(o_totalprice) AS mean_price, max(o_totalprice) AS max_price,
+             max((o_orderpriority = '1-URGENT')::INT)::DOUBLE AS urgent FROM orders GROUP BY ALL),
+f AS (SELECT c_custkey AS id, c_acctbal AS balance, c_nationkey::DOUBLE AS nation, n_orders, mean_price, max_price, urgent,
+        CASE WHEN n_orders IS NULL THEN -1 WHEN n_orders < 8 THEN 0 WHEN c_acctbal < 4500 THEN 1 ELSE 2 END::BIGINT AS cluster_label
+      FROM customer LEFT JOIN o ON c_custkey = id),
+i AS (SELECT id, cluster_label, coalesce(n_orders, (SELECT median(n_orders) FROM f)) AS n_orders, coalesce(mean_price, (SELECT median(mean_price) FROM f)) AS mean_price,
+        coalesce(max_price, (SELECT median(max_price) FROM f)) AS max_price, coalesce(urgent, (SELECT median(urgent) FROM f)) AS urgent, balance, nation FROM f),
+s AS (SELECT avg(n_orders) a1, stddev_pop(n_orders) s1, avg(mean_price) a2, stddev_pop(mean_price) s2, avg(max_price) a3, stddev_pop(max_price) s3,
+        avg(balance) a4, stddev_pop(balance) s4, avg(nation) a5, stddev_pop(nation) s5 FROM i)
+SELECT id, cluster_label, round((n_orders - a1) / s1, 5) AS n_orders, round((mean_price - a2) / s2, 5) AS mean_price, round((max_price - a3) / s3, 5) AS max_price,
+  urgent, round((balance - a4) / s4, 5) AS balance, round((nation - a5) / s5, 5) AS nation FROM i, s""")
+def feature_frame(t):
+    frame, used = feat.feature_frame(customer_features(t), rule_labels(t), "id", WANTED, "continuous", BINARY, drop_noise=False)
+    return rounded(frame, *[c for c in used if c not in BINARY], digits=5)
+
+
+@query("pca_scores")
+def pca_scores(t):
+    frame, used = feat.feature_frame(customer_features(t), rule_labels(t), "id", WANTED, "continuous", BINARY, drop_noise=False)
+    scores, _ = lay.principal_components(frame.select("id", F.array(*used).alias("vec")), 3)
+    return scores.select("id", *[F.round(F.get("pc", F.lit(i)), 6).alias(f"pc{i + 1}") for i in range(3)])
+
+
+@query("explained_variance")
+def explained_variance(t):
+    frame, used = feat.feature_frame(customer_features(t), rule_labels(t), "id", WANTED, "continuous", BINARY, drop_noise=False)
+    _, ratios = lay.principal_components(frame.select("id", F.array(*used).alias("vec")), len(used))
+    return rounded(phenotypes.explained_variance(t.spark, ratios), "ratio", "cumulative_ratio")
+
+
+@query("kmeans_range")
+def kmeans_range(t):
+    frame, used = feat.feature_frame(customer_features(t), rule_labels(t), "id", WANTED, "continuous", BINARY, drop_noise=False)
+    scores, _ = lay.principal_components(cut(frame).select("id", F.array(*used).alias("vec")), 3)
+    return phenotypes.kmeans_range(scores, [2, 3, 4], starts=2)[0]
+
+
+@query("structured_comparator")
+def structured_comparator(t):
+    found = phenotypes.compare(customer_features(t), rule_labels(t), "id", WANTED, BINARY, ks=[2, 3], selected_k=5, starts=2, epochs=10)
+    return rounded(found["concordance"], "ari", "nmi")
+
+
+@query("oof_predictions")
+def oof_predictions(t):
+    frame, used = feat.feature_frame(customer_features(t), rule_labels(t), "id", WANTED, "all")
+    oof, _ = backmapping.out_of_fold(frame, used, "id", trees=10)
+    return backmapping.wide_probabilities(oof, "id", [0, 1, 2])
+
+
+@query("backmapping_metrics")
+def backmapping_metrics(t):
+    found = backmapping.backmap(customer_features(t), rule_labels(t), "id", WANTED, trees=10)
+    folds = found["folds"].select(F.lit("fold").alias("level"), F.col("fold").cast("long").alias("name"), F.col("macro_auroc").alias("auroc"),
+                                  F.col("macro_recall").alias("recall"))
+    classes = found["classes"].select(F.lit("cluster").alias("level"), F.col("cluster").alias("name"), "auroc", "recall")
+    return rounded(folds.unionByName(classes), "auroc", "recall")
+
+
+@query("importance_table")
+def importance_table(t):
+    return rounded(backmapping.backmap(customer_features(t), rule_labels(t), "id", WANTED, trees=10)["importance"], "importance")
+
+
+def _model(t: Tables):
+    frame, used = feat.feature_frame(customer_features(t), rule_labels(t), "id", WANTED, "none")
+    frame = cut(frame)
+    return backmapping.train(frame, used, trees=10), frame
+
+
+@query("permutation_importance")
+def permutation_importance(t):
+    model, frame = _model(t)
+    return rounded(attribution.permutation_importance(model, frame, "id", n_repeats=5), "mean_decrease_auroc", "std")
+
+
+@query("attributions")
+def attributions(t):
+    model, frame = _model(t)
+    return rounded(attribution.sampled_attributions(model, frame, "id", n_background=100, n_samples=2), "phi", "std_error", "base")
+
+
+@query("attribution_summary")
+def attribution_summary(t):
+    model, frame = _model(t)
+    phi = attribution.sampled_attributions(model, frame, "id", n_background=100, n_samples=2)
+    return rounded(mean_abs_attribution(phi), "mean_abs_shap")
+
+
+@query("boosted_predictions")
+def boosted_predictions(t):
+    frame, used = feat.feature_frame(customer_features(t), rule_labels(t), "id", WANTED, "none")
+    model = backmapping.train(cut(frame), used, boosted=True, trees=5, depth=3)
+    return model.predict(frame).select("id", "cluster_label", "predicted")

@@ -1,0 +1,206 @@
+"""Vector, graph, retrieval and clustering queries over the whole embeddings table."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
+
+from catalog.registry import Tables, long, query, rounded
+from cohortspark.functions.vectors import l2_normalize
+from cohortspark.operators import density, graph, layout as lay, neighbors
+from cohortspark.plans import embedding, phenotypes, retrieval
+from cohortspark.runtime import cut, ensure_checkpoint_dir
+from cohortspark.streaming.embed import embed_stream
+
+EPOCHS = 15
+
+
+def vectors(t: Tables) -> DataFrame:
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def corpus(t: Tables) -> DataFrame:
+    return t.embeddings.select(
+        F.col("vec_id").alias("doc_id"), F.concat(F.lit("P"), F.col("label").cast("string")).alias("patient_uid"),
+        F.when(F.col("label") < 5, "early").otherwise("ast").alias("timepoint"), F.lit("development").alias("split"), "embedding")
+
+
+def y_true(t: Tables) -> DataFrame:
+    return t.labels.select("doc_id", F.col("quality").alias("y_true"))
+
+
+@query("l2_normalize", """
+WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
+SELECT vec_id, i::INT AS i, round(x / greatest(n, 1e-12), 6) AS x FROM e""")
+def l2_normalized(t):
+    unit = l2_normalize(F.col("embedding"))
+    return (t.embeddings.select("vec_id", F.posexplode(unit).alias("i", "x"))
+            .select("vec_id", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x")))
+
+
+SIM = """
+u AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+s AS (SELECT a.id AS q, b.id AS c, a.label AS ql, b.label AS cl, list_inner_product(a.v, b.v) / (a.n * b.n) AS sim FROM u a CROSS JOIN u b)"""
+
+
+@query("topk_neighbors", f"""
+WITH {SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, c) AS rank FROM s)
+SELECT q AS query_id, c AS neighbor_id, rank::INT AS rank, round(sim, 6) AS similarity FROM r WHERE rank <= 5""")
+def topk_neighbors(t):
+    return rounded(neighbors.nearest(vectors(t), vectors(t), 5), "similarity")
+
+
+LONG = f"""{SIM},
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, c) AS rank FROM s {{where}}),
+lg AS (SELECT q AS query_doc_id, 'P' || ql AS query_patient_uid, CASE WHEN ql < 5 THEN 'early' ELSE 'ast' END AS query_timepoint,
+         'development' AS query_split, a.quality::DOUBLE AS query_y_true, rank::INT AS rank, c AS neighbor_doc_id, 'P' || cl AS neighbor_patient_uid,
+         'development' AS neighbor_split, b.quality::DOUBLE AS neighbor_y_true, sim AS similarity
+       FROM r LEFT JOIN labels a ON a.doc_id = q LEFT JOIN labels b ON b.doc_id = c WHERE rank <= 5)"""
+SUMMARY = """
+SELECT query_doc_id, any_value(query_patient_uid) AS query_patient_uid, any_value(query_timepoint) AS query_timepoint, any_value(query_split) AS query_split,
+  any_value(query_y_true) AS query_y_true, 5::INT AS top_k, count(*)::BIGINT AS n_neighbors_found, max(neighbor_doc_id) FILTER (rank = 1) AS top1_neighbor_doc_id,
+  round(max(similarity) FILTER (rank = 1), 6) AS top1_similarity, max(neighbor_y_true) FILTER (rank = 1) AS top1_neighbor_y_true,
+  count(*) FILTER (neighbor_y_true = 1)::BIGINT AS n_positive_in_topk, round(avg(neighbor_y_true), 6) AS retrieval_neighborhood_risk_mean,
+  round(CASE WHEN sum(greatest(similarity, 0)) FILTER (neighbor_y_true IS NOT NULL) > 0 THEN sum(greatest(similarity, 0) * neighbor_y_true)
+    / sum(greatest(similarity, 0)) FILTER (neighbor_y_true IS NOT NULL) ELSE avg(neighbor_y_true) END, 6) AS retrieval_neighborhood_risk_weighted,
+  string_agg(neighbor_doc_id::VARCHAR, '|' ORDER BY rank) AS neighbor_doc_ids, string_agg(neighbor_patient_uid, '|' ORDER BY rank) AS neighbor_patient_uids,
+  string_agg(neighbor_split, '|' ORDER BY rank) AS neighbor_splits, string_agg(coalesce(neighbor_y_true::VARCHAR, 'nan'), '|' ORDER BY rank) AS neighbor_y_true_list,
+  string_agg(round(similarity, 6)::VARCHAR, '|' ORDER BY rank) AS neighbor_similarity_list FROM lg GROUP BY query_doc_id"""
+RISKS = ("top1_similarity", "retrieval_neighborhood_risk_mean", "retrieval_neighborhood_risk_weighted")
+
+
+@query("retrieval_long", f"WITH {LONG.format(where='')} SELECT * REPLACE (round(similarity, 6) AS similarity) FROM lg")
+def retrieval_long(t):
+    return rounded(retrieval.retrieve(corpus(t), corpus(t), y_true(t), 5), "similarity")
+
+
+@query("retrieval_summary", f"WITH {LONG.format(where='')} {SUMMARY}")
+def retrieval_summary(t):
+    return rounded(retrieval.run(corpus(t), corpus(t), y_true(t), 5)["summary"], *RISKS)
+
+
+@query("retrieval_datasets", f"""
+WITH {LONG.format(where='WHERE (ql < 5) <> (cl < 5)')}
+SELECT CASE WHEN query_timepoint = 'early' THEN 'early_in_ast' ELSE 'ast_in_early' END AS dataset, * FROM ({SUMMARY})""")
+def retrieval_datasets(t):
+    """Each half of the table as query set against the other half as corpus."""
+    both = corpus(t)
+    early, ast = both.filter(F.col("timepoint") == "early"), both.filter(F.col("timepoint") == "ast")
+    runs = {"early_in_ast": (early, ast), "ast_in_early": (ast, early)}
+    return rounded(retrieval.run_many(runs, y_true(t), 5)["summary"], *RISKS)
+
+
+@query("neighbor_text", f"""
+WITH {SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, c) AS rank FROM s),
+d AS (SELECT doc_id, trim(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) AS x FROM documents)
+SELECT q AS query_doc_id, rank::INT AS rank, CASE WHEN length(x) <= 80 THEN x ELSE rtrim(substring(x, 1, 77)) || '...' END AS neighbor_text
+FROM r LEFT JOIN d ON doc_id = c WHERE rank <= 3""")
+def neighbor_text(t):
+    both = corpus(t).join(t.documents.select("doc_id", "text"), "doc_id", "left")
+    found = retrieval.retrieve(both, both, y_true(t), 3, text_col="text", text_chars=80)
+    return found.select("query_doc_id", "rank", "neighbor_text")
+
+
+@query("knn_graph", f"""
+WITH {SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, c) AS rank FROM s WHERE q <> c)
+SELECT q AS src, c AS dst, rank::INT AS rank, round(1 - sim, 6) AS dist FROM r WHERE rank <= 15""")
+def knn_graph(t):
+    return rounded(graph.knn_graph(vectors(t), 15), "dist")
+
+
+EUCLID = """
+u AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT a.id AS q, b.id AS c, list_distance(a.v, b.v) AS d FROM u a CROSS JOIN u b WHERE a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(d, 12), c) AS rank FROM s)"""
+
+
+@query("mutual_reachability", f"""
+WITH {EUCLID}, k AS (SELECT * FROM r WHERE rank <= 10), core AS (SELECT q AS id, max(d) AS core FROM k GROUP BY q),
+p AS (SELECT least(q, c) AS a, greatest(q, c) AS b, min(d) AS d FROM k GROUP BY ALL)
+SELECT a, b, round(greatest(d, x.core, y.core), 6) AS w FROM p JOIN core x ON x.id = a JOIN core y ON y.id = b""")
+def mutual_reachability(t):
+    return rounded(graph.mutual_reachability(cut(graph.knn_graph(vectors(t), 10, "euclidean")), 10), "w")
+
+
+@query("components", f"""
+WITH RECURSIVE {EUCLID}, e AS (SELECT q AS a, c AS b FROM r WHERE rank <= 2 UNION SELECT c, q FROM r WHERE rank <= 2),
+reach AS (SELECT id AS a, id AS b FROM u UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT a AS id, min(b)::BIGINT AS component FROM reach GROUP BY a""")
+def components(t):
+    knn = graph.knn_graph(vectors(t), 2, "euclidean")
+    return graph.connected_components(knn.select(F.col("src").alias("a"), F.col("dst").alias("b")), vectors(t))
+
+
+@query("fuzzy_graph")
+def fuzzy_graph(t):
+    return rounded(graph.fuzzy_graph(cut(graph.knn_graph(vectors(t), 15)), 15), "weight")
+
+
+def exact_tree(t: Tables, min_samples: int = 10) -> DataFrame:
+    points = cut(vectors(t).withColumn("vec", F.transform("vec", lambda x: x.cast("double"))))
+    knn = cut(graph.knn_graph(points, min_samples, "euclidean"))
+    core = graph.core_distances(knn, min_samples)
+    radius = knn.groupBy(F.col("src").alias("id")).agg(F.max("dist").alias("radius"))
+    return graph.spanning_tree(graph.mutual_reachability(knn, min_samples), points.select("id"),
+                               cut(points.join(core, "id")), cut(radius))
+
+
+@query("spanning_forest")
+def spanning_forest(t):
+    return rounded(exact_tree(t), "w")
+
+
+@query("density_clusters")
+def density_clusters(t):
+    return density.density_clusters(exact_tree(t), vectors(t), min_cluster_size=20)
+
+
+def _space(t: Tables, dims: int) -> DataFrame:
+    points = cut(vectors(t))
+    weights = cut(graph.fuzzy_graph(cut(graph.knn_graph(points, 15)), 15))
+    return lay.layout(weights, points, dims, epochs=EPOCHS)
+
+
+@query("layout_3d")
+def layout_3d(t):
+    return _space(t, 3).select("id", *[F.get("y", F.lit(i)).alias(f"umap_c{i + 1}") for i in range(3)])
+
+
+@query("layout_2d")
+def layout_2d(t):
+    return _space(t, 2).select("id", F.get("y", F.lit(0)).alias("umap_x"), F.get("y", F.lit(1)).alias("umap_y"))
+
+
+@query("phenotype_clusters")
+def phenotype_clusters(t):
+    outcomes = t.labels.select(F.col("doc_id").alias("id"), "quality", "toxic")
+    found = phenotypes.phenotype(vectors(t), min_cluster_size=25, epochs=EPOCHS, outcomes=outcomes)
+    return found["labels"].join(found["coords"], "id").join(found["display"], "id")
+
+
+@query("subgroup_clusters")
+def subgroup_clusters(t):
+    named = t.documents.select(F.col("doc_id").alias("id"), "lang")
+    return phenotypes.subgroup(vectors(t), named, "lang", "EN", epochs=EPOCHS)["labels"]
+
+
+@query("embed_batch")
+def embed_batch(t):
+    """All documents, resumed after those with a label; vectors, shard positions."""
+    embedder = embedding.HashedTextEmbedder(64)
+    docs = t.documents.select("doc_id", "text")
+    done = embedding.run(docs.join(t.labels, "doc_id", "left_semi"), "doc_id", "text", embedder, shard_size=128)
+    done = cut(done)
+    return done.unionByName(embedding.run(docs, "doc_id", "text", embedder, done, shard_size=128))
+
+
+@query("embed_stream")
+def embed_stream_documents(t):
+    """The documents as a file stream into a Parquet sink; both live in the checkpoint folder."""
+    root = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    schema = t.documents.select("doc_id", "text").schema
+    stream = embed_stream(t.spark, t.folder, schema, f"{root}/sink", f"{root}/state", embedding.HashedTextEmbedder(64),
+                          glob="documents.parquet")
+    stream.awaitTermination()
+    return t.spark.read.parquet(f"{root}/sink")

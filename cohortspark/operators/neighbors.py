@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cohortspark.functions.vectors import l2_normalize
 from cohortspark.runtime import cut
@@ -81,6 +81,10 @@ def _distinct_vectors(df: DataFrame, keep: int | None) -> tuple[DataFrame, DataF
     return reps, behind.select("rep", "ids")
 
 
+def _with(df: DataFrame, **added: T.DataType) -> T.StructType:
+    return T.StructType(df.schema.fields + [T.StructField(k, v) for k, v in added.items()])
+
+
 def build_cells(corpus: DataFrame, n: int, n_pivots: int | None = None) -> tuple[DataFrame, Cells]:
     """Assign each corpus row (rep, vec) to its nearest pivot: (rep, vec, cell, pivot_dist)."""
     wanted = n_pivots or max(8, -(-n // ROWS_PER_PIVOT))
@@ -96,7 +100,7 @@ def build_cells(corpus: DataFrame, n: int, n_pivots: int | None = None) -> tuple
                 cell = d.argmin(1)
                 yield pdf.assign(cell=cell.astype("int32"), pivot_dist=d[np.arange(len(d)), cell])
 
-    schema = corpus.schema.add("cell", "int").add("pivot_dist", "double")
+    schema = _with(corpus, cell=T.IntegerType(), pivot_dist=T.DoubleType())
     assigned = cut(corpus.mapInPandas(assign, schema))
     stats = assigned.groupBy("cell").agg(F.count("*").alias("n"), F.min("pivot_dist").alias("lo"),
                                          F.max("pivot_dist").alias("hi")).collect()
@@ -136,7 +140,7 @@ def route(queries: DataFrame, cells: Cells, choose) -> DataFrame:
                 if len(rows):
                     yield part.iloc[rows].assign(cell=cell.astype("int32"))
 
-    return queries.mapInPandas(assign, queries.schema.add("cell", "int"))
+    return queries.mapInPandas(assign, _with(queries, cell=T.IntegerType()))
 
 
 def _split_factor(sizes: dict[int, int], block_rows: int) -> Column:
@@ -155,13 +159,12 @@ def visit(routed: DataFrame, corpus: DataFrame, cells: Cells, kernel, schema: st
     n_routed = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}  # one row per pivot
     n_rows = {c: int(n) for c, n in enumerate(cells.counts)}
     blocks, chunks = _split_factor(n_rows, block_rows), _split_factor(n_routed, block_rows)
-    q = (routed.withColumn("chunk", F.pmod(F.xxhash64(query_key), chunks))
+    q = (routed.withColumn("chunk", F.pmod(F.xxhash64(query_key), chunks).cast("int"))
          .withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))))
     c = (corpus.filter(F.col("cell").isin(list(n_routed)))
          .withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int"))
-         .withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)).cast("long")))
+         .withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))))
     keys = ["cell", "block", "chunk"]
-    q = q.withColumn("chunk", F.col("chunk").cast("long"))
     return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(kernel, schema)
 
 

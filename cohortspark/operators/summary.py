@@ -29,7 +29,7 @@ def contingency(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def contingency_wide(pairs: DataFrame, a: str, b: str, columns: list) -> DataFrame:
     """Crosstab with the given columns and 0 for empty cells."""
-    return (pairs.groupBy(F.col(a).alias("label_a")).pivot(b, columns).agg(F.count("*")).na.fill(0))
+    return (pairs.groupBy(F.col(a).alias("label_a")).pivot(b, columns).agg(F.count(F.lit(1))).na.fill(0))
 
 
 def concordance(pairs: DataFrame, a: str, b: str, name: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, IDFModel, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortspark.functions.vectors import l2_normalize
 from cohortspark.operators.joins import pending
@@ -64,7 +64,8 @@ def function_embedder(encode: Callable[[list[str]], list], name: str, batch_size
                     vectors.extend(encode(values[at:at + batch_size]))
                 yield pdf.assign(**{out: [[float(x) for x in v] for v in vectors]})
 
-        return df.mapInPandas(encode_batches, df.schema.add(out, "array<float>"))
+        vector = T.StructField(out, T.ArrayType(T.FloatType()))
+        return df.mapInPandas(encode_batches, T.StructType(df.schema.fields + [vector]))
 
     run.name = name
     return run

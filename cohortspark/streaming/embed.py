@@ -11,15 +11,16 @@ from cohortspark.plans.embedding import Embedder
 
 
 def embed_stream(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str, embedder: Embedder,
-                 key: str = "doc_id", text: str = "text", fmt: str = "parquet", max_files: int = 1000,
-                 available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
+                 key: str = "doc_id", text: str = "text", fmt: str = "parquet", glob: str | None = None,
+                 max_files: int = 1000, available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
     """File stream -> embedder -> Parquet sink.
 
     The checkpoint remembers the files. A batch that is replayed, or a key that arrives twice, is taken
     out by an anti-join with the sink and by keeping one row per key, so the sink holds each key once.
     The embedder must be stateless (a fitted model), or two runs would not agree.
     """
-    docs = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files).load(source)
+    reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files)
+    docs = (reader.option("pathGlobFilter", glob) if glob else reader).load(source)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         todo = batch.filter(batch[key].isNotNull()).dropDuplicates([key])
