@@ -94,7 +94,7 @@ def retrieval_datasets(t):
 @query("neighbor_text", f"""
 WITH {SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, c) AS rank FROM s),
 d AS (SELECT doc_id, trim(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) AS x FROM documents)
-SELECT q AS query_doc_id, rank::INT AS rank, CASE WHEN length(x) <= 80 THEN x ELSE rtrim(substring(x, 1, 77)) || '...' END AS neighbor_text
+SELECT q AS query_doc_id, rank::INT AS rank, coalesce(CASE WHEN length(x) <= 80 THEN x ELSE rtrim(substring(x, 1, 77)) || '...' END, '') AS neighbor_text
 FROM r LEFT JOIN d ON doc_id = c WHERE rank <= 3""")
 def neighbor_text(t):
     both = corpus(t).join(t.documents.select("doc_id", "text"), "doc_id", "left")
