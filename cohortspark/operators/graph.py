@@ -118,22 +118,24 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
         new = (hooked.join(adopted.select(F.col("root").alias("component"), F.col("best").alias("up")), "component", "left")
                .select("id", "old", F.least("component", F.coalesce("up", "component")).alias("component")))
         new = cut(new)
-        changed = new.filter(F.col("old") != F.col("component")).limit(1).count()
         state = new.select("id", "component")
-        if not changed:
+        if new.filter(F.col("old") != F.col("component")).isEmpty():
             return state
     raise RuntimeError("components did not settle")
 
 
 def pointer_jump(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(id, root) from (id, parent), where roots point to themselves."""
+    """(id, root) from (id, parent), where roots point to themselves. Each round follows four pointers."""
     state = cut(parents.select("id", F.col("parent").alias("root")))
+
+    def doubled(s):
+        up = s.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        return s.join(up, "root").select("id", F.col("next").alias("root"), F.col("root").alias("before"))
+
     for _ in range(max_rounds):
-        up = state.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        state_next = cut(state.join(up, "root").select("id", "root", "next"))
-        moved = state_next.filter(F.col("root") != F.col("next")).limit(1).count()
-        state = state_next.select("id", F.col("next").alias("root"))
-        if not moved:
+        state_next = cut(doubled(doubled(state).select("id", "root")))
+        state = state_next.select("id", "root")
+        if state_next.filter(F.col("root") != F.col("before")).isEmpty():
             return state
     raise RuntimeError("pointers did not settle")
 

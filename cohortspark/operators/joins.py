@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def first_row(df: DataFrame, keys: list[str], order: list[tuple[str, bool]]) -> DataFrame:
-    """First row per key along ``order`` = [(column, nulls_last)], as one map-side combining aggregate.
+    """First row per key along ``order`` = [(column, nulls_last)].
 
-    A window would sort all rows of a hot key in one task; ``min_by`` keeps one row per key and task.
+    Catalyst turns the rank filter into a group limit below the shuffle, so every task sends one row per
+    key and a hot key does not meet in one task.
     """
-    rest = [c for c in df.columns if c not in keys]
-    parts = []
-    for name, nulls_last in order:
-        parts += [(F.col(name).isNull() if nulls_last else F.col(name).isNotNull()).cast("int"), F.col(name)]
-    rank = F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_row"))
-    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    sort = [F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc_nulls_first() for c, nulls_last in order]
+    w = Window.partitionBy(*keys).orderBy(*sort)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
 def labelled(features: DataFrame, labels: DataFrame, key: str, label: str = "cluster_label") -> DataFrame:

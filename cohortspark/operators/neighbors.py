@@ -23,7 +23,7 @@ from cohortspark.runtime import cut
 BLOCK_ROWS = 32_768
 MAX_PIVOTS = 1_024
 ROWS_PER_PIVOT = 1_000
-SCORE_ROWS = 2_048
+SCORE_ROWS = 256
 SLACK = 1e-7
 
 
@@ -183,13 +183,16 @@ def _top_kernel(k: int, cosine: bool, bounded: bool):
             # larger is better; rounding makes equal scores equal whatever the block shape
             score = np.round(vec @ rows.T if cosine else -_distances(vec, rows), 12)
             take = min(k, score.shape[1])
-            best = np.argsort(-score, axis=1, kind="stable")[:, :take]
-            found = pd.DataFrame({
-                "qrep": np.repeat(part["qrep"].to_numpy(), take), "crep": ids[best].ravel(),
-                "score": np.take_along_axis(score, best, axis=1).ravel()})
+            kth = -np.partition(-score, take - 1, axis=1)[:, take - 1]
             if bounded:
-                found = found[found["score"] >= np.repeat(part["bound"].to_numpy(), take) - SLACK]
-            out.append(found)
+                kth = np.maximum(kth, part["bound"].to_numpy() - SLACK)
+            at_row, at_col = np.nonzero(score >= kth[:, None])
+            value = score[at_row, at_col]
+            order = np.lexsort((at_col, -value, at_row))  # rows are in id order, so columns break ties by id
+            place = np.arange(len(order)) - np.searchsorted(at_row, at_row)
+            order = order[place < take]
+            out.append(pd.DataFrame({"qrep": part["qrep"].to_numpy()[at_row[order]], "crep": ids[at_col[order]],
+                                     "score": value[order]}))
         return pd.concat(out, ignore_index=True)
 
     return run

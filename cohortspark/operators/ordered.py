@@ -104,22 +104,22 @@ def hashed_row_number(df: DataFrame, group: list[str], key: Column, tie: str, na
 
 
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float],
-                    window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group.
+                    window_rows: int = WINDOW_ROWS, weight: str | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per group; ``weight`` counts a row several times.
 
     Works on distinct values with counts, so neither the memory of one aggregate nor one sorted
     partition has to hold a group. Null and NaN are ignored.
     """
     kept = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = cut(kept.groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")))
+    counts = cut(kept.groupBy(*group, F.col(value).cast("double").alias("_v"))
+                 .agg((F.sum(weight) if weight else F.count("*")).alias("_c")))
     buckets = plan_buckets(counts, "_v", window_rows)
     cumulated = running(counts, group, "_v", {"_upto": "_c"}, buckets)
-    totals = counts.groupBy(*group).agg(F.sum("_c").alias("_n"))
     if group:
-        totals = totals.select(*[F.col(g).alias(f"_g_{g}") for g in group], "_n")
+        totals = counts.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.sum("_c").alias("_n"))
         joined = cumulated.join(totals, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group])
     else:
-        joined = cumulated.join(F.broadcast(totals))  # a global aggregate is one row
+        joined = cumulated.withColumn("_n", F.lit(counts.agg(F.sum("_c")).first()[0]).cast("long"))
     out = []
     for name, p in probs.items():
         spot = F.lit(float(p)) * (F.max("_n") - 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortspark.operators.ordered import exact_quantiles
+from cohortspark.runtime import cut
 
 # Outcome names that must not show up in produced text.
 OUTCOME_TERMS = [
@@ -73,7 +74,8 @@ def embedding_checks(metadata: DataFrame, vectors: DataFrame, sources: DataFrame
 
 def leakage_audit(df: DataFrame, text: str, own_id: str, key: str, terms: list[str] | None = None) -> DataFrame:
     """Texts that mention an outcome term or their own patient id; one row per broken rule."""
-    body = F.lower(F.col(text))
+    df = df.withColumn("_body", F.lower(F.col(text)))
+    body = F.col("_body")
     rules: list[Column] = [F.when(body.contains(t), F.lit(f"term:{t}")) for t in (terms or OUTCOME_TERMS)]
     rules.append(F.when(F.col(text).contains(F.col(own_id)), F.lit("own_id")))
     hits = df.select(key, F.explode(F.array_compact(F.array(*rules))).alias("rule"))
@@ -85,8 +87,15 @@ def text_length_manifest(df: DataFrame, text: str, distinct: list[str]) -> DataF
 
     Quantiles come from counts per length, so the table of texts is reduced before any sort.
     """
-    length = df.select(F.length(F.col(text)).alias("len"))
-    stats = df.agg(F.count("*").alias("n_docs"), F.avg(F.length(F.col(text))).alias("text_char_len_mean"),
-                   *[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(f"{c}_values") for c in distinct])
-    quantiles = exact_quantiles(length, [], "len", {"text_char_len_median": 0.5, "text_char_len_p95": 0.95})
-    return (stats.withColumn("_k", F.lit(1)).join(quantiles.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    # one pass over the texts; everything else works on the counts
+    columns = [F.col(c).cast("string").alias(c) for c in distinct]
+    counts = cut(df.select(F.length(F.col(text)).alias("_len"), *columns).groupBy("_len", *distinct)
+                 .agg(F.count("*").alias("_n")))
+    stats = counts.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_docs"),
+        F.try_divide(F.sum(F.col("_len") * F.col("_n")), F.sum(F.when(F.col("_len").isNotNull(), F.col("_n"))))
+        .alias("text_char_len_mean"),
+        *[F.array_sort(F.collect_set(c)).alias(f"{c}_values") for c in distinct])
+    quantiles = exact_quantiles(counts, [], "_len", {"text_char_len_median": 0.5, "text_char_len_p95": 0.95}, weight="_n")
+    found = quantiles.first()
+    return stats.withColumns({c: F.lit(found[c]).cast("double") for c in quantiles.columns})

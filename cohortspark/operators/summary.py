@@ -43,21 +43,21 @@ def concordance(pairs: DataFrame, a: str, b: str, name: str | None = None) -> Da
     def choose2(c):
         return c * (c - 1) / 2
 
-    def margin(col):
-        sums = cells.groupBy(col).agg(F.sum("n").cast("double").alias("m"))
-        return sums.agg(F.coalesce(F.sum(choose2(F.col("m"))), F.lit(0.0)).alias("pairs"),
-                        F.sum(F.col("m") * F.log("m")).alias("mlogm"), F.count("*").alias("k"))
-
-    rows, cols = margin("label_a"), margin("label_b")
-    inner = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"),
-                      F.coalesce(F.sum(choose2(F.col("n").cast("double"))), F.lit(0.0)).alias("pairs"),
-                      F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("nlogn"))
-    # three one-row aggregates side by side
-    one = (inner.select(F.lit(1).alias("_k"), F.col("n"), F.col("pairs").alias("pij"), F.col("nlogn"))
-           .join(rows.select(F.lit(1).alias("_k"), F.col("pairs").alias("pa"), F.col("mlogm").alias("la"),
-                             F.col("k").alias("ka")), "_k")
-           .join(cols.select(F.lit(1).alias("_k"), F.col("pairs").alias("pb"), F.col("mlogm").alias("lb"),
-                             F.col("k").alias("kb")), "_k"))
+    def tagged(df, tag):
+        return df.select(F.lit(tag).alias("tag"), F.col("n").cast("double").alias("m"))
+
+    # cells and both margins in one table, one aggregate over it
+    parts = (tagged(cells, "cell").unionByName(tagged(cells.groupBy("label_a").agg(F.sum("n").alias("n")), "a"))
+             .unionByName(tagged(cells.groupBy("label_b").agg(F.sum("n").alias("n")), "b")))
+
+    def over(tag, value):
+        return F.coalesce(F.sum(F.when(F.col("tag") == tag, value)), F.lit(0.0))
+
+    m = F.col("m")
+    one = parts.agg(over("cell", m).alias("n"), over("cell", choose2(m)).alias("pij"), over("cell", m * F.log(m)).alias("nlogn"),
+                    over("a", choose2(m)).alias("pa"), over("a", m * F.log(m)).alias("la"),
+                    F.count_if(F.col("tag") == "a").alias("ka"), over("b", choose2(m)).alias("pb"),
+                    over("b", m * F.log(m)).alias("lb"), F.count_if(F.col("tag") == "b").alias("kb"))
     n = F.col("n")
     total = choose2(n)
     expected = F.try_divide(F.col("pa") * F.col("pb"), total)

@@ -86,20 +86,19 @@ def sampled_attributions(model: FittedClassifier, frame: DataFrame, key: str, la
              .withColumn("v", F.transform("x", lambda v, i: F.when(F.array_contains(F.col("on"), i), v)
                                           .otherwise(F.get("b", i)))))
     scored = model.probabilities(steps.select(key, "truth", "s", "step", "order", array_to_vector("v").alias("_v")), vec="_v")
-    scores = scored.select(key, "truth", "s", "step", "order", F.explode("probs").alias("p"))
-    # a step counts + for the column it switches on and - for the next one
-    plus = F.when(F.col("step") > 0, F.struct(F.get("order", F.col("step") - 1).alias("i"), F.lit(1.0).alias("sign")))
-    minus = F.when(F.col("step") < m, F.struct(F.get("order", F.col("step")).alias("i"), F.lit(-1.0).alias("sign")))
-    signed = scores.select(key, "truth", "s", "step", "p", F.explode(F.array_compact(F.array(plus, minus))).alias("c"))
+    # m + 1 scores per row and sample, so a list per (row, sample) is as small as a feature vector
+    walks = scored.groupBy(key, "s").agg(
+        F.first("truth").alias("truth"), F.first("order").alias("order"),
+        F.transform(F.sort_array(F.collect_list(F.struct("step", "probs"))), lambda w: w["probs"]).alias("walk"))
+    moves = walks.select(key, "truth", F.posexplode("order").alias("j", "i"), "walk").select(
+        key, "truth", "i", F.explode(F.arrays_zip(
+            F.get("walk", F.col("j")).alias("before"), F.get("walk", F.col("j") + 1).alias("after"),
+            F.get("walk", F.lit(0)).alias("start"))).alias("c"))
     names = F.array(*[F.lit(c) for c in used])
-    per_sample = (signed.groupBy(key, "truth", F.col("p.class").alias("class"), F.col("c.i").alias("i"), "s")
-                  .agg(F.sum(F.col("c.sign") * F.col("p.prob")).alias("phi")))
-    base = (scores.filter(F.col("step") == 0).groupBy(key, F.col("p.class").alias("class"))
-            .agg(F.avg("p.prob").alias("base")))
-    phi = (per_sample.groupBy(key, "truth", "class", "i")
-           .agg(F.avg("phi").alias("phi"), (F.stddev_samp("phi") / F.sqrt(F.count("*"))).alias("std_error"),
-                F.count("*").alias("n_samples")))
-    return (phi.join(base, [key, "class"])
+    delta = F.col("c.after.prob") - F.col("c.before.prob")
+    return (moves.groupBy(key, "truth", F.col("c.after.class").alias("class"), "i")
+            .agg(F.avg(delta).alias("phi"), (F.stddev_samp(delta) / F.sqrt(F.count("*"))).alias("std_error"),
+                 F.count("*").alias("n_samples"), F.avg("c.start.prob").alias("base"))
             .select(key, F.col("truth").alias("cluster"), F.get(names, F.col("i")).alias("feature"), "class", "phi",
                     "std_error", "n_samples", "base"))
 

@@ -152,12 +152,12 @@ def _extra(row: _Row, head: dict) -> Column:
 
 
 def episode_rows(episodes: DataFrame, key: str, tie_order: list[str]) -> DataFrame:
-    """First row per (admission, episode) by test date, nulls last; rows without a number are skipped."""
+    """First row per (admission, episode) by test date, nulls last. A missing number is a group of its own."""
     order = [("test_date", True)] + [(c, True) for c in tie_order]
     kept = episodes.filter(F.col(key).isNotNull())
     if not has(episodes, "BSI_episode_num"):
         return first_row(kept, [key], order).withColumn("BSI_episode_num", F.lit(1))
-    return first_row(kept.filter(F.col("BSI_episode_num").isNotNull()), [key, "BSI_episode_num"], order)
+    return first_row(kept, [key, "BSI_episode_num"], order)
 
 
 def _drug_lists(row: _Row, report: bool) -> Column:
@@ -235,13 +235,14 @@ def build(admissions: DataFrame, episodes: DataFrame, ids: DataFrame | None = No
     # only the parent date travels to the episodes; the rendered text travels back
     dated = firsts.join(adm.select(key, date.alias("_admission_date")), key)
     dated = with_episode_lists(dated, report)
-    rendered = dated.select(key, F.col("BSI_episode_num").alias("_num"), episode_text(dated, variant).alias("_lines"))
+    # an episode without a number prints nothing, but its admission does have episodes
+    lines = F.when(F.col("BSI_episode_num").isNotNull(), episode_text(dated, variant))
+    rendered = dated.select(key, F.col("BSI_episode_num").alias("_num"), lines.alias("_lines"))
     blocks = children_text(rendered, key, ["_num"], F.col("_lines"), "_episodes")
-    any_row = episodes.select(key).distinct().withColumn("_known", F.lit(True))
 
-    joined = adm.join(blocks, key, "left").join(any_row, key, "left")
+    joined = adm.join(blocks, key, "left")
     row = _Row(joined)
-    body = F.when(F.col("_known").isNull(), head["no_episodes"]).otherwise(F.col("_episodes"))
+    body = F.coalesce("_episodes", F.lit(head["no_episodes"]))
     episode_section = F.rtrim(F.concat_ws("\n", F.lit(head["episodes"]), body), F.lit(text.SPACES))
     sections = [_admin(row, head, report)]
     if report:

@@ -44,19 +44,16 @@ def phenotype(vectors: DataFrame, dims: int = 3, viz_dims: int = 2, n_neighbors:
     space = lay.layout(weights, points, dims, min_dist, epochs, seed)
     flat = lay.layout(weights, points, viz_dims, min_dist, epochs, seed + 1)
     labels = cluster_points(space.select("id", F.col("y").alias("vec")), min_cluster_size, min_samples, epsilon, max_levels)
-    if outcomes is not None:
-        labels_out = with_outcomes(labels, outcomes, "id")
-    else:
-        labels_out = labels
+    labels_out = labels if outcomes is None else with_outcomes(labels, outcomes, "id")
     noise = noise_summary(labels)
     coords = space.select("id", *[F.get("y", F.lit(i)).alias(f"umap_c{i + 1}") for i in range(dims)])
     names = ["umap_x", "umap_y"] + [f"umap_d{i + 1}" for i in range(2, viz_dims)]
     display = flat.select("id", *[F.get("y", F.lit(i)).alias(names[i]) for i in range(viz_dims)])
-    counted = points.agg(F.count("*").alias("n_samples"), F.first(F.size("vec")).alias("embedding_dim"))
-    stats = counted.withColumn("_k", F.lit(1)).join(noise.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    params = manifest_json(stats, n_components=dims, viz_components=viz_dims, n_neighbors=n_neighbors,
-                           min_dist=min_dist, metric=metric, min_cluster_size=min_cluster_size,
-                           min_samples=min_samples, epsilon=epsilon, seed=seed, epochs=epochs)
+    found = noise.first()
+    stats = points.agg(F.count("*").alias("n_samples"), F.first(F.size("vec")).alias("embedding_dim"))
+    params = manifest_json(stats, n_clusters=found["n_clusters"], noise_fraction=found["noise_fraction"], n_components=dims,
+                           viz_components=viz_dims, n_neighbors=n_neighbors, min_dist=min_dist, metric=metric,
+                           min_cluster_size=min_cluster_size, min_samples=min_samples, epsilon=epsilon, seed=seed, epochs=epochs)
     return {"labels": labels_out, "coords": coords, "display": display, "noise": noise, "params": params,
             "summary": cluster_summary(labels, "id")}
 
