@@ -88,8 +88,8 @@ def prim(w):
 def blobs(seed=5, scattered=30):
     rng = np.random.default_rng(seed)
     centers = np.array([[0, 0, 0], [10, 0, 0], [0, 10, 3]])
-    x = np.concatenate([rng.normal(size=(120, 3)) * 0.7 + c for c in centers] + [rng.uniform(-8, 18, (scattered, 3))])
-    return x, np.array([0] * 120 + [1] * 120 + [2] * 120 + [-1] * scattered)
+    x = np.concatenate([rng.normal(size=(80, 3)) * 0.7 + c for c in centers] + [rng.uniform(-8, 18, (scattered, 3))])
+    return x, np.array([0] * 80 + [1] * 80 + [2] * 80 + [-1] * scattered)
 
 
 def tree_of(spark, x, m):
@@ -173,9 +173,8 @@ def test_exact_levels_equal_quantile_levels_here_and_epsilon_merges(spark):
     exact = density.density_clusters(tree, ids, 10, max_levels=200).toPandas().sort_values("id")
     assert density.density_levels(tree, 200)[1]
     assert agreement(spark, exact["cluster_label"], truth)["ari"] > 0.9
-    merged = density.density_clusters(tree, ids, 3, epsilon=4.0, max_levels=200).toPandas()
-    split = density.density_clusters(tree, ids, 3, max_levels=200).toPandas()
-    assert merged["cluster_label"].max() <= split["cluster_label"].max() and merged["cluster_label"].max() == 2
+    merged = density.density_clusters(tree, ids, 3, epsilon=4.0).toPandas()
+    assert merged["cluster_label"].max() == 2 and agreement(spark, merged.sort_values("id")["cluster_label"], truth)["ari"] > 0.9
 
 
 def test_too_small_for_any_cluster(spark):
@@ -189,8 +188,8 @@ def test_layout_keeps_neighbours_and_is_repeatable(spark):
     x = np.concatenate([rng.normal(size=(50, 12)) + c for c in centers])
     points = cut(frame(spark, x))
     weights = cut(graph.fuzzy_graph(cut(graph.knn_graph(points, 8, "euclidean")), 8))
-    a = lay.layout(weights, points, 2, epochs=8).toPandas().sort_values("id")
-    b = lay.layout(weights.repartition(3), points, 2, epochs=8).toPandas().sort_values("id")
+    a = lay.layout(weights, points, 2, epochs=5).toPandas().sort_values("id")
+    b = lay.layout(weights.repartition(3), points, 2, epochs=5).toPandas().sort_values("id")
     ya, yb = np.stack(a["y"]), np.stack(b["y"])
     assert ya.shape == (150, 2) and np.allclose(ya, yb, atol=1e-6)
     d = np.linalg.norm(ya[:, None] - ya[None], axis=2)
