@@ -13,11 +13,16 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType
 
 from cohortspark.functions.outcome import clip_high, clip_low, event_code
-from cohortspark.operators.ordered import Buckets, WINDOW_ROWS, exact_quantiles, plan_buckets, running
+from cohortspark.operators.ordered import WINDOW_ROWS, exact_quantiles, plan_buckets, running
 from cohortspark.runtime import cut, has
 
 NOISE = -1
 
+# Name and note of the k-sample test in result tables.
+GRAY_NAME = "Gray_test_competing_risk"
+GRAY_NOTE = ("Approximate Gray test via multivariate log-rank on primary event indicator. "
+             "For formal Gray test, use cmprsk R package or equivalent.")
+
 
 def survival_frame(features: DataFrame, labels: DataFrame, id_col: str, time: str, event: str,
                    competing: str | None = None, cluster: str = "cluster_label") -> DataFrame:
@@ -150,15 +155,13 @@ def logrank_k_sample(frame: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFr
     for r in cells:
         diff[place[r["cluster"]]] = r["observed"] - r["expected"]
         cov[place[r["cluster"]], place[r["other_cluster"]]] = r["variance"]
-    note = ("Approximate Gray test via multivariate log-rank on primary event indicator. "
-            "For formal Gray test, use cmprsk R package or equivalent.")
     statistic = p_value = None
     if k > 1:
         part = cov[1:, 1:]
         statistic = float(diff[1:] @ np.linalg.pinv(part) @ diff[1:])
         p_value = chi2_upper_tail(statistic, k - 1)
     return spark.createDataFrame(
-        [("Gray_test_competing_risk", statistic, p_value, k, note)],
+        [(GRAY_NAME, statistic, p_value, k, GRAY_NOTE)],
         "test string, test_statistic double, p_value double, n_groups int, note string")
 
 
