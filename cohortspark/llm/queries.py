@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import pieces, sharding
+from cohortspark.llm import langid, mixing, perplexity, pieces, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,32 @@ def op1_sentencepiece(spark, folder):
     return pieces.digests(_table(spark, folder, "documents"), model_path())
 
 
+@_query
+def op2_perplexity(spark, folder):
+    return perplexity.judge(_table(spark, folder, "documents"))
+
+
+@_query
+def op3_language(spark, folder):
+    return langid.languages(_table(spark, folder, "documents"))
+
+
 @_query
 def op5_sharding(spark, folder):
     return sharding.assign(_table(spark, folder, "documents"), sharding.even_tree(40))
+
+
+@_query
+def op6_simhash(spark, folder):
+    found = simhash.near_copies(_table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op7_mixing(spark, folder):
+    return mixing.mix(_table(spark, folder, "documents"))
+
+
+@_query
+def op8_secrets(spark, folder):
+    return secrets.digests(_table(spark, folder, "documents"))
