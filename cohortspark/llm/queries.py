@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import langid, mixing, perplexity, pieces, secrets, sharding, simhash
+from cohortspark.llm import embeddings, langid, licenses, mixing, perplexity, pieces, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,11 @@ def op3_language(spark, folder):
     return langid.languages(_table(spark, folder, "documents"))
 
 
+@_query
+def op4_vectors(spark, folder):
+    return embeddings.near_vectors(_table(spark, folder, "embeddings"))
+
+
 @_query
 def op5_sharding(spark, folder):
     return sharding.assign(_table(spark, folder, "documents"), sharding.even_tree(40))
@@ -64,3 +69,11 @@ def op7_mixing(spark, folder):
 @_query
 def op8_secrets(spark, folder):
     return secrets.digests(_table(spark, folder, "documents"))
+
+
+@_query
+def op9_licenses(spark, folder):
+    return licenses.summary(_table(spark, folder, "documents"))
+
+
+ORACLES["op9_licenses"] = licenses.summary_sql()
