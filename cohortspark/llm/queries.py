@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import embeddings, langid, licenses, mixing, perplexity, pieces, secrets, sharding, simhash
+from cohortspark.llm import embeddings, langid, licenses, mixing, perplexity, pieces, secrets, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,8 @@ def op9_licenses(spark, folder):
 
 
 ORACLES["op9_licenses"] = licenses.summary_sql()
+
+
+@_query
+def op10_toxicity(spark, folder):
+    return toxicity.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
