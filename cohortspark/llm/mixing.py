@@ -100,15 +100,17 @@ def _cut_off(queue: DataFrame, budget: int, passes: int) -> Cut:
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-        weights: tuple[float, ...] = WEIGHTS, passes: int = PASSES, budget_share: float = 1.0) -> DataFrame:
+        weights: tuple[float, ...] = WEIGHTS, passes: int = PASSES, budget_share: float = 1.0,
+        carry: str | None = None) -> DataFrame:
     """(key, size, source_size, target, taken, copies), one row per row of ``df``.
 
     ``size`` is the number of words, ``taken`` = ``copies`` x ``size`` the words served within the budget, the share
     ``budget_share`` of all words. Documents without words are never taken. Repeated rows are documents of their own;
     null sources form one source, the last. Order and result depend on keys, sizes and sources alone. Only numbers,
-    keys and source names are shuffled; other columns are ignored, whatever their names.
+    keys and source names are shuffled; other columns but ``carry`` are ignored, whatever their names.
     """
-    docs = cut(df.select(F.col(key).alias("key"), F.col(source).alias("source"), words(F.col(text)).alias("size"),
+    also = [] if carry is None else [F.col(carry).alias("carried")]
+    docs = cut(df.select(*also, F.col(key).alias("key"), F.col(source).alias("source"), words(F.col(text)).alias("size"),
                          F.xxhash64(F.col(key), F.lit("mix")).alias("_hash")))
     sizes = cut(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")))
     total = int(sizes.agg(F.sum("source_size")).first()[0] or 0)
@@ -123,5 +125,15 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
             F.lit(end.finish).alias("f"), F.lit(end.rank).cast("long").alias("r"))
         copies = copies + F.when(inside & (F.col("size") > 0), 1).otherwise(0)
     return (queue.withColumn("copies", copies.cast("int"))
-            .select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
+            .select(*([] if carry is None else [F.col("carried").alias(carry)]), F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
                     "copies"))
+
+
+def mixed(df: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``df`` as often as the mixture takes them; rows it does not take are left out."""
+    rows = cut(df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)],
+                         F.monotonically_increasing_id().alias("row")))
+    named = rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)], F.col("row").alias("_mix_row"))
+    taken = mix(named, key, carry="_mix_row", **options).filter("copies > 0").select(F.col("_mix_row").alias("row"), "copies")
+    often = rows.join(taken, "row").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return often.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])

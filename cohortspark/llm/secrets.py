@@ -94,17 +94,59 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "
     found = cut(scan(df.select(F.col(key).alias("_key"), F.col(owner).alias("_owner"), F.col(repo).alias("_repo"),
                                F.col(text).alias("_text")), "_text", keep=["_key", "_owner", "_repo"])
                 .withColumn("_row", F.monotonically_increasing_id()))
+    base = F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
+    return (found.select("_row", F.col("_key").alias(key), base.alias("base"))
+            .join(_judged(found, few_owners), "_row", "left").drop("_row"))
+
+
+def _judged(found: DataFrame, few_owners: int) -> DataFrame:
+    """(_row, spans) of the scanned rows (_row, _owner, _repo, base, candidates) that hold any span."""
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("s.kind")).cast("int")
     each = (found.select("_row", "_owner", "_repo", F.explode(F.concat("base", "candidates")).alias("s"))
             .select("_row", "_owner", "_repo", F.sha2("s.value", 256).alias("hash"), "s.kind", "s.start", "s.end",
                     order.alias("order")))
-    spans = (each.join(ownership(each), "hash")
-             .withColumn("live", F.col("owners") <= few_owners)
-             .filter("live OR kind != 'owned'")
-             .groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
-                 "start", "order", "kind", "end", "owners", "repositories", "live"))).alias("spans")))
-    base = F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
-    return (found.select("_row", F.col("_key").alias(key), base.alias("base")).join(spans, "_row", "left").drop("_row"))
+    return (each.join(ownership(each), "hash").withColumn("live", F.col("owners") <= few_owners)
+            .filter("live OR kind != 'owned'")
+            .groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
+                "start", "order", "kind", "end", "owners", "repositories", "live"))).alias("spans")))
+
+
+def _without(text: str, spans: list[dict], mark: str) -> str:
+    out, at = [], 0
+    for s in spans:
+        if s["live"]:
+            if s["start"] >= at:
+                out += [text[at:s["start"]], mark]
+            at = max(at, s["end"])
+    return "".join([*out, text[at:]])
+
+
+def redact(df: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id", few_owners: int = FEW_OWNERS,
+           mark: str = "[SECRET]", length: str = "n_chars") -> DataFrame:
+    """``df`` with each run of overlapping live spans replaced by ``mark``, and ``length`` (if there) counted anew for the
+    changed rows. Widely copied values stay. Only texts that hold a candidate are shuffled."""
+    names = df.columns
+    found = cut(scan(df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(owner).alias("_owner"),
+                               F.col(repo).alias("_repo")), f"c{names.index(text)}",
+                     keep=[*[f"c{i}" for i in range(len(names))], "_owner", "_repo"])
+                .withColumn("_row", F.monotonically_increasing_id()))
+    any_span = F.size("base") + F.size("candidates") > 0
+    judged = _judged(found.filter(any_span), few_owners).filter(F.exists("spans", lambda s: s["live"]))
+    dirty = found.filter(any_span).drop("base", "candidates").join(judged, "_row", "left")
+    inner = f"c{names.index(text)}"
+
+    def run(texts, spans):
+        return {"_new": pa.array([_without(t, s, mark) if s else t for t, s in zip(texts, spans)], pa.string())}
+
+    kept = [f"c{i}" for i in range(len(names))]
+    changed = add_columns(dirty, run, [inner, "spans"], "_new string", keep=[*kept, "spans"])
+    if length in names:
+        at = f"c{names.index(length)}"
+        counted = F.when(F.col("spans").isNotNull(), F.length("_new").cast(changed.schema[at].dataType)).otherwise(F.col(at))
+        changed = changed.withColumn(at, counted)
+    changed = changed.withColumn(inner, F.col("_new")).select(*kept)
+    both = found.filter(~any_span).select(*kept).unionByName(changed)
+    return both.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def listed(spans: str) -> Column:

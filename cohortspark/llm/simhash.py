@@ -249,7 +249,9 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     one. Rows with a null key are not compared and stay."""
     found = cut(near_copies(df.filter(F.col(key).isNotNull()), key, text))
     firsts = found.filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("_copies"))
+    firsts = cut(firsts)
     kept = df.join(firsts.select(F.col(key).alias("_first"), "_copies"), F.col(key) == F.col("_first")).drop("_first")
-    single = kept.filter("_copies = 1").drop("_copies")
-    several = kept.filter("_copies > 1").drop("_copies").dropDuplicates([key])
-    return single.unionByName(several).unionByName(df.filter(F.col(key).isNull()))
+    if not firsts.filter("_copies > 1").isEmpty():  # only rows that share a key are brought together
+        several = kept.filter("_copies > 1").dropDuplicates([key])
+        kept = kept.filter("_copies = 1").unionByName(several)
+    return kept.drop("_copies").unionByName(df.filter(F.col(key).isNull()))
