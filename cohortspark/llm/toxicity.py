@@ -46,8 +46,8 @@ LEAST_PLACES, MOSTLY = 4, 0.6
 ROUNDS = 60
 RIDGE = 1e-4
 PREDICTED = 0.7
-#: Classes before any labelled row is seen.
-PRIOR, HIT, FALSE_HIT = 0.1, 0.5, 0.02
+#: The classes before any text is seen, as so many imagined texts.
+PRIOR, HIT, FALSE_HIT, IMAGINED = 0.1, 0.5, 0.02, 20
 MOST_VOTERS = 14
 
 
@@ -176,11 +176,13 @@ def estimate(votes: np.ndarray, counts: np.ndarray, labelled: np.ndarray, m: int
     sides = np.stack([1 - bits, bits])  # vote, combination, voter
     known = labelled.sum(1)
     free = np.maximum(counts - known, 0)
-    base = np.stack([np.full((m, 1), FALSE_HIT), np.full((m, 1), HIT)])
-    prior = (labelled[:, 1].sum() + 10 * PRIOR) / (known.sum() + 10)
-    for y in (0, 1):  # start: labelled rows, ten imagined ones beside them
-        base[y, :, 0] = (labelled[:, y] @ bits + 10 * base[y, :, 0]) / (labelled[:, y].sum() + 10)
-    model = LabelModel(float(prior), [-1] * m, np.repeat(base, 2, axis=2))
+    # imagined texts that vote as said above stand beside the others in every round: they keep the classes apart
+    imagined = IMAGINED * np.array([1 - PRIOR, PRIOR])
+    usual = np.stack([np.full(m, FALSE_HIT), np.full(m, HIT)])
+    beside = np.stack([1 - usual, usual])  # vote, class, voter
+    prior = (labelled[:, 1].sum() + imagined[1]) / (known.sum() + IMAGINED)
+    start = np.stack([(labelled[:, y] @ bits + imagined[y] * usual[y]) / (labelled[:, y].sum() + imagined[y]) for y in (0, 1)])
+    model = LabelModel(float(prior), [-1] * m, np.repeat(start[:, :, None], 2, axis=2))
     for _ in range(ROUNDS):
         post = model.posterior(votes)
         weight = np.stack([free * (1 - post) + labelled[:, 0], free * post + labelled[:, 1]])
@@ -188,17 +190,17 @@ def estimate(votes: np.ndarray, counts: np.ndarray, labelled: np.ndarray, m: int
         for y in (0, 1):
             for u in (0, 1):
                 for v in (0, 1):
-                    joint[y, :, :, u, v] = (sides[u] * weight[y][:, None]).T @ sides[v] + 0.5
+                    joint[y, :, :, u, v] = (sides[u] * weight[y][:, None]).T @ sides[v] + imagined[y] * np.outer(beside[u, y], beside[v, y])
         parent = _tree(joint)
         fires = np.empty((2, m, 2))
         for j, k in enumerate(parent):
             for y in (0, 1):
                 if k < 0:
                     one = weight[y] @ bits[:, j]
-                    fires[y, j] = (one + 0.5) / (weight[y].sum() + 1)
+                    fires[y, j] = (one + imagined[y] * usual[y, j]) / (weight[y].sum() + imagined[y])
                 else:
                     fires[y, j] = joint[y, k, j, :, 1] / joint[y, k, j].sum(1)
-        prior = float(np.clip((weight[1].sum() + 0.5) / (weight.sum() + 1), 1e-6, 1 - 1e-6))
+        prior = float(np.clip((weight[1].sum() + imagined[1]) / (weight.sum() + IMAGINED), 1e-6, 1 - 1e-6))
         model = LabelModel(prior, parent, np.clip(fires, 1e-6, 1 - 1e-6))
     return model
 
