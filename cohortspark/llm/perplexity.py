@@ -21,7 +21,7 @@ ORDER = 5
 BITS = 12
 START = 0
 #: Model entries broadcast at one time (12 bytes each); a larger model is scored in as many passes as it has parts.
-PART_ENTRIES = 4_000_000
+PART_ENTRIES = 3_000_000
 #: Languages a model may have.
 MOST_LANGUAGES = 5000
 #: The band of log perplexity: quartiles and so many times their distance, wider for short texts by a share per root of length.
@@ -211,15 +211,13 @@ class Model:
             if self.parts > 1:
                 two = F.call_function("shiftrightunsigned", F.col("gram"), F.lit(shift)).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
                 table = table.filter((F.col("order") <= 2) | (two * 2654435761 % 4294967291 % self.parts == part))
-            found = table.select("order", lang.alias("lang"), "gram", F.col("value").cast("float")).toArrow()
-            order, langs, gram, value = [found.column(i).to_numpy() for i in range(4)]
-            for n in range(1, ORDER + 1):
-                at = order == n
-                hashes = np.empty(int(at.sum()), np.uint64)
-                for k in np.unique(langs[at]):
-                    of = langs[at] == k
-                    hashes[of] = mixed(gram[at][of], int(k), n)
-                getattr(out, name)[n] = Table(hashes, value[at])
+            for n in range(1, ORDER + 1):  # an order at a time, so that the driver holds one raw
+                found = table.filter(F.col("order") == n).select(lang.cast("short").alias("lang"), "gram", F.col("value").cast("float")).toArrow()
+                langs, gram, value = [found.column(i).to_numpy() for i in range(3)]
+                hashes = np.empty(len(gram), np.uint64)
+                for k in np.unique(langs):
+                    hashes[langs == k] = mixed(gram[langs == k], int(k), n)
+                getattr(out, name)[n] = Table(hashes, value)
         return out
 
 

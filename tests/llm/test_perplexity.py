@@ -73,7 +73,7 @@ def log_prob(prob, text):
     return sum(math.log(prob(tuple(padded[i:i + perplexity.ORDER]))) for i in range(len(text)))
 
 
-@pytest.mark.parametrize("part_entries", [4_000_000, 150])
+@pytest.mark.parametrize("part_entries", [3_000_000, 150])
 def test_model_by_the_book(spark, part_entries):
     texts = {"en": ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "the cat sat on the mat"], None: ["der hund", "die katze und der hund"]}
     rows = [(i, t, lang) for lang, all_ in texts.items() for i, t in enumerate(all_)] + [(9, None, "en"), (9, "", "en")]
