@@ -17,8 +17,7 @@ from cohortspark.sources.readers import to_whole_id
 from cohortspark.sources.writers import manifest_json
 
 
-def cluster_points(points: DataFrame, min_cluster_size: int = 50, min_samples: int = 10, epsilon: float = 0.0,
-                   max_levels: int = 32) -> DataFrame:
+def cluster_points(points: DataFrame, min_cluster_size: int = 50, min_samples: int = 10, epsilon: float = 0.0) -> DataFrame:
     """Density clusters of (id, vec) in low dimensions: (id, cluster_label, cluster_probability)."""
     points = cut(points.select("id", "vec"))
     knn = cut(graph.knn_graph(points, min_samples, "euclidean"))
@@ -26,12 +25,12 @@ def cluster_points(points: DataFrame, min_cluster_size: int = 50, min_samples: i
     core = graph.core_distances(knn, min_samples)
     radius = knn.groupBy(F.col("src").alias("id")).agg(F.max("dist").alias("radius"))
     tree = graph.spanning_tree(edges, points.select("id"), cut(points.join(core, "id")), cut(radius))
-    return cut(density.density_clusters(tree, points.select("id"), min_cluster_size, epsilon, max_levels))
+    return cut(density.density_clusters(tree, points.select("id"), min_cluster_size, epsilon))
 
 
 def phenotype(vectors: DataFrame, dims: int = 3, viz_dims: int = 2, n_neighbors: int = 15, min_dist: float = 0.1,
               metric: str = "cosine", min_cluster_size: int = 50, min_samples: int = 10, epsilon: float = 0.0,
-              seed: int = 42, epochs: int = 25, max_levels: int = 32, outcomes: DataFrame | None = None,
+              seed: int = 42, epochs: int = 25, outcomes: DataFrame | None = None,
               id_col: str = "id", vec_col: str = "vec") -> dict[str, DataFrame]:
     """Neighbour graph once, a layout for clustering and a separate one for display, density clusters.
 
@@ -43,7 +42,7 @@ def phenotype(vectors: DataFrame, dims: int = 3, viz_dims: int = 2, n_neighbors:
     weights = cut(graph.fuzzy_graph(knn, n_neighbors))
     space = lay.layout(weights, points, dims, min_dist, epochs, seed)
     flat = lay.layout(weights, points, viz_dims, min_dist, epochs, seed + 1)
-    labels = cluster_points(space.select("id", F.col("y").alias("vec")), min_cluster_size, min_samples, epsilon, max_levels)
+    labels = cluster_points(space.select("id", F.col("y").alias("vec")), min_cluster_size, min_samples, epsilon)
     labels_out = labels if outcomes is None else with_outcomes(labels, outcomes, "id")
     noise = noise_summary(labels)
     coords = space.select("id", *[F.get("y", F.lit(i)).alias(f"umap_c{i + 1}") for i in range(dims)])

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark.operators import density, graph, layout as lay, neighbors
+from cohortspark.operators import density, density as density_module, graph, layout as lay, neighbors
 from cohortspark.operators.summary import concordance
 from cohortspark.plans import phenotypes
 from cohortspark.runtime import cut
@@ -163,17 +163,145 @@ def test_planted_clusters_are_found(spark):
     assert noise[truth == -1].mean() > 0.5 and noise[truth != -1].mean() < 0.1
 
 
-def test_exact_levels_equal_quantile_levels_here_and_epsilon_merges(spark):
-    x, truth = blobs(scattered=0)
-    x = x[::4]
-    truth = truth[::4]
-    tree = tree_of(spark, x, 3)
-    ids = frame(spark, x).select("id")
-    exact = density.density_clusters(tree, ids, 10, max_levels=200).toPandas().sort_values("id")
-    assert density.density_levels(tree, 200)[1]
-    assert agreement(spark, exact["cluster_label"], truth)["ari"] > 0.9
-    merged = density.density_clusters(tree, ids, 3, epsilon=4.0).toPandas()
-    assert merged["cluster_label"].max() == 2 and agreement(spark, merged.sort_values("id")["cluster_label"], truth)["ari"] > 0.9
+def plain_density(n, edges, least, epsilon=0.0):
+    """Labels and probabilities by removing the edges weight by weight, all parts looked at each time."""
+    def parts(members, limit):
+        root = {v: v for v in members}
+
+        def top(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for a, b, w in edges:
+            if a in root and b in root and w < limit:
+                root[top(a)] = top(b)
+        groups = {}
+        for v in members:
+            groups.setdefault(top(v), []).append(v)
+        return list(groups.values())
+
+    density = {w: 1 / max(w, density_module.TINY) for _, _, w in edges} | {np.inf: 0.0}
+    tree = []  # per cluster: parent, birth, members, falls (point: lambda), children, death
+
+    def grow(members, parent, birth):
+        me = {"parent": parent, "birth": birth, "falls": {}, "kids": [], "all": members, "mass": 0.0, "death": 0.0}
+        tree.append(me)
+        now, limit = members, np.inf
+        while True:
+            inside = set(now)
+            weights = [w for a, b, w in edges if a in inside and b in inside and w < limit]
+            whole = parts(now, limit)
+            if len(whole) > 1:
+                w = limit
+                pieces = whole
+            elif not weights:
+                return me
+            else:
+                w = max(weights)
+                pieces = parts(now, w)
+            here = density[w]
+            big = [p for p in pieces if len(p) >= least]
+            me["death"] = max(me["death"], here)
+            for p in pieces:
+                if len(p) < least or len(big) != 1:
+                    me["mass"] += len(p) * (here - birth)
+                if len(p) < least:
+                    me["falls"].update({v: here for v in p})
+            if len(big) >= 2:
+                me["kids"] = [grow(p, me, here) for p in big]
+                return me
+            if not big:
+                return me
+            now, limit = big[0], w
+
+    root = grow(list(range(n)), None, 0.0)
+
+    def best(c):
+        below = sum(best(k) for k in c["kids"])
+        c["chosen"] = c is not root and c["mass"] >= below
+        return max(c["mass"], below)
+
+    best(root)
+    picked = []
+
+    def pick(c):
+        if c["chosen"]:
+            picked.append(c)
+        else:
+            for k in c["kids"]:
+                pick(k)
+
+    pick(root)
+    final = []
+    for c in picked:
+        while epsilon and c["birth"] > 0 and 1 / c["birth"] < epsilon and c["parent"] is not root:
+            c = c["parent"]
+        final.append(c)
+    label, prob = np.full(n, -1), np.zeros(n)
+
+    def falls(c):
+        out = dict(c["falls"])
+        for k in c["kids"]:
+            out.update(falls(k))
+        return out
+
+    final = sorted({id(c): c for c in final}.values(), key=lambda c: len(c["all"]))
+    for i, c in enumerate(final):
+        for v, here in falls(c).items():
+            label[v], prob[v] = i, min(here, c["death"]) / c["death"] if c["death"] else 0.0
+    return label, prob
+
+
+def same_partition(a, b):
+    return len(set(zip(a, b))) == len(set(a)) == len(set(b)) and all((x == -1) == (y == -1) for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("least, epsilon, leaf", [(5, 0.0, 50_000), (15, 0.0, 7), (3, 1.5, 1)])
+def test_density_hierarchy_is_exact(spark, monkeypatch, least, epsilon, leaf):
+    """Rounded weights give many ties; short runs go through the search over digits."""
+    monkeypatch.setattr(density, "BASE", 4)
+    rng = np.random.default_rng(least)
+    n = 300 if leaf > 1 else 90
+    centers = rng.normal(size=(9, 2)) * 8
+    x = centers[rng.integers(0, 9, n)] + rng.normal(size=(n, 2)) * rng.choice([0.3, 1.0, 3.0], (n, 1))
+    d = np.round(np.linalg.norm(x[:, None] - x[None], axis=2), 1)
+    inside, edges = {0}, []
+    best = {j: (d[0, j], 0) for j in range(1, n)}
+    while best:
+        j = min(best, key=lambda v: best[v])
+        w, i = best.pop(j)
+        edges.append((i, j, float(w)))
+        for v in best:
+            best[v] = min(best[v], (d[j, v], j))
+    tree = spark.createDataFrame(edges, "a long, b long, w double")
+    got = density.density_clusters(tree, spark.range(n), least, epsilon, leaf).toPandas().sort_values("id")
+    label, prob = plain_density(n, edges, least, epsilon)
+    assert label.max() >= 1 and same_partition(got["cluster_label"].tolist(), label.tolist())
+    assert np.allclose(got["cluster_probability"], prob)
+
+
+def test_density_of_a_forest_and_of_text_ids(spark):
+    edges = [(10 * p + i, 10 * p + i + 1, 1.0 + 0.01 * i) for p in range(3) for i in range(9)]
+    tree = spark.createDataFrame([(f"v{a:03}", f"v{b:03}", w) for a, b, w in edges], "a string, b string, w double")
+    ids = spark.createDataFrame([(f"v{i:03}",) for i in range(31)], "id string")
+    got = {r["id"]: r["cluster_label"] for r in density.density_clusters(tree, ids, 8).collect()}
+    want, _ = plain_density(31, [(a, b, w) for a, b, w in edges], 8)
+    assert same_partition([got[f"v{i:03}"] for i in range(31)], want.tolist()) and want.max() == 2
+
+
+def test_two_groups_of_ten_parts(spark):
+    """Two far groups of ten touching parts each: two clusters, however many different weights there are."""
+    rng = np.random.default_rng(1)
+    edges = []
+    for part in range(20):
+        edges += [(100 * part + i, 100 * part + i + 1, 0.9 + 0.001 * rng.random()) for i in range(99)]
+        if part % 10:
+            edges.append((100 * part - 1, 100 * part, 1.0 + 0.001 * rng.random()))
+    edges.append((999, 1000, 50.0))
+    tree = spark.createDataFrame(edges, "a long, b long, w double")
+    got = density.density_clusters(tree, spark.range(2000), 50).groupBy("cluster_label").count().collect()
+    assert sorted((r["cluster_label"], r["count"]) for r in got) == [(0, 1000), (1, 1000)]
 
 
 def test_too_small_for_any_cluster(spark):
