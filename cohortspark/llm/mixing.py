@@ -135,5 +135,6 @@ def mixed(df: DataFrame, key: str = "doc_id", **options) -> DataFrame:
                          F.monotonically_increasing_id().alias("row")))
     named = rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)], F.col("row").alias("_mix_row"))
     taken = mix(named, key, carry="_mix_row", **options).filter("copies > 0").select(F.col("_mix_row").alias("row"), "copies")
-    often = rows.join(taken, "row").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    # the plan of a large table at every size: what is taken grows with the rows
+    often = rows.join(taken.hint("merge"), "row").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return often.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])

@@ -250,7 +250,9 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     found = cut(near_copies(df.filter(F.col(key).isNotNull()), key, text))
     firsts = found.filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("_copies"))
     firsts = cut(firsts)
-    kept = df.join(firsts.select(F.col(key).alias("_first"), "_copies"), F.col(key) == F.col("_first")).drop("_first")
+    # the list of keys grows with the table, so the plan is that of a large table at every size
+    listed = firsts.select(F.col(key).alias("_first"), "_copies").hint("merge")
+    kept = df.join(listed, F.col(key) == F.col("_first")).drop("_first")
     if not firsts.filter("_copies > 1").isEmpty():  # only rows that share a key are brought together
         several = kept.filter("_copies > 1").dropDuplicates([key])
         kept = kept.filter("_copies = 1").unionByName(several)
