@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.operators import neighbors
-from cohortspark.runtime import cut
+from cohortspark.runtime import cut, discard
 
 BISECTION_STEPS = 64
 MIN_SIGMA_SCALE = 1e-3
@@ -54,7 +54,7 @@ def smooth_distances(knn: DataFrame, k: int) -> DataFrame:
             floor = MIN_SIGMA_SCALE * np.where(rho > 0, mean, average)
             yield pd.DataFrame({"src": pdf["src"], "rho": rho, "sigma": np.maximum(sigma, floor)})
 
-    return lists.mapInPandas(solve, "src long, rho double, sigma double")
+    return lists.mapInPandas(solve, f"src {knn.schema['src'].dataType.simpleString()}, rho double, sigma double")
 
 
 def fuzzy_graph(knn: DataFrame, k: int) -> DataFrame:
@@ -106,7 +106,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
     ids = both.select(F.col("a").alias("id")).distinct()
     if vertices is not None:
         ids = ids.unionByName(vertices.select("id")).distinct()
-    state = cut(ids.withColumn("component", F.col("id")))
+    state = held = cut(ids.withColumn("component", F.col("id")))
     for _ in range(max_rounds):
         offered = (both.join(state.select(F.col("id").alias("b"), F.col("component").alias("c")), "b")
                    .groupBy(F.col("a").alias("id")).agg(F.min("c").alias("near")))
@@ -118,15 +118,17 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
         new = (hooked.join(adopted.select(F.col("root").alias("component"), F.col("best").alias("up")), "component", "left")
                .select("id", "old", F.least("component", F.coalesce("up", "component")).alias("component")))
         new = cut(new)
-        state = new.select("id", "component")
+        discard(held)
+        state, held = new.select("id", "component"), new
         if new.filter(F.col("old") != F.col("component")).isEmpty():
+            discard(both)
             return state
     raise RuntimeError("components did not settle")
 
 
 def pointer_jump(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(id, root) from (id, parent), where roots point to themselves. Each round follows four pointers."""
-    state = cut(parents.select("id", F.col("parent").alias("root")))
+    state = held = cut(parents.select("id", F.col("parent").alias("root")))
 
     def doubled(s):
         up = s.select(F.col("id").alias("root"), F.col("root").alias("next"))
@@ -134,7 +136,8 @@ def pointer_jump(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     for _ in range(max_rounds):
         state_next = cut(doubled(doubled(state).select("id", "root")))
-        state = state_next.select("id", "root")
+        discard(held)
+        state, held = state_next.select("id", "root"), state_next
         if state_next.filter(F.col("root") != F.col("before")).isEmpty():
             return state
     raise RuntimeError("pointers did not settle")
@@ -259,6 +262,8 @@ def spanning_tree(edges: DataFrame, vertices: DataFrame, points: DataFrame | Non
         state = cut(state.join(roots.select(F.col("id").alias("component"), "root"), "component")
                     .select("id", F.col("root").alias("component")))
         visible = cross.select("a", "b", "w")
+    else:
+        raise RuntimeError("the spanning tree did not settle")
     if tree is None:
         return visible.limit(0)
     return cut(tree)

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cohortspark.functions.vectors import l2_normalize
+from cohortspark.operators.ordered import global_row_number
 from cohortspark.runtime import cut
 
 BLOCK_ROWS = 32_768
@@ -206,7 +207,33 @@ def _best(partials: DataFrame, k: int) -> DataFrame:
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_id: str = "id",
             corpus_id: str = "id", query_vec: str = "vec", corpus_vec: str = "vec", exclude_same_id: bool = False,
             n_pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, neighbor_id, rank, similarity | distance): the exact ``k`` best, ties by smaller id."""
+    """(query_id, neighbor_id, rank, similarity | distance): the exact ``k`` best, ties by smaller id.
+
+    Whole-number ids are searched as they are. Ids of other types are numbered in their order first, and put back at the
+    end, so that only numbers travel through the search.
+    """
+    types = [queries.schema[query_id].dataType, corpus.schema[corpus_id].dataType]
+    if all(isinstance(t, T.IntegralType) for t in types):
+        found = _nearest(queries, corpus, k, metric, query_id, corpus_id, query_vec, corpus_vec, exclude_same_id, n_pivots, block_rows)
+        return found.withColumns({"query_id": F.col("query_id").cast(types[0]), "neighbor_id": F.col("neighbor_id").cast(types[1])})
+    if types[0] != types[1]:
+        raise ValueError(f"ids of unlike types: {types[0].simpleString()}, {types[1].simpleString()}")
+    numbers = dense_ids(queries.select(F.col(query_id).alias("id")).unionByName(corpus.select(F.col(corpus_id).alias("id"))))
+    q, c = (df.join(numbers.withColumnRenamed("id", name), name).select(F.col("ix").alias("id"), F.col(vec).alias("vec"))
+            for df, name, vec in ((queries, query_id, query_vec), (corpus, corpus_id, corpus_vec)))
+    found = _nearest(q, c, k, metric, "id", "id", "vec", "vec", exclude_same_id, n_pivots, block_rows)
+    for name in ("query_id", "neighbor_id"):
+        found = found.join(numbers.select(F.col("ix").alias(name), F.col("id").alias("_id")), name).withColumn(name, F.col("_id")).drop("_id")
+    return found.select("query_id", "neighbor_id", "rank", "similarity" if metric == "cosine" else "distance")
+
+
+def dense_ids(ids: DataFrame) -> DataFrame:
+    """(id, ix): distinct ids that are not null, numbered from 0 in their order."""
+    return cut(global_row_number(ids.filter(F.col("id").isNotNull()).select("id").distinct(), ["id"], "ix", 0))
+
+
+def _nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str, query_id: str, corpus_id: str, query_vec: str,
+             corpus_vec: str, exclude_same_id: bool, n_pivots: int | None, block_rows: int) -> DataFrame:
     cosine = metric == "cosine"
     depth = k + 1 if exclude_same_id else k
     c_raw = prepare(corpus, corpus_id, corpus_vec, metric, corpus=True)

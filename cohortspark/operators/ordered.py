@@ -1,8 +1,7 @@
 """Order-dependent operators that never sort one whole group in one task.
 
 Running sums, row numbers and quantiles are computed in two levels: inside buckets of the order
-column, plus the totals of the earlier buckets. A single window is used only when a count has shown
-that the input is small.
+column, plus the totals of the earlier buckets. Small inputs take the same way with one bucket.
 """
 
 from __future__ import annotations
@@ -14,13 +13,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohortspark.runtime import cut
 
 WINDOW_ROWS = 200_000
+#: Hash buckets of a group: at least 2 to this, more where a bucket would hold over BUCKET_ROWS rows.
 HASH_BUCKET_BITS = 10
+BUCKET_ROWS = 1 << 16
 ROW_BITS = 33
 
 
 @dataclass(frozen=True)
 class Buckets:
-    """Upper bounds of the order buckets; empty means one window is small enough."""
+    """Upper bounds of the order buckets; without any there is one bucket."""
 
     bounds: tuple[float, ...] = ()
 
@@ -38,7 +39,7 @@ def plan_buckets(df: DataFrame, order: str, window_rows: int = WINDOW_ROWS) -> B
 
 
 def _bucket_of(order: str, buckets: Buckets) -> Column:
-    bounds = F.array(*[F.lit(float(b)) for b in buckets.bounds])
+    bounds = F.array(*[F.lit(float(b)) for b in buckets.bounds]).cast("array<double>")
     return F.size(F.filter(bounds, lambda b: b < F.col(order).cast("double")))
 
 
@@ -53,10 +54,6 @@ def running(df: DataFrame, group: list[str], order: str, sums: dict[str, Column
 
     end = 0 if inclusive else -1
     sums = {k: F.expr(v) if isinstance(v, str) else v for k, v in sums.items()}
-    if not buckets.bounds:
-        w = Window.partitionBy(*group).orderBy(sort(order)).rowsBetween(Window.unboundedPreceding, end)
-        return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(k) for k, c in sums.items()])
-
     bucketed = df.withColumn("_bucket", _bucket_of(order, buckets))
     inside = (Window.partitionBy(*group, "_bucket").orderBy(sort(order))
               .rowsBetween(Window.unboundedPreceding, end))
@@ -92,7 +89,8 @@ def global_row_number(df: DataFrame, order: list, name: str = "row_number", star
 
 def hashed_row_number(df: DataFrame, group: list[str], key: Column, tie: str, name: str = "row_number") -> DataFrame:
     """Row number inside ``group`` along a hash (then ``tie``); hot groups spread over hash buckets."""
-    hashed = df.withColumn("_h", key).withColumn("_bucket", F.shiftright("_h", 64 - HASH_BUCKET_BITS))
+    bits = max(HASH_BUCKET_BITS, (df.count() // BUCKET_ROWS).bit_length())
+    hashed = df.withColumn("_h", key).withColumn("_bucket", F.shiftright("_h", 64 - bits))
     sizes = hashed.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_bucket").alias("_b"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortspark.operators.ordered import exact_quantiles
+from cohortspark.operators.summary import known_labels
 from cohortspark.runtime import cut
 
 # Outcome names that must not show up in produced text.
@@ -16,29 +17,27 @@ OUTCOME_TERMS = [
 EXAMPLES = 10
 
 
-def _violations(bad: DataFrame, rule: str, key: str, weight: Column | None = None) -> DataFrame:
-    rows = F.lit(1) if weight is None else weight
-    return bad.select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("id"), rows.cast("long").alias("rows"))
-
-
 def _report(found: DataFrame) -> DataFrame:
-    """rule, n and the smallest example ids (at most ten per rule are ever gathered)."""
+    """rule, n and the smallest example ids (at most ten rows per rule are ever gathered) of (rule, id, rows)."""
     counts = found.groupBy("rule").agg(F.sum("rows").alias("n"))
     first = Window.partitionBy("rule").orderBy(F.col("id").asc_nulls_last())
     few = (found.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= EXAMPLES)
+           .withColumn("id", F.explode(F.when(F.col("rule") == "duplicate_key", F.array("id"))
+                                       .otherwise(F.array_repeat("id", F.least(F.col("rows"), F.lit(EXAMPLES)).cast("int")))))
+           .withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= EXAMPLES)
            .groupBy("rule").agg(F.sort_array(F.collect_list("id")).alias("examples")))
     return counts.join(few, "rule").select("rule", "n", F.array_join("examples", "|").alias("examples"))
 
 
 def validate_documents(df: DataFrame, key: str, text: str, strict: bool = False) -> DataFrame:
     """Missing keys, repeated keys, missing and empty texts: one row per broken rule."""
-    repeated = (df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-                .filter(F.col("_n") > 1))
-    found = (_violations(df.filter(F.col(key).isNull()), "missing_key", key)
-             .unionByName(_violations(repeated, "duplicate_key", key, F.col("_n")))
-             .unionByName(_violations(df.filter(F.col(text).isNull()), "missing_text", key))
-             .unionByName(_violations(df.filter(F.length(text) == 0), "empty_text", key)))
-    report = _report(found)
+    rules = F.array(F.when(F.col(key).isNull(), "missing_key"), F.when(F.col(text).isNull(), "missing_text"),
+                    F.when(F.length(text) == 0, "empty_text"), F.when(F.col(key).isNotNull(), ""))
+    # one pass: a row per broken rule, and a nameless one per key; both are summed before the shuffle
+    per_key = (df.select(F.col(key).cast("string").alias("id"), F.explode(F.array_compact(rules)).alias("rule"))
+               .groupBy("id", "rule").agg(F.count("*").alias("rows")))
+    named = F.when(F.col("rule") != "", F.col("rule")).when(F.col("rows") > 1, "duplicate_key")
+    report = _report(cut(per_key.withColumn("rule", named).filter(F.col("rule").isNotNull())))
     if strict:
         broken = report.collect()  # at most four rows
         if broken:
@@ -87,10 +86,12 @@ def text_length_manifest(df: DataFrame, text: str, distinct: list[str]) -> DataF
 
     Quantiles come from counts per length, so the table of texts is reduced before any sort.
     """
-    # one pass over the texts; everything else works on the counts
+    # one pass over the texts; everything else works on the counts; a listed column may have so many values
     columns = [F.col(c).cast("string").alias(c) for c in distinct]
     counts = cut(df.select(F.length(F.col(text)).alias("_len"), *columns).groupBy("_len", *distinct)
                  .agg(F.count("*").alias("_n")))
+    for c in distinct:
+        known_labels(counts, c)
     stats = counts.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_docs"),
         F.try_divide(F.sum(F.col("_len") * F.col("_n")), F.sum(F.when(F.col("_len").isNotNull(), F.col("_n"))))

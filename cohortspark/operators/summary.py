@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 NOISE = -1
+#: Columns of a wide table.
+MOST_COLUMNS = 1000
 
 
 def cluster_summary(labels: DataFrame, id_col: str, label: str = "cluster_label",
@@ -27,9 +29,24 @@ def contingency(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.groupBy(F.col(a).alias("label_a"), F.col(b).alias("label_b")).agg(F.count("*").alias("n"))
 
 
-def contingency_wide(pairs: DataFrame, a: str, b: str, columns: list) -> DataFrame:
-    """Crosstab with the given columns and 0 for empty cells."""
-    return (pairs.groupBy(F.col(a).alias("label_a")).pivot(b, columns).agg(F.count(F.lit(1))).na.fill(0))
+def known_labels(df: DataFrame, column: str, wanted: list | None = None, most: int = MOST_COLUMNS) -> list:
+    """The labels of a column in order, null left out; ``wanted`` ones may be more, but a label not among them is an error."""
+    found = sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} labels")
+    if wanted is None:
+        return found
+    unknown = set(found) - set(wanted)
+    if unknown:
+        raise ValueError(f"labels of {column} that are not listed: {sorted(unknown)}")
+    return list(wanted)
+
+
+def contingency_wide(pairs: DataFrame, a: str, b: str, columns: list | None = None) -> DataFrame:
+    """Crosstab with one column per label of ``b`` (or the given ones, which have to hold all labels), 0 for empty cells.
+    A null label of ``b`` has no column."""
+    labels = known_labels(pairs, b, columns)
+    return pairs.groupBy(F.col(a).alias("label_a")).pivot(b, labels).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def concordance(pairs: DataFrame, a: str, b: str, name: str | None = None) -> DataFrame:

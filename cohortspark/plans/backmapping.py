@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.operators import features as feat, metrics
-from cohortspark.operators.summary import mean_importance
+from cohortspark.operators.summary import known_labels, mean_importance
 from cohortspark.runtime import cut
 
 
@@ -95,8 +95,9 @@ def out_of_fold(frame: DataFrame, used: list[str], key: str, label: str = "clust
     return cut(reduce(DataFrame.unionByName, parts)), reduce(DataFrame.unionByName, weights)
 
 
-def wide_probabilities(oof: DataFrame, key: str, classes: list[int]) -> DataFrame:
-    """One prob_cluster_{class} column per class."""
+def wide_probabilities(oof: DataFrame, key: str, classes: list[int] | None = None) -> DataFrame:
+    """One prob_cluster_{class} column per class found in the probabilities; given classes have to hold all of them."""
+    classes = known_labels(oof.select(F.explode("probs").alias("p")).select("p.class"), "class", classes)
     lookup = F.map_from_entries("probs")
     return oof.select(key, F.col("truth").alias("true_cluster"), F.col("predicted").alias("predicted_cluster"),
                       *[F.element_at(lookup, F.lit(c).cast("long")).alias(f"prob_cluster_{c}") for c in classes])

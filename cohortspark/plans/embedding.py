@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, IDFModel, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortspark.functions.vectors import l2_normalize
@@ -78,11 +78,9 @@ def run(docs: DataFrame, key: str, text: str, embedder: Embedder, done: DataFram
     A resumed run starts a new shard behind the highest one in ``done``.
     """
     todo = docs if done is None else pending(docs, done, key)
-    embedded = embedder(todo, text, "embedding").drop(text)
-    named = embedded.withColumn("model", F.lit(model or getattr(embedder, "name", "custom")))
-    return assign_shards(named, [key], shard_size, first_free_shard(done))
-
-
-def as_vector(df: DataFrame, array_col: str, out: str) -> DataFrame:
-    """Array column as an ML vector."""
-    return df.withColumn(out, array_to_vector(F.transform(array_col, lambda x: x.cast("double"))))
+    # the positions come first: a sort of embedded rows would run the embedder once more to sample them
+    placed = assign_shards(todo, [key], shard_size, first_free_shard(done))
+    embedded = embedder(placed, text, "embedding").drop(text)
+    places = ["shard_id", "row_in_shard"]
+    return embedded.select(*[c for c in embedded.columns if c not in places],
+                           F.lit(model or getattr(embedder, "name", "custom")).alias("model"), *places)

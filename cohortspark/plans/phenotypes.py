@@ -6,10 +6,10 @@ from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortspark.functions.text import contains_text
-from cohortspark.operators import density, features as feat, graph, layout as lay
+from cohortspark.operators import density, features as feat, graph, layout as lay, neighbors
 from cohortspark.operators.joins import members, with_outcomes
 from cohortspark.operators.summary import cluster_summary, concordance, contingency, noise_summary
 from cohortspark.runtime import cut
@@ -18,7 +18,11 @@ from cohortspark.sources.writers import manifest_json
 
 
 def cluster_points(points: DataFrame, min_cluster_size: int = 50, min_samples: int = 10, epsilon: float = 0.0) -> DataFrame:
-    """Density clusters of (id, vec) in low dimensions: (id, cluster_label, cluster_probability)."""
+    """Density clusters of (id, vec) in low dimensions: (id, cluster_label, cluster_probability). Ids may be of any type."""
+    if not isinstance(points.schema["id"].dataType, T.LongType):
+        points, numbers = numbered(points)
+        found = cluster_points(points, min_cluster_size, min_samples, epsilon)
+        return named_again(found, numbers)
     points = cut(points.select("id", "vec"))
     knn = cut(graph.knn_graph(points, min_samples, "euclidean"))
     edges = graph.mutual_reachability(knn, min_samples)
@@ -28,6 +32,18 @@ def cluster_points(points: DataFrame, min_cluster_size: int = 50, min_samples: i
     return cut(density.density_clusters(tree, points.select("id"), min_cluster_size, epsilon))
 
 
+def numbered(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, vec) with dense numbers for ids, and the numbers (id, ix)."""
+    numbers = neighbors.dense_ids(points.select("id"))
+    return cut(points.join(numbers, "id").select(F.col("ix").alias("id"), "vec")), numbers
+
+
+def named_again(df: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The caller's ids in place of the numbers."""
+    named = numbers.select(F.col("ix").alias("id"), F.col("id").alias("_id"))
+    return df.join(named, "id").select(F.col("_id").alias("id"), *[c for c in df.columns if c != "id"])
+
+
 def phenotype(vectors: DataFrame, dims: int = 3, viz_dims: int = 2, n_neighbors: int = 15, min_dist: float = 0.1,
               metric: str = "cosine", min_cluster_size: int = 50, min_samples: int = 10, epsilon: float = 0.0,
               seed: int = 42, epochs: int = 25, outcomes: DataFrame | None = None,
@@ -36,13 +52,14 @@ def phenotype(vectors: DataFrame, dims: int = 3, viz_dims: int = 2, n_neighbors:
 
     Returns labels, coords (clustering), display, summary, noise and params.
     """
-    points = cut(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-                 .filter(F.col("id").isNotNull() & F.col("vec").isNotNull()))
+    points, numbers = numbered(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+                               .filter(F.col("id").isNotNull() & F.col("vec").isNotNull()))
     knn = cut(graph.knn_graph(points, n_neighbors, metric))
     weights = cut(graph.fuzzy_graph(knn, n_neighbors))
     space = lay.layout(weights, points, dims, min_dist, epochs, seed)
     flat = lay.layout(weights, points, viz_dims, min_dist, epochs, seed + 1)
     labels = cluster_points(space.select("id", F.col("y").alias("vec")), min_cluster_size, min_samples, epsilon)
+    labels, space, flat = (cut(named_again(df, numbers)) for df in (labels, space, flat))
     labels_out = labels if outcomes is None else with_outcomes(labels, outcomes, "id")
     noise = noise_summary(labels)
     coords = space.select("id", *[F.get("y", F.lit(i)).alias(f"umap_c{i + 1}") for i in range(dims)])

@@ -30,8 +30,8 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | None = N
     if path.rstrip("/").endswith(".parquet"):
         return coerce_records(spark.read.parquet(path))
     reader = spark.read.option("header", True).option("enforceSchema", False)
-    if schema is None:
-        return coerce_records(reader.csv(path))
+    if schema is None:  # one more pass over the file finds numbers among the texts
+        return coerce_records(reader.option("inferSchema", True).csv(path))
     # the header may hold a subset of the known columns, in any order
     names = reader.csv(path).columns
     known = {f.name: f for f in schema.fields}
@@ -50,7 +50,8 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 def document_frame(records: DataFrame, text_field: str = "retrieval_text", truncate_chars: int = 0) -> DataFrame:
     """Flat document table: cleaned (optionally truncated) text and the known metadata keys.
 
-    A ``split`` inside ``metadata`` overrides the top-level one.
+    A ``split`` inside ``metadata`` overrides the top-level one. In a table a key that is null and one that is not there are
+    the same, so a null never overrides.
     """
     cleaned = clean_text(F.col(text_field))
     nested = []
