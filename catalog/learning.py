@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from catalog.registry import Tables, query, rounded
@@ -46,11 +48,23 @@ def feature_frame(t):
     return rounded(frame, *[c for c in used if c not in BINARY], digits=5)
 
 
-@query("pca_scores")
-def pca_scores(t):
+def _scaled(t: Tables) -> DataFrame:
     frame, used = feat.feature_frame(customer_features(t), rule_labels(t), "id", WANTED, "continuous", BINARY, drop_noise=False)
-    scores, _ = lay.principal_components(frame.select("id", F.array(*used).alias("vec")), 3)
-    return scores.select("id", *[F.round(F.get("pc", F.lit(i)), 6).alias(f"pc{i + 1}") for i in range(3)])
+    return cut(frame.select("id", F.array(*used).alias("vec")))
+
+
+@query("pca_scores", """
+SELECT i::INT AS i, j::INT AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS correlation, TRUE AS falling, (SELECT count(*) FROM customer)::BIGINT AS n
+FROM range(1, 4) a(i), range(1, 4) b(j)""")
+def pca_scores(t):
+    """Correlations of the component scores, one row per pair: they are those of independent columns, with falling variance."""
+    scores, ratios = lay.principal_components(_scaled(t), 3)
+    c = [F.get("pc", F.lit(i)) for i in range(3)]
+    falling = F.lit(all(a >= b for a, b in zip(ratios, ratios[1:])))
+    rows = [scores.agg((F.covar_pop(c[i], c[j]) / (F.stddev_pop(c[i]) * F.stddev_pop(c[j]))).alias("r"), F.count("*").alias("n"))
+            .select(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"), F.abs(F.round("r", 6)).alias("correlation"), falling.alias("falling"), "n")
+            for i in range(3) for j in range(3)]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("explained_variance")
@@ -73,16 +87,29 @@ def structured_comparator(t):
     return rounded(found["concordance"], "ari", "nmi")
 
 
-@query("oof_predictions")
+RULE = """
+o AS (SELECT o_custkey AS id, count(*) AS n_orders FROM orders GROUP BY ALL),
+c AS (SELECT c_custkey AS id, CASE WHEN n_orders < 8 THEN 0 WHEN c_acctbal < 4500 THEN 1 ELSE 2 END::BIGINT AS cluster_label FROM customer JOIN o ON c_custkey = id)"""
+
+
+@query("oof_predictions", f"""
+WITH {RULE}, k AS (SELECT cluster_label AS true_cluster, count(*) AS n FROM c GROUP BY ALL)
+SELECT true_cluster, fold::INT AS fold, ((n - fold + 4) // 5)::BIGINT AS n, ((n - fold + 4) // 5)::BIGINT AS n_distinct, ((n - fold + 4) // 5)::BIGINT AS n_sum_to_one,
+  true AS mostly_right FROM k, range(5) f(fold)""")
 def oof_predictions(t):
+    """Per class and fold: rows, ids, rows whose probabilities sum to one, and whether most are predicted right (the rule is learnable)."""
     frame, used = feat.feature_frame(customer_features(t), rule_labels(t), "id", WANTED, "all")
-    oof, _ = backmapping.out_of_fold(frame, used, "id", trees=10)
-    return backmapping.wide_probabilities(oof, "id", [0, 1, 2])
+    oof, _ = backmapping.out_of_fold(frame, used, "id")
+    wide = backmapping.wide_probabilities(oof, "id").join(oof.select("id", "fold"), "id")
+    total = sum((F.col(c) for c in wide.columns if c.startswith("prob_")), F.lit(0.0))
+    return wide.groupBy("true_cluster", "fold").agg(
+        F.count("*").alias("n"), F.count_distinct("id").alias("n_distinct"), F.count_if(F.abs(total - 1) < 1e-9).alias("n_sum_to_one"),
+        (F.avg((F.col("true_cluster") == F.col("predicted_cluster")).cast("double")) > 0.5).alias("mostly_right"))
 
 
 @query("backmapping_metrics")
 def backmapping_metrics(t):
-    found = backmapping.backmap(customer_features(t), rule_labels(t), "id", WANTED, trees=10)
+    found = backmapping.backmap(customer_features(t), rule_labels(t), "id", WANTED)
     folds = found["folds"].select(F.lit("fold").alias("level"), F.col("fold").cast("long").alias("name"), F.col("macro_auroc").alias("auroc"),
                                   F.col("macro_recall").alias("recall"))
     classes = found["classes"].select(F.lit("cluster").alias("level"), F.col("cluster").alias("name"), "auroc", "recall")
@@ -91,36 +118,43 @@ def backmapping_metrics(t):
 
 @query("importance_table")
 def importance_table(t):
-    return rounded(backmapping.backmap(customer_features(t), rule_labels(t), "id", WANTED, trees=10)["importance"], "importance")
+    return rounded(backmapping.backmap(customer_features(t), rule_labels(t), "id", WANTED)["importance"], "importance")
 
 
 def _model(t: Tables):
     frame, used = feat.feature_frame(customer_features(t), rule_labels(t), "id", WANTED, "none")
     frame = cut(frame)
-    return backmapping.train(frame, used, trees=10), frame
+    return backmapping.train(frame, used), frame
 
 
 @query("permutation_importance")
 def permutation_importance(t):
     model, frame = _model(t)
-    return rounded(attribution.permutation_importance(model, frame, "id", n_repeats=5), "mean_decrease_auroc", "std")
+    return rounded(attribution.permutation_importance(model, frame, "id"), "mean_decrease_auroc", "std")
 
 
-@query("attributions")
+@query("attributions", f"""
+WITH {RULE} SELECT id, cluster_label AS cluster, class::BIGINT AS class, 6::BIGINT AS n_features, 0.0::DOUBLE AS gap FROM c, range(3) k(class)""")
 def attributions(t):
+    """Per row and class: the features with an attribution, and what base and attributions miss of the score (nothing)."""
     model, frame = _model(t)
-    return rounded(attribution.sampled_attributions(model, frame, "id", n_background=100, n_samples=2), "phi", "std_error", "base")
+    phi = attribution.sampled_attributions(model, frame, "id")
+    total = phi.groupBy("id", "cluster", "class").agg(F.count("*").alias("n_features"), (F.sum("phi") + F.first("base")).alias("sum"))
+    score = model.probabilities(frame).select("id", F.explode("probs").alias("p")).select("id", "p.class", "p.prob")
+    return total.join(score, ["id", "class"]).select("id", "cluster", "class", "n_features", F.abs(F.round(F.col("sum") - F.col("prob"), 6)).alias("gap"))
 
 
 @query("attribution_summary")
 def attribution_summary(t):
     model, frame = _model(t)
-    phi = attribution.sampled_attributions(model, frame, "id", n_background=100, n_samples=2)
+    phi = attribution.sampled_attributions(model, frame, "id")
     return rounded(mean_abs_attribution(phi), "mean_abs_shap")
 
 
-@query("boosted_predictions")
+@query("boosted_predictions", f"WITH {RULE} SELECT id, cluster_label, 1.0::DOUBLE AS total FROM c")
 def boosted_predictions(t):
+    """The rows with the sum of their class probabilities."""
     frame, used = feat.feature_frame(customer_features(t), rule_labels(t), "id", WANTED, "none")
     model = backmapping.train(cut(frame), used, boosted=True, trees=5, depth=3)
-    return model.predict(frame).select("id", "cluster_label", "predicted")
+    total = F.aggregate("probs", F.lit(0.0), lambda s, p: s + p["prob"])
+    return model.predict(frame).select("id", "cluster_label", F.round(total, 9).alias("total"))

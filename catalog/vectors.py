@@ -22,12 +22,12 @@ def vectors(t: Tables) -> DataFrame:
 
 def corpus(t: Tables) -> DataFrame:
     return t.embeddings.select(
-        F.col("vec_id").alias("doc_id"), F.concat(F.lit("P"), F.col("label").cast("string")).alias("patient_uid"),
+        F.concat(F.lit("D"), "vec_id").alias("doc_id"), F.concat(F.lit("P"), F.col("label").cast("string")).alias("patient_uid"),
         F.when(F.col("label") < 5, "early").otherwise("ast").alias("timepoint"), F.lit("development").alias("split"), "embedding")
 
 
 def y_true(t: Tables) -> DataFrame:
-    return t.labels.select("doc_id", F.col("quality").alias("y_true"))
+    return t.labels.select(F.concat(F.lit("D"), "doc_id").alias("doc_id"), F.col("quality").alias("y_true"))
 
 
 @query("l2_normalize", """
@@ -52,9 +52,9 @@ def topk_neighbors(t):
 
 
 LONG = f"""{SIM},
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, c) AS rank FROM s {{where}}),
-lg AS (SELECT q AS query_doc_id, 'P' || ql AS query_patient_uid, CASE WHEN ql < 5 THEN 'early' ELSE 'ast' END AS query_timepoint,
-         'development' AS query_split, a.quality::DOUBLE AS query_y_true, rank::INT AS rank, c AS neighbor_doc_id, 'P' || cl AS neighbor_patient_uid,
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, 'D' || c) AS rank FROM s {{where}}),
+lg AS (SELECT 'D' || q AS query_doc_id, 'P' || ql AS query_patient_uid, CASE WHEN ql < 5 THEN 'early' ELSE 'ast' END AS query_timepoint,
+         'development' AS query_split, a.quality::DOUBLE AS query_y_true, rank::INT AS rank, 'D' || c AS neighbor_doc_id, 'P' || cl AS neighbor_patient_uid,
          'development' AS neighbor_split, b.quality::DOUBLE AS neighbor_y_true, sim AS similarity
        FROM r LEFT JOIN labels a ON a.doc_id = q LEFT JOIN labels b ON b.doc_id = c WHERE rank <= 5)"""
 SUMMARY = """
@@ -92,16 +92,51 @@ def retrieval_datasets(t):
 
 
 @query("neighbor_text", f"""
-WITH {SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, c) AS rank FROM s),
+WITH {SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, 'D' || c) AS rank FROM s),
 d AS (SELECT doc_id, trim(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) AS x FROM documents)
-SELECT q AS query_doc_id, rank::INT AS rank, coalesce(CASE WHEN length(x) <= 80 THEN x ELSE rtrim(substring(x, 1, 77)) || '...' END, '') AS neighbor_text
+SELECT 'D' || q AS query_doc_id, rank::INT AS rank, coalesce(CASE WHEN length(x) <= 80 THEN x ELSE rtrim(substring(x, 1, 77)) || '...' END, '') AS neighbor_text
 FROM r LEFT JOIN d ON doc_id = c WHERE rank <= 3""")
 def neighbor_text(t):
-    both = corpus(t).join(t.documents.select("doc_id", "text"), "doc_id", "left")
+    both = corpus(t).join(t.documents.select(F.concat(F.lit("D"), "doc_id").alias("doc_id"), "text"), "doc_id", "left")
     found = retrieval.retrieve(both, both, y_true(t), 3, text_col="text", text_chars=80)
     return found.select("query_doc_id", "rank", "neighbor_text")
 
 
+def document_records(t: Tables) -> DataFrame:
+    """Documents as retrieval records with text ids; the source stands for the patient, the language for the time point."""
+    return t.documents.select(F.concat(F.lit("D"), "doc_id").alias("doc_id"), F.col("source").alias("patient_uid"),
+                              F.col("lang").alias("timepoint"), F.lit("development").alias("split"), F.col("text").alias("retrieval_text"))
+
+
+@query("retrieval_from_documents", """
+SELECT 'D' || doc_id AS query_doc_id, source AS query_patient_uid, lang AS query_timepoint, 'development' AS query_split, quality::DOUBLE AS query_y_true,
+  5::BIGINT AS n_neighbors_found, 1.0::DOUBLE AS top1_similarity FROM documents LEFT JOIN labels USING (doc_id)""")
+def retrieval_from_documents(t):
+    """Records to vectors to neighbours to risks; a document is as near to its nearest as to itself."""
+    made = retrieval.prepare(document_records(t), embedding.HashedTextEmbedder(64))
+    corpus = cut(made["documents"])
+    found = retrieval.run(corpus, corpus, y_true(t), 5)["summary"]
+    return found.select("query_doc_id", "query_patient_uid", "query_timepoint", "query_split", "query_y_true",
+                        F.col("n_neighbors_found").cast("long").alias("n_neighbors_found"), F.round("top1_similarity", 4).alias("top1_similarity"))
+
+
+@query("split_warning", "SELECT source AS split, count(*)::BIGINT AS n FROM documents WHERE source <> 'src0' GROUP BY source")
+def split_warning(t):
+    return retrieval.split_warning(t.documents.withColumn("split", F.col("source")), "src0")
+
+
+@query("bundle_report", """
+WITH v AS (SELECT doc_id FROM documents JOIN labels USING (doc_id))
+SELECT 'metadata_rows' AS "check", count(*)::BIGINT AS value FROM documents UNION ALL SELECT 'vector_rows', count(*) FROM v
+UNION ALL SELECT 'duplicate_keys', (count(*) - count(DISTINCT doc_id))::BIGINT FROM documents
+UNION ALL SELECT 'missing_in_metadata', 0 UNION ALL SELECT 'extra_in_metadata', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM v)
+UNION ALL SELECT 'embedding_model_differs', 1""")
+def bundle_report(t):
+    """All documents as metadata, the labelled ones as vectors, another model in the manifest."""
+    vectors_of = t.documents.join(t.labels.select("doc_id"), "doc_id")
+    return retrieval.bundle_report(t.documents.select("doc_id"), vectors_of.select("doc_id"), "doc_id", "m1", "m2")
+
+
 @query("knn_graph", f"""
 WITH {SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, c) AS rank FROM s WHERE q <> c)
 SELECT q AS src, c AS dst, rank::INT AS rank, round(1 - sim, 6) AS dist FROM r WHERE rank <= 15""")
@@ -153,7 +188,8 @@ def spanning_forest(t):
 
 @query("density_clusters")
 def density_clusters(t):
-    return density.density_clusters(exact_tree(t), vectors(t), min_cluster_size=20)
+    """Groups of near copies among the vectors."""
+    return density.density_clusters(exact_tree(t, 2), vectors(t), min_cluster_size=3)
 
 
 def _space(t: Tables, dims: int) -> DataFrame:
@@ -175,7 +211,7 @@ def layout_2d(t):
 @query("phenotype_clusters")
 def phenotype_clusters(t):
     outcomes = t.labels.select(F.col("doc_id").alias("id"), "quality", "toxic")
-    found = phenotypes.phenotype(vectors(t), min_cluster_size=25, epochs=EPOCHS, outcomes=outcomes)
+    found = phenotypes.phenotype(vectors(t), min_cluster_size=10, min_samples=3, epochs=EPOCHS, outcomes=outcomes)
     return found["labels"].join(found["coords"], "id").join(found["display"], "id")
 
 
@@ -185,17 +221,31 @@ def subgroup_clusters(t):
     return phenotypes.subgroup(vectors(t), named, "lang", "EN", epochs=EPOCHS)["labels"]
 
 
-@query("embed_batch")
+WORDED = "CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm"
+
+
+def norm(c: str):
+    return F.round(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x)), 3).alias("norm")
+
+
+@query("embed_batch", f"""
+WITH d AS (SELECT doc_id, text, doc_id IN (SELECT doc_id FROM labels) AS early FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY early ORDER BY doc_id) - 1 AS n, count(*) FILTER (early) OVER () AS k FROM d)
+SELECT doc_id, 'hashed-words-64' AS model, (n // 128 + CASE WHEN early THEN 0 ELSE (k + 127) // 128 END)::BIGINT AS shard_id,
+  (n % 128)::BIGINT AS row_in_shard, {WORDED} FROM r""")
 def embed_batch(t):
-    """All documents, resumed after those with a label; vectors, shard positions."""
+    """All documents, resumed after those with a label; model, shard positions and the length of each vector."""
     embedder = embedding.HashedTextEmbedder(64)
     docs = t.documents.select("doc_id", "text")
     done = embedding.run(docs.join(t.labels, "doc_id", "left_semi"), "doc_id", "text", embedder, shard_size=128)
     done = cut(done)
-    return done.unionByName(embedding.run(docs, "doc_id", "text", embedder, done, shard_size=128))
+    both = done.unionByName(embedding.run(docs, "doc_id", "text", embedder, done, shard_size=128))
+    return both.select("doc_id", "model", "shard_id", "row_in_shard", norm("embedding"))
 
 
-@query("embed_stream")
+@query("embed_stream", f"""
+SELECT doc_id, 'hashed-words-64' AS model, ((row_number() OVER (ORDER BY doc_id) - 1) // 2048)::BIGINT AS shard_id,
+  ((row_number() OVER (ORDER BY doc_id) - 1) % 2048)::BIGINT AS row_in_shard, {WORDED} FROM documents""")
 def embed_stream_documents(t):
     """The documents as a file stream into a Parquet sink; both live in the checkpoint folder."""
     root = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
@@ -203,4 +253,4 @@ def embed_stream_documents(t):
     stream = embed_stream(t.spark, t.folder, schema, f"{root}/sink", f"{root}/state", embedding.HashedTextEmbedder(64),
                           glob="documents.parquet")
     stream.awaitTermination()
-    return t.spark.read.parquet(f"{root}/sink")
+    return t.spark.read.parquet(f"{root}/sink").select("doc_id", "model", "shard_id", "row_in_shard", norm("embedding"))
