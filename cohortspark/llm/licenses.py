@@ -2,11 +2,15 @@
 
 All of it is built-in column functions and joins. A unit whose size lies outside what the coefficient allows for a template
 is never compared with it: of a and b bigrams at most the lesser number is shared, so 2 min(a, b) / (a + b) bounds the
-coefficient.
+coefficient. The same bound says how many of a template's bigrams a match shares at least, so a few words of it, those of
+more bigrams than a match can miss, tell which texts and units have to be looked at.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 THRESHOLD = 0.8
@@ -40,6 +44,29 @@ TEMPLATES = {
 }
 
 
+def anchors(templates: dict[str, str], threshold: float) -> list[str]:
+    """Words of which every unit that matches some template holds at least one.
+
+    A match shares at least low = threshold / (2 - threshold) of the template's b bigrams. Words that touch more than
+    (1 - low) b of them cannot all be missing. Words that serve other templates already are taken first, then long words of
+    many bigrams.
+    """
+    low, chosen = threshold / (2 - threshold), []
+    for text in sorted(templates.values()):
+        words = re.findall("[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER)))
+        pairs = set(zip(words, words[1:]))
+        own: set[str] = set()
+
+        def touched():
+            return [p for p in pairs if p[0] in own or p[1] in own]
+
+        while len(touched()) <= (1 - low) * len(pairs):
+            left = pairs - set(touched())
+            own.add(min((w for p in left for w in p), key=lambda w: (w not in chosen, len(w) < 5, -sum(w in p for p in left), -len(w), w)))
+        chosen += sorted(own - set(chosen))
+    return chosen
+
+
 def normalised(text: Column) -> Column:
     """ASCII lower case; all but ASCII letters, digits and line ends becomes a space."""
     return F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9\n]+", " ")
@@ -60,19 +87,24 @@ def template_bigrams(spark: SparkSession, templates: dict[str, str] = TEMPLATES)
     return sized.select("license", "b", F.explode("grams").alias("bigram"))
 
 
-def units(text: Column) -> Column:
-    """(kind, place, text) of the lines, of the paragraphs if there are several, and of the whole if it has several lines.
-    The first entry, of kind ``none``, is there for every text, null ones included."""
-    norm = normalised(F.coalesce(text, F.lit("")))
+def units(text: Column, words: list[str]) -> Column:
+    """(kind, place, text) of the lines, of the paragraphs if there are several, and of the whole if it has several lines, as
+    far as they hold one of the words. The first entry, of kind ``none``, is there for every text, null ones included."""
+    norm = normalised(text)
+
+    def any_word(x):
+        return reduce(lambda a, b: a | b, [x.contains(w) for w in words])
 
     def listed(kind, parts):
-        return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), x.alias("text")))
+        each = F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), x.alias("text")))
+        return F.filter(each, lambda u: any_word(u["text"])) if kind != "none" else each
 
     lines, paragraphs = F.split(norm, "\n"), F.split(norm, "\n *\n[ \n]*")
     none = F.array().cast("array<struct<kind:string,place:int,text:string>>")
-    return F.concat(listed("none", F.array(F.lit(""))), listed("line", lines),
-                    F.when(F.size(paragraphs) > 1, listed("paragraph", paragraphs)).otherwise(none),
-                    F.when(F.size(lines) > 1, listed("text", F.array(norm))).otherwise(none))
+    found = F.concat(listed("none", F.array(F.lit(""))), listed("line", lines),
+                     F.when(F.size(paragraphs) > 1, listed("paragraph", paragraphs)).otherwise(none),
+                     F.when(F.size(lines) > 1, listed("text", F.array(norm))).otherwise(none))
+    return F.when(any_word(F.lower(text)), found).otherwise(listed("none", F.array(F.lit(""))))
 
 
 def matches(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES,
@@ -87,11 +119,12 @@ def matches(df: DataFrame, key: str = "doc_id", text: str = "text", templates: d
     n = grams.count()
     if n > MOST_BIGRAMS:
         raise ValueError(f"{n} template bigrams, more than {MOST_BIGRAMS}")
+    words = anchors(templates, threshold)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = grams.agg(F.min("b"), F.max("b")).first()
     smallest, largest = (sizes[0] or 0) * low, (sizes[1] or 0) * high
     each = (df.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
-            .select("_row", "_key", F.explode(units(F.col("_text"))).alias("u")).select("_row", "_key", "u.kind", "u.place", bigrams(F.col("u.text")).alias("grams"))
+            .select("_row", "_key", F.explode(units(F.col("_text"), words)).alias("u")).select("_row", "_key", "u.kind", "u.place", bigrams(F.col("u.text")).alias("grams"))
             .withColumn("a", F.size("grams"))
             .filter((F.col("kind") == "none") | F.col("a").between(smallest, largest)))
     spread = each.select("_row", "_key", "kind", "place", "a", F.explode_outer("grams").alias("gram"))
