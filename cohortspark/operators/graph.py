@@ -206,9 +206,8 @@ def spanning_tree(edges: DataFrame, vertices: DataFrame, points: DataFrame | Non
     visible = cut(edges.select("a", "b", "w"))
     tree = None
     assigned = cells = None
-    n_before = None
+    n_components, n_before = state.count(), None
     for _ in range(max_rounds):
-        n_components = state.select("component").distinct().count()
         if n_components <= 1 or n_components == n_before:
             break
         n_before = n_components
@@ -256,11 +255,15 @@ def spanning_tree(edges: DataFrame, vertices: DataFrame, points: DataFrame | Non
                   .select(F.col("component").alias("id"),
                           F.when((F.col("back") == F.col("component")) & (F.col("component") < F.col("other")),
                                  F.col("component")).otherwise(F.col("other")).alias("parent")))
-        lonely = (state.select(F.col("component").alias("id")).distinct().join(rooted.select("id"), "id", "left_anti")
-                  .withColumn("parent", F.col("id")))
-        roots = pointer_jump(rooted.unionByName(lonely))
-        state = cut(state.join(roots.select(F.col("id").alias("component"), "root"), "component")
-                    .select("id", F.col("root").alias("component")))
+        # only components with a pick move; the others stay as they are and need no pointer
+        moved = pointer_jump(rooted.unionByName(
+            rooted.select(F.col("parent").alias("id")).distinct().join(rooted.select("id"), "id", "left_anti").withColumn("parent", F.col("id"))))
+        gone = moved.filter(F.col("id") != F.col("root")).count()
+        new = cut(state.join(moved.select(F.col("id").alias("component"), "root"), "component", "left")
+                  .select("id", F.coalesce("root", "component").alias("component")))
+        n_components -= gone
+        discard(state)
+        state = new
         visible = cross.select("a", "b", "w")
     else:
         raise RuntimeError("the spanning tree did not settle")

@@ -46,7 +46,7 @@ def named_again(df: DataFrame, numbers: DataFrame) -> DataFrame:
 
 def phenotype(vectors: DataFrame, dims: int = 3, viz_dims: int = 2, n_neighbors: int = 15, min_dist: float = 0.1,
               metric: str = "cosine", min_cluster_size: int = 50, min_samples: int = 10, epsilon: float = 0.0,
-              seed: int = 42, epochs: int = 25, outcomes: DataFrame | None = None,
+              seed: int = 42, epochs: int = lay.EPOCHS, outcomes: DataFrame | None = None,
               id_col: str = "id", vec_col: str = "vec") -> dict[str, DataFrame]:
     """Neighbour graph once, a layout for clustering and a separate one for display, density clusters.
 
@@ -91,7 +91,7 @@ def kmeans_range(scores: DataFrame, ks: list[int], seed: int = 42, starts: int =
 def compare(features: DataFrame, labels: DataFrame, key: str, wanted: list[str], binary: list[str],
             ks: list[int] | None = None, selected_k: int = 17, n_components: int = 50, n_neighbors: int = 15,
             min_dist: float = 0.1, min_cluster_size: int = 30, min_samples: int = 5, seed: int = 42, starts: int = 10,
-            epochs: int = 25) -> dict[str, DataFrame]:
+            epochs: int = lay.EPOCHS) -> dict[str, DataFrame]:
     """Clusters of the structured columns and their agreement with the given labels.
 
     Imputed, continuous columns scaled; principal components with k-means for each k; layout with

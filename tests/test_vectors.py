@@ -261,6 +261,8 @@ def same_partition(a, b):
 def test_density_hierarchy_is_exact(spark, monkeypatch, least, epsilon, leaf):
     """Rounded weights give many ties; short runs go through the search over digits."""
     monkeypatch.setattr(density, "BASE", 4)
+    if leaf == 7:
+        monkeypatch.setattr(density, "LOCAL_CLUSTERS", 0)
     rng = np.random.default_rng(least)
     n = 300 if leaf > 1 else 90
     centers = rng.normal(size=(9, 2)) * 8
