@@ -25,7 +25,7 @@ PART_ENTRIES = 3_000_000
 #: Languages a model may have.
 MOST_LANGUAGES = 5000
 #: The band of log perplexity: quartiles and so many times their distance, wider for short texts by a share per root of length.
-FENCE, SHORT = 4.0, 6.0
+FENCE, SHORT = 4.0, 8.0
 LEAST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"

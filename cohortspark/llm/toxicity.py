@@ -52,8 +52,8 @@ MOST_VOTERS = 14
 
 
 def held_out(key: Column, of: int = 3, part: int = 1) -> Column:
-    """Whether crc32 of the key as text leaves this remainder; a null key is held out (its label is never used)."""
-    return F.coalesce(F.crc32(key.cast("string")) % of == part, F.lit(True))
+    """Whether crc32 of the key as text leaves this remainder; a null key is not held out, but has no label either."""
+    return F.coalesce(F.crc32(key.cast("string")) % of == part, F.lit(False))
 
 
 def words_of(text: str | None) -> set[str]:
