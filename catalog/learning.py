@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from catalog.registry import Tables, query, rounded
+from catalog.vectors import EPOCHS
 from cohortspark.operators import features as feat, layout as lay
 from cohortspark.operators.summary import mean_abs_attribution
 from cohortspark.plans import attribution, backmapping, phenotypes
@@ -31,13 +32,16 @@ def rule_labels(t: Tables) -> DataFrame:
     return df.select("id", label.cast("long").alias("cluster_label"))
 
 
-@query("feature_frame", """
-WITH o AS (SELECT o_custkey AS id, count(*)::DOUBLE AS n_orders, avg(o_totalprice) AS mean_price, max(o_totalprice) AS max_price,
-             max((o_orderpriority = '1-URGENT')::INT)::DOUBLE AS urgent FROM orders GROUP BY ALL),
+FEATURES = """
+o AS (SELECT o_custkey AS id, count(*)::DOUBLE AS n_orders, avg(o_totalprice) AS mean_price, max(o_totalprice) AS max_price,
+        max((o_orderpriority = '1-URGENT')::INT)::DOUBLE AS urgent FROM orders GROUP BY ALL),
 f AS (SELECT c_custkey AS id, c_acctbal AS balance, c_nationkey::DOUBLE AS nation, n_orders, mean_price, max_price, urgent,
         CASE WHEN n_orders IS NULL THEN -1 WHEN n_orders < 8 THEN 0 WHEN c_acctbal < 4500 THEN 1 ELSE 2 END::BIGINT AS cluster_label
-      FROM customer LEFT JOIN o ON c_custkey = id),
-i AS (SELECT id, cluster_label, coalesce(n_orders, (SELECT median(n_orders) FROM f)) AS n_orders, coalesce(mean_price, (SELECT median(mean_price) FROM f)) AS mean_price,
+      FROM customer LEFT JOIN o ON c_custkey = id)"""
+
+
+@query("feature_frame", f"""
+WITH {FEATURES}, i AS (SELECT id, cluster_label, coalesce(n_orders, (SELECT median(n_orders) FROM f)) AS n_orders, coalesce(mean_price, (SELECT median(mean_price) FROM f)) AS mean_price,
         coalesce(max_price, (SELECT median(max_price) FROM f)) AS max_price, coalesce(urgent, (SELECT median(urgent) FROM f)) AS urgent, balance, nation FROM f),
 s AS (SELECT avg(n_orders) a1, stddev_pop(n_orders) s1, avg(mean_price) a2, stddev_pop(mean_price) s2, avg(max_price) a3, stddev_pop(max_price) s3,
         avg(balance) a4, stddev_pop(balance) s4, avg(nation) a5, stddev_pop(nation) s5 FROM i)
@@ -67,23 +71,39 @@ def pca_scores(t):
     return reduce(DataFrame.unionByName, rows)
 
 
-@query("explained_variance")
+@query("explained_variance", f"""
+WITH {FEATURES}, i AS (SELECT coalesce(urgent, (SELECT median(urgent) FROM f)) AS urgent FROM f)
+SELECT 6::BIGINT AS n, 1.0::DOUBLE AS total, true AS falling, round(5 + var_pop(urgent), 5) AS trace FROM i""")
 def explained_variance(t):
-    frame, used = feat.feature_frame(customer_features(t), rule_labels(t), "id", WANTED, "continuous", BINARY, drop_noise=False)
-    _, ratios = lay.principal_components(frame.select("id", F.array(*used).alias("vec")), len(used))
-    return rounded(phenotypes.explained_variance(t.spark, ratios), "ratio", "cumulative_ratio")
+    """Number and sum of the variance ratios, whether they fall, and the variance they share (one per scaled column)."""
+    scaled = _scaled(t)
+    scores, ratios = lay.principal_components(scaled, 6)
+    table = phenotypes.explained_variance(t.spark, ratios)
+    trace = scores.agg(sum((F.var_pop(F.get("pc", F.lit(i))) for i in range(6)), F.lit(0.0)).alias("trace")).first()[0]
+    falling = all(a >= b for a, b in zip(ratios, ratios[1:]))
+    return table.agg(F.count("*").alias("n"), F.round(F.max("cumulative_ratio"), 6).alias("total")).select(
+        "n", "total", F.lit(falling).alias("falling"), F.round(F.lit(trace), 5).alias("trace"))
 
 
-@query("kmeans_range")
+KS = [2, 3, 4, 5, 6, 7, 8, 17]
+
+
+@query("kmeans_range", """
+SELECT k, (SELECT count(*) FROM customer)::BIGINT AS n, k::BIGINT AS n_labels, 0::BIGINT AS lowest, (k - 1)::BIGINT AS highest, true AS better_than_fewer
+FROM (VALUES (2), (3), (4), (5), (6), (7), (8), (17)) v(k)""")
 def kmeans_range(t):
-    frame, used = feat.feature_frame(customer_features(t), rule_labels(t), "id", WANTED, "continuous", BINARY, drop_noise=False)
-    scores, _ = lay.principal_components(cut(frame).select("id", F.array(*used).alias("vec")), 3)
-    return phenotypes.kmeans_range(scores, [2, 3, 4], starts=2)[0]
+    """Per number of clusters: rows, labels in use, and whether the cost is below that of the next smaller number."""
+    scores, _ = lay.principal_components(_scaled(t), 3)
+    labels, costs = phenotypes.kmeans_range(scores, KS)
+    long = labels.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"kmeans_k{k}_label").cast("long").alias("label")) for k in KS])).alias("l"))
+    found = long.select("l.*").groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("label").alias("n_labels"), F.min("label").alias("lowest"), F.max("label").alias("highest"))
+    falls = [(k, i == 0 or c < costs[i - 1][1]) for i, (k, c) in enumerate(costs)]
+    return found.join(t.spark.createDataFrame(falls, "k int, better_than_fewer boolean"), "k")
 
 
 @query("structured_comparator")
 def structured_comparator(t):
-    found = phenotypes.compare(customer_features(t), rule_labels(t), "id", WANTED, BINARY, ks=[2, 3], selected_k=5, starts=2, epochs=10)
+    found = phenotypes.compare(customer_features(t), rule_labels(t), "id", WANTED, BINARY, starts=3, epochs=EPOCHS)
     return rounded(found["concordance"], "ari", "nmi")
 
 

@@ -43,10 +43,11 @@ def null_if_nan(c: Column) -> Column:
 def double_text(c: Column) -> Column:
     """Shortest decimal text of a double: 5.0, 12345678.0, 0.0001, 1e-05, 1e+16."""
     raw = c.cast("string")
-    mantissa = F.regexp_extract(raw, r"^-?(\d+)\.(\d+)E", 1)
-    fraction = F.regexp_extract(raw, r"^-?(\d+)\.(\d+)E", 2)
+    # parts of d.dddE-dd, looked at only where there is an exponent
+    number = F.translate(F.substring_index(raw, "E", 1), "-", "")
+    mantissa, fraction = F.substring_index(number, ".", 1), F.substring_index(number, ".", -1)
     fraction = F.when(fraction == "0", "").otherwise(fraction)
-    exponent = F.regexp_extract(raw, r"E(-?\d+)$", 1).cast("int")
+    exponent = F.substring_index(raw, "E", -1).try_cast("int")
     sign = F.when(raw.startswith("-"), "-").otherwise("")
     digits = F.concat(mantissa, fraction)
     wide = F.rpad(digits, F.greatest(exponent + 2, F.length(digits)), "0")

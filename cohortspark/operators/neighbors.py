@@ -21,7 +21,7 @@ from cohortspark.functions.vectors import l2_normalize
 from cohortspark.operators.ordered import global_row_number
 from cohortspark.runtime import cut
 
-BLOCK_ROWS = 32_768
+BLOCK_ROWS, BLOCK_BYTES = 32_768, 1 << 26
 MAX_PIVOTS = 1_024
 ROWS_PER_PIVOT = 1_000
 SCORE_ROWS = 256
@@ -71,17 +71,27 @@ def prepare(df: DataFrame, id_col: str, vec_col: str, metric: str, corpus: bool)
 
 
 def _distinct_vectors(df: DataFrame, keep: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """(rep, vec) with one row per distinct vector, and the ``keep`` smallest ids behind each rep."""
-    reps = df.groupBy("vec").agg(F.min("id").alias("rep"))
+    """(h1, h2, rep, vec) with one row per distinct vector, and the ``keep`` smallest ids behind each rep.
+
+    Vectors meet by 128 bits of hash, so that only these travel where ids are all that is wanted; vectors that are not
+    equal behind equal bits are an error.
+    """
+    alike = F.when(F.col("vec") == F.col("last"), F.col("vec")).otherwise(F.raise_error(F.lit("unlike vectors share 128 hash bits")))
+    reps = (hashed(df).groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("vec").alias("vec"), F.max("vec").alias("last"))
+            .select("h1", "h2", "rep", alike.alias("vec")))
     if keep is None:
         return reps, None
     # rank limit runs before the shuffle too, so a vector with very many copies stays cheap
-    w = Window.partitionBy("vec").orderBy("id")
-    few = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep)
-    behind = few.groupBy("vec").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))
+    w = Window.partitionBy("h1", "h2").orderBy("id")
+    few = hashed(df).select("id", "h1", "h2").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep)
+    behind = few.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))
     return reps, behind.select("rep", "ids")
 
 
+def hashed(df: DataFrame) -> DataFrame:
+    return df.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
+
+
 def _with(df: DataFrame, **added: T.DataType) -> T.StructType:
     return T.StructType(df.schema.fields + [T.StructField(k, v) for k, v in added.items()])
 
@@ -239,14 +249,16 @@ def _nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str, query_i
     c_raw = prepare(corpus, corpus_id, corpus_vec, metric, corpus=True)
     q_raw = prepare(queries, query_id, query_vec, metric, corpus=False)
     reps, behind = _distinct_vectors(c_raw, depth)
-    reps = cut(reps)
+    reps = cut(reps.select("rep", "vec"))
     n = reps.count()
     out_name = "similarity" if cosine else "distance"
     if n == 0:
         return q_raw.limit(0).select(F.col("id").alias("query_id"), F.col("id").alias("neighbor_id"),
                                      F.lit(1).alias("rank"), F.lit(0.0).alias(out_name))
     assigned, cells = build_cells(reps, n, n_pivots)
-    q_reps = cut(_distinct_vectors(q_raw, None)[0].select(F.col("rep").alias("qrep"), "vec"))
+    block_rows = min(block_rows, max(SCORE_ROWS, BLOCK_BYTES // (8 * cells.pivots.shape[1])))
+    q_named = cut(_distinct_vectors(q_raw, None)[0].withColumnRenamed("rep", "qrep"))
+    q_reps = q_named.select("qrep", "vec")
 
     schema = "qrep long, crep long, score double"
     home = route(q_reps, cells, lambda pdf, d: _home_mask(d, cells, depth))
@@ -275,7 +287,7 @@ def _nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str, query_i
     members = pairs.select("qrep", "score", F.explode("ids").alias("crep"))
     lists = (_best(members, depth).groupBy("qrep")
              .agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("crep").alias("id")))).alias("found")))
-    q_of = q_raw.join(q_reps, "vec").select(F.col("id").alias("query_id"), "qrep")
+    q_of = hashed(q_raw).select("id", "h1", "h2").join(q_named.select("h1", "h2", "qrep"), ["h1", "h2"]).select(F.col("id").alias("query_id"), "qrep")
     joined = q_of.join(lists, "qrep")
     found = F.col("found")
     if exclude_same_id:

@@ -50,3 +50,10 @@ def test_no_pair_join_in_neighbour_search(spark, folder):
     df = t.embeddings.selectExpr("vec_id AS id", "embedding AS vec")
     p = plan(neighbors.nearest(df, df, 3))
     assert "Cartesian" not in p and "NestedLoop" not in p
+
+
+def test_neighbour_search_moves_no_vectors_as_keys(spark, folder):
+    t = Tables(spark, folder)
+    df = t.embeddings.selectExpr("vec_id AS id", "embedding AS vec")
+    p = plan(neighbors.nearest(df, df, 3))
+    assert not any("hashpartitioning(vec" in line for line in p.splitlines())
