@@ -27,9 +27,7 @@ def add_columns(df: DataFrame, fn: Callable[..., dict[str, pa.Array]], inputs: l
     names = [c.split(":")[0].split(" ")[0] for c in added.split(", ")]
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
     source = df.select(*kept, *[F.col(c).alias(f"_in{i}") for i, c in enumerate(inputs)])
-    schema = source.select(*kept).schema
-    for field in StructType.fromDDL(added).fields:
-        schema = schema.add(field)
+    schema = StructType(source.schema.fields[:len(kept)] + StructType.fromDDL(added).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -111,5 +111,9 @@ def languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 def decided(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.0) -> DataFrame:
     """The rows of ``df`` with a language: not ``und``, and a score of at least ``least``."""
     profiles = fit(df.filter(~held_out(F.col(key))), text, lang)
-    out = predict(df.withColumn("_text", F.col(text)), profiles, "_text", keep=df.columns)
-    return out.filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least)).select(*df.columns)
+    # numbered names: a column of the table may be called like one of the prediction
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rows = df.select(*[F.col(c).alias(name) for c, name in zip(df.columns, names)])
+    out = predict(rows, profiles, names[df.columns.index(text)], keep=names)
+    kept = out.filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least))
+    return kept.select(*[F.col(name).alias(c) for c, name in zip(df.columns, names)])

@@ -248,12 +248,12 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """The rows of ``df`` without near copies: of each class the row with the smallest key stays, of rows equal in key
     one. Rows with a null key are not compared and stay."""
     found = cut(near_copies(df.filter(F.col(key).isNotNull()), key, text))
-    firsts = found.filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("_copies"))
+    firsts = found.filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("_copies_of_key"))
     firsts = cut(firsts)
     # the list of keys grows with the table, so the plan is that of a large table at every size
-    listed = firsts.select(F.col(key).alias("_first"), "_copies").hint("merge")
-    kept = df.join(listed, F.col(key) == F.col("_first")).drop("_first")
-    if not firsts.filter("_copies > 1").isEmpty():  # only rows that share a key are brought together
-        several = kept.filter("_copies > 1").dropDuplicates([key])
-        kept = kept.filter("_copies = 1").unionByName(several)
-    return kept.drop("_copies").unionByName(df.filter(F.col(key).isNull()))
+    listed = firsts.select(F.col(key).alias("_first_of_class"), "_copies_of_key").hint("merge")
+    kept = df.join(listed, F.col(key) == F.col("_first_of_class")).drop("_first_of_class")
+    if not firsts.filter("_copies_of_key > 1").isEmpty():  # only rows that share a key are brought together
+        several = kept.filter("_copies_of_key > 1").dropDuplicates([key])
+        kept = kept.filter("_copies_of_key = 1").unionByName(several)
+    return kept.drop("_copies_of_key").unionByName(df.filter(F.col(key).isNull()))

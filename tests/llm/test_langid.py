@@ -86,4 +86,4 @@ def test_held_out_accuracy(spark, folder):
 def test_rows_without_a_language_go(spark):
     df = documents(spark, [(1, "the cat", "en"), (2, "123 ...", "en"), (3, None, "en"), (4, "the dog", "en"), (5, "the cat", "en")], extra=["score"])
     kept = langid.decided(df)
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {1, 4, 5}
+    assert kept.columns == df.columns and {(r["doc_id"], r["score"]) for r in kept.collect()} == {(1, "x"), (4, "x"), (5, "x")}
