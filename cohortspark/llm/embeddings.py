@@ -27,9 +27,11 @@ GRID = 3
 #: Components read in one step.
 STEP = 16
 #: A block of a cell holds so many bytes of vectors and so many rows at most.
-BLOCK_BYTES, BLOCK_ROWS = 1 << 24, 2048
-#: Rows of a tile multiplied at one time.
-ROWS = 512
+BLOCK_BYTES, BLOCK_ROWS = 1 << 24, 8192
+#: Rows of a tile multiplied at one time, pairs looked at closer at one time.
+ROWS, PAIRS = 512, 1 << 17
+#: Cells whose sizes are broadcast; more are joined.
+MOST_CELLS = 100_000
 #: Room for rounding in bounds; cosines themselves are compared exactly.
 SLACK = 1e-6
 #: Different vector lengths a table may have.
@@ -96,6 +98,9 @@ def _tiles(placed: DataFrame, block_rows: int) -> DataFrame:
     counts = placed.groupBy("cell").agg(F.count(F.when(F.col("home"), 1)).alias("n"), F.count(F.when(~F.col("home"), 1)).alias("m"))
     blocks = counts.filter("n > 0").select(F.col("cell").alias("_c"), F.ceil(F.col("n") / block_rows).cast("int").alias("homes"),
                                            F.ceil(F.col("m") / block_rows).cast("int").alias("guests"))
+    blocks = cut(blocks)
+    if blocks.count() <= MOST_CELLS:
+        blocks = F.broadcast(blocks)
     rows = placed.join(blocks, F.col("cell") == F.col("_c")).drop("_c")
     mine = F.pmod(F.xxhash64("rid"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))).cast("int")
     rows = rows.withColumn("b", mine)
@@ -115,49 +120,51 @@ def _tiles(placed: DataFrame, block_rows: int) -> DataFrame:
         "cell", "t.kind", "t.i", "t.j", "t.right", "rid", "copies", "unit")
 
 
-def _bounded(x: np.ndarray, y: np.ndarray, steps: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose bound stays at the threshold through all steps. ``x`` and ``y`` hold the components in order; beside
-    each step's components stands the norm of those behind it, so one product gives the bound."""
-    rest_x = np.sqrt(np.maximum(0, 1 - np.cumsum(x * x, 1)))
-    rest_y = np.sqrt(np.maximum(0, 1 - np.cumsum(y * y, 1)))
-    first = steps[0]
-    a = np.column_stack([x[:, :first], rest_x[:, first - 1]]).astype(np.float32)
-    b = np.column_stack([y[:, :first], rest_y[:, first - 1]]).astype(np.float32)
-    left, right = [], []
-    for at in range(0, len(a), ROWS):
-        i, j = np.nonzero(a[at:at + ROWS] @ b.T >= threshold - 1e-4)
-        left.append(i + at)
-        right.append(j)
-    i, j = np.concatenate(left), np.concatenate(right)
-    if not len(i):
-        return i, j
-    kept_i, kept_j = [], []
-    for at in range(0, len(i), 1 << 17):
-        p, q = i[at:at + (1 << 17)], j[at:at + (1 << 17)]
-        sofar, begin = np.zeros(len(p)), 0
-        for end in steps:
-            sofar = sofar + np.einsum("ij,ij->i", x[p, begin:end], y[q, begin:end])
-            stay = sofar + rest_x[p, end - 1] * rest_y[q, end - 1] >= threshold - SLACK
-            p, q, sofar, begin = p[stay], q[stay], sofar[stay], end
-        kept_i.append(p)
-        kept_j.append(q)
-    return np.concatenate(kept_i), np.concatenate(kept_j)
-
-
-def _linked(x: np.ndarray, y: np.ndarray, basis: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of unit vectors with cosine at the threshold or above."""
+def _linked(x: np.ndarray, y: np.ndarray, basis: np.ndarray, threshold: float):
+    """Places of the pairs of unit vectors with cosine at the threshold or above, for some rows of ``x`` at a time.
+
+    ``lead`` holds the components in order; beside those of a step stands the norm of the ones behind, so one product
+    gives the bound. A pair whose bound falls below the threshold is dropped; the others get their cosine.
+    """
     d = x.shape[1]
     steps = [*range(min(STEP, d), d, STEP), d]
-    i, j = _bounded(x @ basis, y @ basis, steps, threshold)
-    near = np.empty(len(i), bool)
-    for at in range(0, len(i), 1 << 17):
-        part = slice(at, at + (1 << 17))
-        near[part] = np.einsum("ij,ij->i", x[i[part]], y[j[part]]) >= threshold
-    return i[near], j[near]
+    lead_x, lead_y = x @ basis, y @ basis
+    rest_x = np.sqrt(np.maximum(0, 1 - np.cumsum(lead_x * lead_x, 1)))
+    rest_y = np.sqrt(np.maximum(0, 1 - np.cumsum(lead_y * lead_y, 1)))
+    first = steps[0]
+    a = np.column_stack([lead_x[:, :first], rest_x[:, first - 1]]).astype(np.float32)
+    b = np.column_stack([lead_y[:, :first], rest_y[:, first - 1]]).astype(np.float32).T
+    for at in range(0, len(x), ROWS):
+        i, j = np.nonzero(a[at:at + ROWS] @ b >= threshold - 1e-4)
+        i += at
+        for part in range(0, len(i), PAIRS):
+            p, q = i[part:part + PAIRS], j[part:part + PAIRS]
+            sofar, begin = np.zeros(len(p)), 0
+            for end in steps:
+                sofar = sofar + np.einsum("ij,ij->i", lead_x[p, begin:end], lead_y[q, begin:end])
+                stay = sofar + rest_x[p, end - 1] * rest_y[q, end - 1] >= threshold - SLACK
+                p, q, sofar, begin = p[stay], q[stay], sofar[stay], end
+                if not len(p):
+                    break
+            near = np.einsum("ij,ij->i", x[p], y[q]) >= threshold
+            if near.any():
+                yield p[near], q[near]
+
+
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots (the least place of a part) after the parts of ``a`` and ``b`` have been joined pair by pair."""
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            return root
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def _compare(basis, threshold: float):
-    """Rows of one tile to (a, b, n): n linked vectors of a (b null), or an edge a - b that ties a to its linked part."""
+    """Rows of one tile to (a, b, n): n linked vectors of a (b null), or an edge a - b that ties a to its linked part.
+    Pairs are held for a few rows at a time, so a tile in which all are linked takes no more memory than another."""
     def run(table: pa.Table) -> pa.Table:
         right = table.column("right").to_numpy(zero_copy_only=False)
         kind, i, j = (table.column(c)[0].as_py() for c in ("kind", "i", "j"))
@@ -166,26 +173,16 @@ def _compare(basis, threshold: float):
         same = kind == 0 and i == j
         p = np.arange(len(right)) if same else np.flatnonzero(~right)
         q = p if same else np.flatnonzero(right)
-        a, b = (np.empty(0, int),) * 2
+        n, root = np.zeros(len(rid), np.int64), np.arange(len(rid))
         if len(p) and len(q):
-            a, b = _linked(vec[p], vec[q], basis.value, threshold)
-            a, b = p[a], q[b]
-            if same:
-                once = a < b
-                a, b = a[once], b[once]
-        n = np.zeros(len(rid), np.int64)
-        np.add.at(n, a, copies[b])
-        np.add.at(n, b, copies[a])
-        root = np.arange(len(rid))
-        while True:
-            low = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, b, low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
+            for a, b in _linked(vec[p], vec[q], basis.value, threshold):
+                a, b = p[a], q[b]
+                if same:
+                    once = a < b
+                    a, b = a[once], b[once]
+                np.add.at(n, a, copies[b])
+                np.add.at(n, b, copies[a])
+                root = _join(root, a, b)
         tied, counted = np.flatnonzero(root != np.arange(len(rid))), np.flatnonzero(n)
         none = pa.nulls(len(counted), pa.int64())
         return pa.table({"a": pa.concat_arrays([pa.array(rid[tied]), pa.array(rid[counted])]),
