@@ -12,6 +12,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
@@ -45,17 +46,32 @@ def usable(vec: str) -> Column:
         F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def unit(vec: str) -> Column:
-    """The vector at length 1; scaled by its largest component first, so that squares neither vanish nor overflow."""
-    top = F.array_max(F.transform(vec, lambda x: F.abs(x)))
-    scaled = F.transform(vec, lambda x: x / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(scaled, lambda x: x / norm)
+def units(rows: DataFrame, vec: str = "vec") -> DataFrame:
+    """Usable vectors ``vec`` (array of double) at length 1, as ``unit`` in place of ``vec``; scaled by their largest component
+    first, so that squares neither vanish nor overflow."""
+    kept = [c for c in rows.columns if c != vec]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(len(kept))
+            flat, lengths = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
+            starts = np.cumsum(lengths) - lengths
+            flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), starts), lengths)
+            flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, starts)), lengths)
+            offsets = pa.array(np.append(starts, len(flat)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [pa.ListArray.from_arrays(offsets, pa.array(flat))],
+                                             names=[*kept, "unit"])
+
+    source = rows.select(*kept, vec)
+    schema = StructType(source.schema.fields[:-1] + StructType.fromDDL("unit array<double>").fields)
+    return source.mapInArrow(run, schema)
 
 
-def _basis(units: DataFrame, length: int) -> np.ndarray:
+def _basis(rows: DataFrame, length: int) -> np.ndarray:
     """Orthonormal principal directions, the widest first; any basis gives the same links."""
-    fitted = PCA(k=length, inputCol="v", outputCol="p").fit(units.select(array_to_vector("unit").alias("v")))
+    fitted = PCA(k=length, inputCol="v", outputCol="p").fit(rows.select(array_to_vector("unit").alias("v")))
     return fitted.pc.toArray()
 
 
@@ -202,9 +218,9 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         raise ValueError(f"more than {MOST_LENGTHS} vector lengths")
     out = None
     for length in sorted(lengths):
-        units = distinct.filter(F.size("unit") == length)
-        basis = spark.sparkContext.broadcast(_basis(units, length))  # length x length numbers
-        placed = _cells(units, basis, width or 1.0)
+        alike = distinct.filter(F.size("unit") == length)
+        basis = spark.sparkContext.broadcast(_basis(alike, length))  # length x length numbers
+        placed = _cells(alike, basis, width or 1.0)
         block_rows = max(64, min(BLOCK_ROWS, BLOCK_BYTES // (8 * length)))
         found = (_tiles(cut(placed), block_rows).groupBy("cell", "kind", "i", "j")
                  .applyInArrow(_compare(basis, threshold), "a long, b long, n long"))
@@ -227,8 +243,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vec: str = "embedding", thr
     groups = (rows.filter("ok").groupBy("h1", "h2")
               .agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.min("vec").alias("vec"), F.max("vec").alias("last")))
     alike = F.when(F.col("vec") == F.col("last"), F.col("vec")).otherwise(F.raise_error(F.lit("unlike vectors share 128 hash bits")))
-    distinct = cut(groups.select("h1", "h2", "least", "copies", alike.alias("vec")).withColumn("unit", unit("vec")).drop("vec")
-                   .withColumn("rid", F.monotonically_increasing_id()))
+    distinct = cut(units(groups.select("h1", "h2", "least", "copies", alike.alias("vec"))).withColumn("rid", F.monotonically_increasing_id()))
     found = cut(links(distinct.select("rid", "copies", "unit"), threshold))
     joined = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
     counted = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
