@@ -90,6 +90,12 @@ def unit_draw(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def shuffle_key(*parts: Column) -> Column:
+    """A whole number from 0 to 2^63 - 8 from the MD5 of the parts, joined by ``/``; null parts are the text ``null``."""
+    digest = F.md5(F.concat_ws("/", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") * 8
+
+
 def scalar(df: DataFrame, column: Column):
     """One aggregated value."""
     return df.agg(column).first()[0]

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohortspark.llm.common import shuffle_key
 from cohortspark.operators.ordered import global_row_number
 from cohortspark.runtime import cut
 
@@ -111,7 +112,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     """
     also = [] if carry is None else [F.col(carry).alias("carried")]
     docs = cut(df.select(*also, F.col(key).alias("key"), F.col(source).alias("source"), words(F.col(text)).alias("size"),
-                         F.xxhash64(F.col(key), F.lit("mix")).alias("_hash")))
+                         shuffle_key(F.col(key), F.lit("mix")).alias("_hash")))
     sizes = cut(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")))
     total = int(sizes.agg(F.sum("source_size")).first()[0] or 0)
     budget = int(total * budget_share)
@@ -138,3 +139,27 @@ def mixed(df: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     # the plan of a large table at every size: what is taken grows with the rows
     often = rows.join(taken.hint("merge"), "row").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return often.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
+
+
+def mix_sql(weights: tuple[float, ...] = WEIGHTS, passes: int = PASSES) -> str:
+    """:func:`mix` over the table ``documents``: targets by filling up the sources in the order of size / weight."""
+    cycle = ", ".join(f"{float(w)}::DOUBLE" for w in weights)
+    return f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '/mix'), 1, 15))::BIGINT * 8 AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank, {float(passes)} * source_size AS most FROM s),
+w AS (SELECT *, [{cycle}][rank % {len(weights)} + 1] AS weight, sum(source_size) OVER ()::BIGINT AS budget FROM r),
+f AS (SELECT *, row_number() OVER (ORDER BY most / weight, rank) AS k, most / weight AS ratio FROM w),
+c AS (SELECT *, coalesce(sum(most) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+    sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM f),
+l AS (SELECT (budget - used) / open AS share FROM c WHERE (budget - used) / open < ratio ORDER BY k LIMIT 1),
+t AS (SELECT source, rank, source_size, weight, budget, least(most, coalesce((SELECT share FROM l), 1e300) * weight) AS target FROM w),
+q AS (SELECT d.doc_id, d.size, t.*, sum(size) OVER (PARTITION BY t.rank ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT row_number() OVER () AS row, * FROM q),
+e AS (SELECT row, size, rank, budget, (source_size * p + upto) / weight AS finish FROM n, range({passes}) x(p) WHERE size > 0),
+o AS (SELECT *, sum(size) OVER (ORDER BY finish, rank ROWS UNBOUNDED PRECEDING) AS served FROM e),
+g AS (SELECT row, count(*) AS copies FROM o WHERE served <= budget GROUP BY row)
+SELECT doc_id, size, source_size, target::DOUBLE AS target, (size * coalesce(copies, 0))::BIGINT AS taken, coalesce(copies, 0)::INT AS copies
+FROM n LEFT JOIN g USING (row)"""

@@ -77,6 +77,8 @@ def op9_licenses(spark, folder):
 
 
 ORACLES["op9_licenses"] = licenses.summary_sql()
+ORACLES["op7_mixing"] = mixing.mix_sql()
+ORACLES["op5_sharding"] = sharding.assign_sql(sharding.even_tree(40))
 
 
 @_query

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortspark.llm.common import unit_draw
+from cohortspark.llm.common import shuffle_key, unit_draw
 from cohortspark.operators.ordered import hashed_row_number
 
 
@@ -90,5 +90,39 @@ def assign(df: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text", p
     placed = small.select("*", F.lit("key").alias("law"), shard_of(F.col(key), tree).alias("shard"),
                           shard_of(F.col(key), more).alias("grown_shard"))
     tie = F.struct(key, "size", "text_crc32")
-    numbered = hashed_row_number(placed, ["shard"], F.xxhash64(F.col(key), F.lit("slot")), tie, "_nth")
+    numbered = hashed_row_number(placed, ["shard"], shuffle_key(F.col(key), F.lit("slot")), tie, "_nth")
     return numbered.select(key, "size", "text_crc32", "law", "shard", (F.col("_nth") - 1).alias("slot"), "grown_shard")
+
+
+def assign_sql(tree: Tree) -> str:
+    """:func:`assign` over the table ``documents``; the CRC goes byte by byte through its table of 256 remainders."""
+    last = max(tree.leaves + tree.joined, key=lambda x: x.shard)
+    kids = [(parent or "top", path, weight) for parent, all_ in tree.children().items() for path, weight in all_]
+    kids += [("late", f"g{x.region}.r{x.rack}.s{x.shard}", x.weight) for x in (*tree.joined, Leaf(last.region, last.rack, last.shard + 1))]
+    rows = ", ".join(f"('{parent}', '{path}', {float(weight)}::DOUBLE)" for parent, path, weight in kids)
+    draw = "-ln((('0x' || substr(md5(key || '/' || path), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / weight"
+
+    def least(name, source, parent):
+        return (f"{name} AS (SELECT row, (min({{'draw': {draw}, 'path': path}})).path AS path, min({draw}) AS draw "
+                f"FROM {source} JOIN kid ON parent = {parent} GROUP BY row)")
+
+    def shard(path):
+        return f"split_part({path}, 's', -1)::INT"
+
+    return f"""
+WITH RECURSIVE kid(parent, path, weight) AS (VALUES {rows}),
+bits AS (SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS n FROM range(256) x(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, n + 1 FROM bits WHERE n < 8),
+crc AS (SELECT list(c ORDER BY i) AS remainder FROM bits WHERE n = 8),
+doc AS (SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, encode(coalesce(text, '')) AS raw FROM documents),
+sized AS (SELECT row, doc_id, key, octet_length(raw)::BIGINT + 16 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(regexp_extract_all(hex(raw), '..'), lambda b: ('0x' || b)::BIGINT)),
+    lambda a, b: xor(a >> 8, remainder[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM doc, crc),
+{least("region", "doc", "'top'")},
+{least("rack", "(SELECT row, key, region.path AS up FROM doc JOIN region USING (row))", "up")},
+{least("leaf", "(SELECT row, key, rack.path AS up FROM doc JOIN rack USING (row))", "up")},
+{least("late", "doc", "'late'")},
+placed AS (SELECT sized.*, {shard("leaf.path")} AS shard, CASE WHEN late.draw < region.draw THEN {shard("late.path")} ELSE {shard("leaf.path")} END AS grown_shard
+  FROM sized JOIN region USING (row) JOIN leaf USING (row) JOIN late USING (row))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard
+    ORDER BY ('0x' || substr(md5(key || '/slot'), 1, 15))::BIGINT, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM placed"""
