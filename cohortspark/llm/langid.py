@@ -117,3 +117,29 @@ def decided(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     out = predict(rows, profiles, names[df.columns.index(text)], keep=names)
     kept = out.filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least))
     return kept.select(*[F.col(name).alias(c) for c, name in zip(df.columns, names)])
+
+
+def languages_sql(top: int = TOP) -> str:
+    """:func:`languages` over the table ``documents`` for an engine with list functions."""
+    code = " + ".join(f"CASE WHEN len(g) >= {i + 1} THEN unicode(substr(g, len(g) - {i}, 1))::BIGINT * {1 << BITS * i} ELSE 0 END" for i in range(3))
+    return f"""
+WITH RECURSIVE bits AS (SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS n FROM range(256) x(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, n + 1 FROM bits WHERE n < 8),
+crc AS (SELECT list(c ORDER BY i) AS remainder FROM bits WHERE n = 8),
+doc AS (SELECT row_number() OVER () AS row, doc_id, lang, text, doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, ''))), '..'), lambda b: ('0x' || b)::BIGINT)),
+    lambda a, b: xor(a >> 8, remainder[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) % 4 = 2 AS held_out FROM documents, crc),
+word AS (SELECT row, w, count(*) AS n FROM (SELECT row, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM doc) GROUP BY row, w),
+cut AS (SELECT row, n, unnest(list_concat(
+    list_transform(range(1, len(w) + 1), lambda i: substr(w, i, 1)),
+    list_transform(range(1, len(w) + 2), lambda i: substr(chr(1) || w || chr(1), i, 2)),
+    list_transform(range(1, len(w) + 1), lambda i: substr(chr(1) || w || chr(1), i, 3)))) AS g FROM word),
+gram AS (SELECT row, g, sum(n) AS n, any_value({code}) AS code FROM cut GROUP BY row, g),
+own AS (SELECT row, g, row_number() OVER (PARTITION BY row ORDER BY n DESC, code) - 1 AS place FROM gram QUALIFY place < {top}),
+total AS (SELECT lang, g, sum(n) AS n, any_value(code) AS code FROM gram JOIN doc USING (row) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g),
+profile AS (SELECT lang AS known, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, code) - 1 AS rank FROM total QUALIFY rank < {top}),
+away AS (SELECT row, l.known, sum(coalesce(abs(rank - place), {top}))::BIGINT AS out, count(*) AS size
+  FROM own CROSS JOIN (SELECT DISTINCT known FROM profile) l LEFT JOIN profile p ON p.known = l.known AND p.g = own.g GROUP BY row, l.known),
+best AS (SELECT row, min({{'out': out, 'known': known}}) AS b, any_value(size) AS size FROM away GROUP BY row)
+SELECT doc_id, held_out, coalesce(b.known, '{UNDECIDED}') AS lang_pred,
+  CASE WHEN b IS NULL THEN 0.0 ELSE greatest(0.0, 1.0 - b.out::DOUBLE / ({top} * size)) END::DOUBLE AS score FROM doc LEFT JOIN best USING (row)"""

@@ -84,3 +84,4 @@ ORACLES["op5_sharding"] = sharding.assign_sql(sharding.even_tree(40))
 @_query
 def op10_toxicity(spark, folder):
     return toxicity.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+ORACLES["op3_language"] = langid.languages_sql()
