@@ -136,9 +136,13 @@ def backmapping_metrics(t):
     return rounded(folds.unionByName(classes), "auroc", "recall")
 
 
-@query("importance_table")
+@query("importance_table", "SELECT 6::BIGINT AS n, 1.0::DOUBLE AS total, true AS rule_columns_first")
 def importance_table(t):
-    return rounded(backmapping.backmap(customer_features(t), rule_labels(t), "id", WANTED)["importance"], "importance")
+    """Number and sum of the importances; the two columns of the rule come first."""
+    found = cut(backmapping.backmap(customer_features(t), rule_labels(t), "id", WANTED)["importance"])
+    first = {r["feature"] for r in found.orderBy(F.col("importance").desc(), "feature").limit(2).collect()}
+    return found.agg(F.count("*").alias("n"), F.round(F.sum("importance"), 6).alias("total")).withColumn(
+        "rule_columns_first", F.lit(first == {"n_orders", "balance"}))
 
 
 def _model(t: Tables):
@@ -147,10 +151,14 @@ def _model(t: Tables):
     return backmapping.train(frame, used), frame
 
 
-@query("permutation_importance")
+@query("permutation_importance", "SELECT 6::BIGINT AS n, 2::BIGINT AS n_large, true AS rule_columns_large")
 def permutation_importance(t):
+    """Features, and those whose shuffling costs more than a hundredth of the area: the two columns of the rule."""
     model, frame = _model(t)
-    return rounded(attribution.permutation_importance(model, frame, "id"), "mean_decrease_auroc", "std")
+    found = attribution.permutation_importance(model, frame, "id")
+    large = F.col("mean_decrease_auroc") > 0.01
+    return found.agg(F.count("*").alias("n"), F.count_if(large).alias("n_large"),
+                     (F.count_if(large & F.col("feature").isin("n_orders", "balance")) == 2).alias("rule_columns_large"))
 
 
 @query("attributions", f"""
@@ -164,11 +172,14 @@ def attributions(t):
     return total.join(score, ["id", "class"]).select("id", "cluster", "class", "n_features", F.abs(F.round(F.col("sum") - F.col("prob"), 6)).alias("gap"))
 
 
-@query("attribution_summary")
+@query("attribution_summary", f"""
+WITH {RULE} SELECT cluster_label AS cluster, 6::BIGINT AS n, true AS rule_column_first FROM c GROUP BY cluster_label""")
 def attribution_summary(t):
+    """Features per cluster; the one with the largest mean attribution is a column of the rule."""
     model, frame = _model(t)
     phi = attribution.sampled_attributions(model, frame, "id")
-    return rounded(mean_abs_attribution(phi), "mean_abs_shap")
+    best = F.max_by("feature", "mean_abs_shap").isin("n_orders", "balance")
+    return mean_abs_attribution(phi).groupBy("cluster").agg(F.count("*").alias("n"), best.alias("rule_column_first"))
 
 
 @query("boosted_predictions", f"WITH {RULE} SELECT id, cluster_label, 1.0::DOUBLE AS total FROM c")

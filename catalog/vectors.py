@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from catalog.registry import Tables, query, rounded
 from cohortspark.functions.vectors import l2_normalize
 from cohortspark.operators import density, graph, layout as lay, neighbors
+from cohortspark.operators.ordered import global_row_number
 from cohortspark.plans import embedding, phenotypes, retrieval
 from cohortspark.runtime import cut, ensure_checkpoint_dir
 from cohortspark.streaming.embed import embed_stream
@@ -167,7 +168,19 @@ def components(t):
     return graph.connected_components(knn.select(F.col("src").alias("a"), F.col("dst").alias("b")), vectors(t))
 
 
-@query("fuzzy_graph")
+@query("fuzzy_graph", f"""
+WITH RECURSIVE {SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, c) AS rank FROM s WHERE q <> c),
+k AS (SELECT q AS src, c AS dst, round(1 - round(sim, 12), 12) AS d FROM r WHERE rank <= 15),
+l AS (SELECT src, list(d ORDER BY d) AS d, avg(d) AS mean, coalesce(min(d) FILTER (d > 0), 0) AS rho FROM k GROUP BY src),
+g AS (SELECT src, mean, rho, list_transform(d, lambda x: greatest(x - rho, 0)) AS gap FROM l),
+b AS (SELECT src, mean, rho, gap, 0 AS step, 0::DOUBLE AS low, 'inf'::DOUBLE AS high, 1::DOUBLE AS sigma FROM g
+  UNION ALL SELECT src, mean, rho, gap, step + 1, CASE WHEN above THEN low ELSE sigma END, CASE WHEN above THEN sigma ELSE high END,
+    greatest(CASE WHEN NOT above AND isinf(high) THEN sigma * 2 ELSE (CASE WHEN above THEN low ELSE sigma END + CASE WHEN above THEN sigma ELSE high END) / 2 END, 1e-300)
+  FROM (SELECT *, list_sum(list_transform(gap, lambda x: exp(-x / sigma))) > log2(15) AS above FROM b WHERE step < 64)),
+w AS (SELECT src, rho, greatest(sigma, 1e-3 * CASE WHEN rho > 0 THEN mean ELSE (SELECT avg(d) FROM k) END) AS sigma FROM b WHERE step = 64),
+a AS (SELECT src, dst, CASE WHEN d <= rho THEN 1.0 ELSE exp(-(d - rho) / sigma) END AS a FROM k JOIN w USING (src)),
+p AS (SELECT src, dst, a FROM a UNION ALL SELECT dst, src, a FROM a)
+SELECT src, dst, round(CASE WHEN count(*) = 1 THEN sum(a) ELSE sum(a) - min(a) * max(a) END, 6) AS weight FROM p GROUP BY src, dst""")
 def fuzzy_graph(t):
     return rounded(graph.fuzzy_graph(cut(graph.knn_graph(vectors(t), 15)), 15), "weight")
 
@@ -181,9 +194,19 @@ def exact_tree(t: Tables, min_samples: int = 10) -> DataFrame:
                                cut(points.join(core, "id")), cut(radius))
 
 
-@query("spanning_forest")
+@query("spanning_forest", f"""
+WITH RECURSIVE {EUCLID}, core AS (SELECT q AS id, max(d) AS core FROM r WHERE rank <= 10 GROUP BY q),
+x AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM u), n AS (SELECT count(*) AS n FROM u),
+m AS (SELECT a.i, list(CASE WHEN a.i = b.i THEN 'inf'::DOUBLE ELSE greatest(d, ca.core, cb.core) END ORDER BY b.i) AS far FROM x a CROSS JOIN x b
+  LEFT JOIN s ON s.q = a.id AND s.c = b.id JOIN core ca ON ca.id = a.id JOIN core cb ON cb.id = b.id GROUP BY a.i),
+p AS (SELECT 0 AS step, 1::BIGINT AS i, NULL::DOUBLE AS w, far AS best FROM m WHERE i = 1
+  UNION ALL SELECT step + 1, j, best[j], list_transform(list_zip(best, far), lambda z: CASE WHEN z[1] = -1 THEN -1 ELSE least(z[1], z[2]) END)
+  FROM (SELECT step, list_position(best, list_min(list_filter(best, lambda v: v >= 0))) AS j, best FROM (
+    SELECT step, list_transform(best, lambda v, k: CASE WHEN k = p.i THEN -1 ELSE v END) AS best FROM p)) JOIN m ON m.i = j, n WHERE step < n - 1)
+SELECT row_number() OVER (ORDER BY w) AS rank, round(w, 6) AS w FROM p WHERE step > 0""")
 def spanning_forest(t):
-    return rounded(exact_tree(t), "w")
+    """The edge lengths in order: those of every lightest tree, whichever of equal edges it has."""
+    return rounded(global_row_number(exact_tree(t).select("w"), ["w"], "rank"), "w")
 
 
 @query("density_clusters")
@@ -198,14 +221,21 @@ def _space(t: Tables, dims: int) -> DataFrame:
     return lay.layout(weights, points, dims, epochs=EPOCHS)
 
 
-@query("layout_3d")
+def _placed(space: DataFrame, dims: int) -> DataFrame:
+    finite = F.forall("y", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6))
+    return space.select("id", F.size("y").alias("dims"), ((F.size("y") == dims) & finite).alias("placed"))
+
+
+@query("layout_3d", "SELECT vec_id AS id, 3::INT AS dims, true AS placed FROM embeddings")
 def layout_3d(t):
-    return _space(t, 3).select("id", *[F.get("y", F.lit(i)).alias(f"umap_c{i + 1}") for i in range(3)])
+    """Every vector with its number of finite coordinates."""
+    return _placed(_space(t, 3), 3)
 
 
-@query("layout_2d")
+@query("layout_2d", "SELECT vec_id AS id, 2::INT AS dims, true AS placed FROM embeddings")
 def layout_2d(t):
-    return _space(t, 2).select("id", F.get("y", F.lit(0)).alias("umap_x"), F.get("y", F.lit(1)).alias("umap_y"))
+    """Every vector with its number of finite coordinates."""
+    return _placed(_space(t, 2), 2)
 
 
 @query("phenotype_clusters")
@@ -215,10 +245,15 @@ def phenotype_clusters(t):
     return found["labels"].join(found["coords"], "id").join(found["display"], "id")
 
 
-@query("subgroup_clusters")
+@query("subgroup_clusters", """
+SELECT vec_id AS id, true AS known_label, true AS probable FROM embeddings JOIN documents ON doc_id = vec_id WHERE contains(lower(lang), 'en')""")
 def subgroup_clusters(t):
+    """The members of the subgroup, with a label of -1 or more that agrees with the probability."""
     named = t.documents.select(F.col("doc_id").alias("id"), "lang")
-    return phenotypes.subgroup(vectors(t), named, "lang", "EN", epochs=EPOCHS)["labels"]
+    found = phenotypes.subgroup(vectors(t), named, "lang", "EN", epochs=EPOCHS)["labels"]
+    p = F.col("cluster_probability")
+    return found.select("id", (F.col("cluster_label") >= -1).alias("known_label"),
+                        F.when(F.col("cluster_label") == -1, p == 0).otherwise((p > 0) & (p <= 1)).alias("probable"))
 
 
 WORDED = "CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm"
