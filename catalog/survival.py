@@ -114,23 +114,32 @@ def mortality_by_cluster(t):
                    "late_mortality_rate_beyond_30d", "median_time_days")
 
 
-@query("logrank_components", f"""
-WITH {QTY},
+COMPONENTS = f"""{QTY},
 gr AS (SELECT DISTINCT cluster FROM sur), ti AS (SELECT time, count(*) AS d FROM sur WHERE ev = 1 GROUP BY time),
 ng AS (SELECT ti.time, any_value(ti.d) AS d, gr.cluster, count(s.time) AS n, count(s.time) FILTER (s.ev = 1 AND s.time = ti.time) AS dg
        FROM ti CROSS JOIN gr LEFT JOIN (SELECT cluster, time, ev FROM sur) s ON s.cluster = gr.cluster AND s.time >= ti.time
        GROUP BY ti.time, gr.cluster),
-tot AS (SELECT time, sum(n) AS nn FROM ng GROUP BY time)
-SELECT a.cluster, b.cluster AS other_cluster, sum(a.dg)::BIGINT AS observed, round(sum(a.d * a.n / nn::DOUBLE), 6) AS expected,
-       round(sum(CASE WHEN nn > 1 THEN a.d * (nn - a.d) / (nn::DOUBLE * nn * (nn - 1)) * a.n * ((a.cluster = b.cluster)::INT * nn - b.n) ELSE 0 END), 6) AS variance
-FROM ng a JOIN ng b USING (time) JOIN tot USING (time) GROUP BY a.cluster, b.cluster""")
+tot AS (SELECT time, sum(n) AS nn FROM ng GROUP BY time),
+cov AS (SELECT a.cluster, b.cluster AS other_cluster, sum(a.dg)::BIGINT AS observed, sum(a.d * a.n / nn::DOUBLE) AS expected,
+       sum(CASE WHEN nn > 1 THEN a.d * (nn - a.d) / (nn::DOUBLE * nn * (nn - 1)) * a.n * ((a.cluster = b.cluster)::INT * nn - b.n) ELSE 0 END) AS variance
+FROM ng a JOIN ng b USING (time) JOIN tot USING (time) GROUP BY a.cluster, b.cluster)"""
+
+
+@query("logrank_components", f"WITH {COMPONENTS} SELECT cluster, other_cluster, observed, round(expected, 6) AS expected, round(variance, 6) AS variance FROM cov")
 def logrank_components(t):
     return rounded(sv.logrank_components(frame(t)), "expected", "variance")
 
 
-@query("logrank_ksample")
+@query("logrank_ksample", f"""
+WITH RECURSIVE {COMPONENTS}, line AS (SELECT cluster, list_append(list(variance ORDER BY other_cluster), any_value(observed - expected)) AS v
+  FROM cov WHERE cluster > 0 AND other_cluster > 0 GROUP BY cluster),
+e AS (SELECT 1 AS k, list(v ORDER BY cluster) AS m, 0::DOUBLE AS stat FROM line
+  UNION ALL SELECT k + 1, list_transform(m, lambda line: list_transform(line, lambda x, j: x - line[k] * m[k][j] / m[k][k])), stat + m[k][5] * m[k][5] / m[k][k]
+  FROM e WHERE k <= 4)
+SELECT round(stat, 6) AS test_statistic, round(exp(-stat / 2) * (1 + stat / 2), 6) AS p_value, 5::INT AS n_groups FROM e WHERE k = 5""")
 def logrank_ksample(t):
-    return sv.logrank_k_sample(frame(t))
+    """Five groups: the SQL eliminates the four unknowns, and the tail of four degrees of freedom is a finite sum."""
+    return rounded(sv.logrank_k_sample(frame(t)).select("test_statistic", "p_value", "n_groups"), "test_statistic", "p_value")
 
 
 @query("logrank_two_groups", """

@@ -209,10 +209,21 @@ def spanning_forest(t):
     return rounded(global_row_number(exact_tree(t).select("w"), ["w"], "rank"), "w")
 
 
-@query("density_clusters")
+def _sound(labels: DataFrame, least: int) -> DataFrame:
+    """(id, known_label, probable, large_enough) of (id, cluster_label, cluster_probability)."""
+    p, label = F.col("cluster_probability"), F.col("cluster_label")
+    sizes = labels.groupBy("cluster_label").agg(F.count("*").alias("_n"))
+    return labels.join(sizes, "cluster_label").select(
+        "id", (label >= -1).alias("known_label"), F.when(label == -1, p == 0).otherwise((p > 0) & (p <= 1)).alias("probable"),
+        ((label == -1) | (F.col("_n") >= least)).alias("large_enough"))
+
+
+@query("density_clusters", "SELECT vec_id AS id, true AS known_label, true AS probable, true AS large_enough, true AS found_some FROM embeddings")
 def density_clusters(t):
-    """Groups of near copies among the vectors."""
-    return density.density_clusters(exact_tree(t, 2), vectors(t), min_cluster_size=3)
+    """Groups of near copies among the vectors: each id with what has to hold of its label; labels other than noise are there."""
+    labels = density.density_clusters(exact_tree(t, 2), vectors(t), min_cluster_size=3)
+    some = labels.filter("cluster_label >= 0").limit(1).count() == 1
+    return _sound(labels, 3).withColumn("found_some", F.lit(some))
 
 
 def _space(t: Tables, dims: int) -> DataFrame:
@@ -238,11 +249,16 @@ def layout_2d(t):
     return _placed(_space(t, 2), 2)
 
 
-@query("phenotype_clusters")
+@query("phenotype_clusters", """
+SELECT vec_id AS id, true AS known_label, true AS probable, true AS large_enough, quality, toxic, true AS placed
+FROM embeddings LEFT JOIN labels ON doc_id = vec_id""")
 def phenotype_clusters(t):
     outcomes = t.labels.select(F.col("doc_id").alias("id"), "quality", "toxic")
     found = phenotypes.phenotype(vectors(t), min_cluster_size=10, min_samples=3, epochs=EPOCHS, outcomes=outcomes)
-    return found["labels"].join(found["coords"], "id").join(found["display"], "id")
+    placed = found["coords"].join(found["display"], "id").select("id", F.coalesce(
+        sum((F.abs(c) for c in ("umap_c1", "umap_c2", "umap_c3", "umap_x", "umap_y")), F.lit(0.0)) < 1e6, F.lit(False)).alias("placed"))
+    labels = found["labels"]
+    return _sound(labels, 10).join(labels.select("id", "quality", "toxic"), "id").join(placed, "id")
 
 
 @query("subgroup_clusters", """
