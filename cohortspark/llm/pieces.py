@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortspark.llm.common import add_columns
 
 #: Words whose ids a worker remembers, twice: those seen lately and those seen before.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Pairs of tokens whose compatibility a worker remembers.
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_PAIRS = 500_000
 #: Pieces a vocabulary may have to be broadcast.
 MOST_PIECES = 1_000_000
 SPACE = "▁"
