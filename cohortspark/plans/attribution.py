@@ -14,6 +14,10 @@ from cohortspark.plans.backmapping import FittedClassifier, train
 from cohortspark.runtime import cut
 
 
+#: Background rows that may be broadcast.
+MOST_BACKGROUND = 10_000
+
+
 def _rows_in_random_order(frame: DataFrame, used: list[str], key: str, label: str, seed: int) -> tuple[DataFrame, int]:
     """(key, truth, x, at): features as an array, positions 0..n-1 along a seeded hash of the key."""
     rows = frame.select(key, F.col(label).cast("long").alias("truth"), F.array(*[F.col(c) for c in used]).alias("x"))
@@ -70,6 +74,8 @@ def sampled_attributions(model: FittedClassifier, frame: DataFrame, key: str, la
     each change of the score goes to the switched column. They add up to the score minus the mean score of
     the drawn background rows (``base``).
     """
+    if n_background > MOST_BACKGROUND:
+        raise ValueError(f"a background of more than {MOST_BACKGROUND} rows is not broadcast")
     used = model.used
     m = len(used)
     rows, n = _rows_in_random_order(frame, used, key, label, seed)
