@@ -2,12 +2,15 @@
 
 The model counts n-grams of ``ORDER`` characters over all texts and is smoothed by modified Kneser-Ney: lower orders count
 the distinct longer n-grams they end, each order and language has its three discounts. Scoring looks n-grams up in
-sorted arrays of their 64-bit hashes. A text outside its language's band of perplexity is rejected.
+sorted arrays of their 64-bit hashes. The texts are dealt to two folds by their hash and each is scored by the model of the
+other fold, so neither a text nor its copies are known to the model that judges it. A text outside the band of perplexity of
+its language and length is rejected.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +25,13 @@ BITS = 12
 START = 0
 #: Model entries broadcast at one time (12 bytes each); a larger model is scored in as many passes as it has parts.
 PART_ENTRIES = 3_000_000
-#: Languages a model may have.
-MOST_LANGUAGES = 5000
-#: The band of log perplexity: quartiles and so many times their distance, wider for short texts by a share per root of length.
-FENCE, SHORT = 4.0, 8.0
+#: Languages a model may have; one of two folds has each twice.
+MOST_LANGUAGES = 10_000
+#: The band of log perplexity: so many times the median distance from the median, of texts of one language and length, and
+#: no less than a perplexity three times or a third of the usual one.
+FENCE, LEAST_REACH = 9.0, float(np.log(3))
+#: Lengths go by powers of two; neighbours are put together until so many texts share a band. A language of fewer has none.
+LEAST_TEXTS, LEAST_IN_ALL = 100, 20
 LEAST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -249,11 +255,24 @@ def _scores(part: Part, langs: list[str | None], texts: list[str | None]) -> lis
     return out.tolist()
 
 
-def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def fold(text: str) -> Column:
+    """0 or 1 by the hash of the text, so that copies are in one fold."""
+    return F.xxhash64(text).bitwiseAND(F.lit(1))
+
+
+def of_fold(number: Column, lang: str) -> Column:
+    """Name of the model of a fold and a language; rows without a language are one more."""
+    return F.concat(number.cast("string"), F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("")))
+
+
+def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", lang: str = "lang",
+          by: Column | None = None) -> DataFrame:
     """(key, lang, n_chars, base counts, log_prob) of every row. Each part of the model takes a pass over the texts; the
-    passes meet by key and text hash."""
+    passes meet by key and text hash. ``by`` names the model's language for a row, its own language if not given; it
+    may depend on the text and the language alone. A language the model does not know gives 0."""
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("_key"), F.col(lang).cast("string").alias("_lang"), F.xxhash64(text).alias("_hash"),
+                     (F.col(lang).cast("string") if by is None else by).alias("_by"),
                      F.coalesce(F.length(text), F.lit(0)).cast("long").alias("_n"), F.col(text).alias("_text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     total = None
@@ -269,9 +288,9 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
 
         if number == 0:
             added = ", ".join(["log_prob double", *[f"{name} long" for name in names]])
-            total = cut(add_columns(rows, run, ["_lang", "_text"], added, keep=["_key", "_lang", "_hash", "_n"]))
+            total = cut(add_columns(rows, run, ["_by", "_text"], added, keep=["_key", "_lang", "_hash", "_n"]))
         else:
-            more = (add_columns(rows, run, ["_lang", "_text"], "log_prob double", keep=["_key", "_hash", "_lang"])
+            more = (add_columns(rows, run, ["_by", "_text"], "log_prob double", keep=["_key", "_hash", "_lang"])
                     .dropDuplicates(["_key", "_hash", "_lang"])
                     .select(*[F.col(c).alias(f"{c}2") for c in ("_key", "_hash", "_lang")], F.col("log_prob").alias("_more")))
             same = F.lit(True)
@@ -286,29 +305,73 @@ def failed_base() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
+def _around(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with ``middle`` and ``reach``, from the ``usable`` ones of the same ``by``."""
+    def with_median(df, of, name):
+        found = df.filter("usable").groupBy(*by).agg(F.percentile_approx(of, 0.5, 10_000).alias(name))
+        found = cut(found.select(*[F.col(c).alias(f"_{c}") for c in by], name))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+        return df.join(F.broadcast(found), same, "left").drop(*[f"_{c}" for c in by])
+
+    both = with_median(with_median(rows, F.col("log_ppl"), "middle"), F.abs(F.col("log_ppl") - F.col("middle")), "away")
+    return both.withColumn("reach", F.greatest(FENCE * F.col("away"), F.lit(LEAST_REACH))).drop("away")
+
+
+def length_groups(rows: DataFrame) -> DataFrame:
+    """(_lang, _bin, least): the powers of two of the lengths, those with the same ``least`` sharing a band. From the short
+    ones on, neighbours are put together until LEAST_TEXTS of their texts are ``usable``."""
+    counts: dict[str | None, list[tuple[int, int]]] = {}
+    for r in rows.groupBy("lang", "bin").agg(F.count_if("usable").alias("n")).collect():  # some thirty lengths a language
+        counts.setdefault(r["lang"], []).append((r["bin"], r["n"]))
+    out = []
+    for lang, bins in counts.items():
+        if sum(n for _, n in bins) < LEAST_IN_ALL:
+            continue
+        groups: list[list] = []
+        for at, n in sorted(bins):
+            if groups and groups[-1][1] < LEAST_TEXTS:
+                groups[-1][0].append(at)
+                groups[-1][1] += n
+            else:
+                groups.append([[at], n])
+        if len(groups) > 1 and groups[-1][1] < LEAST_TEXTS:  # the few longest join those before
+            groups[-2][0].extend(groups.pop()[0])
+        out += [(lang, at, group[0]) for group, _ in groups for at in group]
+    return rows.sparkSession.createDataFrame(out, "_lang string, _bin int, least int")
+
+
 def bands(scored: DataFrame) -> DataFrame:
-    """(lang, low, high): fences of the log perplexity around the quartiles of the texts that pass the base rules."""
-    quartiles = F.percentile_approx("log_ppl", [0.25, 0.75], 10_000)
-    found = scored.filter(~F.col("base_failed")).groupBy("lang").agg(quartiles.alias("q"))
-    reach = FENCE * (F.col("q")[1] - F.col("q")[0])
-    return found.select("lang", (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"))
+    """``scored`` with ``low`` and ``high``, the fences of log perplexity; null in a language of too few texts.
+
+    The texts that pass the base rules count, less those beyond the reach of their whole language: junk that fills a
+    length does not set its band.
+    """
+    rough = _around(scored.withColumn("usable", ~F.col("base_failed") & F.col("log_ppl").isNotNull()), ["lang"])
+    near = F.abs(F.col("log_ppl") - F.col("middle")) <= F.col("reach")
+    rows = cut(rough.withColumn("usable", F.col("usable") & F.coalesce(near, F.lit(False))).drop("middle", "reach"))
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("bin") == F.col("_bin"))
+    grouped = rows.join(F.broadcast(length_groups(rows)), same, "left").drop("_lang", "_bin")
+    fences = _around(grouped.withColumn("usable", F.col("usable") & F.col("least").isNotNull()), ["lang", "least"])
+    return fences.withColumn("low", F.col("middle") - F.col("reach")).withColumn("high", F.col("middle") + F.col("reach"))
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, perplexity, low, high).
 
     One row per row of ``df``, repeated rows included. ``low`` and ``high`` are the band for the text's language and
-    length; a text without characters has no perplexity and fails the base rules. Without a model one is fitted to all
-    rows. Other columns are ignored, whatever their names.
+    length; a text without characters has no perplexity and fails the base rules. Without a model each half of the
+    texts is scored by a model of the other half. Where the other half has no text of the language there is no perplexity,
+    and in a language of fewer than LEAST_IN_ALL texts no band: the base rules alone decide. Other columns are ignored,
+    whatever their names.
     """
-    model = model or fit(df, text, lang)
-    scored = cut(score(df, model, key, text, lang).withColumn("base_failed", failed_base())
-                 .withColumn("log_ppl", F.when(F.col("n_chars") > 0, -F.col("log_prob") / F.col("n_chars"))))
-    of = bands(scored).withColumnRenamed("lang", "_of")
-    short = F.lit(SHORT) / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1)))
-    joined = (scored.join(of, F.col("lang").eqNullSafe(F.col("_of")), "left")
-              .withColumn("low", F.exp(F.col("low") - short)).withColumn("high", F.exp(F.col("high") + short))
-              .withColumn("perplexity", F.exp("log_ppl")))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return joined.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+    by = None
+    if model is None:
+        texts = df.select(F.col(text).alias("text"), of_fold(fold(text), lang).alias("lang"))
+        model, by = fit(texts), of_fold(1 - fold(text), lang)
+    scored = cut(score(df, model, key, text, lang, by).withColumn("base_failed", failed_base())
+                 .withColumn("log_ppl", F.when(F.col("log_prob") < 0, -F.col("log_prob") / F.col("n_chars")))
+                 .withColumn("bin", F.floor(F.log2(F.greatest(F.col("n_chars"), F.lit(1)))).cast("int")))
+    banded = bands(scored).withColumn("low", F.exp("low")).withColumn("high", F.exp("high")).withColumn("perplexity", F.exp("log_ppl"))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    return banded.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          kept.alias("kept"), "lang", "perplexity", "low", "high")

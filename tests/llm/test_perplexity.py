@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -131,3 +132,29 @@ def test_junk_is_rejected_and_prose_kept(spark, folder):
     assert not found[-2]["kept"] and not found[-2]["base_failed"]
     prose = [r for k, r in found.items() if k >= 0 and not r["base_failed"]]
     assert sum(r["kept"] for r in prose) >= 0.99 * len(prose)
+
+
+def letters(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(n))
+
+
+@pytest.mark.parametrize("long_junk, times", [(0, 1), (40, 1), (0, 4)])
+def test_letter_junk_alone_and_in_bulk(spark, folder, long_junk, times):
+    rng = random.Random(6)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    short = [(-1 - i, letters(rng, n), "en") for i, n in enumerate([10, 15, 20, 25, 30, 40, 50] * times)]
+    long_ = [(-1000 - i, letters(rng, 300), "en") for i in range(long_junk)]
+    copy = [(-2000 - i, short[3][1], "en") for i in range(5)]  # copies do not vouch for each other
+    found = perplexity.judge(docs.unionByName(spark.createDataFrame(short + long_ + copy, docs.schema))).collect()
+    junk = [r for r in found if r["doc_id"] < 0]
+    assert len(junk) == len(short) + long_junk + 5 and not any(r["base_failed"] for r in junk if r["doc_id"] > -2000)
+    assert [r["doc_id"] for r in junk if r["kept"]] == []
+    prose = [r for r in found if r["doc_id"] >= 0 and not r["base_failed"]]
+    assert sum(r["kept"] for r in prose) >= 0.99 * len(prose)
+
+
+def test_small_languages_go_by_the_base_rules(spark):
+    prose = "the quick brown fox jumps over the lazy dog and runs away"
+    found = perplexity.judge(documents(spark, [(1, prose, "xx"), (2, prose, None), (3, "", "xx"), (4, "a b", "yy")])).collect()
+    assert {r["doc_id"]: (r["kept"], r["perplexity"], r["high"]) for r in found} == {
+        1: (True, None, None), 2: (True, None, None), 3: (False, None, None), 4: (False, None, None)}
