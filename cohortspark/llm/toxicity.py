@@ -36,7 +36,7 @@ PATTERNS = {
     "masked": re.compile(r"\b[A-Za-z]+[*@#]{2,}[A-Za-z]*"),
 }
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled rows of which words are counted and on which the classifier is fitted, at most about this many.
+#: Labelled rows on which the classifier is fitted, at most about this many; words are counted in all of them.
 FIT_ROWS = 16_000
 #: Words the classifier may use.
 FEATURES = 1024
@@ -222,8 +222,8 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """(key, held_out, score, predicted, weak_label), one row per row of ``df``.
 
     ``labels`` (key, toxic 0 or 1): rows with other labels, null keys or held-out keys are not used; of a key with
-    several labels the greatest counts. Words are chosen and the classifier is fitted on about ``fit_rows`` labelled rows;
-    votes are counted over all texts. Null and empty texts have no words: their score is that of a text without any.
+    several labels the greatest counts. Words are chosen by all labelled rows and the classifier is fitted on about
+    ``fit_rows`` of them; votes are counted over all texts. Null and empty texts have no words: their score is that of a text without any.
     Without both labels in the sample the score is the label model's posterior. Other columns are ignored.
     """
     spark = df.sparkSession
@@ -231,8 +231,8 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                  .groupBy(F.col(key).alias("key")).agg(F.max(toxic).cast("int").alias("toxic")))
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     chosen = cut(sample(usable, "key", fit_rows))  # bounded by fit_rows, so that it can be broadcast
-    fit = cut(docs.join(F.broadcast(chosen), "key").dropDuplicates(["key"]).select("key", "toxic", "text"))
-    voters = make_voters(word_scores(fit))
+    # places are distinct, so that repeated rows of a key need not be dropped
+    voters = make_voters(word_scores(docs.join(usable, "key").select("toxic", "text")))
     shared = spark.sparkContext.broadcast(voters)
 
     def run(values):

@@ -91,3 +91,16 @@ def test_odd_tables(spark):
     unlabelled = toxicity.score(documents(spark, [(1, "you are an idiot and a moron, worthless scum"), (2, "a quiet day")]), lab.limit(0)).collect()
     scores = {r["doc_id"]: r["score"] for r in unlabelled}
     assert scores[1] > scores[2]
+
+
+def test_words_are_chosen_by_all_labelled_rows(spark, monkeypatch):
+    """A toxic word of some labelled rows votes, however few rows the classifier is fitted on."""
+    rows = [(i, f"w{i % 7} w{i % 11} " + (f"blorgh w{i % 5}" if i % 4 == 0 else f"w{i % 13}")) for i in range(400)]
+    rows += [(1000 + i, f"v{i} zorbex w{i % 3}") for i in range(12)]
+    labels = spark.createDataFrame([(k, int("blorgh" in t or "zorbex" in t)) for k, t in rows], "doc_id long, toxic int")
+    seen = []
+    make = toxicity.make_voters
+    monkeypatch.setattr(toxicity, "make_voters", lambda scores: seen.append(sorted(scores)) or make(scores))
+    for fit_rows in (20, 16_000):
+        toxicity.score(documents(spark, rows), labels, fit_rows=fit_rows)
+    assert seen[0] == seen[1] and ("zorbex", 1.0) in seen[0]
