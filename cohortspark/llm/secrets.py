@@ -2,7 +2,8 @@
 
 Kinds found by pattern alone: ``assign``, ``access``, ``hex``. A further kind, ``owned``, is judged by the corpus: long
 mixed tokens that look live and belong to few owners. The hash of every candidate value is counted over the distinct
-repositories and owners of the whole table; a value that many owners have is a copied example.
+repositories and owners of the whole table; a value that many owners have, or many repositories of an owner, is a copied
+example.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 #: A live-looking token has so many digits, both cases or many digits, and so many bits per character.
 TOKEN_DIGITS, TOKEN_BITS = 3, 3.2
-#: Values that more owners have are copied examples.
-FEW_OWNERS = 2
+#: Values that more owners have are copied examples, and so are those of more repositories an owner, on average.
+FEW_OWNERS, FEW_REPOSITORIES = 2, 20
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
 
@@ -83,12 +84,12 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id",
-          few_owners: int = FEW_OWNERS) -> DataFrame:
+          few_owners: int = FEW_OWNERS, few_repositories: int = FEW_REPOSITORIES) -> DataFrame:
     """(key, base, spans), one row per row of ``df``.
 
     ``spans`` is an array of (start, order, kind, end, owners, repositories, live): every base span, and the further
-    candidates that at most ``few_owners`` owners have. ``live`` tells values of few owners from widely copied ones. It
-    is empty where nothing is found. Repeated rows stay repeated. Texts are read once and not shuffled; only rows with a
+    candidates that are live. ``live`` tells values of at most ``few_owners`` owners and at most ``few_repositories``
+    repositories an owner from widely copied ones. It is empty where nothing is found. Repeated rows stay repeated. Texts are read once and not shuffled; only rows with a
     candidate are joined with the counts.
     """
     found = cut(scan(df.select(F.col(key).alias("_key"), F.col(owner).alias("_owner"), F.col(repo).alias("_repo"),
@@ -96,16 +97,17 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "
                 .withColumn("_row", F.monotonically_increasing_id()))
     base = F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
     return (found.select("_row", F.col("_key").alias(key), base.alias("base"))
-            .join(_judged(found, few_owners), "_row", "left").drop("_row"))
+            .join(_judged(found, few_owners, few_repositories), "_row", "left").drop("_row"))
 
 
-def _judged(found: DataFrame, few_owners: int) -> DataFrame:
+def _judged(found: DataFrame, few_owners: int, few_repositories: int) -> DataFrame:
     """(_row, spans) of the scanned rows (_row, _owner, _repo, base, candidates) that hold any span."""
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("s.kind")).cast("int")
     each = (found.select("_row", "_owner", "_repo", F.explode(F.concat("base", "candidates")).alias("s"))
             .select("_row", "_owner", "_repo", F.sha2("s.value", 256).alias("hash"), "s.kind", "s.start", "s.end",
                     order.alias("order")))
-    return (each.join(ownership(each), "hash").withColumn("live", F.col("owners") <= few_owners)
+    live = (F.col("owners") <= few_owners) & (F.col("repositories") <= few_repositories * F.col("owners"))
+    return (each.join(ownership(each), "hash").withColumn("live", live)
             .filter("live OR kind != 'owned'")
             .groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
                 "start", "order", "kind", "end", "owners", "repositories", "live"))).alias("spans")))
@@ -122,7 +124,7 @@ def _without(text: str, spans: list[dict], mark: str) -> str:
 
 
 def redact(df: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id", few_owners: int = FEW_OWNERS,
-           mark: str = "[SECRET]", length: str = "n_chars") -> DataFrame:
+           mark: str = "[SECRET]", length: str = "n_chars", few_repositories: int = FEW_REPOSITORIES) -> DataFrame:
     """``df`` with each run of overlapping live spans replaced by ``mark``, and ``length`` (if there) counted anew for the
     changed rows. Widely copied values stay. Only texts that hold a candidate are shuffled."""
     names = df.columns
@@ -131,7 +133,7 @@ def redact(df: DataFrame, text: str = "text", owner: str = "source", repo: str =
                      keep=[*[f"c{i}" for i in range(len(names))], "_owner", "_repo"])
                 .withColumn("_row", F.monotonically_increasing_id()))
     any_span = F.size("base") + F.size("candidates") > 0
-    judged = _judged(found.filter(any_span), few_owners).filter(F.exists("spans", lambda s: s["live"]))
+    judged = _judged(found.filter(any_span), few_owners, few_repositories).filter(F.exists("spans", lambda s: s["live"]))
     dirty = found.filter(any_span).drop("base", "candidates").join(judged, "_row", "left")
     inner = f"c{names.index(text)}"
 

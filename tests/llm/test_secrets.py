@@ -75,3 +75,15 @@ def test_redaction(spark):
     assert found[7] == ("é [SECRET], [SECRET]!", 21)
     assert found[8] == ("nothing", 7) and found[9] == (None, None) and found[None] == ("key [SECRET]", 12)
     assert secrets.redact(df.limit(0)).count() == 0
+
+
+def test_value_in_thousands_of_documents_of_one_source_is_copied(spark):
+    copied = "Aa1Bb2Cc3Dd4Ee5Ff6Gg7"
+    rows = [(i, f"see {copied} and password={HEX}", "en", "s0") for i in range(3000)]
+    rows += [(5000 + i, f"use {LIVE} now", "en", "s0") for i in range(20)] + [(6000, f"see {copied}", "en", "s1")]
+    df = documents(spark, rows)
+    found = {r["doc_id"]: (r["spans"], r["n_live"], r["n_copied"]) for r in secrets.digests(df).collect()}
+    assert all("owned" not in found[i][0] and found[i][1:] == (0, 2) for i in range(3000)) and found[6000] == ("", 0, 0)
+    assert all(found[5000 + i] == (f"owned:4:{4 + len(LIVE)}", 1, 0) for i in range(20))
+    text = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert text[0] == rows[0][1] and text[6000] == f"see {copied}" and text[5000] == "use [SECRET] now"
