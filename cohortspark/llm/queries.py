@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import embeddings, langid, licenses, mixing, perplexity, pieces, secrets, sharding, simhash, toxicity
+from cohortspark.llm import (embeddings, langid, licenses, mixing, perplexity, pieces, secrets, sharding, simhash, toxicity, warc,
+                             whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +86,16 @@ ORACLES["op5_sharding"] = sharding.assign_sql(sharding.even_tree(40))
 def op10_toxicity(spark, folder):
     return toxicity.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 ORACLES["op3_language"] = langid.languages_sql()
+
+
+@_query
+def op11_warc(spark, folder):
+    return warc.round_trip(_table(spark, folder, "pages"))
+
+
+ORACLES["op11_warc"] = warc.round_trip_sql()
+
+
+@_query
+def op13_whitening(spark, folder):
+    return whitening.whitened(_table(spark, folder, "embeddings"))
