@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import (embeddings, langid, licenses, mixing, perplexity, pieces, secrets, sharding, simhash, toxicity, warc,
+from cohortspark.llm import (embeddings, langid, lexical, licenses, mixing, perplexity, pieces, secrets, sharding, simhash, toxicity, warc,
                              whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,14 @@ def op11_warc(spark, folder):
 ORACLES["op11_warc"] = warc.round_trip_sql()
 
 
+@_query
+def op12_lexical(spark, folder):
+    return lexical.ranked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+ORACLES["op12_lexical"] = lexical.ranked_sql()
+
+
 @_query
 def op13_whitening(spark, folder):
     return whitening.whitened(_table(spark, folder, "embeddings"))
