@@ -45,6 +45,10 @@ DRAWN, DRAWN_WORDS = 4, 128
 LEAST_PLACES, MOSTLY = 4, 0.6
 ROUNDS = 60
 RIDGE = 1e-4
+#: Words that a task remembers the hashes of, and places it holds before it gives them out.
+REMEMBERED, HELD = 1 << 18, 1 << 20
+#: Labels that are sent to every task; more are joined, after a sieve of so many bits has let through few other texts.
+MOST_SENT, SIEVE_BITS = 1_000_000, 24
 PREDICTED = 0.7
 #: The classes before any text is seen, as so many imagined texts.
 PRIOR, HIT, FALSE_HIT, IMAGINED = 0.1, 0.5, 0.02, 20
@@ -60,10 +64,19 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
-def _places(text: str | None) -> list[tuple[str, int]]:
-    """Distinct (word, hash of the word before it)."""
-    words = WORD.findall(text.lower()) if text else []
-    return sorted({(w, xxhash.xxh64_intdigest(before) >> 1) for before, w in zip(["", *words], words)})
+class _Hashes:
+    """64-bit hashes of words; so many of the last words are remembered."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        for w in set(words) - known.keys():
+            known[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter((known[w] for w in words), np.uint64, len(words)).view(np.int64)
 
 
 @dataclass
@@ -105,26 +118,100 @@ def sample(labels: DataFrame, key: str, rows: int) -> DataFrame:
     return labels.filter(F.xxhash64(F.col(key), F.lit("fit")).bitwiseAND(F.lit(2**63 - 1)) < edge)
 
 
+def labelled_texts(docs: DataFrame, usable: DataFrame) -> DataFrame:
+    """(toxic, text) of (key, text) whose key is in ``usable`` (key, toxic). Texts of other keys are not shuffled.
+
+    Up to MOST_SENT labels go to every task. With more, one bit for the hash of each labelled key is set in a table of
+    fixed size, which goes there instead; what passes it is joined.
+    """
+    if usable.count() <= MOST_SENT:
+        return docs.join(F.broadcast(usable), "key").select("toxic", "text")
+
+    def place(key):
+        return F.shiftright(F.xxhash64(key), 64 - SIEVE_BITS).bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+
+    bit = F.expr("shiftleft(1L, CAST(_place & 63 AS INT))")
+    sieve = usable.select(place("key").alias("_place")).groupBy(F.shiftright("_place", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    passed = (docs.withColumn("_place", place("key")).withColumn("_at", F.shiftright("_place", 6))
+              .join(F.broadcast(sieve), F.col("_at") == F.col("_word")).filter(F.col("_bits").bitwiseAND(bit) != 0))
+    return passed.select("key", "text").join(usable, "key").select("toxic", "text")
+
+
+def _all_places(texts: DataFrame) -> DataFrame:
+    """(toxic, word, before) of (toxic, text): hashes of a word and of the word it follows, distinct within what a task holds."""
+    def run(batches):
+        hashes = _Hashes()
+        held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        sizes = {0: 0, 1: 0}
+
+        def reduced(toxic):
+            pairs = np.concatenate(held[toxic], axis=1)
+            mixed = pairs[0] * np.int64(-7046029254386353131) ^ pairs[1]
+            _, first = np.unique(mixed, return_index=True)
+            held[toxic], sizes[toxic] = [pairs[:, first]], len(first)
+
+        def given_out(toxic):
+            pairs = np.concatenate(held[toxic], axis=1)
+            held[toxic], sizes[toxic] = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(np.full(pairs.shape[1], toxic, np.int32)), pa.array(pairs[0]), pa.array(pairs[1])],
+                                              names=["toxic", "word", "before"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):  # one text at a time is held as a Python object
+                toxic, text = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                words = WORD.findall(text.lower()) if text else []
+                if not words:
+                    continue
+                word = hashes(words)
+                pairs = np.stack([word, np.append(0, word[:-1])])
+                held[toxic].append(pairs)
+                sizes[toxic] += len(words)
+                if sizes[toxic] > HELD:
+                    reduced(toxic)
+                    if sizes[toxic] > HELD // 2:
+                        yield given_out(toxic)
+        for toxic in (0, 1):
+            if sizes[toxic]:
+                reduced(toxic)
+                yield given_out(toxic)
+
+    return texts.mapInArrow(run, "toxic int, word long, before long")
+
+
+def _spelled(texts: DataFrame, chosen: dict[int, float]) -> dict[int, str]:
+    """Words of at most 2 * FEATURES hashes; a task gives out each once."""
+    def run(batches):
+        left, hashes = set(chosen), _Hashes()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                text = batch.column(0)[row].as_py()
+                words = list(set(WORD.findall(text.lower()))) if text and left else []
+                found = [(h, w) for h, w in zip(hashes(words).tolist(), words) if h in left]
+                if found:
+                    left -= {h for h, _ in found}
+                    yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([w for _, w in found])], names=["word", "spelled"])
+
+    rows = texts.select("text").mapInArrow(run, "word long, spelled string").groupBy("word").agg(F.min("spelled").alias("spelled"))
+    return {r["word"]: r["spelled"] for r in rows.collect()}
+
+
 def word_scores(texts: DataFrame) -> list[tuple[str, float]]:
     """(word, share) of the classifier's words, for (toxic, text): half of them the words of most places among those found
     mostly in toxic texts, half the words of most places in all. The share is that of toxic texts in a word's places.
 
     A word counts once for each word it follows, not for each text: copies of one text then count once, however many there
-    are.
+    are. Only 64-bit hashes are shuffled, repeats within a task left out; the words themselves are looked up at the end.
     """
-    def run(values):
-        found = [_places(v) for v in values]
-        return {"places": pa.array(found, pa.list_(pa.struct([("word", pa.string()), ("before", pa.int64())])))}
-
-    each = add_columns(texts, run, ["text"], "places array<struct<word:string,before:long>>", keep=["toxic"])
-    places = each.select("toxic", F.explode("places").alias("p")).groupBy("p.word", "p.before").agg(
+    places = _all_places(texts.select("toxic", "text")).groupBy("word", "before").agg(
         F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("a"), F.max(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("b"))
     counts = cut(places.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     share = F.col("a") / (F.col("a") + F.col("b"))
     toxic = counts.filter((F.col("a") >= LEAST_PLACES) & (share >= MOSTLY)).orderBy(F.col("a").desc(), "word").limit(FEATURES // 2)
     common = counts.orderBy((F.col("a") + F.col("b")).desc(), "word").limit(FEATURES // 2)
-    best = [(r["word"], r["share"]) for part in (toxic, common) for r in part.select("word", share.alias("share")).collect()]
-    return list(dict.fromkeys(best))
+    best = [[(r["word"], r["share"]) for r in part.select("word", share.alias("share")).collect()] for part in (toxic, common)]
+    chosen = dict(best[0] + best[1])
+    spelled = _spelled(texts, chosen)
+    return [(spelled[h], chosen[h]) for h in dict.fromkeys(h for part in best for h, _ in part)]
 
 
 def make_voters(scores: list[tuple[str, float]]) -> Voters:
@@ -232,7 +319,7 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     chosen = cut(sample(usable, "key", fit_rows))  # bounded by fit_rows, so that it can be broadcast
     # places are distinct, so that repeated rows of a key need not be dropped
-    voters = make_voters(word_scores(docs.join(usable, "key").select("toxic", "text")))
+    voters = make_voters(word_scores(labelled_texts(docs, usable)))
     shared = spark.sparkContext.broadcast(voters)
 
     def run(values):
