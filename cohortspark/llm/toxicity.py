@@ -45,8 +45,8 @@ DRAWN, DRAWN_WORDS = 4, 128
 LEAST_PLACES, MOSTLY = 4, 0.6
 ROUNDS = 60
 RIDGE = 1e-4
-#: Words that a task remembers the hashes of, and places it holds before it gives them out.
-REMEMBERED, HELD = 1 << 18, 1 << 20
+#: Places that a task holds before it gives them out, once without their repeats they are more than half as many.
+HELD = 1 << 20
 #: Labels that are sent to every task; more are joined, after a sieve of so many bits has let through few other texts.
 MOST_SENT, SIEVE_BITS = 1_000_000, 24
 PREDICTED = 0.7
@@ -64,21 +64,6 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
-class _Hashes:
-    """64-bit hashes of words; so many of the last words are remembered."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter((known[w] for w in words), np.uint64, len(words)).view(np.int64)
-
-
 @dataclass
 class Voters:
     """Names, word lists and the classifier's words."""
@@ -138,23 +123,29 @@ def labelled_texts(docs: DataFrame, usable: DataFrame) -> DataFrame:
 
 
 def _all_places(texts: DataFrame) -> DataFrame:
-    """(toxic, word, before) of (toxic, text): hashes of a word and of the word it follows, distinct within what a task holds."""
+    """(toxic, word, before) of (toxic, text): a word and the hash of the word it follows, distinct within what a task holds."""
     def run(batches):
-        hashes = _Hashes()
+        number: dict[str, int] = {"": 0}  # of the words held
         held: dict[int, list[np.ndarray]] = {0: [], 1: []}
         sizes = {0: 0, 1: 0}
 
         def reduced(toxic):
-            pairs = np.concatenate(held[toxic], axis=1)
-            mixed = pairs[0] * np.int64(-7046029254386353131) ^ pairs[1]
-            _, first = np.unique(mixed, return_index=True)
-            held[toxic], sizes[toxic] = [pairs[:, first]], len(first)
-
-        def given_out(toxic):
-            pairs = np.concatenate(held[toxic], axis=1)
-            held[toxic], sizes[toxic] = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(np.full(pairs.shape[1], toxic, np.int32)), pa.array(pairs[0]), pa.array(pairs[1])],
-                                              names=["toxic", "word", "before"])
+            held[toxic] = [np.unique(np.concatenate(held[toxic]))]
+            sizes[toxic] = len(held[toxic][0])
+
+        def given_out():
+            words = list(number)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
+            names = pa.array(words)
+            for toxic in (0, 1):
+                if sizes[toxic]:
+                    reduced(toxic)
+                    pairs = held[toxic][0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), toxic, np.int32)), names.take(pa.array(pairs >> 32)),
+                                                      pa.array(hashes[pairs & 0xFFFFFFFF])], names=["toxic", "word", "before"])
+                held[toxic], sizes[toxic] = [], 0
+            number.clear()
+            number[""] = 0
 
         for batch in batches:
             for row in range(batch.num_rows):  # one text at a time is held as a Python object
@@ -162,37 +153,18 @@ def _all_places(texts: DataFrame) -> DataFrame:
                 words = WORD.findall(text.lower()) if text else []
                 if not words:
                     continue
-                word = hashes(words)
-                pairs = np.stack([word, np.append(0, word[:-1])])
+                word = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+                pairs = word << 32
+                pairs[1:] |= word[:-1]
                 held[toxic].append(pairs)
                 sizes[toxic] += len(words)
                 if sizes[toxic] > HELD:
                     reduced(toxic)
                     if sizes[toxic] > HELD // 2:
-                        yield given_out(toxic)
-        for toxic in (0, 1):
-            if sizes[toxic]:
-                reduced(toxic)
-                yield given_out(toxic)
-
-    return texts.mapInArrow(run, "toxic int, word long, before long")
-
-
-def _spelled(texts: DataFrame, chosen: dict[int, float]) -> dict[int, str]:
-    """Words of at most 2 * FEATURES hashes; a task gives out each once."""
-    def run(batches):
-        left, hashes = set(chosen), _Hashes()
-        for batch in batches:
-            for row in range(batch.num_rows):
-                text = batch.column(0)[row].as_py()
-                words = list(set(WORD.findall(text.lower()))) if text and left else []
-                found = [(h, w) for h, w in zip(hashes(words).tolist(), words) if h in left]
-                if found:
-                    left -= {h for h, _ in found}
-                    yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([w for _, w in found])], names=["word", "spelled"])
+                        yield from given_out()
+        yield from given_out()
 
-    rows = texts.select("text").mapInArrow(run, "word long, spelled string").groupBy("word").agg(F.min("spelled").alias("spelled"))
-    return {r["word"]: r["spelled"] for r in rows.collect()}
+    return texts.mapInArrow(run, "toxic int, word string, before long")
 
 
 def word_scores(texts: DataFrame) -> list[tuple[str, float]]:
@@ -200,7 +172,7 @@ def word_scores(texts: DataFrame) -> list[tuple[str, float]]:
     mostly in toxic texts, half the words of most places in all. The share is that of toxic texts in a word's places.
 
     A word counts once for each word it follows, not for each text: copies of one text then count once, however many there
-    are. Only 64-bit hashes are shuffled, repeats within a task left out; the words themselves are looked up at the end.
+    are. What is shuffled is a word and the 64-bit hash of the one before it, repeats within a task left out.
     """
     places = _all_places(texts.select("toxic", "text")).groupBy("word", "before").agg(
         F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("a"), F.max(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("b"))
@@ -208,10 +180,8 @@ def word_scores(texts: DataFrame) -> list[tuple[str, float]]:
     share = F.col("a") / (F.col("a") + F.col("b"))
     toxic = counts.filter((F.col("a") >= LEAST_PLACES) & (share >= MOSTLY)).orderBy(F.col("a").desc(), "word").limit(FEATURES // 2)
     common = counts.orderBy((F.col("a") + F.col("b")).desc(), "word").limit(FEATURES // 2)
-    best = [[(r["word"], r["share"]) for r in part.select("word", share.alias("share")).collect()] for part in (toxic, common)]
-    chosen = dict(best[0] + best[1])
-    spelled = _spelled(texts, chosen)
-    return [(spelled[h], chosen[h]) for h in dict.fromkeys(h for part in best for h, _ in part)]
+    best = [(r["word"], r["share"]) for part in (toxic, common) for r in part.select("word", share.alias("share")).collect()]
+    return list(dict.fromkeys(best))
 
 
 def make_voters(scores: list[tuple[str, float]]) -> Voters:

@@ -104,3 +104,65 @@ def test_words_are_chosen_by_all_labelled_rows(spark, monkeypatch):
     for fit_rows in (20, 16_000):
         toxicity.score(documents(spark, rows), labels, fit_rows=fit_rows)
     assert seen[0] == seen[1] and ("zorbex", 1.0) in seen[0]
+
+
+@pytest.mark.parametrize("held, sent", [(1 << 20, 1_000_000), (40, 0)])
+def test_word_scores_by_plain_counting(spark, monkeypatch, held, sent):
+    """Distinct (word, word before) of labelled rows, with and without small limits; unlabelled and unused rows do not count."""
+    import re
+
+    monkeypatch.setattr(toxicity, "HELD", held)
+    monkeypatch.setattr(toxicity, "MOST_SENT", sent)
+    rows, labels = corpus(8, 300)
+    labels = labels[:200] + [(900, 1, 1), (None, 1, 1)]
+    docs = documents(spark, rows + [(10, "again blorgh here"), (None, "no id")]).selectExpr("doc_id AS key", "text")
+    usable = spark.createDataFrame([(k, t) for k, _, t in labels if k is not None], "key long, toxic int")
+    found = toxicity.word_scores(toxicity.labelled_texts(docs, usable))
+    truth = {k: t for k, _, t in labels}
+    places = {}
+    for k, text in rows + [(10, "again blorgh here")]:
+        words = re.findall(r"[^\W\d_]+", text.lower()) if k in truth else []
+        for before, w in zip(["", *words], words):
+            places.setdefault(w, {}).setdefault(before, set()).add(truth[k])
+    a = {w: sum(1 in s for s in b.values()) for w, b in places.items()}
+    b = {w: sum(0 in s for s in x.values()) for w, x in places.items()}
+    share = {w: a[w] / (a[w] + b[w]) for w in places}
+    toxic = sorted((w for w in places if a[w] >= 4 and share[w] >= 0.6), key=lambda w: (-a[w], w))[:512]
+    common = sorted(places, key=lambda w: (-a[w] - b[w], w))[:512]
+    assert found == list(dict.fromkeys((w, share[w]) for w in toxic + common))
+
+
+def test_posterior_and_estimate_by_the_book():
+    """The posterior is Bayes' rule over the tree; after the last round the parameters are the weighted counts they stand for."""
+    rng = np.random.default_rng(5)
+    y, votes = truth_model(rng, 3000)
+    code = votes @ (1 << np.arange(5))
+    values, counts = np.unique(code, return_counts=True)
+    labelled = np.zeros((len(values), 2))
+    for v, truth in zip(code[:200], y[:200]):
+        labelled[np.searchsorted(values, v), int(truth)] += 1
+    model = toxicity.estimate(values, counts.astype(float), labelled, 5)
+    post = model.posterior(values)
+    for v, p in zip(values.tolist(), post):
+        joint = []
+        for c, prior in ((0, 1 - model.prior), (1, model.prior)):
+            for j in range(5):
+                above = v >> model.parent[j] & 1 if model.parent[j] >= 0 else 0
+                fires = model.fires[c, j, above]
+                prior *= fires if v >> j & 1 else 1 - fires
+            joint.append(prior)
+        assert p == pytest.approx(joint[1] / sum(joint), abs=1e-9)
+    free = counts - labelled.sum(1)
+    weight = [free * (1 - post) + labelled[:, 0], free * post + labelled[:, 1]]
+    bits = values[:, None] >> np.arange(5) & 1
+    imagined = [20 * 0.9, 20 * 0.1]
+    usual = [0.02, 0.5]
+    assert model.prior == pytest.approx((weight[1].sum() + imagined[1]) / (sum(counts) + 20), abs=1e-3)
+    for c in (0, 1):
+        for j, k in enumerate(model.parent):
+            for above in (0, 1) if k >= 0 else (0,):
+                here = bits[:, k] == above if k >= 0 else np.ones(len(values), bool)
+                side = (usual[c] if above else 1 - usual[c]) if k >= 0 else 1.0
+                n = weight[c][here].sum() + imagined[c] * side
+                hits = (weight[c] * bits[:, j])[here].sum() + imagined[c] * side * usual[c]
+                assert model.fires[c, j, above] == pytest.approx(hits / n, abs=5e-3)
