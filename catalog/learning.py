@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from catalog.registry import Tables, query, rounded
-from catalog.vectors import EPOCHS
 from cohortspark.operators import features as feat, layout as lay
 from cohortspark.operators.summary import mean_abs_attribution
 from cohortspark.plans import attribution, backmapping, phenotypes
@@ -57,32 +54,52 @@ def _scaled(t: Tables) -> DataFrame:
     return cut(frame.select("id", F.array(*used).alias("vec")))
 
 
-@query("pca_scores", """
-SELECT i::INT AS i, j::INT AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS correlation, TRUE AS falling, (SELECT count(*) FROM customer)::BIGINT AS n
-FROM range(1, 4) a(i), range(1, 4) b(j)""")
+def eigen_sql(count: int, d: int = 6, doublings: int = 40) -> str:
+    """CTEs v1 .. v{count} (vector ``v``, eigenvalue ``l``) of the matrix c0 (``m``, d * d numbers), by squaring it until one direction is
+    left, taking that off, and so on. The largest component of a vector is positive."""
+    cells = range(d * d)
+    diagonal = ", ".join(f"m[{i * d + i + 1}]" for i in range(d))
+    square = ", ".join(" + ".join(f"m[{i * d + k + 1}] * m[{k * d + j + 1}]" for k in range(d)) for i in range(d) for j in range(d))
+    out = []
+    for n in range(1, count + 1):
+        product = " + ".join(f"v[{i + 1}] * m[{i * d + j + 1}] * v[{j + 1}]" for i in range(d) for j in range(d))
+        rest = ", ".join(f"m[{i + 1}] - l * v[{i // d + 1}] * v[{i % d + 1}]" for i in cells)
+        trace = " + ".join(f"q[{i * d + i + 1}]" for i in range(d))
+        out.append(f"""
+m{n} AS (SELECT 0 AS step, m FROM c{n - 1} UNION ALL SELECT step + 1, list_transform(q, lambda x: x / ({trace})) FROM (SELECT step, [{square}] AS q FROM m{n} WHERE step < {doublings})),
+u{n} AS (SELECT list_transform(range({d}), lambda i: m[(j - 1) * {d} + i + 1] / sqrt(m[(j - 1) * {d} + j])) AS u
+  FROM (SELECT m, list_position([{diagonal}], list_max([{diagonal}])) AS j FROM m{n} WHERE step = {doublings})),
+w{n} AS (SELECT CASE WHEN u[list_position(a, list_max(a))] < 0 THEN list_transform(u, lambda x: -x) ELSE u END AS v
+  FROM (SELECT u, list_transform(u, lambda x: abs(x)) AS a FROM u{n})),
+v{n} AS (SELECT v, {product} AS l FROM w{n}, c{n - 1}),
+c{n} AS (SELECT [{rest}] AS m FROM v{n}, c{n - 1})""")
+    return ",".join(out)
+
+
+COLUMNS = ["n_orders", "mean_price", "max_price", "urgent", "balance", "nation"]
+#: Rows as lists of six centred columns (urgent is not scaled), and their covariances.
+SCALED = f"""{FEATURES},
+i AS (SELECT id, {", ".join(f"coalesce({c}, (SELECT median({c}) FROM f)) AS {c}" for c in COLUMNS)} FROM f),
+z AS (SELECT id, [{", ".join(f"({c} - avg({c}) OVER ())" + ("" if c == "urgent" else f" / stddev_pop({c}) OVER ()") for c in COLUMNS)}] AS x FROM i),
+c0 AS (SELECT [{", ".join(f"avg(x[{i + 1}] * x[{j + 1}])" for i in range(6) for j in range(6))}] AS m FROM z)"""
+
+
+@query("pca_scores", f"""
+WITH RECURSIVE {SCALED}, {eigen_sql(3)}
+SELECT id, {", ".join(f"round(list_inner_product(x, v{n}.v), 5) AS pc{n}" for n in (1, 2, 3))} FROM z, v1, v2, v3""")
 def pca_scores(t):
-    """Correlations of the component scores, one row per pair: they are those of independent columns, with falling variance."""
-    scores, ratios = lay.principal_components(_scaled(t), 3)
-    c = [F.get("pc", F.lit(i)) for i in range(3)]
-    falling = F.lit(all(a >= b for a, b in zip(ratios, ratios[1:])))
-    rows = [scores.agg((F.covar_pop(c[i], c[j]) / (F.stddev_pop(c[i]) * F.stddev_pop(c[j]))).alias("r"), F.count("*").alias("n"))
-            .select(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"), F.abs(F.round("r", 6)).alias("correlation"), falling.alias("falling"), "n")
-            for i in range(3) for j in range(3)]
-    return reduce(DataFrame.unionByName, rows)
+    scores, _ = lay.principal_components(_scaled(t), 3)
+    return scores.select("id", *[F.round(F.get("pc", F.lit(i)), 5).alias(f"pc{i + 1}") for i in range(3)])
 
 
 @query("explained_variance", f"""
-WITH {FEATURES}, i AS (SELECT coalesce(urgent, (SELECT median(urgent) FROM f)) AS urgent FROM f)
-SELECT 6::BIGINT AS n, 1.0::DOUBLE AS total, true AS falling, round(5 + var_pop(urgent), 5) AS trace FROM i""")
+WITH RECURSIVE {SCALED}, {eigen_sql(6)}, t AS (SELECT {" + ".join(f"m[{i * 7 + 1}]" for i in range(6))} AS total FROM c0),
+r AS ({" UNION ALL ".join(f"SELECT {n}::INT AS component, l / total AS ratio FROM v{n}, t" for n in range(1, 7))})
+SELECT component, round(ratio, 6) AS ratio, round(sum(ratio) OVER (ORDER BY component), 6) AS cumulative_ratio FROM r""")
 def explained_variance(t):
-    """Number and sum of the variance ratios, whether they fall, and the variance they share (one per scaled column)."""
-    scaled = _scaled(t)
-    scores, ratios = lay.principal_components(scaled, 6)
-    table = phenotypes.explained_variance(t.spark, ratios)
-    trace = scores.agg(sum((F.var_pop(F.get("pc", F.lit(i))) for i in range(6)), F.lit(0.0)).alias("trace")).first()[0]
-    falling = all(a >= b for a, b in zip(ratios, ratios[1:]))
-    return table.agg(F.count("*").alias("n"), F.round(F.max("cumulative_ratio"), 6).alias("total")).select(
-        "n", "total", F.lit(falling).alias("falling"), F.round(F.lit(trace), 5).alias("trace"))
+    """Variance ratios of all components of the scaled columns, and their running sum."""
+    _, ratios = lay.principal_components(_scaled(t), 6)
+    return rounded(phenotypes.explained_variance(t.spark, ratios), "ratio", "cumulative_ratio")
 
 
 RULE = """
@@ -93,63 +110,44 @@ c AS (SELECT c_custkey AS id, CASE WHEN n_orders < 8 THEN 0 WHEN c_acctbal < 450
 KS = [2, 3, 4, 5, 6, 7, 8, 17]
 
 
-@query("kmeans_range", """
-SELECT k, (SELECT count(*) FROM customer)::BIGINT AS n, k::BIGINT AS n_labels, 0::BIGINT AS lowest, (k - 1)::BIGINT AS highest, true AS better_than_fewer
-FROM (VALUES (2), (3), (4), (5), (6), (7), (8), (17)) v(k)""")
+@query("kmeans_range")
 def kmeans_range(t):
-    """Per number of clusters: rows, labels in use, and whether the cost is below that of the next smaller number."""
+    """The label of every row for each number of clusters, with the cost of the best of ten starts."""
     scores, _ = lay.principal_components(_scaled(t), 3)
     labels, costs = phenotypes.kmeans_range(scores, KS)
-    long = labels.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"kmeans_k{k}_label").cast("long").alias("label")) for k in KS])).alias("l"))
-    found = long.select("l.*").groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("label").alias("n_labels"), F.min("label").alias("lowest"), F.max("label").alias("highest"))
-    falls = [(k, i == 0 or c < costs[i - 1][1]) for i, (k, c) in enumerate(costs)]
-    return found.join(t.spark.createDataFrame(falls, "k int, better_than_fewer boolean"), "k")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"kmeans_k{k}_label").cast("long").alias("label")) for k in KS]))
+    known = t.spark.createDataFrame(costs, "k int, cost double")
+    return rounded(labels.select("id", each.alias("l")).select("id", "l.*").join(F.broadcast(known), "k"), "cost", digits=3)
 
 
-@query("structured_comparator", f"""
-WITH {RULE} SELECT 'embedding_vs_kmeans_k' || k AS comparison_pair, true AS in_range, (SELECT count(*) FROM c)::BIGINT AS n_compared
-FROM (VALUES (2), (3), (4), (5), (6), (7), (8), (17)) v(k) UNION ALL SELECT 'embedding_vs_structured_umap_hdbscan', true, NULL""")
+@query("structured_comparator")
 def structured_comparator(t):
-    """Per pair of clusterings whether the scores are in range, and the rows compared (density clusters have noise of their own)."""
-    found = phenotypes.compare(customer_features(t), rule_labels(t), "id", WANTED, BINARY, starts=3, epochs=EPOCHS)
-    in_range = F.coalesce(F.col("ari").between(-1, 1) & F.col("nmi").between(0, 1), F.col("n_compared") == 0)
-    n = F.when(F.col("comparison_pair").contains("kmeans"), F.col("n_compared"))
-    return found["concordance"].select("comparison_pair", in_range.alias("in_range"), n.alias("n_compared"))
+    """Agreement of the given labels with k-means for each k (ten starts) and with density clusters of a layout (200 epochs)."""
+    return rounded(phenotypes.compare(customer_features(t), rule_labels(t), "id", WANTED, BINARY)["concordance"], "ari", "nmi")
 
 
-@query("oof_predictions", f"""
-WITH {RULE}, k AS (SELECT cluster_label AS true_cluster, count(*) AS n FROM c GROUP BY ALL)
-SELECT true_cluster, fold::INT AS fold, ((n - fold + 4) // 5)::BIGINT AS n, ((n - fold + 4) // 5)::BIGINT AS n_distinct, ((n - fold + 4) // 5)::BIGINT AS n_sum_to_one,
-  true AS mostly_right FROM k, range(5) f(fold)""")
+@query("oof_predictions")
 def oof_predictions(t):
-    """Per class and fold: rows, ids, rows whose probabilities sum to one, and whether most are predicted right (the rule is learnable)."""
+    """Every row with its fold, its class, the predicted one and the probability of each."""
     frame, used = feat.feature_frame(customer_features(t), rule_labels(t), "id", WANTED, "all")
     oof, _ = backmapping.out_of_fold(frame, used, "id")
     wide = backmapping.wide_probabilities(oof, "id").join(oof.select("id", "fold"), "id")
-    total = sum((F.col(c) for c in wide.columns if c.startswith("prob_")), F.lit(0.0))
-    return wide.groupBy("true_cluster", "fold").agg(
-        F.count("*").alias("n"), F.count_distinct("id").alias("n_distinct"), F.count_if(F.abs(total - 1) < 1e-9).alias("n_sum_to_one"),
-        (F.avg((F.col("true_cluster") == F.col("predicted_cluster")).cast("double")) > 0.5).alias("mostly_right"))
+    return rounded(wide, *[c for c in wide.columns if c.startswith("prob_")])
 
 
-@query("backmapping_metrics", """
-SELECT 'fold' AS level, i::BIGINT AS name, true AS learned FROM range(5) x(i) UNION ALL SELECT 'cluster', i::BIGINT, true FROM range(3) x(i)""")
+@query("backmapping_metrics")
 def backmapping_metrics(t):
+    """Area and recall per fold and per cluster."""
     found = backmapping.backmap(customer_features(t), rule_labels(t), "id", WANTED)
     folds = found["folds"].select(F.lit("fold").alias("level"), F.col("fold").cast("long").alias("name"), F.col("macro_auroc").alias("auroc"),
                                   F.col("macro_recall").alias("recall"))
     classes = found["classes"].select(F.lit("cluster").alias("level"), F.col("cluster").alias("name"), "auroc", "recall")
-    learned = F.col("auroc").between(0.8, 1) & F.col("recall").between(0.5, 1)
-    return folds.unionByName(classes).select("level", "name", learned.alias("learned"))
+    return rounded(folds.unionByName(classes), "auroc", "recall")
 
 
-@query("importance_table", "SELECT 6::BIGINT AS n, 1.0::DOUBLE AS total, true AS rule_columns_first")
+@query("importance_table")
 def importance_table(t):
-    """Number and sum of the importances; the two columns of the rule come first."""
-    found = cut(backmapping.backmap(customer_features(t), rule_labels(t), "id", WANTED)["importance"])
-    first = {r["feature"] for r in found.orderBy(F.col("importance").desc(), "feature").limit(2).collect()}
-    return found.agg(F.count("*").alias("n"), F.round(F.sum("importance"), 6).alias("total")).withColumn(
-        "rule_columns_first", F.lit(first == {"n_orders", "balance"}))
+    return rounded(backmapping.backmap(customer_features(t), rule_labels(t), "id", WANTED)["importance"], "importance")
 
 
 def _model(t: Tables):
@@ -158,41 +156,37 @@ def _model(t: Tables):
     return backmapping.train(frame, used), frame
 
 
-@query("permutation_importance", "SELECT 6::BIGINT AS n, 2::BIGINT AS n_large, true AS rule_columns_large")
+@query("permutation_importance")
 def permutation_importance(t):
-    """Features, and those whose shuffling costs more than a hundredth of the area: the two columns of the rule."""
     model, frame = _model(t)
-    found = attribution.permutation_importance(model, frame, "id")
-    large = F.col("mean_decrease_auroc") > 0.01
-    return found.agg(F.count("*").alias("n"), F.count_if(large).alias("n_large"),
-                     (F.count_if(large & F.col("feature").isin("n_orders", "balance")) == 2).alias("rule_columns_large"))
+    return rounded(attribution.permutation_importance(model, frame, "id"), "mean_decrease_auroc", "std")
 
 
-@query("attributions", f"""
-WITH {RULE} SELECT id, cluster_label AS cluster, class::BIGINT AS class, 6::BIGINT AS n_features, 0.0::DOUBLE AS gap FROM c, range(3) k(class)""")
+@query("attributions")
 def attributions(t):
-    """Per row and class: the features with an attribution, and what base and attributions miss of the score (nothing)."""
+    """Sampled attributions of every row, column and class; with their common base they add up to the score."""
+    model, frame = _model(t)
+    return rounded(attribution.sampled_attributions(model, frame, "id"), "phi", "std_error", "base")
+
+
+@query("attributions_exact")
+def attributions_exact(t):
+    """Attributions by all 64 coalitions of the six columns, against a background of 16 rows."""
     model, frame = _model(t)
-    phi = attribution.sampled_attributions(model, frame, "id")
-    total = phi.groupBy("id", "cluster", "class").agg(F.count("*").alias("n_features"), (F.sum("phi") + F.first("base")).alias("sum"))
-    score = model.probabilities(frame).select("id", F.explode("probs").alias("p")).select("id", "p.class", "p.prob")
-    return total.join(score, ["id", "class"]).select("id", "cluster", "class", "n_features", F.abs(F.round(F.col("sum") - F.col("prob"), 6)).alias("gap"))
+    return rounded(attribution.exact_attributions(model, frame, "id", n_background=16), "phi", "base")
 
 
-@query("attribution_summary", f"""
-WITH {RULE} SELECT cluster_label AS cluster, 6::BIGINT AS n, true AS rule_column_first FROM c GROUP BY cluster_label""")
+@query("attribution_summary")
 def attribution_summary(t):
-    """Features per cluster; the one with the largest mean attribution is a column of the rule."""
     model, frame = _model(t)
-    phi = attribution.sampled_attributions(model, frame, "id")
-    best = F.max_by("feature", "mean_abs_shap").isin("n_orders", "balance")
-    return mean_abs_attribution(phi).groupBy("cluster").agg(F.count("*").alias("n"), best.alias("rule_column_first"))
+    return rounded(mean_abs_attribution(attribution.sampled_attributions(model, frame, "id")), "mean_abs_shap")
 
 
-@query("boosted_predictions", f"WITH {RULE} SELECT id, cluster_label, 1.0::DOUBLE AS total FROM c")
+@query("boosted_predictions")
 def boosted_predictions(t):
-    """The rows with the sum of their class probabilities."""
+    """Class and probabilities by boosted trees, one model per class."""
     frame, used = feat.feature_frame(customer_features(t), rule_labels(t), "id", WANTED, "none")
-    model = backmapping.train(cut(frame), used, boosted=True, trees=5, depth=3)
-    total = F.aggregate("probs", F.lit(0.0), lambda s, p: s + p["prob"])
-    return model.predict(frame).select("id", "cluster_label", F.round(total, 9).alias("total"))
+    model = backmapping.train(cut(frame), used, boosted=True)
+    found = model.predict(frame)
+    return found.select("id", "cluster_label", "predicted", *[F.round(F.get("probs", F.lit(i))["prob"], 6).alias(f"prob_cluster_{c}")
+                                                              for i, c in enumerate(model.classes)])

@@ -8,14 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from catalog.registry import Tables, query, rounded
 from cohortspark.functions.vectors import l2_normalize
-from cohortspark.operators import density, graph, layout as lay, neighbors
+from cohortspark.operators import approximate, density, graph, layout as lay, neighbors, spectral
 from cohortspark.operators.ordered import global_row_number
 from cohortspark.plans import embedding, phenotypes, retrieval
 from cohortspark.runtime import cut, ensure_checkpoint_dir
 from cohortspark.streaming.embed import embed_stream
 
-EPOCHS = 15
-
 
 def vectors(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
@@ -109,16 +107,21 @@ def document_records(t: Tables) -> DataFrame:
                               F.col("lang").alias("timepoint"), F.lit("development").alias("split"), F.col("text").alias("retrieval_text"))
 
 
-@query("retrieval_from_documents", """
-SELECT 'D' || doc_id AS query_doc_id, source AS query_patient_uid, lang AS query_timepoint, 'development' AS query_split, quality::DOUBLE AS query_y_true,
-  5::BIGINT AS n_neighbors_found, 1.0::DOUBLE AS top1_similarity FROM documents LEFT JOIN labels USING (doc_id)""")
+@query("retrieval_from_documents")
 def retrieval_from_documents(t):
-    """Records to vectors to neighbours to risks; a document is as near to its nearest as to itself."""
+    """Records to vectors to neighbours to risks."""
     made = retrieval.prepare(document_records(t), embedding.HashedTextEmbedder(64))
     corpus = cut(made["documents"])
-    found = retrieval.run(corpus, corpus, y_true(t), 5)["summary"]
-    return found.select("query_doc_id", "query_patient_uid", "query_timepoint", "query_split", "query_y_true",
-                        F.col("n_neighbors_found").cast("long").alias("n_neighbors_found"), F.round("top1_similarity", 4).alias("top1_similarity"))
+    return rounded(retrieval.run(corpus, corpus, y_true(t), 5)["summary"], *RISKS)
+
+
+@query("approximate_neighbors")
+def approximate_neighbors(t):
+    """Neighbours by hash tables, with the share of the exact ones found for each query."""
+    points = cut(vectors(t))
+    found = cut(approximate.nearest(points, points, 5, exclude_same_id=True, bucket_rows=64))
+    exact = neighbors.nearest(points, points, 5, exclude_same_id=True)
+    return rounded(found.join(approximate.recall_per_query(found, exact).select("query_id", "recall"), "query_id"), "similarity")
 
 
 @query("split_warning", "SELECT source AS split, count(*)::BIGINT AS n FROM documents WHERE source <> 'src0' GROUP BY source")
@@ -209,99 +212,125 @@ def spanning_forest(t):
     return rounded(global_row_number(exact_tree(t).select("w"), ["w"], "rank"), "w")
 
 
-def _sound(labels: DataFrame, least: int) -> DataFrame:
-    """(id, known_label, probable, large_enough) of (id, cluster_label, cluster_probability)."""
-    p, label = F.col("cluster_probability"), F.col("cluster_label")
-    sizes = labels.groupBy("cluster_label").agg(F.count("*").alias("_n"))
-    return labels.join(sizes, "cluster_label").select(
-        "id", (label >= -1).alias("known_label"), F.when(label == -1, p == 0).otherwise((p > 0) & (p <= 1)).alias("probable"),
-        ((label == -1) | (F.col("_n") >= least)).alias("large_enough"))
-
-
-@query("density_clusters", "SELECT vec_id AS id, true AS known_label, true AS probable, true AS large_enough, true AS found_some FROM embeddings")
+@query("density_clusters")
 def density_clusters(t):
-    """Groups of near copies among the vectors: each id with what has to hold of its label; labels other than noise are there."""
-    labels = density.density_clusters(exact_tree(t, 2), vectors(t), min_cluster_size=3)
-    some = labels.filter("cluster_label >= 0").limit(1).count() == 1
-    return _sound(labels, 3).withColumn("found_some", F.lit(some))
+    """Groups of near copies among the vectors."""
+    return rounded(density.density_clusters(exact_tree(t, 2), vectors(t), min_cluster_size=3), "cluster_probability")
 
 
-def _space(t: Tables, dims: int) -> DataFrame:
+def _graph(t: Tables) -> tuple[DataFrame, DataFrame]:
     points = cut(vectors(t))
-    weights = cut(graph.fuzzy_graph(cut(graph.knn_graph(points, 15)), 15))
-    return lay.layout(weights, points, dims, epochs=EPOCHS)
+    return points, cut(graph.fuzzy_graph(cut(graph.knn_graph(points, 15)), 15))
 
 
-def _placed(space: DataFrame, dims: int) -> DataFrame:
-    finite = F.forall("y", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6))
-    return space.select("id", F.size("y").alias("dims"), ((F.size("y") == dims) & finite).alias("placed"))
+def _coordinates(space: DataFrame, *names: str) -> DataFrame:
+    return space.select("id", *[F.round(F.get("y", F.lit(i)), 6).alias(n) for i, n in enumerate(names)])
 
 
-@query("layout_3d", "SELECT vec_id AS id, 3::INT AS dims, true AS placed FROM embeddings")
+@query("layout_3d")
 def layout_3d(t):
-    """Every vector with its number of finite coordinates."""
-    return _placed(_space(t, 3), 3)
+    points, weights = _graph(t)
+    return _coordinates(lay.layout(weights, points, 3), "x", "y", "z")
 
 
-@query("layout_2d", "SELECT vec_id AS id, 2::INT AS dims, true AS placed FROM embeddings")
+@query("layout_2d")
 def layout_2d(t):
-    """Every vector with its number of finite coordinates."""
-    return _placed(_space(t, 2), 2)
+    points, weights = _graph(t)
+    return _coordinates(lay.layout(weights, points, 2), "x", "y")
+
 
+@query("spectral_vectors")
+def spectral_vectors(t):
+    """Leading vectors of the neighbour graph with their eigenvalues and residuals."""
+    _, weights = _graph(t)
+    found, values = spectral.leading_vectors(weights, 3)
+    known = t.spark.createDataFrame([(i + 1, v, r) for i, (v, r) in enumerate(values)], "component int, eigenvalue double, residual double")
+    each = found.select("id", F.posexplode("vector").alias("at", "value")).select("id", (F.col("at") + 1).alias("component"), "value")
+    return rounded(each.join(F.broadcast(known), "component"), "value", "eigenvalue", "residual")
 
-@query("phenotype_clusters", """
-SELECT vec_id AS id, true AS known_label, true AS probable, true AS large_enough, quality, toxic, true AS placed
-FROM embeddings LEFT JOIN labels ON doc_id = vec_id""")
+
+@query("neighbour_preservation")
+def neighbour_preservation(t):
+    """Trustworthiness and continuity of the display layout, per row."""
+    points, weights = _graph(t)
+    space = cut(lay.layout(weights, points, 2))
+    return rounded(lay.preservation(points, space, 15), "trustworthiness", "continuity")
+
+
+@query("phenotype_clusters")
 def phenotype_clusters(t):
+    """Labels with outcomes, coordinates for clustering and for display."""
     outcomes = t.labels.select(F.col("doc_id").alias("id"), "quality", "toxic")
-    found = phenotypes.phenotype(vectors(t), min_cluster_size=10, min_samples=3, epochs=EPOCHS, outcomes=outcomes)
-    placed = found["coords"].join(found["display"], "id").select("id", F.coalesce(
-        sum((F.abs(c) for c in ("umap_c1", "umap_c2", "umap_c3", "umap_x", "umap_y")), F.lit(0.0)) < 1e6, F.lit(False)).alias("placed"))
-    labels = found["labels"]
-    return _sound(labels, 10).join(labels.select("id", "quality", "toxic"), "id").join(placed, "id")
+    found = phenotypes.phenotype(vectors(t), min_cluster_size=10, min_samples=3, outcomes=outcomes)
+    both = found["labels"].join(found["coords"], "id").join(found["display"], "id")
+    return rounded(both, "cluster_probability", "umap_c1", "umap_c2", "umap_c3", "umap_x", "umap_y")
 
 
-@query("subgroup_clusters", """
-SELECT vec_id AS id, true AS known_label, true AS probable FROM embeddings JOIN documents ON doc_id = vec_id WHERE contains(lower(lang), 'en')""")
+@query("subgroup_clusters")
 def subgroup_clusters(t):
-    """The members of the subgroup, with a label of -1 or more that agrees with the probability."""
+    """The members of the subgroup, clustered on their own."""
     named = t.documents.select(F.col("doc_id").alias("id"), "lang")
-    found = phenotypes.subgroup(vectors(t), named, "lang", "EN", epochs=EPOCHS)["labels"]
-    p = F.col("cluster_probability")
-    return found.select("id", (F.col("cluster_label") >= -1).alias("known_label"),
-                        F.when(F.col("cluster_label") == -1, p == 0).otherwise((p > 0) & (p <= 1)).alias("probable"))
+    return rounded(phenotypes.subgroup(vectors(t), named, "lang", "EN")["labels"], "cluster_probability")
 
 
-WORDED = "CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm"
+DIMS = 16
+PROJECTED = f"""
+words AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS w FROM documents),
+codes AS (SELECT doc_id, ('0x' || substr(md5(w || '/' || i), 1, 8))::BIGINT % {2 * DIMS} AS c FROM words, range(4) r(i)),
+sums AS (SELECT doc_id, c % {DIMS} AS dim, sum(CASE WHEN c < {DIMS} THEN 1 ELSE -1 END)::DOUBLE AS x FROM codes GROUP BY ALL),
+every AS (SELECT d.doc_id, r.i AS dim, coalesce(s.x, 0) AS x FROM documents d CROSS JOIN range({DIMS}) r(i)
+  LEFT JOIN sums s ON s.doc_id = d.doc_id AND s.dim = r.i),
+vec AS (SELECT doc_id, (dim + 1)::INT AS dim, round((x / greatest(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 1e-12))::FLOAT::DOUBLE, 5) AS x FROM every)"""
 
 
-def norm(c: str):
-    return F.round(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x)), 3).alias("norm")
+def _components(df: DataFrame) -> DataFrame:
+    """One row per component of ``embedding``."""
+    others = [c for c in df.columns if c != "embedding"]
+    return df.select(*others, F.posexplode("embedding").alias("at", "x")).select(
+        *others, (F.col("at") + 1).alias("dim"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 @query("embed_batch", f"""
-WITH d AS (SELECT doc_id, text, doc_id IN (SELECT doc_id FROM labels) AS early FROM documents),
+WITH {PROJECTED}, d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS early FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY early ORDER BY doc_id) - 1 AS n, count(*) FILTER (early) OVER () AS k FROM d)
-SELECT doc_id, 'hashed-words-64' AS model, (n // 128 + CASE WHEN early THEN 0 ELSE (k + 127) // 128 END)::BIGINT AS shard_id,
-  (n % 128)::BIGINT AS row_in_shard, {WORDED} FROM r""")
+SELECT doc_id, 'projected-words-{DIMS}' AS model, (n // 128 + CASE WHEN early THEN 0 ELSE (k + 127) // 128 END)::BIGINT AS shard_id,
+  (n % 128)::BIGINT AS row_in_shard, dim, x FROM r JOIN vec USING (doc_id)""")
 def embed_batch(t):
-    """All documents, resumed after those with a label; model, shard positions and the length of each vector."""
-    embedder = embedding.HashedTextEmbedder(64)
+    """All documents, resumed after those with a label: model, shard positions and vectors."""
+    embedder = embedding.ProjectedTextEmbedder(DIMS)
     docs = t.documents.select("doc_id", "text")
-    done = embedding.run(docs.join(t.labels, "doc_id", "left_semi"), "doc_id", "text", embedder, shard_size=128)
-    done = cut(done)
+    done = cut(embedding.run(docs.join(t.labels, "doc_id", "left_semi"), "doc_id", "text", embedder, shard_size=128))
     both = done.unionByName(embedding.run(docs, "doc_id", "text", embedder, done, shard_size=128))
-    return both.select("doc_id", "model", "shard_id", "row_in_shard", norm("embedding"))
+    return _components(both.select("doc_id", "model", "shard_id", "row_in_shard", "embedding"))
+
+
+#: Which of three files a document is in; the last file holds those of the first one again.
+FILE = "(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 3)"
 
 
 @query("embed_stream", f"""
-SELECT doc_id, 'hashed-words-64' AS model, ((row_number() OVER (ORDER BY doc_id) - 1) // 2048)::BIGINT AS shard_id,
-  ((row_number() OVER (ORDER BY doc_id) - 1) % 2048)::BIGINT AS row_in_shard, {WORDED} FROM documents""")
+WITH {PROJECTED}, f AS (SELECT doc_id, {FILE} AS batch FROM documents),
+r AS (SELECT doc_id, batch, row_number() OVER (PARTITION BY batch ORDER BY doc_id) - 1 AS n FROM f),
+s AS (SELECT batch, sum((c + 63) // 64) OVER (ORDER BY batch) - (c + 63) // 64 AS first FROM (SELECT batch, count(*) AS c FROM f GROUP BY batch))
+SELECT doc_id, 'projected-words-{DIMS}' AS model, batch::BIGINT AS batch, (first + n // 64)::BIGINT AS shard_id, (n % 64)::BIGINT AS row_in_shard, dim, x
+FROM r JOIN s USING (batch) JOIN vec USING (doc_id)""")
 def embed_stream_documents(t):
-    """The documents as a file stream into a Parquet sink; both live in the checkpoint folder."""
+    """The documents as three files, the last with the keys of the first again: two batches, a restart, a third batch."""
     root = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
-    schema = t.documents.select("doc_id", "text").schema
-    stream = embed_stream(t.spark, t.folder, schema, f"{root}/sink", f"{root}/state", embedding.HashedTextEmbedder(64),
-                          glob="documents.parquet")
-    stream.awaitTermination()
-    return t.spark.read.parquet(f"{root}/sink").select("doc_id", "model", "shard_id", "row_in_shard", norm("embedding"))
+    docs = t.documents.select("doc_id", "text")
+    part = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % 3
+
+    def arrive(rows: DataFrame) -> None:
+        rows.coalesce(1).write.mode("append").parquet(f"{root}/files")
+
+    def run() -> None:
+        embed_stream(t.spark, f"{root}/files", docs.schema, f"{root}/sink", f"{root}/state", embedding.ProjectedTextEmbedder(DIMS),
+                     max_files=1, shard_size=64).awaitTermination()
+
+    arrive(docs.filter(part == 0))
+    arrive(docs.filter(part == 1))
+    run()
+    arrive(docs.filter(part != 1))
+    run()
+    return _components(t.spark.read.parquet(f"{root}/sink").select("doc_id", "model", F.col("batch").cast("long").alias("batch"),
+                                                                   "shard_id", "row_in_shard", "embedding"))

@@ -6,6 +6,10 @@ hold something closer. Routing is an equi-join on (cell, block, chunk): big cell
 corpus rows and chunks of query rows, so one task never holds more than a fixed number of either, and
 only the k best pairs per query and block leave it. Equal vectors are searched once.
 
+With more than MAX_PIVOTS cells the pivots form a tree of two levels: pivots of the first level are sent to every task,
+those of the second one meet the rows of their branch only, and queries descend by the bounds of both levels. So a cell
+holds about ROWS_PER_PIVOT rows however many there are.
+
 Nothing is dropped: where pruning does not help, all blocks are visited and the result stays exact.
 """
 
@@ -24,6 +28,10 @@ from cohortspark.runtime import cut
 BLOCK_ROWS, BLOCK_BYTES = 32_768, 1 << 26
 MAX_PIVOTS = 1_024
 ROWS_PER_PIVOT = 1_000
+#: Second-level pivots of one branch.
+MAX_BRANCH = 4_096
+#: Groups whose sizes are broadcast; more are joined.
+MOST_SIZES = 100_000
 SCORE_ROWS = 256
 SLACK = 1e-7
 
@@ -179,6 +187,101 @@ def visit(routed: DataFrame, corpus: DataFrame, cells: Cells, kernel, schema: st
     return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(kernel, schema)
 
 
+def meet(queries: DataFrame, rows: DataFrame, keys: list[str], kernel, schema: str, query_key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Run ``kernel(queries, rows)`` on what has equal ``keys``, in blocks of rows (``rep``) and chunks of queries.
+
+    Sizes of the groups are a table, not a list on the driver, so there may be any number of groups.
+    """
+    n, m = (df.groupBy(*keys).agg(F.count("*").alias(name)) for df, name in ((rows, "_n"), (queries, "_m")))
+    sizes = cut(n.join(m, keys).select(*keys, F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks"),
+                                       F.ceil(F.col("_m") / block_rows).cast("int").alias("_chunks")))
+    few = sizes.count() <= MOST_SIZES
+
+    def sized(df: DataFrame, blocks: str, chunks: str) -> DataFrame:
+        named = sizes.withColumnsRenamed({"_blocks": blocks, "_chunks": chunks})
+        return df.join(F.broadcast(named) if few else named, keys)
+
+    q = (sized(queries, "_qb", "_qc").withColumn("_chunk", F.pmod(F.xxhash64(query_key), F.col("_qc")).cast("int"))
+         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_qb") - 1))).drop("_qb", "_qc"))
+    c = (sized(rows, "_cb", "_cc").withColumn("_block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("_cb")).cast("int"))
+         .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_cc") - 1))).drop("_cb", "_cc"))
+    at = [*keys, "_block", "_chunk"]
+    return q.groupBy(*at).cogroup(c.groupBy(*at)).applyInPandas(kernel, schema)
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Pivots of the first level, and per branch the table (top, rep, vec, n, low, high) of its second-level pivots."""
+
+    tops: Cells
+    branches: DataFrame
+
+
+def build_tree(corpus: DataFrame, n: int, wanted: int) -> tuple[DataFrame, Tree]:
+    """Corpus rows with the second-level pivot (``cell``) nearest to them inside the branch of their first-level pivot."""
+    first, tops = build_cells(corpus, n, min(MAX_PIVOTS, int(np.ceil(np.sqrt(wanted)))))
+    rows = first.withColumnsRenamed({"cell": "top", "pivot_dist": "top_dist"})
+    per_row = wanted / n
+    held = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(tops.counts.tolist()) for x in (i, float(c))]), F.col("top"))
+    share = F.least(F.lit(per_row), F.lit(float(MAX_BRANCH)) / held)
+    # the first-level pivot lies in its own branch, so each branch has a pivot
+    draw = F.shiftrightunsigned(F.xxhash64("rep", F.lit(11)), 11) / F.lit(float(1 << 53))
+    picked = cut(rows.filter((draw < share) | (F.col("top_dist") <= SLACK)).select("top", "rep", "vec"))
+
+    def nearest_pivot(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"rep": [], "vec": [], "top": [], "cell": [], "pivot_dist": []})
+        c = c.sort_values("rep")
+        pivots, names, cell, dist = _matrix(c["vec"]), c["rep"].to_numpy(), [], []
+        for at in range(0, len(q), SCORE_ROWS):
+            d = _distances(_matrix(q["vec"].iloc[at:at + SCORE_ROWS]), pivots)
+            best = d.argmin(1)
+            cell.append(names[best])
+            dist.append(d[np.arange(len(d)), best])
+        return pd.DataFrame({"rep": q["rep"], "vec": q["vec"], "top": q["top"], "cell": np.concatenate(cell), "pivot_dist": np.concatenate(dist)})
+
+    # a branch has at most some MAX_BRANCH pivots, so they are never cut into blocks
+    assigned = cut(meet(rows.select("top", "rep", "vec"), picked, ["top"], nearest_pivot,
+                        "rep long, vec array<double>, top int, cell long, pivot_dist double", "rep", max(BLOCK_ROWS, 4 * MAX_BRANCH)))
+    stats = assigned.groupBy("top", F.col("cell").alias("rep")).agg(F.count("*").alias("n"), F.min("pivot_dist").alias("low"),
+                                                                    F.max("pivot_dist").alias("high"))
+    return assigned.select("cell", "rep", "vec"), Tree(tops, cut(picked.join(stats, ["top", "rep"])))
+
+
+def descend(queries: DataFrame, tree: Tree, at_top, at_branch, need: int) -> DataFrame:
+    """(qrep, vec, [bound,] cell): cells to visit. ``at_top`` and ``at_branch`` choose branches and cells of a branch; both get
+    (rows, distances, cells) and the mask of those next to the query that hold ``need`` rows."""
+    tops, kept = tree.tops, queries.columns
+
+    def branches(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), SCORE_ROWS):
+                part = pdf.iloc[at:at + SCORE_ROWS]
+                d = _distances(_matrix(part["vec"]), tops.pivots)
+                home = _home_mask(d, tops, need)
+                rows, top = np.nonzero(at_top(part, d, tops, home))
+                if len(rows):
+                    yield part.iloc[rows].assign(top=top.astype("int32"), home=home[rows, top])
+
+    def cells(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if not (q.empty or c.empty):
+            c = c.sort_values("rep")
+            names = c["rep"].to_numpy()
+            level = Cells(_matrix(c["vec"]), c["n"].to_numpy(), c["low"].to_numpy(), c["high"].to_numpy())
+            for at in range(0, len(q), SCORE_ROWS):
+                part = q.iloc[at:at + SCORE_ROWS]
+                d = _distances(_matrix(part["vec"]), level.pivots)
+                home = _home_mask(d, level, need) & part["home"].to_numpy()[:, None]
+                rows, cell = np.nonzero(at_branch(part, d, level, home))
+                out.append(part.iloc[rows][kept].assign(cell=names[cell]))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in [*kept, "cell"]})
+
+    routed = cut(queries.mapInPandas(branches, _with(queries, top=T.IntegerType(), home=T.BooleanType())))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields) + ", cell long"
+    return cut(meet(routed, tree.branches, ["top"], cells, schema, "qrep", max(BLOCK_ROWS, 4 * MAX_BRANCH)))
+
+
 def _top_kernel(k: int, cosine: bool, bounded: bool):
     """Best ``k`` rows per query inside one block; ``bounded`` also drops what exceeds the known radius."""
 
@@ -255,33 +358,49 @@ def _nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str, query_i
     if n == 0:
         return q_raw.limit(0).select(F.col("id").alias("query_id"), F.col("id").alias("neighbor_id"),
                                      F.lit(1).alias("rank"), F.lit(0.0).alias(out_name))
-    assigned, cells = build_cells(reps, n, n_pivots)
+    wanted, tree = min(n, n_pivots or max(8, -(-n // ROWS_PER_PIVOT))), None
+    if wanted > MAX_PIVOTS:
+        assigned, tree = build_tree(reps, n, wanted)
+        cells = tree.tops
+    else:
+        assigned, cells = build_cells(reps, n, wanted)
     block_rows = min(block_rows, max(SCORE_ROWS, BLOCK_BYTES // (8 * cells.pivots.shape[1])))
     q_named = cut(_distinct_vectors(q_raw, None)[0].withColumnRenamed("rep", "qrep"))
     q_reps = q_named.select("qrep", "vec")
 
     schema = "qrep long, crep long, score double"
-    home = route(q_reps, cells, lambda pdf, d: _home_mask(d, cells, depth))
-    near = cut(visit(home, assigned, cells, _top_kernel(depth, cosine, False), schema, "qrep", block_rows))
-    if cells.size > 1:
+
+    def radius_of(pdf):
+        bound = pdf["bound"].to_numpy()
+        if cosine:  # |q - c|^2 = |q|^2 + 1 - 2 q.c
+            sq = (_matrix(pdf["vec"]) ** 2).sum(1)
+            return np.sqrt(np.maximum(sq + 1.0 - 2.0 * np.maximum(bound, -1e6), 0.0))
+        return -np.maximum(bound, -1e12)
+
+    def bounded(near):
         kth = _best(near, depth).groupBy("qrep").agg(F.min("score").alias("bound"), F.count("*").alias("_n"))
-        bounded = (q_reps.join(kth, "qrep")
-                   .withColumn("bound", F.when(F.col("_n") >= depth, F.col("bound")).otherwise(F.lit(-1e300)))
-                   .drop("_n"))
-
-        def farther(pdf, d):
-            bound = pdf["bound"].to_numpy()
-            if cosine:  # |q - c|^2 = |q|^2 + 1 - 2 q.c
-                sq = (_matrix(pdf["vec"]) ** 2).sum(1)
-                radius = np.sqrt(np.maximum(sq + 1.0 - 2.0 * np.maximum(bound, -1e6), 0.0))
-            else:
-                radius = -np.maximum(bound, -1e12)
-            return _reach_mask(d, cells, radius) & ~_home_mask(d, cells, depth)
-
-        rest = visit(route(bounded, cells, farther), assigned, cells,
-                     _top_kernel(depth, cosine, True), schema, "qrep", block_rows)
-        near = near.unionByName(rest)
+        return (q_reps.join(kth, "qrep")
+                .withColumn("bound", F.when(F.col("_n") >= depth, F.col("bound")).otherwise(F.lit(-1e300))).drop("_n"))
+
+    if tree is None:
+        home = route(q_reps, cells, lambda pdf, d: _home_mask(d, cells, depth))
+        near = cut(visit(home, assigned, cells, _top_kernel(depth, cosine, False), schema, "qrep", block_rows))
+        if cells.size > 1:
+            far = route(bounded(near), cells, lambda pdf, d: _reach_mask(d, cells, radius_of(pdf)) & ~_home_mask(d, cells, depth))
+            near = near.unionByName(visit(far, assigned, cells, _top_kernel(depth, cosine, True), schema, "qrep", block_rows))
+    else:
+        home = descend(q_reps, tree, lambda pdf, d, level, home: home, lambda pdf, d, level, home: home, depth)
+        near = cut(meet(home, assigned, ["cell"], _top_kernel(depth, cosine, False), schema, "qrep", block_rows))
+        far = descend(bounded(near), tree, lambda pdf, d, level, home: _reach_mask(d, level, radius_of(pdf)),
+                      lambda pdf, d, level, home: _reach_mask(d, level, radius_of(pdf)) & ~home, depth)
+        near = near.unionByName(meet(far, assigned, ["cell"], _top_kernel(depth, cosine, True), schema, "qrep", block_rows))
+    return named_pairs(near, behind, q_raw, q_named, k, depth, exclude_same_id, cosine)
 
+
+def named_pairs(near: DataFrame, behind: DataFrame, q_raw: DataFrame, q_named: DataFrame, k: int, depth: int, exclude_same_id: bool,
+                cosine: bool) -> DataFrame:
+    """Pairs of representatives (qrep, crep, score), each at most once, to the k best ids of every query id."""
+    out_name = "similarity" if cosine else "distance"
     # reps back to ids: a list holds at most depth entries, each rep at most depth ids
     pairs = _best(near, depth).join(behind.withColumnRenamed("rep", "crep"), "crep")
     members = pairs.select("qrep", "score", F.explode("ids").alias("crep"))
@@ -296,3 +415,58 @@ def _nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str, query_i
     return (joined.select("query_id", F.posexplode(F.slice(found, 1, k)).alias("pos", "hit"))
             .select("query_id", F.col("hit.id").alias("neighbor_id"), (F.col("pos") + 1).alias("rank"),
                     (value if cosine else F.abs(F.col("hit.s"))).alias(out_name)))
+
+
+def ranks(pairs: DataFrame, points: DataFrame, metric: str = "cosine", n_pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(src, dst, rank): the place of ``dst`` among all other ``points`` (id, vec) in the order of distance from ``src``, then id.
+
+    ``pairs`` (src, dst) are of ids among the points and not of one with itself. Exact: cells inside the distance of a pair count with their size,
+    cells outside not at all, the others are visited.
+    """
+    rows = cut(prepare(points, "id", "vec", metric, corpus=True).select(F.col("id").alias("rep"), "vec"))
+    n = rows.count()
+    assigned, cells = build_cells(rows, n, n_pivots)
+    ends = [rows.select(F.col("rep").alias(name), F.col("vec").alias(vec)) for name, vec in (("src", "vec"), ("dst", "end"))]
+    own = assigned.select(F.col("rep").alias("src"), F.col("cell").alias("own"))
+    asked = cut(pairs.select("src", "dst").join(ends[0], "src").join(ends[1], "dst").join(own, "src")
+                .withColumn("qrep", F.monotonically_increasing_id()))
+    near = SLACK * 10
+
+    def measured(pdf: pd.DataFrame) -> np.ndarray:
+        return np.sqrt(((_matrix(pdf["vec"]) - _matrix(pdf["end"])) ** 2).sum(1))
+
+    def inside(pdf, d):
+        return (cells.counts > 0)[None, :] & (np.round(d, 9) + cells.high[None, :] < measured(pdf)[:, None] - near)
+
+    def choose(pdf, d):
+        outside = np.maximum(d - cells.high[None, :], cells.low[None, :] - d) > measured(pdf)[:, None] + near
+        return (cells.counts > 0)[None, :] & ~outside & ~inside(pdf, d)
+
+    def counted(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), SCORE_ROWS):
+                part = pdf.iloc[at:at + SCORE_ROWS]
+                whole = inside(part, _distances(_matrix(part["vec"]), cells.pivots))
+                # the start itself is one of the rows of its cell
+                yield pd.DataFrame({"qrep": part["qrep"], "n": (whole * cells.counts[None, :]).sum(1) - whole[np.arange(len(part)), part["own"]]})
+
+    def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"qrep": [], "n": []}).astype("int64")
+        x, ids, out = _matrix(c["vec"]), c["rep"].to_numpy(), []
+        for at in range(0, len(q), SCORE_ROWS):
+            part = q.iloc[at:at + SCORE_ROWS]
+            start, r = _matrix(part["vec"]), measured(part)
+            d = _distances(start, x)
+            i, j = np.nonzero(np.abs(d - r[:, None]) < near)
+            d[i, j] = np.sqrt(((start[i] - x[j]) ** 2).sum(1))
+            d, r = np.round(d, 12), np.round(r, 12)[:, None]
+            before = (d < r) | ((d == r) & (ids[None, :] < part["dst"].to_numpy()[:, None]))
+            before &= (ids[None, :] != part["src"].to_numpy()[:, None]) & (ids[None, :] != part["dst"].to_numpy()[:, None])
+            out.append(pd.DataFrame({"qrep": part["qrep"], "n": before.sum(1).astype("int64")}))
+        return pd.concat(out, ignore_index=True)
+
+    whole = asked.select("qrep", "vec", "end", "own").mapInPandas(counted, "qrep long, n long")
+    visited = visit(route(asked, cells, choose), assigned, cells, kernel, "qrep long, n long", "qrep", block_rows)
+    total = whole.unionByName(visited).groupBy("qrep").agg(F.sum("n").alias("n"))
+    return asked.select("qrep", "src", "dst").join(total, "qrep").select("src", "dst", (F.col("n") + 1).alias("rank"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortspark.operators.ordered import exact_quantiles
-from cohortspark.operators.summary import known_labels
-from cohortspark.runtime import cut
+from cohortspark.operators.ordered import exact_quantiles, global_row_number
+from cohortspark.runtime import cut, ensure_checkpoint_dir
 
 # Outcome names that must not show up in produced text.
 OUTCOME_TERMS = [
@@ -15,6 +16,8 @@ OUTCOME_TERMS = [
 ]
 
 EXAMPLES = 10
+#: Distinct values that stand in a list of the manifest; more become a table.
+MOST_LISTED = 1000
 
 
 def _report(found: DataFrame) -> DataFrame:
@@ -81,22 +84,39 @@ def leakage_audit(df: DataFrame, text: str, own_id: str, key: str, terms: list[s
     return hits.groupBy("rule").agg(F.count("*").alias("n"), F.min(key).alias("first_id"))
 
 
-def text_length_manifest(df: DataFrame, text: str, distinct: list[str]) -> DataFrame:
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """(position, value): all distinct values that are not null in their order as text, numbered from 0."""
+    values = df.select(F.col(column).cast("string").alias("value")).filter(F.col("value").isNotNull()).distinct()
+    return global_row_number(values, ["value"], "position", 0).select("position", "value")
+
+
+def text_length_manifest(df: DataFrame, text: str, distinct: list[str], values_folder: str | None = None) -> DataFrame:
     """One row: n, mean/median/p95 text length and the sorted distinct values of listed columns.
 
-    Quantiles come from counts per length, so the table of texts is reduced before any sort.
+    Quantiles come from counts per length, so the table of texts is reduced before any sort. A column with more than MOST_LISTED values has
+    null for its list; its values are a table (position, value), one row each, whose path stands in ``{column}_values_table``. It is
+    written below ``values_folder``, by default the checkpoint folder.
     """
-    # one pass over the texts; everything else works on the counts; a listed column may have so many values
+    # one pass over the texts; everything else works on the counts
     columns = [F.col(c).cast("string").alias(c) for c in distinct]
     counts = cut(df.select(F.length(F.col(text)).alias("_len"), *columns).groupBy("_len", *distinct)
                  .agg(F.count("*").alias("_n")))
+    sizes = counts.agg(*[F.approx_count_distinct(c).alias(c) for c in distinct]).first() if distinct else {}
+    listed = []
+    tables = {}
     for c in distinct:
-        known_labels(counts, c)
+        few = counts.select(c).filter(F.col(c).isNotNull()).distinct().limit(MOST_LISTED + 1).count() if sizes[c] <= 2 * MOST_LISTED else MOST_LISTED + 1
+        if few <= MOST_LISTED:
+            listed.append(c)
+        else:
+            tables[c] = f"{values_folder or ensure_checkpoint_dir(df.sparkSession)}/{c}-values-{uuid.uuid4().hex}"
+            distinct_values(counts, c).write.parquet(tables[c])
     stats = counts.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_docs"),
         F.try_divide(F.sum(F.col("_len") * F.col("_n")), F.sum(F.when(F.col("_len").isNotNull(), F.col("_n"))))
         .alias("text_char_len_mean"),
-        *[F.array_sort(F.collect_set(c)).alias(f"{c}_values") for c in distinct])
+        *[(F.array_sort(F.collect_set(c)) if c in listed else F.lit(None).cast("array<string>")).alias(f"{c}_values") for c in distinct])
     quantiles = exact_quantiles(counts, [], "_len", {"text_char_len_median": 0.5, "text_char_len_p95": 0.95}, weight="_n")
     found = quantiles.first()
+    stats = stats.withColumns({f"{c}_values_table": F.lit(path) for c, path in tables.items()})
     return stats.withColumns({c: F.lit(found[c]).cast("double") for c in quantiles.columns})

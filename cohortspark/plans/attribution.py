@@ -16,6 +16,8 @@ from cohortspark.runtime import cut
 
 #: Background rows that may be broadcast.
 MOST_BACKGROUND = 10_000
+#: Columns whose coalitions are all enumerated.
+MOST_EXACT = 12
 
 
 def _rows_in_random_order(frame: DataFrame, used: list[str], key: str, label: str, seed: int) -> tuple[DataFrame, int]:
@@ -65,28 +67,41 @@ def permutation_importance(model: FittedClassifier, frame: DataFrame, key: str,
             .agg(F.avg(drop).alias("mean_decrease_auroc"), F.stddev_pop(drop).alias("std")))
 
 
+def _background(model: FittedClassifier, frame: DataFrame, key: str, label: str, n_background: int, seed: int):
+    """Rows in random order, the background rows (bg, b), their number, and their mean score per class (class, base)."""
+    if n_background > MOST_BACKGROUND:
+        raise ValueError(f"a background of more than {MOST_BACKGROUND} rows is not broadcast")
+    rows, n = _rows_in_random_order(frame, model.used, key, label, seed)
+    size = min(n_background, n)
+    background = cut(rows.filter(F.col("at") < size).select(F.col("at").alias("bg"), F.col("x").alias("b")))
+    scored = model.probabilities(background.select(array_to_vector("b").alias("_v")), vec="_v").select(F.explode("probs").alias("p"))
+    base = cut(scored.groupBy(F.col("p.class").alias("class")).agg(F.avg("p.prob").alias("base")))
+    return rows, background, size, base
+
+
 def sampled_attributions(model: FittedClassifier, frame: DataFrame, key: str, label: str = "cluster_label",
                          n_background: int = 500, n_samples: int = 4, seed: int = 42) -> DataFrame:
     """(key, cluster, feature, class, phi, std_error, n_samples, base).
 
     Sampled Shapley values of the class probability: for each row and sample, one background row and one
     order of the columns; the columns are switched from the background to the row one after the other and
-    each change of the score goes to the switched column. They add up to the score minus the mean score of
-    the drawn background rows (``base``).
+    each change of the score goes to the switched column. Samples come in pairs, the second with the order reversed; over all rows
+    and samples every background row is drawn equally often, give or take one. ``base`` is the mean score of the whole
+    background, the same for all rows. What the drawn background rows differ from it is shared among a row's columns in
+    proportion to their squared standard errors, so base and phi always add up to the score.
     """
-    if n_background > MOST_BACKGROUND:
-        raise ValueError(f"a background of more than {MOST_BACKGROUND} rows is not broadcast")
     used = model.used
     m = len(used)
-    rows, n = _rows_in_random_order(frame, used, key, label, seed)
-    size = min(n_background, n)
-    background = rows.filter(F.col("at") < size).select(F.col("at").alias("bg"), F.col("x").alias("b"))
+    rows, background, size, base = _background(model, frame, key, label, n_background, seed)
+    pair = F.floor(F.col("s") / 2)
     draws = (rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-             .withColumn("bg", F.pmod(F.xxhash64("at", "s", F.lit(seed)), F.lit(size)).cast("long"))
+             # rows stand in random order, so consecutive places are as good as random ones and use the background evenly
+             .withColumn("bg", F.pmod(F.col("at") * n_samples + F.col("s"), F.lit(size)).cast("long"))
              .join(F.broadcast(background), "bg"))  # at most n_background rows
     columns = F.sequence(F.lit(0), F.lit(m - 1))
     order = F.transform(F.sort_array(F.transform(columns, lambda i: F.struct(
-        F.xxhash64(F.col("at"), F.col("s"), i, F.lit(seed + 1)).alias("h"), i.alias("i")))), lambda p: p["i"])
+        F.xxhash64(F.col("at"), pair, i, F.lit(seed + 1)).alias("h"), i.alias("i")))), lambda p: p["i"])
+    order = F.when(F.col("s") % 2 == 1, F.reverse(order)).otherwise(order)
     steps = (draws.withColumn("order", order).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(m))))
              .withColumn("on", F.slice("order", 1, F.col("step")))
              .withColumn("v", F.transform("x", lambda v, i: F.when(F.array_contains(F.col("on"), i), v)
@@ -102,11 +117,44 @@ def sampled_attributions(model: FittedClassifier, frame: DataFrame, key: str, la
             F.get("walk", F.lit(0)).alias("start"))).alias("c"))
     names = F.array(*[F.lit(c) for c in used])
     delta = F.col("c.after.prob") - F.col("c.before.prob")
-    return (moves.groupBy(key, "truth", F.col("c.after.class").alias("class"), "i")
-            .agg(F.avg(delta).alias("phi"), (F.stddev_samp(delta) / F.sqrt(F.count("*"))).alias("std_error"),
-                 F.count("*").alias("n_samples"), F.avg("c.start.prob").alias("base"))
-            .select(key, F.col("truth").alias("cluster"), F.get(names, F.col("i")).alias("feature"), "class", "phi",
-                    "std_error", "n_samples", "base"))
+    raw = (moves.groupBy(key, "truth", F.col("c.after.class").alias("class"), "i")
+           .agg(F.avg(delta).alias("phi"), (F.stddev_samp(delta) / F.sqrt(F.count("*"))).alias("std_error"),
+                F.count("*").alias("n_samples"), F.avg("c.start.prob").alias("start")))
+    # a row's m values stand in one list while the rest is shared out
+    lists = raw.groupBy(key, "truth", "class").agg(F.collect_list(F.struct("i", "phi", "std_error", "n_samples")).alias("v"), F.first("start").alias("start"))
+    squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.coalesce(x["std_error"] * x["std_error"], F.lit(0.0)))
+    part = F.when(F.col("sum2") > 0, F.coalesce(F.col("c.std_error") * F.col("c.std_error"), F.lit(0.0)) / F.col("sum2")).otherwise(1.0 / m)
+    return (lists.withColumn("sum2", squared).join(F.broadcast(base), "class")  # one row per class
+            .select(key, "truth", "class", "start", "base", "sum2", F.explode("v").alias("c"))
+            .select(key, F.col("truth").alias("cluster"), F.get(names, F.col("c.i")).alias("feature"), "class",
+                    (F.col("c.phi") + (F.col("start") - F.col("base")) * part).alias("phi"), "c.std_error", "c.n_samples", "base"))
+
+
+def exact_attributions(model: FittedClassifier, frame: DataFrame, key: str, label: str = "cluster_label", n_background: int = 100,
+                       seed: int = 42) -> DataFrame:
+    """(key, cluster, feature, class, phi, base): Shapley values by all coalitions of at most MOST_EXACT columns.
+
+    The worth of a coalition is the mean score over the background rows with its columns taken from the row.
+    """
+    used = model.used
+    m = len(used)
+    if m > MOST_EXACT:
+        raise ValueError(f"more than {MOST_EXACT} columns have too many coalitions; sample them")
+    rows, background, _, base = _background(model, frame, key, label, n_background, seed)
+    mixed = (rows.join(F.broadcast(background)).withColumn("on", F.explode(F.sequence(F.lit(0), F.lit((1 << m) - 1))))
+             .withColumn("v", F.transform("x", lambda v, i: F.when(F.getbit(F.col("on"), i) == 1, v).otherwise(F.get("b", i)))))
+    scored = model.probabilities(mixed.select(key, "truth", "on", array_to_vector("v").alias("_v")), vec="_v")
+    worth = (scored.select(key, "truth", "on", F.explode("probs").alias("p"))
+             .groupBy(key, "truth", F.col("p.class").alias("class"), "on").agg(F.avg("p.prob").alias("w")))
+    # of a coalition of s columns each member gains, and each other column loses, its worth times a weight of s
+    inside = F.array(*[F.lit(math.factorial(s - 1) * math.factorial(m - s) / math.factorial(m)) if s else F.lit(0.0) for s in range(m + 1)])
+    outside = F.array(*[F.lit(math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m)) if s < m else F.lit(0.0) for s in range(m + 1)])
+    size = F.bit_count("on")
+    terms = [F.sum(F.col("w") * F.when(F.getbit(F.col("on"), F.lit(i)) == 1, F.get(inside, size)).otherwise(-F.get(outside, size))).alias(f"_{i}") for i in range(m)]
+    wide = worth.groupBy(key, "truth", "class").agg(*terms).join(F.broadcast(base), "class")  # one row per class
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_{i}").alias("phi")) for i, c in enumerate(used)]))
+    return wide.select(key, F.col("truth").alias("cluster"), "class", each.alias("c"), "base").select(
+        key, "cluster", "c.feature", "class", "c.phi", "base")
 
 
 def explain(features: DataFrame, labels: DataFrame, key: str, wanted: list[str], n_background: int = 500,

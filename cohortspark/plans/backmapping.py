@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.operators import features as feat, metrics
 from cohortspark.operators.summary import known_labels, mean_importance
-from cohortspark.runtime import cut
+from cohortspark.runtime import cut, together
 
 
 class FittedClassifier:
@@ -73,12 +73,12 @@ def train(df: DataFrame, used: list[str], label: str = "cluster_label", boosted:
         forest = RandomForestClassifier(featuresCol="_vec", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed)
         return FittedClassifier([forest.fit(assembled)], classes, used, False)
     targets = [1] if len(classes) == 2 else range(len(classes))
-    models = []
-    for i in targets:
+
+    def fit(i):
         one = assembled.withColumn("_t", (F.col("_y") == i).cast("double"))
-        models.append(GBTClassifier(featuresCol="_vec", labelCol="_t", maxIter=trees, maxDepth=depth, stepSize=0.05,
-                                    seed=seed).fit(one))
-    return FittedClassifier(models, classes, used, True)
+        return lambda: GBTClassifier(featuresCol="_vec", labelCol="_t", maxIter=trees, maxDepth=depth, stepSize=0.05, seed=seed).fit(one)
+
+    return FittedClassifier(together(df.sparkSession, [fit(i) for i in targets]), classes, used, True)
 
 
 def out_of_fold(frame: DataFrame, used: list[str], key: str, label: str = "cluster_label", folds: int = 5, seed: int = 42,
@@ -87,8 +87,11 @@ def out_of_fold(frame: DataFrame, used: list[str], key: str, label: str = "clust
     and (fold, feature, importance)."""
     with_fold = cut(feat.stratified_folds(frame, key, label, folds, seed))
     parts, weights = [], []
-    for fold in range(folds):
-        model = train(with_fold.filter(F.col("fold") != fold), used, label, seed=seed, **options)
+
+    def fit(fold):
+        return lambda: train(with_fold.filter(F.col("fold") != fold), used, label, seed=seed, **options)
+
+    for fold, model in enumerate(together(frame.sparkSession, [fit(fold) for fold in range(folds)])):
         held = model.predict(with_fold.filter(F.col("fold") == fold))
         parts.append(held.select(key, "fold", F.col(label).cast("long").alias("truth"), "predicted", "probs"))
         weights.append(model.importances(frame.sparkSession).withColumn("fold", F.lit(fold)))

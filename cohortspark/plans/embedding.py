@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, IDFModel, RegexTokenizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, IDFModel, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -52,6 +52,32 @@ class HashedTextEmbedder:
                 .drop("_counts", "_signed"))
 
 
+class ProjectedTextEmbedder:
+    """Signed random projection of word counts to ``dims`` dimensions, unit length.
+
+    The projection matrix has a row for every possible word, with ``nonzeros`` entries of +1 or -1 whose places and signs come
+    from the MD5 of the word and the number of the entry, so nothing is fitted or stored and other engines can redo it.
+    An entry is a code below 2 * dims (the upper half counts with a minus sign); codes are counted inside the row, without a shuffle. Words are
+    runs of letters and digits in lower case; a text without any is the zero vector.
+    """
+
+    def __init__(self, dims: int = 64, nonzeros: int = 4, name: str | None = None):
+        self.dims, self.nonzeros = dims, nonzeros
+        self.name = name or f"projected-words-{dims}"
+
+    def __call__(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        d = self.dims
+        words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        entries = F.sequence(F.lit(0), F.lit(self.nonzeros - 1))
+        codes = F.flatten(F.transform(words, lambda w: F.transform(entries, lambda i: F.pmod(
+            F.conv(F.substring(F.md5(F.concat(w, F.lit("/"), i.cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(2 * d)).cast("string"))))
+        counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(2 * d)], inputCol="_codes", outputCol="_counts")
+        both = vector_to_array("_counts")
+        signed = F.zip_with(F.slice(both, 1, d), F.slice(both, d + 1, d), lambda x, y: x - y)
+        return (counter.transform(df.withColumn("_codes", codes)).withColumn("_signed", signed)
+                .withColumn(out, F.transform(l2_normalize(F.col("_signed")), lambda x: x.cast("float"))).drop("_codes", "_counts", "_signed"))
+
+
 def function_embedder(encode: Callable[[list[str]], list], name: str, batch_size: int = 64) -> Embedder:
     """Plug-in point: ``encode`` turns a list of texts into vectors, one Arrow batch at a time."""
 

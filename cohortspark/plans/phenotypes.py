@@ -9,10 +9,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortspark.functions.text import contains_text
-from cohortspark.operators import density, features as feat, graph, layout as lay, neighbors
+from cohortspark.operators import density, features as feat, graph, layout as lay, neighbors, spectral
 from cohortspark.operators.joins import members, with_outcomes
 from cohortspark.operators.summary import cluster_summary, concordance, contingency, noise_summary
-from cohortspark.runtime import cut
+from cohortspark.runtime import cut, together
 from cohortspark.sources.readers import to_whole_id
 from cohortspark.sources.writers import manifest_json
 
@@ -47,17 +47,24 @@ def named_again(df: DataFrame, numbers: DataFrame) -> DataFrame:
 def phenotype(vectors: DataFrame, dims: int = 3, viz_dims: int = 2, n_neighbors: int = 15, min_dist: float = 0.1,
               metric: str = "cosine", min_cluster_size: int = 50, min_samples: int = 10, epsilon: float = 0.0,
               seed: int = 42, epochs: int = lay.EPOCHS, outcomes: DataFrame | None = None,
-              id_col: str = "id", vec_col: str = "vec") -> dict[str, DataFrame]:
+              id_col: str = "id", vec_col: str = "vec", init: str = "components") -> dict[str, DataFrame]:
     """Neighbour graph once, a layout for clustering and a separate one for display, density clusters.
 
+    Layouts start from principal components, or with ``init`` "spectral" from the leading vectors of the neighbour graph.
     Returns labels, coords (clustering), display, summary, noise and params.
     """
+    if init not in ("components", "spectral"):
+        raise ValueError(f"unknown start {init}")
     points, numbers = numbered(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
                                .filter(F.col("id").isNotNull() & F.col("vec").isNotNull()))
     knn = cut(graph.knn_graph(points, n_neighbors, metric))
     weights = cut(graph.fuzzy_graph(knn, n_neighbors))
-    space = lay.layout(weights, points, dims, min_dist, epochs, seed)
-    flat = lay.layout(weights, points, viz_dims, min_dist, epochs, seed + 1)
+    start = None
+    if init == "spectral":
+        leading = spectral.leading_vectors(weights, max(dims, viz_dims))[0].withColumnRenamed("vector", "pc")
+        start = cut(points.select("id").join(leading, "id", "left").withColumn("pc", F.coalesce("pc", F.array().cast("array<double>"))))
+    space = lay.layout(weights, points, dims, min_dist, epochs, seed, start=start)
+    flat = lay.layout(weights, points, viz_dims, min_dist, epochs, seed + 1, start=start)
     labels = cluster_points(space.select("id", F.col("y").alias("vec")), min_cluster_size, min_samples, epsilon)
     labels, space, flat = (cut(named_again(df, numbers)) for df in (labels, space, flat))
     labels_out = labels if outcomes is None else with_outcomes(labels, outcomes, "id")
@@ -79,10 +86,14 @@ def kmeans_range(scores: DataFrame, ks: list[int], seed: int = 42, starts: int =
     """One label column kmeans_k{k}_label per k (the best of ``starts`` starts), and (k, cost)."""
     data = cut(scores.select(F.col(id_col).alias("id"), array_to_vector(vec_col).alias("features")))
     labels, costs = data, []
+    tries = [(k, seed + i) for k in sorted(set(ks)) for i in range(starts)]
+
+    def fit(k, at):
+        return lambda: KMeans(k=k, seed=at, maxIter=max_iter, predictionCol=f"kmeans_k{k}_label").fit(data)
+
+    models = together(scores.sparkSession, [fit(k, at) for k, at in tries])
     for k in sorted(set(ks)):
-        fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter, predictionCol=f"kmeans_k{k}_label").fit(data)
-                for i in range(starts)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
+        best = min((m for (j, _), m in zip(tries, models) if j == k), key=lambda m: m.summary.trainingCost)
         costs.append((k, float(best.summary.trainingCost)))
         labels = best.transform(labels)
     return labels.drop("features"), costs

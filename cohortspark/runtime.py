@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Jobs that run beside each other in :func:`together`.
+WIDTH = 8
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder of the session, setting it when only the conf names it.
@@ -42,14 +47,35 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the table behind a result of :func:`cut` that nothing reads any more, such as the last round's of a loop."""
+    """Delete the table behind a result of :func:`cut` that nothing reads any more, such as the last round's of a loop.
+
+    Sessions without a JVM at hand leave it to whoever clears the checkpoint folder.
+    """
     path = getattr(df, "_table_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
+    jvm = getattr(df.sparkSession, "_jvm", None)
+    if path and jvm is not None:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def together(spark: SparkSession, jobs: list[Callable[[], object]], width: int = WIDTH) -> list:
+    """Results of independent jobs, at most ``width`` at a time, in the order given; local properties of the caller hold in each.
+
+    A job that spends its time between small stages leaves cores free, which the others use. With ``spark.scheduler.mode``
+    FAIR they share the cluster evenly.
+    """
+    if len(jobs) < 2 or width < 2:
+        return [job() for job in jobs]
+    try:
+        from pyspark import inheritable_thread_target
+
+        wrapped = [inheritable_thread_target(spark)(job) for job in jobs]
+    except (ImportError, TypeError, AttributeError):
+        wrapped = jobs
+    with ThreadPoolExecutor(min(width, len(jobs))) as pool:
+        return [f.result() for f in [pool.submit(job) for job in wrapped]]
+
+
 def has(df: DataFrame, name: str) -> bool:
     """Plan-time test for an optional column."""
     return name in df.columns

@@ -6,61 +6,57 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from cohortspark.operators.joins import pending
 from cohortspark.plans.embedding import Embedder
 from cohortspark.runtime import cut
 from cohortspark.sources.writers import SHARD_SIZE, assign_shards
 
-#: Partitions of the sink by key.
-KEY_PARTS = 64
+#: Keeps the keys on the executors' disks, with a copy beside the checkpoint, not in their memory.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def embed_stream(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str, embedder: Embedder,
                  key: str = "doc_id", text: str = "text", fmt: str = "parquet", glob: str | None = None,
                  max_files: int = 1000, available_now: bool = True, interval: str = "1 minute", model: str | None = None,
                  shard_size: int = SHARD_SIZE) -> StreamingQuery:
-    """File stream -> embedder -> Parquet sink with model name, shard_id and row_in_shard.
+    """File stream -> keys not seen before -> embedder -> Parquet sink with model name, shard_id, row_in_shard and batch.
 
-    The checkpoint remembers the files. The sink is partitioned by a hash of the key, and a batch reads the keys of the
-    partitions it touches only; keys that are there already are left out, so a batch that is replayed adds nothing twice. Of
-    rows with one key in a batch the one with the least text stays (then by the other columns). Each batch begins a new
-    shard; where, it knows from a table of one row per batch beside the checkpoint. The embedder must be stateless (a fitted
-    model), or two runs would not agree.
+    The checkpoint remembers the files, and the state of the stream the keys: a key passes once, in whatever batch it comes
+    first, also after a restart. The sink is never read. It is partitioned by batch and a batch replaces its own
+    partition, so one that is replayed after a failure adds nothing twice. Rows without a key are left out. Of several rows with
+    a new key in one batch one passes. Each batch begins a new shard; where, it knows from a table of one row per batch beside the
+    checkpoint. The embedder must be stateless (a fitted model), or two runs would not agree.
     """
-    reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files)
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    reader = session.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files)
     docs = (reader.option("pathGlobFilter", glob) if glob else reader).load(source)
-
+    new = docs.filter(F.col(key).isNotNull()).dropDuplicates([key])
     name = model or getattr(embedder, "name", "custom")
 
-    def read(session: SparkSession, path: str) -> DataFrame | None:
+    def first_shard(batch: DataFrame, batch_id: int) -> int:
         try:
-            return session.read.parquet(path)
+            shards = batch.sparkSession.read.parquet(f"{checkpoint}-shards")
         except AnalysisException as err:
-            if "PATH_NOT_FOUND" not in str(err.getCondition()) and "UNABLE_TO_INFER_SCHEMA" not in str(err.getCondition()):
+            if "PATH_NOT_FOUND" not in str(err.getCondition()):
                 raise
-            return None
+            return 0
+        return shards.filter(F.col("batch") < batch_id).agg(F.max("after")).first()[0] or 0
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        others = [c for c in batch.columns if c not in (key, text)]
-        first = F.min(F.struct(text, *others)).alias("_first")
-        todo = (batch.filter(F.col(key).isNotNull()).groupBy(key).agg(first).select(key, "_first.*")
-                .withColumn("part", F.pmod(F.xxhash64(key), F.lit(KEY_PARTS)).cast("int")))
-        written = read(session, sink)
-        if written is not None:
-            touched = [r["part"] for r in todo.select("part").distinct().collect()]  # at most KEY_PARTS
-            todo = pending(todo, written.filter(F.col("part").isin(touched)).select(key), key)
-        shards = read(session, f"{checkpoint}-shards")
-        earlier = None if shards is None else shards.filter(F.col("batch") != batch_id).agg(F.max("after")).first()[0]
-        placed = cut(assign_shards(todo, [key], shard_size, earlier or 0))
+        # the rows are cut once: a plan of the stream that is run twice would ask the state twice
+        rows = cut(batch)
+        placed = cut(assign_shards(rows, [key], shard_size, first_shard(batch, batch_id)))
         last = placed.agg(F.max("shard_id")).first()[0]
         if last is None:
             return
         out = embedder(placed, text, "embedding").drop(text).withColumn("model", F.lit(name))
-        # the place of the next shard is known before the rows are there: a replayed batch writes the rows left over behind it
-        session.createDataFrame([(batch_id, last + 1)], "batch long, after long").write.mode("append").parquet(f"{checkpoint}-shards")
-        out.write.mode("append").partitionBy("part").parquet(sink)
+        after = batch.sparkSession.createDataFrame([(batch_id, last + 1)], "batch long, after long")
+        after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{checkpoint}-shards")
+        (out.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch").parquet(sink))
 
-    writer = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.start()

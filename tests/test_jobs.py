@@ -130,6 +130,46 @@ def test_stream_writes_each_key_once(spark, folder, tmp_path):
     assert {r["doc_id"]: r["embedding"] for r in again.collect()} == batch
 
 
+def test_stream_passes_a_key_once_over_batches_and_restarts(spark, tmp_path):
+    source, sink, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    schema = "doc_id long, text string"
+    batches = [[(1, "a"), (2, "b"), (2, "b"), (None, "n")], [(2, "late"), (3, "c")], [(1, "x"), (3, "y"), (4, "d"), (5, None)], [(5, "again")]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        if n % 2:
+            embed_stream(spark, source, spark.createDataFrame([], schema).schema, sink, state, embedding.ProjectedTextEmbedder(8),
+                         max_files=1, shard_size=2).awaitTermination()
+    got = sorted((r["doc_id"], r["batch"], r["shard_id"], r["row_in_shard"]) for r in spark.read.parquet(sink).collect())
+    assert got == [(1, 0, 0, 0), (2, 0, 0, 1), (3, 1, 1, 0), (4, 2, 2, 0), (5, 2, 2, 1)]
+
+
+def test_projection_is_a_product_with_a_sign_matrix(spark):
+    import hashlib
+    import math
+    import re
+
+    texts = ["one two two three", None, "", "?!", "Ünïcode 数 ABC abc", "one " * 500, "x" * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: list(r["v"]) for r in embedding.ProjectedTextEmbedder(8, 3)(df, "text", "v").select("id", "v").collect()}
+    for i, text in enumerate(texts):
+        total = [0.0] * 8
+        for word in re.findall(r"[^\W_]+", (text or "").lower()):
+            for n in range(3):
+                code = int(hashlib.md5(f"{word}/{n}".encode()).hexdigest()[:8], 16) % 16
+                total[code % 8] += 1 if code < 8 else -1
+        size = math.sqrt(sum(v * v for v in total)) or 1.0
+        assert got[i] == pytest.approx([v / size for v in total], abs=1e-6)
+
+
+def test_manifest_of_many_values(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_LISTED", 5)
+    df = spark.createDataFrame([(i % 40, f"k{i % 3}", "t" * i) for i in range(200)], "a int, b string, text string")
+    made = quality.text_length_manifest(df, "text", ["a", "b"], str(tmp_path)).first()
+    assert made["b_values"] == ["k0", "k1", "k2"] and made["a_values"] is None and made["n_docs"] == 200
+    table = spark.read.parquet(made["a_values_table"]).orderBy("position").collect()
+    assert [(r["position"], r["value"]) for r in table] == list(enumerate(sorted(str(i) for i in range(40))))
+
+
 def test_retrieval_edges(spark):
     corpus = spark.createDataFrame([(1, "p1", "t", "development", [1.0, 0.0]), (2, "p2", "t", "other", [0.0, 1.0])],
                                    "doc_id long, patient_uid string, timepoint string, split string, embedding array<double>")

@@ -51,9 +51,11 @@ def test_permutation_importance_finds_the_column(spark, frame):
 
 
 def test_attributions_add_up(spark, frame):
+    """Sampled values and their common base, the mean score of the whole background, add up to the score of each row."""
     model = backmapping.train(frame, ["a", "b", "c"], trees=5)
-    phi = cut(attribution.sampled_attributions(model, frame, "id", n_background=50, n_samples=3)).toPandas()
-    assert len(phi) == 300 * 3 * 3 and (phi["n_samples"] == 3).all()
+    phi = cut(attribution.sampled_attributions(model, frame, "id", n_background=50, n_samples=4)).toPandas()
+    assert len(phi) == 300 * 3 * 3 and (phi["n_samples"] == 4).all()
+    assert (phi.groupby("class")["base"].nunique() == 1).all()
     scored = model.probabilities(frame).select("id", F.explode("probs").alias("p")).select("id", "p.class", "p.prob").toPandas()
     total = phi.groupby(["id", "class"]).agg(phi=("phi", "sum"), base=("base", "first")).reset_index().merge(scored, on=["id", "class"])
     assert np.allclose(total["phi"] + total["base"], total["prob"], atol=1e-9)
@@ -61,6 +63,78 @@ def test_attributions_add_up(spark, frame):
     assert strength.idxmax() == "a"
 
 
+def plain_shapley(score, row, background):
+    """By all orders of the columns and all background rows."""
+    from itertools import permutations
+
+    m = len(row)
+    out, orders = np.zeros(m), list(permutations(range(m)))
+    for b in background:
+        for order in orders:
+            at = np.array(b)
+            last = score(at)
+            for i in order:
+                at[i] = row[i]
+                now = score(at)
+                out[i] += now - last
+                last = now
+    return out / len(orders) / len(background)
+
+
+def test_exact_attributions_by_all_orders(spark, frame):
+    model = backmapping.train(frame, ["a", "b", "c"], trees=3)
+    few = cut(frame.filter("id < 12"))
+    got = cut(attribution.exact_attributions(model, few, "id", n_background=5)).toPandas()
+    rows, n = attribution._rows_in_random_order(few, ["a", "b", "c"], "id", "cluster_label", 42)
+    placed = {r["at"]: (r["id"], list(r["x"])) for r in rows.collect()}
+    background = [placed[i][1] for i in range(5)]
+    forest = model.models[0]
+    from pyspark.ml.linalg import Vectors
+
+    known = {}
+
+    def score(x):
+        key = tuple(x)
+        if key not in known:
+            known[key] = forest.predictProbability(Vectors.dense(x)).toArray()[1]
+        return known[key]
+
+    for key, x in [placed[i] for i in (0, 3, 7, 11)]:
+        want = plain_shapley(score, x, background)
+        mine = got[(got["id"] == key) & (got["class"] == 1)].set_index("feature")["phi"]
+        assert np.allclose([mine[c] for c in ("a", "b", "c")], want, atol=1e-9)
+    base = got[got["class"] == 1]["base"].unique()
+    assert len(base) == 1 and base[0] == pytest.approx(np.mean([score(b) for b in background]))
+
+
+def test_sampled_attributions_are_near_the_exact_ones(spark, frame):
+    model = backmapping.train(frame, ["a", "b", "c"], trees=3)
+    few = cut(frame.filter("id < 40"))
+    exact = attribution.exact_attributions(model, few, "id", n_background=20).withColumnRenamed("phi", "exact").drop("base", "cluster")
+    sampled = attribution.sampled_attributions(model, few, "id", n_background=20, n_samples=60)
+    pdf = sampled.join(exact, ["id", "feature", "class"]).toPandas()
+    off = (pdf["phi"] - pdf["exact"]).abs()
+    assert len(pdf) == 40 * 9 and (off <= 4 * pdf["std_error"] + 0.02).mean() > 0.97 and off.mean() < 0.03
+
+
+def test_k_means_starts_run_together(spark):
+    """The best of several starts is taken for every k; labels and costs belong together."""
+    from cohortspark.plans import phenotypes
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(40, 2)) + c for c in ((0, 0), (9, 0), (0, 9), (9, 9))])
+    scores = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, pc array<double>")
+    labels, costs = phenotypes.kmeans_range(scores, [3, 4], starts=4)
+    once = dict(phenotypes.kmeans_range(scores, [3, 4], starts=1)[1])
+    assert all(cost <= once[k] * (1 + 1e-9) for k, cost in costs)
+    pdf = labels.toPandas().sort_values("id")
+    for k, cost in costs:
+        found = pdf[f"kmeans_k{k}_label"].to_numpy()
+        centres = np.array([x[found == c].mean(0) for c in range(k)])
+        d = ((x[:, None] - centres[None]) ** 2).sum(2)
+        assert (d.argmin(1) == found).all() and d.min(1).sum() == pytest.approx(cost, rel=1e-6)
+
+
 def test_feature_frame_rules(spark):
     df = spark.createDataFrame([(1, 1.0, 0.0), (2, None, 1.0), (3, 5.0, 1.0), (4, 9.0, None)], "id int, x double, flag double")
     labels = spark.createDataFrame([(1, 0), (2, 1), (3, -1), (4, 1)], "id int, cluster_label int")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark.operators import density, density as density_module, graph, layout as lay, neighbors
+from cohortspark.operators import approximate, density, density as density_module, graph, layout as lay, neighbors, spectral
 from cohortspark.operators.summary import concordance
 from cohortspark.plans import phenotypes
 from cohortspark.runtime import cut
@@ -53,6 +53,81 @@ def test_nearest_is_exact(spark, metric, pivots, block, exclude):
         assert all(ids.is_monotonic_increasing for _, ids in ties)
 
 
+@pytest.mark.parametrize("metric, exclude, most, pivots", [("cosine", True, 6, 30), ("euclidean", False, 4, 90)])
+def test_two_levels_of_pivots_give_the_same(spark, monkeypatch, metric, exclude, most, pivots):
+    monkeypatch.setattr(neighbors, "MAX_PIVOTS", most)
+    x = clumped(500, 5, 3)
+    df = frame(spark, x).repartition(4)
+    calls = []
+    build = neighbors.build_tree
+    monkeypatch.setattr(neighbors, "build_tree", lambda *a: calls.append(build(*a)) or calls[-1])
+    got = neighbors.nearest(df, df, 6, metric, exclude_same_id=exclude, n_pivots=pivots, block_rows=40).toPandas().sort_values(["query_id", "rank"])
+    monkeypatch.setattr(neighbors, "MAX_PIVOTS", 1024)
+    want = neighbors.nearest(df, df, 6, metric, exclude_same_id=exclude, n_pivots=8).toPandas().sort_values(["query_id", "rank"])
+    assert len(calls) == 1 and calls[0][1].tops.size <= most
+    cells = calls[0][1].branches.select("n").toPandas()["n"]
+    assert len(cells) > most and cells.sum() == len(np.unique(x, axis=0)) and cells.max() < 200
+    assert got.drop(columns=got.columns[3]).to_numpy().tolist() == want.drop(columns=want.columns[3]).to_numpy().tolist()
+    assert np.allclose(got.iloc[:, 3], want.iloc[:, 3], atol=1e-6)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_approximate_neighbours(spark, metric):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 24)) + rng.integers(0, 12, (3000, 1)) * rng.normal(size=(12, 24))[rng.integers(0, 12, 3000)] * 0.3
+    x[:900] = x[0]  # a hot bucket in every table
+    df = frame(spark, x).repartition(6)
+    found = cut(approximate.nearest(df, df, 5, metric, exclude_same_id=True, bucket_rows=64))
+    exact = cut(neighbors.nearest(df, df, 5, metric, exclude_same_id=True))
+    recall = approximate.recall_per_query(found, exact).toPandas()
+    assert len(recall) == 3000 and recall["recall"].mean() >= 0.9 and (recall["recall"][recall["query_id"] < 900] == 1).all()
+    pdf = found.toPandas()
+    assert (pdf.groupby("query_id")["rank"].apply(lambda r: sorted(r) == list(range(1, len(r) + 1)))).all()
+    assert not (pdf["query_id"] == pdf["neighbor_id"]).any()
+    assert approximate.nearest(df.limit(0), df, 3, metric).count() == 0 and approximate.nearest(df, df.limit(0), 3, metric).count() == 0
+
+
+def test_approximate_search_visits_few_rows(spark, monkeypatch):
+    """The rows a query is compared with do not grow with the table: twice the rows, about the same per query."""
+    rng = np.random.default_rng(3)
+    seen = {}
+    for n in (2000, 4000):
+        made = approximate.make_tables(n, 16, np.zeros(16), 4, 125)
+        x = rng.normal(size=(n, 16))
+        codes = made.codes(made.project(x))
+        p = made.project(x[:200])
+        visited = made.codes(p)[:, :, None] ^ made.masks(p)[0][:, :, :6]
+        seen[n] = np.mean([np.isin(codes[:, t], visited[i, t]).sum() for i in range(200) for t in range(4)])
+    assert seen[4000] < 1.3 * seen[2000] < 1300
+
+
+def plain_ranks(x, metric):
+    if metric == "cosine":
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    d = np.round(np.linalg.norm(x[:, None] - x[None], axis=2), 10)
+    out = np.zeros(d.shape, int)
+    for i in range(len(x)):
+        order = sorted((j for j in range(len(x)) if j != i), key=lambda j: (d[i, j], j))
+        out[i, order] = np.arange(1, len(x))
+    return out
+
+
+def test_neighbour_preservation_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    n, k = 160, 6
+    x = rng.normal(size=(n, 7))
+    x[:30] = x[0]
+    y = np.concatenate([x[:, :2] + rng.normal(size=(n, 2)) * 0.4])
+    y[100:110] = y[100]
+    got = lay.preservation(frame(spark, x), frame(spark, y).withColumnRenamed("vec", "y"), k).toPandas().sort_values("id")
+    rx, ry = plain_ranks(x, "cosine"), plain_ranks(y, "euclidean")
+    most = k * (2 * n - 3 * k - 1) / 2
+    off = ~np.eye(n, dtype=bool)
+    trust = 1 - (np.where((ry <= k) & (rx > k) & off, rx - k, 0)).sum(1) / most
+    continuity = 1 - (np.where((rx <= k) & (ry > k) & off, ry - k, 0)).sum(1) / most
+    assert np.allclose(got["trustworthiness"], trust) and np.allclose(got["continuity"], continuity)
+
+
 def test_copies_are_told_apart_by_id(spark):
     x = np.array([[1.0, 0.0]] * 6 + [[0.0, 1.0]])
     got = neighbors.nearest(frame(spark, x), frame(spark, x), 3, "euclidean", exclude_same_id=True).toPandas()
@@ -328,6 +403,78 @@ def test_layout_keeps_neighbours_and_is_repeatable(spark):
     assert lay.curve_parameters(0.1) == pytest.approx((1.577, 0.895), abs=5e-3)
 
 
+def test_layout_in_parts(spark, monkeypatch):
+    """Parts, frozen neighbours and hubs: the groups still come out, and other partitions give the same."""
+    monkeypatch.setattr(lay, "HUB_EDGES", 12)
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(3, 12)) * 6
+    x = np.concatenate([rng.normal(size=(50, 12)) + c for c in centers])
+    points = cut(frame(spark, x))
+    weights = cut(graph.fuzzy_graph(cut(graph.knn_graph(points, 8, "euclidean")), 8))
+    a, b = (lay.layout(w, points, 2, epochs=12, part_rows=40, round_epochs=4).toPandas().sort_values("id") for w in (weights, weights.repartition(3)))
+    ya, yb = np.stack(a["y"]), np.stack(b["y"])
+    assert ya.shape == (150, 2) and np.allclose(ya, yb, atol=1e-6)
+    d = np.linalg.norm(ya[:, None] - ya[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert np.mean([(np.argsort(row)[:5] // 50 == i // 50).mean() for i, row in enumerate(d)]) > 0.95
+
+
+def test_one_epoch_by_the_book(spark):
+    """Attraction of one epoch, worked out edge by edge (partners are drawn, so repulsion is switched off)."""
+    rng = np.random.default_rng(9)
+    y = rng.normal(size=(20, 2))
+    edges = sorted({(int(i), int(j)) for i, j in rng.integers(0, 20, (60, 2)) if i != j})
+    w = rng.random(len(edges))
+    a, b = 1.577, 0.895
+    rows = [(i, -1, 0.0, y[i].tolist(), [0.0, 0.0]) for i in range(20)]
+    rows += [(i, j, float(k), [0.0, 0.0], y[j].tolist()) for (i, j), k in zip(edges, w)]
+    import pyarrow as pa
+    table = pa.table({n: [r[c] for r in rows] for c, n in enumerate(("v", "u", "weight", "y", "yu"))})
+    import unittest.mock
+    with unittest.mock.patch.object(lay, "NEGATIVE_RATE", 0.0):
+        got = np.stack(lay._epochs(2, 20, 0, 1, 1, a, b, 1, np.zeros((0, 2)))(table).column("y").to_pylist())
+    want = y.copy()
+    for i in range(20):
+        force, total = np.zeros(2), 0.0
+        for (s, t), k in zip(edges, w):
+            if s == i:
+                d = y[i] - y[t]
+                d2 = d @ d
+                force += k * np.clip(-2 * a * b * d2 ** (b - 1) / (1 + a * d2 ** b) * d, -4, 4)
+                total += k
+        want[i] += force / max(total, 1.0)
+    assert np.allclose(got, want)
+
+
+def test_leading_vectors_against_a_dense_solver(spark):
+    x = np.random.default_rng(11).normal(size=(60, 3))
+    points = cut(frame(spark, x))
+    weights = cut(graph.fuzzy_graph(cut(graph.knn_graph(points, 8, "euclidean")), 8))
+    found, values = spectral.leading_vectors(weights, 3, steps=24)
+    w = np.zeros((60, 60))
+    for r in weights.collect():
+        w[r["src"], r["dst"]] = r["weight"]
+    root = np.sqrt(w.sum(1))
+    matrix = w / root[:, None] / root[None, :]
+    want = np.sort(np.linalg.eigvalsh(matrix))[::-1][1:4]
+    got = np.stack(found.toPandas().sort_values("id")["vector"])
+    assert np.allclose([v for v, _ in values], want, atol=1e-3)
+    for i, (value, residual) in enumerate(values):
+        v = got[:, i]
+        assert np.linalg.norm(v) == pytest.approx(1, abs=1e-8) and abs(v @ root) < 1e-8
+        assert np.linalg.norm(matrix @ v - value * v) == pytest.approx(residual, abs=1e-6) and residual < 0.05
+        assert v[np.abs(v).argmax()] > 0
+    start = found.withColumnRenamed("vector", "pc")
+    y = lay.layout(weights, points, 2, epochs=3, start=start).toPandas()
+    assert len(y) == 60 and np.isfinite(np.stack(y["y"])).all()
+
+
+def test_leading_vectors_of_a_small_graph(spark):
+    edges = [(0, 1, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 1, 1.0)]
+    found, values = spectral.leading_vectors(spark.createDataFrame(edges, "src long, dst long, weight double"), 5)
+    assert [round(v, 6) for v, _ in values] == [0.0, -1.0] and found.count() == 3
+
+
 def test_principal_components(spark):
     x = np.random.default_rng(7).normal(size=(80, 4)) @ np.diag([3, 2, 1, 0.1])
     scores, ratios = lay.principal_components(frame(spark, x), 2)
