@@ -20,17 +20,23 @@ from cohortspark.llm.common import SPACES, add_columns, gram_counts
 from cohortspark.runtime import cut
 
 ORDER = 5
-#: Bits of a character: characters below 4096 are told apart, others share numbers by a hash.
+#: Bits of a symbol. A character below NARROW is one symbol, any other two: what stands above its lower 12 bits (counted down from
+#: the last symbol, which no narrow character has) and these bits. So no two characters are alike.
 BITS = 12
+NARROW = (1 << BITS) - 0x111
 START = 0
 #: Model entries broadcast at one time (12 bytes each); a larger model is scored in as many passes as it has parts.
 PART_ENTRIES = 3_000_000
 #: Languages a model may have; one of two folds has each twice.
 MOST_LANGUAGES = 10_000
 #: The band of log perplexity: so many times the median distance from the median, of texts of one language and length, and
-#: no less than a perplexity three times or a third of the usual one.
-FENCE, LEAST_REACH = 9.0, float(np.log(3))
-#: Lengths go by powers of two; neighbours are put together until so many texts share a band. A language of fewer has none.
+#: no less than so many times what is usual for texts of that length, whatever their language.
+FENCE, LEAST_SHARE = 9.0, 3.0
+#: No band reaches less far than this, below and above: texts of another language have perplexities from 1.4 times the usual one on, own texts of
+#: many repeats fall to two thirds of it. Nor is a text this near to its language's median left out when bands are set.
+LEAST_BELOW, LEAST_ABOVE, ROUGH_REACH = float(np.log(1.5)), float(np.log(1.4)), float(np.log(1.5))
+#: Lengths go by powers of two; neighbours are put together until so many texts share a band. A language of fewer than the
+#: second number takes the distances of the texts of all languages around its own median.
 LEAST_TEXTS, LEAST_IN_ALL = 100, 20
 LEAST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
@@ -69,14 +75,19 @@ def repeated_words(words: list[bytes]) -> int:
 
 def _chars(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    wide = codes >= 1 << BITS
+    wide = codes >= NARROW
     if wide.any():
-        codes = np.where(wide, 256 + codes * 2654435761 % 4294967291 % ((1 << BITS) - 256), codes)
+        first = np.cumsum(1 + wide) - (1 + wide)
+        out = np.empty(len(codes) + int(wide.sum()), np.int64)
+        out[first[~wide]] = codes[~wide]
+        high, low = codes[wide] >> BITS, codes[wide] & ((1 << BITS) - 1)
+        out[first[wide]], out[first[wide] + 1] = (1 << BITS) - 1 - high, low
+        return out
     return codes
 
 
 def grams(text: str) -> np.ndarray:
-    """The n-gram that ends at each character, START standing before the text."""
+    """The n-gram that ends at each symbol, START standing before the text."""
     codes = np.concatenate([np.full(ORDER - 1, START), _chars(text)])
     n = len(codes) - ORDER + 1
     out = codes[:n].copy()
@@ -167,10 +178,10 @@ def smoothed(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     for order in range(1, ORDER + 1):
         level = levels[order]
         seen = level.groupBy("grp").agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"c{i}") for i in (1, 2, 3, 4)])
-        y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
+        y = F.try_divide(F.col("c1"), F.col("c1") + 2 * F.col("c2"))
 
         def discount(i):
-            usual = i - (i + 1) * y * F.col(f"c{i + 1}") / F.col(f"c{i}")
+            usual = i - (i + 1) * y * F.try_divide(F.col(f"c{i + 1}"), F.col(f"c{i}"))
             # too few counts to estimate: half of the count's first discount
             return F.when((F.col("c1") > 0) & (F.col(f"c{i}") > 0) & (usual > 0), F.least(usual, F.lit(float(i)))).otherwise(0.5)
 
@@ -305,16 +316,21 @@ def failed_base() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def _around(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` with ``middle`` and ``reach``, from the ``usable`` ones of the same ``by``."""
-    def with_median(df, of, name):
-        found = df.filter("usable").groupBy(*by).agg(F.percentile_approx(of, 0.5, 10_000).alias(name))
-        found = cut(found.select(*[F.col(c).alias(f"_{c}") for c in by], name))
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
-        return df.join(F.broadcast(found), same, "left").drop(*[f"_{c}" for c in by])
+def _matched(rows: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``found``, which has one row per ``by``; null equals null."""
+    found = cut(found.withColumnsRenamed({c: f"_{c}" for c in by}))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return rows.join(F.broadcast(found), same, "left").drop(*[f"_{c}" for c in by])  # a row per language and length
+
+
+def _around(rows: DataFrame, by: list[str], exact: bool = False) -> DataFrame:
+    """``rows`` with the median of ``log_ppl`` (``middle``) and of the distances from it (``away``), over the ``usable`` ones of the same ``by``."""
+    def median(c):
+        return F.median(c) if exact else F.percentile_approx(c, 0.5, 10_000)
 
-    both = with_median(with_median(rows, F.col("log_ppl"), "middle"), F.abs(F.col("log_ppl") - F.col("middle")), "away")
-    return both.withColumn("reach", F.greatest(FENCE * F.col("away"), F.lit(LEAST_REACH))).drop("away")
+    both = _matched(rows, rows.filter("usable").groupBy(*by).agg(median(F.col("log_ppl")).alias("middle")), by)
+    distance = F.abs(F.col("log_ppl") - F.col("middle"))
+    return _matched(both, both.filter("usable").groupBy(*by).agg(median(distance).alias("away")), by)
 
 
 def length_groups(rows: DataFrame) -> DataFrame:
@@ -341,18 +357,29 @@ def length_groups(rows: DataFrame) -> DataFrame:
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """``scored`` with ``low`` and ``high``, the fences of log perplexity; null in a language of too few texts.
+    """``scored`` with ``low`` and ``high``, the fences of log perplexity of its language and length.
 
-    The texts that pass the base rules count, less those beyond the reach of their whole language: junk that fills a
-    length does not set its band.
+    The texts that pass the base rules count, less those far from the rest of their language: junk that fills a length does not
+    set its band. The reach is FENCE times the median distance of the band's texts, at least LEAST_SHARE times the
+    median distance of all texts of that length. A language of fewer than LEAST_IN_ALL texts has one band around its own median, with
+    FENCE times the larger of its own and the common distance. Without any language of enough texts nothing is known to be usual, and
+    there are no bands.
     """
     rough = _around(scored.withColumn("usable", ~F.col("base_failed") & F.col("log_ppl").isNotNull()), ["lang"])
-    near = F.abs(F.col("log_ppl") - F.col("middle")) <= F.col("reach")
-    rows = cut(rough.withColumn("usable", F.col("usable") & F.coalesce(near, F.lit(False))).drop("middle", "reach"))
+    near = F.abs(F.col("log_ppl") - F.col("middle")) <= F.greatest(FENCE * F.col("away"), F.lit(ROUGH_REACH))
+    rows = cut(rough.withColumn("usable", F.col("usable") & F.coalesce(near, F.lit(False))).drop("middle", "away"))
     same = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("bin") == F.col("_bin"))
-    grouped = rows.join(F.broadcast(length_groups(rows)), same, "left").drop("_lang", "_bin")
-    fences = _around(grouped.withColumn("usable", F.col("usable") & F.col("least").isNotNull()), ["lang", "least"])
-    return fences.withColumn("low", F.col("middle") - F.col("reach")).withColumn("high", F.col("middle") + F.col("reach"))
+    grouped = rows.join(F.broadcast(length_groups(rows)), same, "left").drop("_lang", "_bin").withColumn("large", F.col("least").isNotNull())
+    large = cut(_around(grouped.filter("large"), ["lang", "least"]))
+    small = cut(_around(grouped.filter("NOT large"), ["lang"], exact=True))  # fewer than LEAST_IN_ALL usable texts each
+    distance = F.abs(F.col("log_ppl") - F.col("middle"))
+    usual = large.filter("usable").groupBy("bin").agg(F.percentile_approx(distance, 0.5, 10_000).alias("usual"))
+    whole = large.filter("usable").agg(F.percentile_approx(distance, 0.5, 10_000)).first()[0]
+    both = _matched(large.unionByName(small), usual, ["bin"]).withColumn("usual", F.coalesce("usual", F.lit(whole).cast("double")))
+    own, common = FENCE * F.col("away"), F.col("usual")
+    reach = F.when(F.col("large"), F.greatest(own, LEAST_SHARE * common)).otherwise(F.greatest(own, FENCE * common))
+    below, above = (F.when(common.isNotNull(), F.greatest(reach, F.lit(least))) for least in (LEAST_BELOW, LEAST_ABOVE))
+    return both.withColumn("low", F.col("middle") - below).withColumn("high", F.col("middle") + above)
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None) -> DataFrame:
@@ -361,7 +388,7 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     One row per row of ``df``, repeated rows included. ``low`` and ``high`` are the band for the text's language and
     length; a text without characters has no perplexity and fails the base rules. Without a model each half of the
     texts is scored by a model of the other half. Where the other half has no text of the language there is no perplexity,
-    and in a language of fewer than LEAST_IN_ALL texts no band: the base rules alone decide. Other columns are ignored,
+    and where no language has LEAST_IN_ALL texts no band: the base rules alone decide. Other columns are ignored,
     whatever their names.
     """
     by = None
