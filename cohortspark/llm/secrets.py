@@ -2,8 +2,8 @@
 
 Kinds found by pattern alone: ``assign``, ``access``, ``hex``. A further kind, ``owned``, is judged by the corpus: long
 mixed tokens that look live and belong to few owners. The hash of every candidate value is counted over the distinct
-repositories and owners of the whole table; a value that many owners have, or many repositories of an owner, is a copied
-example.
+repositories and owners of the whole table; a value that many owners have, or that is in many and in a good share of an owner's
+repositories, is a copied example.
 """
 
 from __future__ import annotations
@@ -28,8 +28,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 #: A live-looking token has so many digits, both cases or many digits, and so many bits per character.
 TOKEN_DIGITS, TOKEN_BITS = 3, 3.2
-#: Values that more owners have are copied examples, and so are those of more repositories an owner, on average.
-FEW_OWNERS, FEW_REPOSITORIES = 2, 20
+#: Values that more owners have are copied examples. So are those that one owner has in more than so many repositories and in more than
+#: this share of all its repositories: an example in a template is in many of them, a key in a few, however many there are.
+FEW_OWNERS, FEW_REPOSITORIES, SHARE = 2, 100, 0.01
+#: A value found as a credential (all kinds but ``owned``) takes more to be an example: so many times each of these.
+STRONGER = 5
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
 
@@ -75,12 +78,24 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
     return add_columns(df, run, [text], f"base {spans}, candidates {spans}", keep)
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """(hash, owners, repositories) of (hash, _owner, _repo) occurrences: distinct counts by three small aggregates, so
-    a value that a third of all rows hold is combined before each shuffle. Null owners and repositories count as one."""
+def ownership(found: DataFrame, repositories: DataFrame, few_repositories: int = FEW_REPOSITORIES, share: float = SHARE) -> DataFrame:
+    """(hash, owners, repositories, spread) of (hash, _owner, _repo) occurrences. ``spread``: how far the value is spread inside one owner,
+    as the greatest over the owners of min(repositories with it / ``few_repositories``, their share / ``share``).
+
+    ``repositories`` (_owner, _all) counts those of each owner. Distinct counts are small aggregates, so a value that a third of all
+    rows hold is combined before each shuffle. Null owners and repositories count as one.
+    """
     in_repo = found.groupBy("hash", "_owner", "_repo").agg(F.lit(1).alias("_one"))
     of_owner = in_repo.groupBy("hash", "_owner").agg(F.count("*").alias("_repos"))
-    return of_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("_repos").alias("repositories"))
+    sizes = repositories.withColumnRenamed("_owner", "_o")
+    spread = F.least(F.col("_repos") / few_repositories, F.col("_repos") / F.col("_all") / share)
+    return (of_owner.join(sizes, F.col("_owner").eqNullSafe(F.col("_o"))).groupBy("hash")
+            .agg(F.count("*").alias("owners"), F.sum("_repos").alias("repositories"), F.max(spread).alias("spread")))
+
+
+def _repositories(found: DataFrame) -> DataFrame:
+    """(_owner, _all): distinct repositories of each owner, counted over all rows."""
+    return found.groupBy("_owner", "_repo").agg(F.lit(1).alias("_one")).groupBy("_owner").agg(F.count("*").alias("_all"))
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id",
@@ -88,26 +103,27 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "
     """(key, base, spans), one row per row of ``df``.
 
     ``spans`` is an array of (start, order, kind, end, owners, repositories, live): every base span, and the further
-    candidates that are live. ``live`` tells values of at most ``few_owners`` owners and at most ``few_repositories``
-    repositories an owner from widely copied ones. It is empty where nothing is found. Repeated rows stay repeated. Texts are read once and not shuffled; only rows with a
-    candidate are joined with the counts.
+    candidates that are live. ``live`` tells values that few owners have, and each of them in few repositories or a small
+    share of its own, from widely copied ones. It is empty where nothing is found. Repeated rows stay repeated. Texts are read once and
+    not shuffled; only rows with a candidate are joined with the counts.
     """
     found = cut(scan(df.select(F.col(key).alias("_key"), F.col(owner).alias("_owner"), F.col(repo).alias("_repo"),
                                F.col(text).alias("_text")), "_text", keep=["_key", "_owner", "_repo"])
                 .withColumn("_row", F.monotonically_increasing_id()))
     base = F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
     return (found.select("_row", F.col("_key").alias(key), base.alias("base"))
-            .join(_judged(found, few_owners, few_repositories), "_row", "left").drop("_row"))
+            .join(_judged(found, _repositories(found), few_owners, few_repositories), "_row", "left").drop("_row"))
 
 
-def _judged(found: DataFrame, few_owners: int, few_repositories: int) -> DataFrame:
+def _judged(found: DataFrame, repositories: DataFrame, few_owners: int, few_repositories: int) -> DataFrame:
     """(_row, spans) of the scanned rows (_row, _owner, _repo, base, candidates) that hold any span."""
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("s.kind")).cast("int")
     each = (found.select("_row", "_owner", "_repo", F.explode(F.concat("base", "candidates")).alias("s"))
             .select("_row", "_owner", "_repo", F.sha2("s.value", 256).alias("hash"), "s.kind", "s.start", "s.end",
                     order.alias("order")))
-    live = (F.col("owners") <= few_owners) & (F.col("repositories") <= few_repositories * F.col("owners"))
-    return (each.join(ownership(each), "hash").withColumn("live", live)
+    needed = F.when(F.col("kind") == "owned", 1).otherwise(STRONGER)
+    live = (F.col("owners") <= few_owners) & (F.col("spread") <= needed)
+    return (each.join(ownership(each, repositories, few_repositories), "hash").withColumn("live", live)
             .filter("live OR kind != 'owned'")
             .groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
                 "start", "order", "kind", "end", "owners", "repositories", "live"))).alias("spans")))
@@ -133,7 +149,7 @@ def redact(df: DataFrame, text: str = "text", owner: str = "source", repo: str =
                      keep=[*[f"c{i}" for i in range(len(names))], "_owner", "_repo"])
                 .withColumn("_row", F.monotonically_increasing_id()))
     any_span = F.size("base") + F.size("candidates") > 0
-    judged = _judged(found.filter(any_span), few_owners, few_repositories).filter(F.exists("spans", lambda s: s["live"]))
+    judged = _judged(found.filter(any_span), _repositories(found), few_owners, few_repositories).filter(F.exists("spans", lambda s: s["live"]))
     dirty = found.filter(any_span).drop("base", "candidates").join(judged, "_row", "left")
     inner = f"c{names.index(text)}"
 

@@ -87,3 +87,52 @@ def test_value_in_thousands_of_documents_of_one_source_is_copied(spark):
     assert all(found[5000 + i] == (f"owned:4:{4 + len(LIVE)}", 1, 0) for i in range(20))
     text = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
     assert text[0] == rows[0][1] and text[6000] == f"see {copied}" and text[5000] == "use [SECRET] now"
+
+
+def test_key_of_one_owner_in_some_of_its_documents_is_live(spark):
+    """An access key in 21 documents of one owner is no example, whether the owner has many documents or only these."""
+    key = "AKIA" + "Q7W3E5R9T1Y2U4I6"
+    for others in (0, 400):
+        rows = [(i, f"conf {i} {key} end", "en", "s0") for i in range(21)] + [(100 + i, f"plain text {i}", "en", "s0") for i in range(others)]
+        df = documents(spark, rows)
+        assert {(r["n_live"], r["n_copied"]) for r in secrets.digests(df).filter("doc_id < 100").collect()} == {(1, 0)}
+        assert all(key not in r["text"] for r in secrets.redact(df).collect())
+
+
+def test_verdicts_by_plain_counting(spark):
+    """Owned spans and verdicts of random tables, counted with dictionaries."""
+    import random
+
+    rng = random.Random(5)
+    tokens = ["".join(rng.choice("ABCDEFabcdefghijk0123456789") for _ in range(24)) for _ in range(12)]
+    tokens = [t for t in tokens if secrets._looks_live(t)]
+    keys = ["AKIA" + "".join(rng.choice("ABCDEFGH23456789") for _ in range(16)) for _ in range(6)]
+    rows = []
+    for i in range(400):
+        owner = rng.choice(["a", "a", "a", "b", "c", "d", None])
+        words = [rng.choice(tokens) for _ in range(rng.choice([0, 0, 1]))] + [rng.choice(keys) for _ in range(rng.choice([0, 0, 0, 1]))]
+        if owner == "b" and rng.random() < 0.7:
+            words.append(tokens[0])
+        if owner == "d":
+            words.append(keys[0])
+        words = [w for w in words if owner in ("a", "b") or w in (tokens[1], keys[0], keys[1])]
+        rows.append((i, " and ".join(["x", *words, "y"]), "en", owner))
+    df = documents(spark, rows)
+    found = {r["doc_id"]: r["spans"] or [] for r in secrets.judge(df, few_repositories=5, few_owners=2).collect()}
+    total, where = {}, {}
+    for k, text, _, owner in rows:
+        total[owner] = total.get(owner, 0) + 1
+        for value in {s["value"] for part in secrets.find(text) for s in part}:
+            where.setdefault(value, {}).setdefault(owner, set()).add(k)
+    seen = set()
+    for k, text, _, owner in rows:
+        want = []
+        for s in [s for part in secrets.find(text) for s in part]:
+            holders = where[s["value"]]
+            spread = max(min(len(r) / 5, len(r) / total[o] / 0.01) for o, r in holders.items())
+            live = len(holders) <= 2 and spread <= (1 if s["kind"] == "owned" else 5)
+            seen.add((s["kind"], live))
+            if live or s["kind"] != "owned":
+                want.append((s["start"], s["kind"], s["end"], len(holders), sum(map(len, holders.values())), live))
+        assert [(s["start"], s["kind"], s["end"], s["owners"], s["repositories"], s["live"]) for s in found[k]] == sorted(want)
+    assert {("owned", True), ("owned", False), ("access", True)} <= seen
