@@ -21,6 +21,8 @@ TOP = 400
 #: Languages a set of profiles may have to be broadcast (TOP numbers each).
 MOST_LANGUAGES = 5000
 UNDECIDED = "und"
+#: The fence of a language: this part of the score that all but so large a share of its labelled rows reach.
+FENCE, LOWEST = 0.5, 0.01
 EDGE, BITS = 1, 21
 
 
@@ -102,20 +104,44 @@ def held_out(key: Column, of: int = 4, part: int = 2) -> Column:
 
 
 def languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, held_out, lang_pred, score): learned from the labelled rows that are not held out, predicted for all."""
+    """(key, held_out, lang_pred, score): learned from the labelled rows that are not held out, predicted for all.
+
+    One row per row of ``df``, repeated rows included. ``und`` and 0 for a null text, one without letters, and where no label
+    is known. Of equally near languages the lesser name counts. A null key is not held out. Other columns are ignored.
+    """
     profiles = fit(df.filter(~held_out(F.col(key))), text, lang)
     rows = df.select(F.col(key), F.col(text).alias("_text"), held_out(F.col(key)).alias("held_out"))
     return predict(rows, profiles, "_text", keep=[key, "held_out"])
 
 
-def decided(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.0) -> DataFrame:
-    """The rows of ``df`` with a language: not ``und``, and a score of at least ``least``."""
-    profiles = fit(df.filter(~held_out(F.col(key))), text, lang)
+def fences(df: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """The least score of each language: FENCE times the score that all but LOWEST of the labelled rows predicted as labelled reach."""
+    rows = df.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    right = predict(rows, profiles, "text", keep=["lang"]).filter(F.col("lang") == F.col("lang_pred"))
+    found = right.groupBy("lang").agg(F.percentile_approx("score", LOWEST, 10_000).alias("low")).collect()  # one row a language
+    return {r["lang"]: FENCE * r["low"] for r in found}
+
+
+def decided(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``df`` in a language that some label names, with all its columns.
+
+    Rows go whose text is null or has no letter, and those whose score is 0 or below the fence of the predicted language:
+    texts in a script or language that no profile holds. Profiles and fences are learned from all labelled rows. Without any
+    label nothing is known and all rows with a letter stay. Repeated rows stay repeated.
+    """
+    profiles = fit(df, text, lang)
     # numbered names: a column of the table may be called like one of the prediction
     names = [f"c{i}" for i in range(len(df.columns))]
     rows = df.select(*[F.col(c).alias(name) for c, name in zip(df.columns, names)])
-    out = predict(rows, profiles, names[df.columns.index(text)], keep=names)
-    kept = out.filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least))
+    inner = names[df.columns.index(text)]
+    if not profiles.names:
+        kept = rows.filter(F.regexp_like(inner, F.lit(r"\p{L}")))
+    else:
+        least = fences(df, profiles, text, lang)
+        known = F.create_map(*[F.lit(x) for kv in least.items() for x in kv]) if least else F.create_map(F.lit(""), F.lit(0.0))
+        out = predict(rows, profiles, inner, keep=names)
+        fence = F.coalesce(F.element_at(known, F.col("lang_pred")), F.lit(0.0))
+        kept = out.filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") > 0) & (F.col("score") >= fence))
     return kept.select(*[F.col(name).alias(c) for c, name in zip(df.columns, names)])
 
 

@@ -87,3 +87,14 @@ def test_rows_without_a_language_go(spark):
     df = documents(spark, [(1, "the cat", "en"), (2, "123 ...", "en"), (3, None, "en"), (4, "the dog", "en"), (5, "the cat", "en")], extra=["score"])
     kept = langid.decided(df)
     assert kept.columns == df.columns and {(r["doc_id"], r["score"]) for r in kept.collect()} == {(1, "x"), (4, "x"), (5, "x")}
+
+
+def test_texts_far_from_every_language_go(spark):
+    """A script that no label names scores 0, another language of the same script below the fence or with what letters it shares."""
+    rng = __import__("random").Random(2)
+    words = {"en": "the of and to in is that it was for on are with as his they be at one have".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split()}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(rng.choice([1, 5, 40]))), x) for i, x in enumerate(["en", "de"] * 60)]
+    odd = [(500, "слово другое слово и ещё слова на этом языке", None), (501, "日本語の文章です", None), (502, "12 34", None), (503, None, None)]
+    kept = {r["doc_id"] for r in langid.decided(documents(spark, rows + odd, extra=["score", "lang_pred"])).collect()}
+    assert kept == {r[0] for r in rows}
+    assert {r["doc_id"] for r in langid.decided(documents(spark, [(1, "слово", None), (2, "12", None)])).collect()} == {1}
