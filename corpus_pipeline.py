@@ -14,22 +14,25 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language: those without a letter, or without a text, go."""
+    """Documents in a language that labels name. Those without a text or a letter go, and those far from every language.
+
+    Repeated rows stay repeated; an empty table stays empty; other columns are carried along, whatever their names.
+    """
     return langid.decided(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
+    """One document of each group of near copies, the one with the smallest id; of repeated rows one. Rows without an id stay."""
     return simhash.one_of_each(docs)
 
 
 def clean_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with live-looking secrets replaced; widely copied examples stay."""
+    """All documents, with live-looking secrets replaced; widely copied examples stay. Null and empty texts stay as they are."""
     return secrets.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them: none to three equal rows."""
+    """Documents as often as the mixture takes them: none to three equal rows. Null and empty texts have size 0; a null source is one more."""
     return mixing.mixed(docs)
 
 
