@@ -107,10 +107,30 @@ def document_records(t: Tables) -> DataFrame:
                               F.col("lang").alias("timepoint"), F.lit("development").alias("split"), F.col("text").alias("retrieval_text"))
 
 
-@query("retrieval_from_documents")
+DIMS = 16
+PROJECTED = f"""
+words AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS w FROM documents),
+codes AS (SELECT doc_id, ('0x' || substr(md5(w || '/' || i), 1, 8))::BIGINT % {2 * DIMS} AS c FROM words, range(4) r(i)),
+sums AS (SELECT doc_id, c % {DIMS} AS dim, sum(CASE WHEN c < {DIMS} THEN 1 ELSE -1 END)::DOUBLE AS x FROM codes GROUP BY ALL),
+every AS (SELECT d.doc_id, r.i AS dim, coalesce(s.x, 0) AS x FROM documents d CROSS JOIN range({DIMS}) r(i)
+  LEFT JOIN sums s ON s.doc_id = d.doc_id AND s.dim = r.i),
+vec AS (SELECT doc_id, (dim + 1)::INT AS dim, round((x / greatest(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 1e-12))::FLOAT::DOUBLE, 5) AS x FROM every)"""
+
+
+DOCUMENT_LONG = f"""{PROJECTED},
+v AS (SELECT doc_id AS id, list(f ORDER BY dim) AS v FROM (SELECT doc_id, dim, (x / greatest(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 1e-12))::FLOAT::DOUBLE AS f FROM every) GROUP BY doc_id),
+u AS (SELECT id, source, lang, v, greatest(sqrt(list_inner_product(v, v)), 1e-12) AS n FROM v JOIN documents ON doc_id = id),
+s AS (SELECT a.id AS q, b.id AS c, a.source AS qs, b.source AS cs, a.lang AS ql, list_inner_product(a.v, b.v) / (a.n * b.n) AS sim FROM u a CROSS JOIN u b),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 12) DESC, 'D' || c) AS rank FROM s),
+lg AS (SELECT 'D' || q AS query_doc_id, qs AS query_patient_uid, ql AS query_timepoint, 'development' AS query_split, a.quality::DOUBLE AS query_y_true,
+  rank::INT AS rank, 'D' || c AS neighbor_doc_id, cs AS neighbor_patient_uid, 'development' AS neighbor_split, b.quality::DOUBLE AS neighbor_y_true, sim AS similarity
+  FROM r LEFT JOIN labels a ON a.doc_id = q LEFT JOIN labels b ON b.doc_id = c WHERE rank <= 5)"""
+
+
+@query("retrieval_from_documents", f"WITH {DOCUMENT_LONG} {SUMMARY}")
 def retrieval_from_documents(t):
     """Records to vectors to neighbours to risks."""
-    made = retrieval.prepare(document_records(t), embedding.HashedTextEmbedder(64))
+    made = retrieval.prepare(document_records(t), embedding.ProjectedTextEmbedder(DIMS))
     corpus = cut(made["documents"])
     return rounded(retrieval.run(corpus, corpus, y_true(t), 5)["summary"], *RISKS)
 
@@ -273,16 +293,6 @@ def subgroup_clusters(t):
     return rounded(phenotypes.subgroup(vectors(t), named, "lang", "EN")["labels"], "cluster_probability")
 
 
-DIMS = 16
-PROJECTED = f"""
-words AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS w FROM documents),
-codes AS (SELECT doc_id, ('0x' || substr(md5(w || '/' || i), 1, 8))::BIGINT % {2 * DIMS} AS c FROM words, range(4) r(i)),
-sums AS (SELECT doc_id, c % {DIMS} AS dim, sum(CASE WHEN c < {DIMS} THEN 1 ELSE -1 END)::DOUBLE AS x FROM codes GROUP BY ALL),
-every AS (SELECT d.doc_id, r.i AS dim, coalesce(s.x, 0) AS x FROM documents d CROSS JOIN range({DIMS}) r(i)
-  LEFT JOIN sums s ON s.doc_id = d.doc_id AND s.dim = r.i),
-vec AS (SELECT doc_id, (dim + 1)::INT AS dim, round((x / greatest(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 1e-12))::FLOAT::DOUBLE, 5) AS x FROM every)"""
-
-
 def _components(df: DataFrame) -> DataFrame:
     """One row per component of ``embedding``."""
     others = [c for c in df.columns if c != "embedding"]

@@ -32,6 +32,18 @@ def test_query_equals_sql(spark, folder, db, name):
     assert rows(got) == rows(want)
 
 
+def test_entry_without_the_text_operators():
+    """A missing third-party module takes the queries that need it, not the others."""
+    import subprocess
+    import sys
+
+    code = ("import sys; sys.modules['xxhash'] = None; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); "
+            "assert 'survival_cif' in q and 'pipeline' not in q and not any(n.startswith('op1_') for n in q) and set(e.oracle_sql()) <= set(q)")
+    import os
+
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
