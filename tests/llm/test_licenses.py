@@ -25,7 +25,28 @@ def plain(text):
             b = bag(template)
             if a and 2 * len(a & b) / (len(a) + len(b)) >= licenses.THRESHOLD:
                 out.append((kind, place, name, 2 * len(a & b) / (len(a) + len(b))))
-    return sorted(out)
+    return sorted(out + plain_windows(norm))
+
+
+def plain_windows(norm):
+    """Windows of the length of a template where its chosen bigrams say it begins; of overlapping ones the best."""
+    words, found = norm.split(), []
+    pairs = list(zip(words, words[1:]))
+    starts = {}
+    for name, gram, offset, size in licenses.window_starts(licenses.TEMPLATES, licenses.THRESHOLD):
+        for at, pair in enumerate(pairs):
+            if " ".join(pair) == gram:
+                starts.setdefault((name, size), set()).add(max(0, at - offset))
+    for (name, size), places in starts.items():
+        b = bag(licenses.TEMPLATES[name])
+        good = {}
+        for place in places:
+            a = set(pairs[place:place + size - 1])
+            dice = 2 * len(a & b) / (len(a) + len(b))
+            if dice >= licenses.THRESHOLD:
+                good[place] = dice
+        found += [("window", p, name, d) for p, d in good.items() if not any(abs(q - p) < size and (-e, q) < (-d, p) for q, e in good.items())]
+    return found
 
 
 MIT = licenses.TEMPLATES["mit"]
@@ -36,6 +57,27 @@ TEXTS = [
 ]
 
 
+DISCLAIMER = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY."
+
+
+def test_licences_anywhere(spark):
+    """Whole licences on one line or over paragraphs, notices inside lines; prose about licences is none."""
+    cases = [
+        (f"MIT License Copyright (c) 2021 A. Person {MIT} {DISCLAIMER}", "mit"),
+        (f"prose first. {MIT}\n\n{DISCLAIMER}\n\nprose last", "mit"),
+        ("Our library is released under the MIT License. See the file.", "mit-line"),
+        ("Copyright 2020 Example Inc. All rights reserved.", "all-rights-reserved"),
+        ("Copyright 2019 B\n\n" + licenses.TEMPLATES["bsd-3-clause"].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ") + f"\n\n{DISCLAIMER}", "bsd-3-clause"),
+        (f"/* {licenses.TEMPLATES['apache-2.0-header']} */ package x; import y;", "apache-2.0-header"),
+        ("one line to give the name. Copyright (C) year. " + licenses.TEMPLATES["gpl-3.0-notice"] + " This program is distributed in the hope", "gpl-3.0-notice"),
+        ("It says: " + licenses.TEMPLATES["mpl-2.0-notice"] + " The end.", "mpl-2.0-notice"),
+        ("The rights that were reserved by all the authors of a license are not a public matter, and the software is permitted.", None),
+    ]
+    found = {r["doc_id"]: r["found"] for r in licenses.summary(documents(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    for i, (_, name) in enumerate(cases):
+        assert (f":{name}" in f"{found[i]},".replace(",", ":,") or found[i].endswith(f":{name}")) if name else found[i] == "", (i, found[i])
+
+
 def test_all_templates_match_themselves(spark):
     rows = list(enumerate(licenses.TEMPLATES.items()))
     found = {r["doc_id"]: r for r in licenses.summary(documents(spark, [(i, t) for i, (_, t) in rows])).collect()}
