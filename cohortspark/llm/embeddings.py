@@ -234,7 +234,8 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vec: str = "embedding", thr
     ``n_links``: other rows linked directly. ``component_id``: the smallest key reachable. ``kept``: whether that is the
     row's own. Rows with equal vectors are searched once, and count for each other. Vectors that are null, empty, zero or
     hold null or non-finite components link with nothing, and vectors of unlike length not with each other. Null keys
-    name no component unless nothing else is in it. Other columns are ignored.
+    name no component unless nothing else is in it. Other columns are ignored. A table with more than MOST_LENGTHS lengths of
+    usable vectors that occur twice or more is an error.
     """
     rows = cut(df.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec"))
                .withColumn("ok", usable("vec"))

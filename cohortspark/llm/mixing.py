@@ -131,7 +131,11 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
 
 def mixed(df: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` as often as the mixture takes them; rows it does not take are left out."""
+    """The rows of ``df`` as often as the mixture takes them; rows it does not take are left out.
+
+    Repeated rows are rows of their own. A null or empty text has size 0 and is not taken; a null source is one more source, the last.
+    An empty table stays empty. Columns are carried along, whatever their names.
+    """
     rows = cut(df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)],
                          F.monotonically_increasing_id().alias("row")))
     named = rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)], F.col("row").alias("_mix_row"))
