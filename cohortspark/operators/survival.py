@@ -109,7 +109,9 @@ def logrank_components(frame: DataFrame, groups: list | None = None,
     groups = _groups(counts) if groups is None else groups
     grid = (risk_grid(counts, groups, window_rows)
             .withColumn("total", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)))
-    scale = F.col("d") * (F.col("total") - F.col("d")) / (F.col("total") * F.col("total") * (F.col("total") - 1))
+    # products of three counts pass the range of long from some two million records on, so they are taken in doubles
+    d, total = F.col("d").cast("double"), F.col("total").cast("double")
+    scale = d * (total - d) / (total * total * (total - 1))
     scaled = grid.withColumn("c", F.when(F.col("total") > 1, scale).otherwise(F.lit(0.0)))
     names = F.array(*[F.lit(g) for g in groups]).cast(ArrayType(frame.schema["cluster"].dataType))
     cells = (scaled.select("d", "total", "c", "n", F.posexplode(F.arrays_zip("n", "dg")).alias("i", "a"))

@@ -134,3 +134,21 @@ def test_frame_drops_noise_and_missing(spark):
     assert [tuple(r) for r in got] == [(1, 0, 3.0, 1.0, 0.0)]
     with pytest.raises(ValueError):
         sv.survival_frame(features, labels, "id", "nope", "e")
+
+
+def test_logrank_of_millions_of_records(spark):
+    """Three million records at two times, halves of two groups: the counts' third power is beyond long."""
+    n = 3_000_000
+    frame = spark.range(n).select((F.col("id") % 2).alias("cluster"), F.when(F.col("id") < n / 3, 1.0).otherwise(2.0).alias("time"),
+                                  (F.col("id") % 4 == 0).cast("double").alias("event"), F.lit(0.0).alias("competing"))
+    cells = {(r["cluster"], r["other_cluster"]): r for r in sv.logrank_components(frame).collect()}
+    want_expected = want_variance = observed = 0
+    for at, left in ((n // 3, n), (n - n // 3, n - n // 3)):
+        d = at // 4
+        observed += d
+        want_expected += d / 2
+        want_variance += d * (left - d) / (left - 1) / 4
+    assert cells[0, 0]["observed"] == observed and cells[1, 1]["observed"] == 0
+    assert abs(cells[0, 0]["expected"] / want_expected - 1) < 1e-12
+    assert abs(cells[0, 0]["variance"] / want_variance - 1) < 1e-12 and abs(cells[0, 1]["variance"] / want_variance + 1) < 1e-12
+    assert sv.logrank_k_sample(frame).first()["test_statistic"] > 1e5
