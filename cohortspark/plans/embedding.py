@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, IDFModel, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -52,13 +56,57 @@ class HashedTextEmbedder:
                 .drop("_counts", "_signed"))
 
 
+#: Words whose codes a task remembers, and words of a batch that are looked up at a time.
+KNOWN_WORDS, SLICE_WORDS = 1 << 18, 1 << 20
+
+
+def _projected(dims: int, nonzeros: int):
+    """Lists of words to the signed sums of their codes. Each different word of a batch is hashed once."""
+    known: dict[str, list[int]] = {}
+
+    def codes(word: str) -> list[int]:
+        found = known.get(word)
+        if found is None:
+            if len(known) >= KNOWN_WORDS:
+                known.clear()
+            found = known[word] = [int.from_bytes(hashlib.md5(f"{word}/{i}".encode()).digest()[:4], "big") % (2 * dims) for i in range(nonzeros)]
+        return found
+
+    def sums(words: pa.Array) -> np.ndarray:
+        n, wide = len(words), 2 * dims
+        distinct = pc.dictionary_encode(words.flatten())
+        names, at = distinct.dictionary.to_pylist(), distinct.indices.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(n), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        if "" in names:
+            real = at != names.index("")
+            at, row = at[real], row[real]
+        table = np.array([codes(w) for w in names], dtype=np.int64).reshape(-1, nonzeros)
+        counts = np.zeros(n * wide)
+        for i in range(nonzeros):
+            counts += np.bincount(row * wide + table[at, i], minlength=n * wide)
+        counts = counts.reshape(n, wide)
+        return counts[:, :dims] - counts[:, dims:]
+
+    def run(words: pa.Array) -> pa.Array:
+        size = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        out, at = [np.zeros((0, dims))], 0
+        while at < len(words):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_WORDS, "right")))
+            out.append(sums(words.slice(at, end - at)))
+            at = end
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * dims), pa.array(np.concatenate(out).ravel()))
+
+    return run
+
+
 class ProjectedTextEmbedder:
     """Signed random projection of word counts to ``dims`` dimensions, unit length.
 
     The projection matrix has a row for every possible word, with ``nonzeros`` entries of +1 or -1 whose places and signs come
     from the MD5 of the word and the number of the entry, so nothing is fitted or stored and other engines can redo it.
     An entry is a code below 2 * dims (the upper half counts with a minus sign); codes are counted inside the row, without a shuffle. Words are
-    runs of letters and digits in lower case; a text without any is the zero vector.
+    runs of letters and digits in lower case; a text without any is the zero vector. Texts are cut into words by Spark; the words of a batch go
+    through Arrow, where each different one is hashed once.
     """
 
     def __init__(self, dims: int = 64, nonzeros: int = 4, name: str | None = None):
@@ -66,16 +114,10 @@ class ProjectedTextEmbedder:
         self.name = name or f"projected-words-{dims}"
 
     def __call__(self, df: DataFrame, text: str, out: str) -> DataFrame:
-        d = self.dims
-        words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        entries = F.sequence(F.lit(0), F.lit(self.nonzeros - 1))
-        codes = F.flatten(F.transform(words, lambda w: F.transform(entries, lambda i: F.pmod(
-            F.conv(F.substring(F.md5(F.concat(w, F.lit("/"), i.cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(2 * d)).cast("string"))))
-        counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(2 * d)], inputCol="_codes", outputCol="_counts")
-        both = vector_to_array("_counts")
-        signed = F.zip_with(F.slice(both, 1, d), F.slice(both, d + 1, d), lambda x, y: x - y)
-        return (counter.transform(df.withColumn("_codes", codes)).withColumn("_signed", signed)
-                .withColumn(out, F.transform(l2_normalize(F.col("_signed")), lambda x: x.cast("float"))).drop("_codes", "_counts", "_signed"))
+        words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
+        project = F.arrow_udf(_projected(self.dims, self.nonzeros), T.ArrayType(T.DoubleType()))
+        return (df.withColumn("_signed", project(words))
+                .withColumn(out, F.transform(l2_normalize(F.col("_signed")), lambda x: x.cast("float"))).drop("_signed"))
 
 
 def function_embedder(encode: Callable[[list[str]], list], name: str, batch_size: int = 64) -> Embedder:

@@ -203,3 +203,35 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     folder = ensure_checkpoint_dir(spark)
     assert folder and ensure_checkpoint_dir(spark) == folder
     assert os.path.isdir(folder.replace("file:", ""))
+
+
+def test_projection_hashes_a_word_once(monkeypatch):
+    import hashlib
+
+    import pyarrow as pa
+
+    asked = []
+    monkeypatch.setattr(embedding.hashlib, "md5", lambda b, md5=hashlib.md5: asked.append(b) or md5(b))
+    sums = embedding._projected(8, 3)(pa.array([["", "one", "two", "one"], [], ["one"] * 50, [""]]))
+    assert len(asked) == 9 and len(sums) == 4 and sum(abs(x) for x in sums[2].as_py()) > 0
+    assert sums[1].as_py() == [0.0] * 8 == sums[3].as_py()
+
+
+def test_stream_query_deals_an_arrival_over_files(spark, tmp_path, monkeypatch):
+    from catalog import vectors
+    from catalog.registry import Tables
+
+    docs = [(i, None if i % 50 == 0 else f"text {i} " * (i % 7)) for i in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    files = []
+
+    def counted(session, source, *args, **options):
+        files.append(spark.read.parquet(source).select(F.input_file_name().alias("f")).distinct().count())
+        return embed_stream(session, source, *args, **options)
+
+    monkeypatch.setattr(vectors, "embed_stream", counted)
+    found = []
+    for rows in (20_000, 100):
+        monkeypatch.setattr(vectors, "FILE_DOCUMENTS", rows)
+        found.append(sorted(tuple(r) for r in vectors.embed_stream_documents(Tables(spark, str(tmp_path))).collect()))
+    assert files == [2, 3, 8, 12] and found[0] == found[1] and {r[2] for r in found[0]} == {0, 1, 2}
