@@ -318,6 +318,10 @@ def embed_batch(t):
 FILE = "(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 3)"
 
 
+#: Documents of the table per file of an arrival.
+FILE_DOCUMENTS = 20_000
+
+
 @query("embed_stream", f"""
 WITH {PROJECTED}, f AS (SELECT doc_id, {FILE} AS batch FROM documents),
 r AS (SELECT doc_id, batch, row_number() OVER (PARTITION BY batch ORDER BY doc_id) - 1 AS n FROM f),
@@ -325,17 +329,22 @@ s AS (SELECT batch, sum((c + 63) // 64) OVER (ORDER BY batch) - (c + 63) // 64 A
 SELECT doc_id, 'projected-words-{DIMS}' AS model, batch::BIGINT AS batch, (first + n // 64)::BIGINT AS shard_id, (n % 64)::BIGINT AS row_in_shard, dim, x
 FROM r JOIN s USING (batch) JOIN vec USING (doc_id)""")
 def embed_stream_documents(t):
-    """The documents as three files, the last with the keys of the first again: two batches, a restart, a third batch."""
+    """The documents as three arrivals, the last with the keys of the first again: two batches, a restart, a third batch.
+
+    An arrival is one file, of a large table so many files as keep them small; a batch takes the files of one arrival.
+    """
     root = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     docs = t.documents.select("doc_id", "text")
     part = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % 3
+    files = max(1, docs.count() // FILE_DOCUMENTS)
 
     def arrive(rows: DataFrame) -> None:
-        rows.coalesce(1).write.mode("append").parquet(f"{root}/files")
+        # rows are dealt in turn, so each of the files gets some
+        (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.mode("append").parquet(f"{root}/files")
 
     def run() -> None:
         embed_stream(t.spark, f"{root}/files", docs.schema, f"{root}/sink", f"{root}/state", embedding.ProjectedTextEmbedder(DIMS),
-                     max_files=1, shard_size=64).awaitTermination()
+                     max_files=files, shard_size=64).awaitTermination()
 
     arrive(docs.filter(part == 0))
     arrive(docs.filter(part == 1))
