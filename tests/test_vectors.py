@@ -493,3 +493,40 @@ def test_concordance_closed_forms(spark):
     assert (one["ari"], one["nmi"]) == (1.0, 1.0)
     half = agreement(spark, [0, 0, 1, 1], [0, 1, 0, 1])
     assert half["ari"] == pytest.approx(-0.5) and half["nmi"] == pytest.approx(0)
+
+
+def test_a_query_travels_once_to_a_region(spark, monkeypatch):
+    """Cells that a query visits share its vector, so rows grow with the regions, not with the cells."""
+    x = np.random.default_rng(1).normal(size=(600, 8))
+    routed = []
+
+    def kept(queries, cells, *args, route=neighbors.route):
+        routed.append((route(queries, cells, *args), cells))
+        return routed[-1][0]
+
+    monkeypatch.setattr(neighbors, "REGIONS", 4)
+    monkeypatch.setattr(neighbors, "route", kept)
+    df = frame(spark, x)
+    got = neighbors.nearest(df, df, 5, "euclidean", exclude_same_id=True, n_pivots=60).toPandas()
+    assert len(routed) == 2
+    for df, cells in routed:
+        regions = cells.regions(neighbors.BLOCK_ROWS)
+        assert len(set(regions)) < 9 and np.bincount(regions, cells.counts).max() <= 150
+        sent = df.agg(F.count("*").alias("n"), F.sum(F.size("cells")).alias("visits"), F.count_distinct("qrep", "region").alias("d")).first()
+        assert sent["n"] == sent["d"] <= 600 * len(set(regions))
+    assert sent["visits"] > 4 * sent["n"]
+    value = got.sort_values(["query_id", "rank"]).groupby("query_id")["distance"].apply(lambda v: [-round(w, 7) for w in v]).tolist()
+    assert np.allclose(value, brute(x, x, 5, "euclidean", True), atol=1e-6)
+
+
+def test_few_rows_of_a_sample_reach_the_driver(spark):
+    from cohortspark.operators.ordered import least_hashed
+
+    df = spark.range(20_000).repartition(16)
+    key = F.xxhash64("id", F.lit(3))
+    want = [r["id"] for r in df.orderBy(key, "id").limit(100).collect()]
+    found = least_hashed(df, key, "id", 100, 20_000)
+    assert [r["id"] for r in found.collect()] == want
+    assert "xxhash64" in found._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1].split("\n")[0]
+    copies = df.select((F.col("id") * 0).alias("id"))
+    assert least_hashed(copies, F.xxhash64("id"), "id", 100, 20_000).count() == 100
