@@ -530,3 +530,17 @@ def test_few_rows_of_a_sample_reach_the_driver(spark):
     assert "xxhash64" in found._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1].split("\n")[0]
     copies = df.select((F.col("id") * 0).alias("id"))
     assert least_hashed(copies, F.xxhash64("id"), "id", 100, 20_000).count() == 100
+
+
+def test_ranks_leave_out_every_row_of_the_two_ids(spark):
+    """Ids that come again with other vectors; a start with several ends is measured once."""
+    rng = np.random.default_rng(6)
+    x, ids = rng.normal(size=(60, 2)), np.r_[np.arange(50), np.arange(10)]
+    pairs = [(s, d) for s in range(20, 30) for d in (3, 7, 12, 40)]
+    got = sorted(tuple(r) for r in neighbors.ranks(spark.createDataFrame(pairs, "src long, dst long"), frame(spark, x, ids), "euclidean", n_pivots=1).collect())
+    want = []
+    for s, d in pairs:
+        for e in np.flatnonzero(ids == d):
+            far, dist = np.linalg.norm(x[e] - x[s]), np.linalg.norm(x - x[s], axis=1)
+            want.append((s, d, int(((dist < far) & (ids != s) & (ids != d)).sum()) + 1))
+    assert got == sorted(want)
