@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortspark.operators import features as feat, metrics
 from cohortspark.operators.ordered import global_row_number
@@ -141,6 +143,16 @@ def exact_attributions(model: FittedClassifier, frame: DataFrame, key: str, labe
     if m > MOST_EXACT:
         raise ValueError(f"more than {MOST_EXACT} columns have too many coalitions; sample them")
     rows, background, _, base = _background(model, frame, key, label, n_background, seed)
+    worth = _by_coalitions if model.boosted else _by_leaves
+    wide = worth(model, rows, background, key).join(F.broadcast(base), "class")  # one row per class
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_{i}").alias("phi")) for i, c in enumerate(used)]))
+    return wide.select(key, F.col("truth").alias("cluster"), "class", each.alias("c"), "base").select(
+        key, "cluster", "c.feature", "class", "c.phi", "base")
+
+
+def _by_coalitions(model: FittedClassifier, rows: DataFrame, background: DataFrame, key: str) -> DataFrame:
+    """(key, truth, class, _0, _1, ..): every row scored with every background row and coalition."""
+    m = len(model.used)
     mixed = (rows.join(F.broadcast(background)).withColumn("on", F.explode(F.sequence(F.lit(0), F.lit((1 << m) - 1))))
              .withColumn("v", F.transform("x", lambda v, i: F.when(F.getbit(F.col("on"), i) == 1, v).otherwise(F.get("b", i)))))
     scored = model.probabilities(mixed.select(key, "truth", "on", array_to_vector("v").alias("_v")), vec="_v")
@@ -151,10 +163,74 @@ def exact_attributions(model: FittedClassifier, frame: DataFrame, key: str, labe
     outside = F.array(*[F.lit(math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m)) if s < m else F.lit(0.0) for s in range(m + 1)])
     size = F.bit_count("on")
     terms = [F.sum(F.col("w") * F.when(F.getbit(F.col("on"), F.lit(i)) == 1, F.get(inside, size)).otherwise(-F.get(outside, size))).alias(f"_{i}") for i in range(m)]
-    wide = worth.groupBy(key, "truth", "class").agg(*terms).join(F.broadcast(base), "class")  # one row per class
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_{i}").alias("phi")) for i, c in enumerate(used)]))
-    return wide.select(key, F.col("truth").alias("cluster"), "class", each.alias("c"), "base").select(
-        key, "cluster", "c.feature", "class", "c.phi", "base")
+    return worth.groupBy(key, "truth", "class").agg(*terms)
+
+
+def _leaf_table(bounds: dict, probs: list[float], background: np.ndarray, m: int) -> tuple[list, np.ndarray]:
+    """Tests (column, low, high) of a leaf, and for each set of tests a row passes what the leaf gives (class, column), on average over
+    the background.
+
+    A coalition leads a mixed row to the leaf if it holds all columns only the row passes and none of those only the background row
+    passes; a column neither passes shuts the leaf off.
+    """
+    tests = [(i, *b) for i, b in sorted(bounds.items())]
+    k = len(tests)
+    seen, counts = np.unique(_passed(tests, background), return_counts=True)
+    of_row = np.arange(1 << k)
+    table = np.zeros((1 << k, len(probs), m))
+    for other, n in zip(seen, counts):
+        own, its = of_row & ~other, other & ~of_row
+        a, b = (np.array([int(v).bit_count() for v in side]) for side in (own, its))
+        open_ = (of_row | other) == (1 << k) - 1
+        for j, (i, _, _) in enumerate(tests):
+            gain = [math.factorial(x - 1) * math.factorial(y) / math.factorial(x + y) if x else 0.0 for x, y in zip(a, b)]
+            loss = [math.factorial(x) * math.factorial(y - 1) / math.factorial(x + y) if y else 0.0 for x, y in zip(a, b)]
+            share = np.where(own >> j & 1, gain, 0.0) - np.where(its >> j & 1, loss, 0.0)
+            table[:, :, i] += (np.where(open_, share, 0.0) * n / len(background))[:, None] * np.array(probs)
+    return tests, table.reshape(1 << k, -1)
+
+
+def _passed(tests: list, x: np.ndarray) -> np.ndarray:
+    """Bit j of a row is set if it passes test j."""
+    out = np.zeros(len(x), dtype=np.int64)
+    for j, (i, low, high) in enumerate(tests):
+        passes = np.ones(len(x), dtype=bool)
+        if low is not None:
+            passes &= ~(x[:, i] <= low)
+        if high is not None:
+            passes &= x[:, i] <= high
+        out |= passes.astype(np.int64) << j
+    return out
+
+
+def _by_leaves(model: FittedClassifier, rows: DataFrame, background: DataFrame, key: str) -> DataFrame:
+    """As :func:`_by_coalitions`, for forests: a score is a sum over leaves, and so are its Shapley values.
+
+    What a leaf gives depends on which of the few columns on its path a row passes, so it is worked out once for each such set, and a row
+    looks it up.
+    """
+    m, n = len(model.used), len(model.classes)
+    known = np.array([r["b"] for r in background.select("b").collect()], dtype=float).reshape(-1, m)  # at most MOST_BACKGROUND rows
+    tables = [_leaf_table(bounds, probs[:n], known, m) for bounds, probs in model.leaves(rows.sparkSession)]
+
+    def shares(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+                phi = np.zeros((len(x), n * m))
+                for tests, table in tables:
+                    phi += table[_passed(tests, x)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(phi[:, j]) for j in range(n * m)]],
+                                                 names=[key, "truth", *[f"_{j}" for j in range(n * m)]])
+
+    given = rows.select(key, "truth", "x")
+    schema = T.StructType([*given.schema.fields[:2], *[T.StructField(f"_{j}", T.DoubleType()) for j in range(n * m)]])
+    # rows of one key and class label share their values
+    mean = given.mapInArrow(shares, schema).groupBy(key, "truth").agg(*[F.avg(f"_{j}").alias(f"_{j}") for j in range(n * m)])
+    each = F.explode(F.array(*[F.struct(F.lit(int(c)).cast("long").alias("class"), *[F.col(f"_{c_at * m + i}").alias(f"_{i}") for i in range(m)])
+                               for c_at, c in enumerate(model.classes)]))
+    return mean.select(key, "truth", each.alias("c")).select(key, "truth", "c.*")
 
 
 def explain(features: DataFrame, labels: DataFrame, key: str, wanted: list[str], n_background: int = 500,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.operators import features as feat, metrics
 from cohortspark.operators.summary import known_labels, mean_importance
-from cohortspark.runtime import cut, together
+from cohortspark.runtime import cut, ensure_checkpoint_dir, together
 
 
 class FittedClassifier:
@@ -53,6 +54,33 @@ class FittedClassifier:
         best = F.array_max(F.transform("probs", lambda p: F.struct(p["prob"].alias("p"), (-p["class"]).alias("c"))))
         return scored.withColumn("predicted", -best["c"])
 
+    def leaves(self, spark) -> list[tuple[dict[int, tuple[float | None, float | None]], list[float]]]:
+        """Every leaf of the forest: its bounds (low, high] per column on its path, and what it adds to the probability of each class."""
+        path = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
+        self.models[0].write().save(path)
+        nodes = {}
+        for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():  # model-sized
+            nodes[r["treeID"], r["id"]] = r
+        trees = sorted({tree for tree, _ in nodes})
+        out = []
+
+        def walk(tree, at, bounds):
+            node = nodes[tree, at]
+            if node["leftChild"] < 0:
+                total = sum(node["impurityStats"])
+                out.append((bounds, [v / total / len(trees) for v in node["impurityStats"]]))
+                return
+            i, split = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
+            if node["split"]["numCategories"] != -1:
+                raise ValueError("columns of categories have no bounds")
+            low, high = bounds.get(i, (None, None))
+            walk(tree, node["leftChild"], {**bounds, i: (low, split)})
+            walk(tree, node["rightChild"], {**bounds, i: (split, high)})
+
+        for tree in trees:
+            walk(tree, 0, {})
+        return out
+
     def importances(self, spark) -> DataFrame:
         """(feature, importance), averaged over the models."""
         total = [0.0] * len(self.used)
