@@ -1,9 +1,11 @@
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.operators import features as feat
-from cohortspark.plans import attribution, backmapping
+from cohortspark.plans import attribution, backmapping, phenotypes
 from cohortspark.runtime import cut
 
 
@@ -145,3 +147,25 @@ def test_feature_frame_rules(spark):
     text = spark.createDataFrame([(1, "m")], "id int, sex string")
     with pytest.raises(ValueError):
         feat.feature_frame(text, labels, "id", ["sex"])
+
+
+def test_comparator_runs_both_clusterings_side_by_side(spark, monkeypatch):
+    """k-means and the layout with its clusters wait for each other here: one after the other they would never meet."""
+    both = threading.Barrier(2, timeout=60)
+
+    def means(scores, ks, seed=42, starts=10, id_col="id", vec_col="pc", max_iter=100):
+        both.wait()
+        return scores.select("id", *[F.pmod("id", F.lit(k)).cast("int").alias(f"kmeans_k{k}_label") for k in ks]), [(k, 1.0) for k in ks]
+
+    def dense(vectors, **options):
+        both.wait()
+        labels = vectors.select("id", F.pmod("id", F.lit(2)).alias("cluster_label"))
+        return {"labels": labels, "coords": labels, "display": labels}
+
+    monkeypatch.setattr(phenotypes, "kmeans_range", means)
+    monkeypatch.setattr(phenotypes, "phenotype", dense)
+    rows = spark.range(12).select("id", (F.col("id") % 5).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    labels = spark.range(12).select("id", (F.col("id") % 2).alias("cluster_label"))
+    found = phenotypes.compare(rows, labels, "id", ["x", "y"], [], ks=[2], selected_k=3, n_components=2)
+    scores = {r["comparison_pair"]: r["ari"] for r in found["concordance"].collect()}
+    assert len(scores) == 3 and scores["embedding_vs_kmeans_k2"] == 1.0 and scores["embedding_vs_structured_umap_hdbscan"] == 1.0
