@@ -544,3 +544,34 @@ def test_ranks_leave_out_every_row_of_the_two_ids(spark):
             far, dist = np.linalg.norm(x[e] - x[s]), np.linalg.norm(x - x[s], axis=1)
             want.append((s, d, int(((dist < far) & (ids != s) & (ids != d)).sum()) + 1))
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("cosine", [True, False])
+def test_only_pairs_inside_the_bound_are_scored(monkeypatch, cosine):
+    """With a bound that few pairs keep, the block is not ranked as a whole, and nothing inside the bound is lost."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    q, c = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(300, 16)), rng.normal(size=(5000, 16))))
+    c[100] = c[200]
+    score = np.round(q @ c.T if cosine else -neighbors._distances(q, c), 12)
+    bound = np.sort(score, axis=1)[:, -4]
+    bound[0] = 2.0 if cosine else 0.0  # nothing is near enough
+    wanted = {}
+    for i in range(300):
+        order = np.lexsort((np.arange(5000), -score[i]))
+        wanted[i] = [(int(j), float(score[i, j])) for j in order[:3] if score[i, j] >= bound[i] - neighbors.SLACK]
+
+    def queries(limits):
+        return pd.DataFrame({"qrep": np.arange(300), "vec": list(q), "bound": limits})
+
+    rows = pd.DataFrame({"rep": np.arange(5000), "vec": list(c)})
+    every = neighbors._top_kernel(3, cosine, True)(queries(np.full(300, -1e300)), rows)
+    monkeypatch.setattr(neighbors.np, "partition", lambda *a, **k: pytest.fail("all pairs were ranked"))
+    found = neighbors._top_kernel(3, cosine, True)(queries(bound), rows)
+    pairs = {i: [] for i in range(300)}
+    for r in found.itertuples(index=False):
+        pairs[int(r.qrep)].append((int(r.crep), float(r.score)))
+    assert pairs == wanted and not pairs[0]
+    tops = every.groupby("qrep")["crep"].apply(list)
+    assert all(tops[i] == [j for j, _ in wanted[i]] for i in range(1, 300))
