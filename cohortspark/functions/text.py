@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F, types as T
 
 # Inclusive age bands and the labels below and above them.
@@ -36,6 +39,12 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def rstrip(c: Column) -> Column:
+    """Trim the end. The end is looked at first, because trimming goes over the whole text. Give it a plain column."""
+    blank = reduce(or_, [c.endswith(x) for x in SPACES])
+    return F.when(blank, F.rtrim(c, F.lit(SPACES))).otherwise(c)
+
+
 def null_if_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 

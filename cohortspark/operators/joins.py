@@ -60,11 +60,11 @@ def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return only_left.unionByName(only_right)
 
 
-def children_text(children: DataFrame, key: str, order: list[str], text: Column, name: str) -> DataFrame:
+def children_text(children: DataFrame, key: str, order: list[str], text: Column, name: str, sep: str = "\n") -> DataFrame:
     """One text per parent from its ordered child texts.
 
     The children must already be one row per output line group: the list is the content of the result.
     """
     entry = F.struct(*[F.col(c) for c in order], text.alias("_text"))
     return (children.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("_items"))
-            .select(key, F.array_join(F.col("_items._text"), "\n").alias(name)))
+            .select(key, F.array_join(F.col("_items._text"), sep).alias(name)))

@@ -160,44 +160,30 @@ def episode_rows(episodes: DataFrame, key: str, tie_order: list[str]) -> DataFra
     return first_row(kept, [key, "BSI_episode_num"], order)
 
 
-def _drug_lists(row: _Row, report: bool) -> Column:
+def _drug_list(row: _Row, report: bool) -> Column:
     names = EMPIRIC_LISTS + (["tt_ab_name_list"] if report else [])
     # "has an item" is a cheap test, so only the list that is used gets parsed
-    lists = [F.when(F.col(c).rlike(r"[^,\s]"), packed.comma_list(F.col(c))) for c in names if row.has(c)]
-    return packed.first_non_empty(lists)
+    lists = [F.when(F.col(c).rlike(r"[^,\s]"), F.col(c)) for c in names if row.has(c)]
+    return F.coalesce(*lists, F.lit(None).cast("string"))
 
 
-def with_episode_lists(first: DataFrame, report: bool) -> DataFrame:
-    """Adds the drug list (_drugs) and the shown (drug, result) pairs (_pairs) of each episode.
+def with_episode_lists(first: DataFrame, report: bool, as_lines: bool = False) -> DataFrame:
+    """Adds the drug list (_drugs) and the shown (drug, result) pairs (_pairs) of each episode; ``as_lines`` their lines as text, null if none.
 
     The flat list is a fallback: for narratives only when the packed string had no block, for reports
-    whenever no listed pair came out of it (then sorted and distinct). Every list is a column of its
-    own, because an expression used twice would be parsed twice.
+    whenever no listed pair came out of it (then sorted and distinct).
     """
     row = _Row(first)
-    empty = F.array().cast(packed.PAIR_TYPE)
-    df = first.withColumn("_drugs", _drug_lists(row, report))
-    if row.has("AST_ab_result_by_microbe"):
-        df = packed.with_blocks(df, "AST_ab_result_by_microbe", "_blocks")
-    else:
-        df = df.withColumn("_blocks", F.array().cast("array<struct<grp:string,items:array<string>>>"))
-    flat = (packed.shown(packed.flat_pairs(F.col("AST_ab_result_list_episode")))
-            if row.has("AST_ab_result_list_episode") else empty)
-    df = df.withColumn("_boxed", packed.block_pairs(F.col("_blocks")))
-    if report:
-        pairs = F.when(F.size("_boxed") > 0, F.col("_boxed")).otherwise(F.array_sort(F.array_distinct(flat)))
-    else:
-        pairs = F.when(F.size("_blocks") > 0, F.col("_boxed")).otherwise(flat)
-    return df.withColumn("_pairs", pairs).drop("_blocks", "_boxed")
+    packed_text, flat = (F.col(c).cast("string") if row.has(c) else F.lit(None).cast("string")
+                         for c in ("AST_ab_result_by_microbe", "AST_ab_result_list_episode"))
+    df = first.withColumn("_lists", packed.episode_lists(_drug_list(row, report), packed_text, flat, report, as_lines))
+    return df.withColumns({"_drugs": F.col("_lists.drugs"), "_pairs": F.col("_lists.pairs")}).drop("_lists")
 
 
 def episode_text(first: DataFrame, variant: str) -> Column:
-    """The lines of one episode, closed by an empty line."""
+    """The lines of one episode; its lists must be there as lines."""
     head, report, row = HEADINGS[variant], variant == "report", _Row(first)
     timing = text.day_offset_text(F.col("test_date"), F.col("_admission_date"))
-    drug_lines = F.transform("_drugs", lambda d, i: F.concat(F.lit("  o Antibiotic_"), (i + 1).cast("string"),
-                                                            F.lit(": "), d))
-    result_lines = F.transform("_pairs", lambda p: F.concat(F.lit("  o "), p["name"], F.lit(": "), p["result"]))
     no_drug = "  o NA" if report else "  o Antibiotic_1: NA"
     return F.concat_ws(
         "\n",
@@ -207,10 +193,9 @@ def episode_text(first: DataFrame, variant: str) -> Column:
         _line("- Polymicrobial", row.flag("BSI_episode_polymicrobial")),
         *[_line(f"- {c}", row.flag(c)) for c in EPISODE_FLAGS],
         F.lit(head["empiric"]),
-        F.when(F.size("_drugs") > 0, F.array_join(drug_lines, "\n")).otherwise(no_drug),
+        F.coalesce("_drugs", F.lit(no_drug)),
         F.lit("- AST (selected antibiotics):"),
-        F.when(F.size("_pairs") > 0, F.array_join(result_lines, "\n")).otherwise("  o NA"),
-        F.lit(""))
+        F.coalesce("_pairs", F.lit("  o NA")))
 
 
 def build(admissions: DataFrame, episodes: DataFrame, ids: DataFrame | None = None, max_n: int | None = None,
@@ -234,25 +219,27 @@ def build(admissions: DataFrame, episodes: DataFrame, ids: DataFrame | None = No
     firsts = episode_rows(episodes, key, episode_order or [])
     # only the parent date travels to the episodes; the rendered text travels back
     dated = firsts.join(adm.select(key, date.alias("_admission_date")), key)
-    dated = with_episode_lists(dated, report)
+    dated = with_episode_lists(dated, report, as_lines=True)
     # an episode without a number prints nothing, but its admission does have episodes
     lines = F.when(F.col("BSI_episode_num").isNotNull(), episode_text(dated, variant))
     rendered = dated.select(key, F.col("BSI_episode_num").alias("_num"), lines.alias("_lines"))
-    blocks = children_text(rendered, key, ["_num"], F.col("_lines"), "_episodes")
+    # an empty line between episodes; only the end of the last one is trimmed, which ends the section
+    blocks = children_text(rendered, key, ["_num"], F.col("_lines"), "_episodes", "\n\n").withColumn("_episodes", text.rstrip(F.col("_episodes")))
 
     joined = adm.join(blocks, key, "left")
     row = _Row(joined)
     body = F.coalesce("_episodes", F.lit(head["no_episodes"]))
-    episode_section = F.rtrim(F.concat_ws("\n", F.lit(head["episodes"]), body), F.lit(text.SPACES))
+    episode_section = F.concat_ws("\n", F.lit(head["episodes"]), F.nullif(body, F.lit("")))
     sections = [_admin(row, head, report)]
     if report:
         sections.append(_fungemia(row, head))
     sections += [_comorbidities(row, head), _severity(row, head), _labs(row, head, transaminases),
                  _colonization(row, head, report), episode_section]
     if report:
-        sections.append(_extra(row, head))
+        sections.append(F.rtrim(_extra(row, head), F.lit(text.SPACES)))
+    # no section ends in white space, so the whole text needs no trimming
     full = F.concat_ws("\n", F.lit("[Case]"), *sections)
-    return joined.select(key, patient_text.alias("patient_id"), F.concat(text.strip(full), F.lit("\n")).alias("text"))
+    return joined.select(key, patient_text.alias("patient_id"), F.concat(full, F.lit("\n")).alias("text"))
 
 
 def sanitize(df: DataFrame, column: str) -> DataFrame:

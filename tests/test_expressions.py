@@ -77,3 +77,51 @@ def test_outcome_and_vectors(spark):
     unit = [r[0] for r in v.select(l2_normalize(F.col("v"))).collect()]
     assert unit == [[0.6, 0.8], [0.0, 0.0]]
     assert v.select(dot(F.col("v"), F.col("v"))).first()[0] == pytest.approx(25.0)
+
+
+def test_batch_lists_are_those_of_the_expressions(spark):
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(7)
+    pieces = ["Vancomycin", "Oxacillin", "Linezolid", ":", ":", ";", ";", "|", "|", "{", "}", "{na}", "{ NA }", " ", "\xa0", "\n", "S", "R", "é", ",", " ", "A{Oxacillin:S; Vancomycin : R}"]
+    rows = [tuple(None if draw.random() < 0.1 else "".join(draw.choices(pieces, k=draw.randrange(14))) for _ in range(3)) for _ in range(600)]
+    rows += [("a, b ,a,,　c", "A{Oxacillin:S}|B{na}|A{Vancomycin:R;Vancomycin:R;Oxacillin::}", "Oxacillin:S; Oxacillin:S"), ("", "A{Oxacillin:S\n;Vancomycin:S}", "Vancomycin:"),
+             (" ", "x{Linezolid:S}", "Vancomycin:S;Oxacillin:R;Vancomycin:S")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, drugs string, grouped string, flat string").repartition(3)
+    df = packed.with_blocks(df, "grouped", "_blocks").withColumn("_boxed", packed.block_pairs(F.col("_blocks")))
+    flat = packed.shown(packed.flat_pairs(F.col("flat")))
+    want = {False: F.when(F.size("_blocks") > 0, F.col("_boxed")).otherwise(flat),
+            True: F.when(F.size("_boxed") > 0, F.col("_boxed")).otherwise(F.array_sort(F.array_distinct(flat)))}
+    for on_pairs, pairs in want.items():
+        got = df.select("i", packed.comma_list(F.col("drugs")).alias("a"), pairs.alias("b"), packed.episode_lists(F.col("drugs"), F.col("grouped"), F.col("flat"), on_pairs).alias("l"),
+                        packed.episode_lists(F.col("drugs"), F.col("grouped"), F.col("flat"), on_pairs, True).alias("t")).collect()
+        for r in got:
+            assert r["l"]["drugs"] == r["a"] and r["l"]["pairs"] == r["b"], rows[r["i"]]
+            assert r["t"]["drugs"] == ("\n".join(f"  o Antibiotic_{n}: {d}" for n, d in enumerate(r["a"], 1)) or None)
+            assert r["t"]["pairs"] == ("\n".join(f"  o {p['name']}: {p['result']}" for p in r["b"]) or None)
+        assert any(r["b"] for r in got)
+    none = pa.array([], pa.string())
+    assert len(packed.batch_lists(none, none, none, True, True)) == len(packed.batch_lists(none, none, none, False, False)) == 0
+
+
+def test_rstrip(spark):
+    values = ["a", "a ", " a\xa0\n", "　", "", None, "a​", "a b \t"]
+    assert one(spark, values, T.StringType(), text.rstrip) == one(spark, values, T.StringType(), lambda c: F.rtrim(c, F.lit(text.SPACES)))
+
+
+def test_audit_finds_terms_as_lowered_texts_hold_them(spark):
+    import pyarrow as pa
+
+    from cohortspark.operators import quality
+
+    texts = ["MORTALITY", "morta", "lity", None, "", "in-hospital", "INHOSPITAL_MORTALITY x mortality", "Kİ Mortality_30D", "toKen", "TOKEN", "İd", "éÉ"]
+    terms = ["mortality", "inhospital_mortality", "mortality_30d", "token", "i̇", "id", "é"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, text string, own string").coalesce(1)
+    want = {f"term:{t}": rows for t in terms if (rows := [r[0] for r in df.filter(F.lower("text").contains(t)).select("id").orderBy("id").collect()])}
+    want["own_id"] = [6]
+    assert {r["rule"]: (r["n"], r["first_id"]) for r in quality.leakage_audit(df, "text", "own", "id", terms).collect()} == {k: (len(v), v[0]) for k, v in want.items()}
+    # a slice of a batch, and terms that would begin in one text and end in the next
+    found = quality.rows_with(pa.array(texts, pa.string()).slice(1, 6), ["mortality", "inhospital_mortality"])
+    assert [f.tolist() for f in found] == [[5], [5]]
