@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortspark.operators.ordered import exact_quantiles, global_row_number
@@ -74,13 +78,76 @@ def embedding_checks(metadata: DataFrame, vectors: DataFrame, sources: DataFrame
     return out
 
 
+def _lowered(data: bytes) -> bytes:
+    """UTF-8 lower-cased as far as an ASCII term can tell: A-Z, and the two other characters whose lower case has an ASCII letter."""
+    return data.lower().replace("\u212a".encode(), b"k").replace("\u0130".encode(), "i\u0307".encode())
+
+
+def rows_with(texts: pa.Array, terms: list[str]) -> list[np.ndarray]:
+    """For each ASCII term the rows whose lower-cased text holds it.
+
+    The texts of a batch lie behind each other and are searched in one go; a term that holds another one is looked for only in
+    the rows that have the other.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = memoryview(texts.buffers()[2] or b"")[at[0]:at[-1]].tobytes()
+    low = _lowered(data)
+    if len(low) != len(data):  # some letter changed its length: lengths are taken again
+        pieces = [_lowered(data[a:b]) for a, b in zip(at[:-1] - at[0], at[1:] - at[0])]
+        low, at = b"".join(pieces), np.r_[0, np.cumsum([len(p) for p in pieces])]
+    at = at - at[0]
+    ends, found = at[1:].tolist(), {}
+    for term in sorted(terms, key=len):
+        needle, rows = term.encode(), []
+        inner = next((found[t] for t in found if t in term), None)
+        if inner is not None:
+            rows = [r for r in inner.tolist() if low.find(needle, at[r], at[r + 1]) >= 0]
+        elif not term:
+            rows = list(range(len(ends)))
+        else:
+            place = low.find(needle)
+            while place >= 0:
+                row = bisect_right(ends, place)
+                if place + len(needle) <= ends[row]:
+                    rows.append(row)
+                    place = low.find(needle, ends[row])
+                else:  # reaches into the next text
+                    place = low.find(needle, place + 1)
+        found[term] = np.array(rows, dtype=np.int64)
+    return [found[t] for t in terms]
+
+
+def _terms_found(column: Column, terms: list[str]) -> Column:
+    """The rules ("term:...") a text breaks, null for a null text."""
+
+    @F.arrow_udf("array<string>")
+    def found(texts: pa.Array) -> pa.Array:
+        real = np.asarray(pc.is_valid(texts))
+        rows = [r[real[r]] for r in rows_with(texts, terms)]
+        row, which = np.concatenate(rows), np.repeat(np.arange(len(terms)), [len(r) for r in rows])
+        order = np.lexsort((which, row))
+        offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=len(texts)))].astype(np.int32)
+        names = pa.array([f"term:{t}" for t in terms]).take(pa.array(which[order]))
+        return pa.ListArray.from_arrays(pa.array(offsets), names)
+
+    return found(column)
+
+
 def leakage_audit(df: DataFrame, text: str, own_id: str, key: str, terms: list[str] | None = None) -> DataFrame:
     """Texts that mention an outcome term or their own patient id; one row per broken rule."""
-    df = df.withColumn("_body", F.lower(F.col(text)))
-    body = F.col("_body")
-    rules: list[Column] = [F.when(body.contains(t), F.lit(f"term:{t}")) for t in (terms or OUTCOME_TERMS)]
-    rules.append(F.when(F.col(text).contains(F.col(own_id)), F.lit("own_id")))
-    hits = df.select(key, F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+    terms = terms or OUTCOME_TERMS
+    plain, other = [t for t in terms if t.isascii()], [t for t in terms if not t.isascii()]
+    own = F.when(F.col(text).contains(F.col(own_id)), F.lit("own_id"))
+    df = df.withColumn("_own", own)
+    found = [F.array("_own")]
+    if plain:
+        df = df.withColumn("_terms", _terms_found(F.col(text), plain))
+        found.append(F.coalesce("_terms", F.array().cast("array<string>")))
+    if other:
+        df = df.withColumn("_body", F.lower(F.col(text)))
+        found.append(F.array(*[F.when(F.col("_body").contains(t), F.lit(f"term:{t}")) for t in other]))
+    hits = df.select(key, F.explode(F.concat(*found)).alias("rule")).filter(F.col("rule").isNotNull())
     return hits.groupBy("rule").agg(F.count("*").alias("n"), F.min(key).alias("first_id"))
 
 
