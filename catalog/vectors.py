@@ -131,7 +131,8 @@ lg AS (SELECT 'D' || q AS query_doc_id, qs AS query_patient_uid, ql AS query_tim
 def retrieval_from_documents(t):
     """Records to vectors to neighbours to risks."""
     made = retrieval.prepare(document_records(t), embedding.ProjectedTextEmbedder(DIMS))
-    corpus = cut(made["documents"])
+    # the search needs no texts, so they are not written once more
+    corpus = cut(made["documents"].select("doc_id", "patient_uid", "timepoint", "split", "embedding"))
     return rounded(retrieval.run(corpus, corpus, y_true(t), 5)["summary"], *RISKS)
 
 

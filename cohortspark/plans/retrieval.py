@@ -47,7 +47,8 @@ def retrieve(queries: DataFrame, corpus: DataFrame, labels: DataFrame, k: int =
 
     ``queries`` and ``corpus`` carry (key, patient_uid, timepoint, split, vec); ``labels`` (key, y_true).
     """
-    y = labels.select(key, F.col("y_true").cast("double").alias("y_true"))
+    # a file of labels is some 50 times smaller than their hash table, so its size must not make them a broadcast
+    y = labels.select(key, F.col("y_true").cast("double").alias("y_true")).hint("merge")
     attach = left_one_to_one if validate else (lambda a, b, c: a.join(b, c, "left"))
     q = attach(queries, y, key)
     c = attach(corpus, y, key)
@@ -87,7 +88,7 @@ def summarize(long: DataFrame, queries: DataFrame, labels: DataFrame, k: int = 5
         F.max(F.when(first, sim)).alias("top1_similarity"), F.max(F.when(first, y)).alias("top1_neighbor_y_true"),
         F.count_if(y == 1).alias("n_positive_in_topk"), F.avg(y).alias("retrieval_neighborhood_risk_mean"),
         weighted_risk(sim, y).alias("retrieval_neighborhood_risk_weighted"), listed.alias("_l"))
-    all_queries = (queries.join(labels.select(key, F.col("y_true").cast("double").alias("query_y_true")), key, "left")
+    all_queries = (queries.join(labels.select(key, F.col("y_true").cast("double").alias("query_y_true")).hint("merge"), key, "left")
                    .select(*by, F.col(key).alias("query_doc_id"), F.col("patient_uid").alias("query_patient_uid"),
                            F.col("timepoint").alias("query_timepoint"), F.col("split").alias("query_split"), "query_y_true"))
     joined = all_queries.join(grouped, [*by, "query_doc_id"], "left")

@@ -1,6 +1,9 @@
 """Text ids work wherever whole-number ids do, with the same result."""
 
+import re
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from cohortspark.operators import graph, neighbors
 from cohortspark.plans import embedding, phenotypes, retrieval
@@ -49,3 +52,15 @@ def test_a_discarded_table_is_gone(spark):
     assert os.path.isdir(path)
     discard(df)
     assert not os.path.exists(path)
+
+
+def test_numbers_and_labels_are_not_broadcast(spark):
+    """Their files are some 50 times smaller than their hash tables, so they grow past the driver's memory while the planner takes them for small."""
+    df = both(spark).select(F.col("id").alias("doc_id"), F.lit("p").alias("patient_uid"), F.lit("t").alias("timepoint"), F.lit("s").alias("split"), F.col("vec").alias("embedding"))
+    corpus = cut(df)
+    labels = cut(df.select("doc_id", F.lit(1.0).alias("y_true")))
+    points, numbers = phenotypes.numbered(corpus.selectExpr("doc_id AS id", "embedding AS vec"))
+    for found in (retrieval.run(corpus, corpus, labels, 3)["summary"], phenotypes.named_again(points, numbers)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        by_id = {join: set(re.findall(rf"{join} \[(\w+)#", plan)) & {"doc_id", "id", "query_id", "neighbor_id"} for join in ("SortMergeJoin", "BroadcastHashJoin")}
+        assert by_id["SortMergeJoin"] and not by_id["BroadcastHashJoin"]
