@@ -36,7 +36,8 @@ def _drug(flag: str):
 
 
 def episodes(t: Tables) -> DataFrame:
-    joined = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    # dealt by admission before the packed texts are made of them: these are three times as long
+    joined = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).repartition("l_orderkey")
     pair = F.concat(_drug("l_returnflag"), F.lit(":"), F.col("l_returnflag"))
     return joined.select(
         F.col("l_orderkey").alias("admission_ID"), F.col("l_linenumber").alias("BSI_episode_num"),

@@ -18,51 +18,71 @@ DRUGS_SHOWN = [
 ]
 
 PAIR_TYPE = "array<struct<name:string,result:string>>"
+#: A character other than the printable ones of ASCII, to which no white space but the blank belongs.
+NOT_PLAIN = "[^ -~]"
 BLOCK = r"^\s*([^{}]+)\{(.*)\}\s*$"
 #: The same for trimmed parts in batches; there a dot would match more line ends.
 BATCH_BLOCK = r"^(?P<grp>[^{}]+)\{(?P<body>[^\n\r\x{85}\x{2028}\x{2029}]*)\}$"
 
 
-def _parts(c: Column, sep: str) -> Column:
+def _blank_trim(c: Column) -> Column:
+    return F.trim(c)
+
+
+def _trimmed(c: Column, parse) -> Column:
+    """``parse(c, trim)``. In texts of printable ASCII only the blank can be trimmed, which is some ten times cheaper. Give it a plain column."""
+    return F.when(c.rlike(NOT_PLAIN), parse(c, strip)).otherwise(parse(c, _blank_trim))
+
+
+def _parts(c: Column, sep: str, trim=strip) -> Column:
     """Trimmed non-empty parts; an empty array for null."""
-    pieces = F.transform(F.split(F.coalesce(c, F.lit("")), sep, -1), strip)
-    return F.filter(pieces, lambda x: x != "")
+    return F.array_remove(F.transform(F.split(F.coalesce(c, F.lit("")), sep, -1), trim), "")
 
 
 def comma_list(c: Column) -> Column:
     """Distinct trimmed items in first-seen order."""
-    return F.array_distinct(_parts(c, ","))
+    return F.array_distinct(_trimmed(c, lambda c, trim: _parts(c, ",", trim)))
 
 
-def pairs(items: Column) -> Column:
+def pairs(items: Column, trim=strip) -> Column:
     """"a:b" items as structs, split at the first colon; items without a colon are dropped."""
     with_colon = F.filter(items, lambda x: x.contains(":"))
     return F.transform(with_colon, lambda x: F.struct(
-        strip(F.substring_index(x, ":", 1)).alias("name"),
-        strip(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("result")))
+        trim(F.substring_index(x, ":", 1)).alias("name"),
+        trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("result")))
 
 
 def flat_pairs(c: Column) -> Column:
     """"a:b; c:d" as an array of structs."""
-    return pairs(_parts(c, ";"))
+    return _trimmed(c, lambda c, trim: pairs(_parts(c, ";", trim), trim))
 
 
 def shown(pair_array: Column, names: list[str] | None = None) -> Column:
     """Pairs whose name is listed (exact case)."""
-    wanted = F.array(*[F.lit(n) for n in (DRUGS_SHOWN if names is None else names)])
-    return F.filter(pair_array, lambda p: F.array_contains(wanted, p["name"]))
+    return F.filter(pair_array, lambda p: p["name"].isin(DRUGS_SHOWN if names is None else names))
 
 
 def named_blocks(c: Column) -> Column:
     """array<struct<grp, items>> of the well-formed blocks, repeated groups included."""
-    fitting = F.filter(_parts(c, r"\|"), lambda b: b.rlike(BLOCK))
-    blocks = F.transform(fitting, lambda b: F.struct(
-        strip(F.regexp_extract(b, BLOCK, 1)).alias("grp"),
-        strip(F.regexp_extract(b, BLOCK, 2)).alias("body")))
-    return F.transform(blocks, lambda b: F.struct(
-        b["grp"].alias("grp"),
-        F.when(F.upper(b["body"]) == "NA", F.array().cast("array<string>"))
-        .otherwise(_parts(b["body"], ";")).alias("items")))
+
+    def parse(c: Column, trim) -> Column:
+        if trim is strip:
+            fitting = F.filter(_parts(c, r"\|"), lambda b: b.rlike(BLOCK))
+            blocks = F.transform(fitting, lambda b: F.struct(
+                strip(F.regexp_extract(b, BLOCK, 1)).alias("grp"),
+                strip(F.regexp_extract(b, BLOCK, 2)).alias("body")))
+        else:  # the same for trimmed parts without a line end
+            fitting = F.filter(_parts(c, r"\|", trim), lambda b: b.endswith("}") & (F.instr(b, "{") > 1)
+                               & ~F.substring_index(b, "{", 1).contains("}"))
+            blocks = F.transform(fitting, lambda b: F.struct(
+                trim(F.substring_index(b, "{", 1)).alias("grp"),
+                trim(F.substring(b, F.instr(b, "{") + 1, F.length(b) - F.instr(b, "{") - 1)).alias("body")))
+        return F.transform(blocks, lambda b: F.struct(
+            b["grp"].alias("grp"),
+            F.when(F.upper(b["body"]) == "NA", F.array().cast("array<string>"))
+            .otherwise(_parts(b["body"], ";", trim)).alias("items")))
+
+    return _trimmed(c, parse)
 
 
 def last_of_group(named: Column) -> Column:
@@ -84,7 +104,24 @@ def blocks_map(blocks: Column) -> Column:
 
 def block_pairs(blocks: Column) -> Column:
     """All pairs of all blocks, sorted and distinct."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(blocks, lambda b: shown(pairs(b["items"]))))))
+    return in_order(F.flatten(F.transform(blocks, lambda b: shown(pairs(b["items"])))))
+
+
+def in_order(pair_array: Column) -> Column:
+    """Distinct pairs, sorted. Entries are never null, so the order of nulls does not matter."""
+    return F.sort_array(F.array_distinct(pair_array))
+
+
+def drug_lines(items: Column) -> Column:
+    """The lines of a drug list as text, null if there is none. Give it a plain column."""
+    lines = F.transform(items, lambda d, i: F.concat(F.lit("  o Antibiotic_"), (i + 1).cast("string"), F.lit(": "), d))
+    return F.when(F.size(items) > 0, F.array_join(lines, "\n"))
+
+
+def pair_lines(pair_array: Column) -> Column:
+    """The lines of shown pairs as text, null if there is none. Give it a plain column."""
+    lines = F.transform(pair_array, lambda p: F.concat(F.lit("  o "), p["name"], F.lit(": "), p["result"]))
+    return F.when(F.size(pair_array) > 0, F.array_join(lines, "\n"))
 
 
 def first_non_empty(lists: list[Column]) -> Column:

@@ -16,6 +16,18 @@ def first_row(df: DataFrame, keys: list[str], order: list[tuple[str, bool]]) ->
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
+def first_row_within(df: DataFrame, key: str, part: str, order: list[tuple[str, bool]]) -> DataFrame:
+    """First row per (``key``, ``part``) along ``order``, where the rows of a key are needed together afterwards.
+
+    Rows are dealt by the key alone and sorted once, so a join or a group on the key needs no further shuffle, and none at all if
+    they come dealt by it. A null ``part`` is one of its own.
+    """
+    sort = [F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc_nulls_first() for c, nulls_last in order]
+    w = Window.partitionBy(key).orderBy(F.col(part).asc_nulls_first(), *sort)
+    marked = df.withColumns({"_rn": F.row_number().over(w), "_before": F.lag(part).over(w)})
+    return marked.filter((F.col("_rn") == 1) | ~F.col("_before").eqNullSafe(F.col(part))).drop("_rn", "_before")
+
+
 def labelled(features: DataFrame, labels: DataFrame, key: str, label: str = "cluster_label") -> DataFrame:
     """Inner join with the label column only; null keys never match."""
     return features.join(labels.select(key, label), key)
@@ -60,11 +72,10 @@ def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return only_left.unionByName(only_right)
 
 
-def children_text(children: DataFrame, key: str, order: list[str], text: Column, name: str, sep: str = "\n") -> DataFrame:
-    """One text per parent from its ordered child texts.
+def children_of(children: DataFrame, key: str, order: list[str], fields: dict[str, Column], name: str) -> DataFrame:
+    """One array of structs (``order``, then ``fields``) per parent from its ordered children.
 
-    The children must already be one row per output line group: the list is the content of the result.
+    The children must already be one row per entry: the list is the content of the result.
     """
-    entry = F.struct(*[F.col(c) for c in order], text.alias("_text"))
-    return (children.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("_items"))
-            .select(key, F.array_join(F.col("_items._text"), sep).alias(name)))
+    entry = F.struct(*[F.col(c) for c in order], *[c.alias(k) for k, c in fields.items()])
+    return children.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias(name))

@@ -2,7 +2,7 @@
 
 Two section layouts exist: "narrative" (no patient id) and "report" (with pseudo id, fungemia block
 and further metadata). The episode rows are reduced to one row per episode, rendered, and joined to
-their admission once.
+their admission once. Episodes are dealt by admission, so what is shuffled is the rows of the input, never a text.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortspark.functions import packed, text
-from cohortspark.operators.joins import children_text, first_row
+from cohortspark.operators.joins import children_of, first_row, first_row_within
 from cohortspark.operators.summary import first_ids
 from cohortspark.runtime import has
 
@@ -157,7 +157,7 @@ def episode_rows(episodes: DataFrame, key: str, tie_order: list[str]) -> DataFra
     kept = episodes.filter(F.col(key).isNotNull())
     if not has(episodes, "BSI_episode_num"):
         return first_row(kept, [key], order).withColumn("BSI_episode_num", F.lit(1))
-    return first_row(kept, [key, "BSI_episode_num"], order)
+    return first_row_within(kept, key, "BSI_episode_num", order)
 
 
 def _drug_list(row: _Row, report: bool) -> Column:
@@ -167,35 +167,48 @@ def _drug_list(row: _Row, report: bool) -> Column:
     return F.coalesce(*lists, F.lit(None).cast("string"))
 
 
-def with_episode_lists(first: DataFrame, report: bool, as_lines: bool = False) -> DataFrame:
-    """Adds the drug list (_drugs) and the shown (drug, result) pairs (_pairs) of each episode; ``as_lines`` their lines as text, null if none.
+def with_episode_lists(first: DataFrame, report: bool) -> DataFrame:
+    """Adds the drug list (_drugs) and the shown (drug, result) pairs (_pairs) of each episode.
 
     The flat list is a fallback: for narratives only when the packed string had no block, for reports
-    whenever no listed pair came out of it (then sorted and distinct).
+    whenever no listed pair came out of it (then sorted and distinct). Every list is a column of its
+    own, because an expression used twice would be parsed twice.
     """
     row = _Row(first)
-    packed_text, flat = (F.col(c).cast("string") if row.has(c) else F.lit(None).cast("string")
-                         for c in ("AST_ab_result_by_microbe", "AST_ab_result_list_episode"))
-    df = first.withColumn("_lists", packed.episode_lists(_drug_list(row, report), packed_text, flat, report, as_lines))
-    return df.withColumns({"_drugs": F.col("_lists.drugs"), "_pairs": F.col("_lists.pairs")}).drop("_lists")
+    df = first.withColumn("_drugs", _drug_list(row, report)).withColumn("_drugs", packed.comma_list(F.col("_drugs")))
+    if row.has("AST_ab_result_by_microbe"):
+        df = packed.with_blocks(df, "AST_ab_result_by_microbe", "_blocks")
+    else:
+        df = df.withColumn("_blocks", F.array().cast("array<struct<grp:string,items:array<string>>>"))
+    flat = (packed.shown(packed.flat_pairs(F.col("AST_ab_result_list_episode")))
+            if row.has("AST_ab_result_list_episode") else F.array().cast(packed.PAIR_TYPE))
+    df = df.withColumn("_boxed", packed.block_pairs(F.col("_blocks")))
+    if report:
+        pairs = F.when(F.size("_boxed") > 0, F.col("_boxed")).otherwise(packed.in_order(flat))
+    else:
+        pairs = F.when(F.size("_blocks") > 0, F.col("_boxed")).otherwise(flat)
+    return df.withColumn("_pairs", pairs).drop("_blocks", "_boxed")
 
 
 def episode_text(first: DataFrame, variant: str) -> Column:
-    """The lines of one episode; its lists must be there as lines."""
+    """The lines of one episode below its timing; its lists must be there."""
     head, report, row = HEADINGS[variant], variant == "report", _Row(first)
-    timing = text.day_offset_text(F.col("test_date"), F.col("_admission_date"))
     no_drug = "  o NA" if report else "  o Antibiotic_1: NA"
     return F.concat_ws(
         "\n",
-        _line("Episode", F.col("BSI_episode_num").cast("long").cast("string")),
-        _line("- Timing", timing),
         _line(head["organism"], row.value("BSI_episode_short_clean", "BSI_episode_short")),
         _line("- Polymicrobial", row.flag("BSI_episode_polymicrobial")),
         *[_line(f"- {c}", row.flag(c)) for c in EPISODE_FLAGS],
         F.lit(head["empiric"]),
-        F.coalesce("_drugs", F.lit(no_drug)),
+        F.coalesce(packed.drug_lines(F.col("_drugs")), F.lit(no_drug)),
         F.lit("- AST (selected antibiotics):"),
-        F.coalesce("_pairs", F.lit("  o NA")))
+        F.coalesce(packed.pair_lines(F.col("_pairs")), F.lit("  o NA")))
+
+
+def timed_text(episode: Column, admission_date: Column) -> Column:
+    """All lines of an entry (_num, date, lines) of an admission's episodes; null without a number, which prints nothing."""
+    timing = text.day_offset_text(episode["date"], admission_date)
+    return F.concat(F.lit("Episode: "), episode["_num"].cast("long").cast("string"), F.lit("\n- Timing: "), timing, F.lit("\n"), episode["lines"])
 
 
 def build(admissions: DataFrame, episodes: DataFrame, ids: DataFrame | None = None, max_n: int | None = None,
@@ -216,17 +229,17 @@ def build(admissions: DataFrame, episodes: DataFrame, ids: DataFrame | None = No
     date = F.col("admission_date") if has(adm, "admission_date") else F.lit(None).cast("timestamp")
     patient_text = _Row(adm).value(patient)
 
-    firsts = episode_rows(episodes, key, episode_order or [])
-    # only the parent date travels to the episodes; the rendered text travels back
-    dated = firsts.join(adm.select(key, date.alias("_admission_date")), key)
-    dated = with_episode_lists(dated, report, as_lines=True)
-    # an episode without a number prints nothing, but its admission does have episodes
-    lines = F.when(F.col("BSI_episode_num").isNotNull(), episode_text(dated, variant))
-    rendered = dated.select(key, F.col("BSI_episode_num").alias("_num"), lines.alias("_lines"))
-    # an empty line between episodes; only the end of the last one is trimmed, which ends the section
-    blocks = children_text(rendered, key, ["_num"], F.col("_lines"), "_episodes", "\n\n").withColumn("_episodes", text.rstrip(F.col("_episodes")))
+    if ids is not None or max_n:
+        episodes = episodes.join(adm.select(key), key, "left_semi")
+    firsts = with_episode_lists(episode_rows(episodes, key, episode_order or []), report)
+    entries = firsts.withColumn("_num", F.col("BSI_episode_num"))
+    blocks = children_of(entries, key, ["_num"], {"date": F.col("test_date"), "lines": episode_text(firsts, variant)}, "_items")
 
-    joined = adm.join(blocks, key, "left")
+    # the parent's date meets the episodes in the one join there is
+    joined = adm.join(blocks, key, "left").withColumn("_admission_date", date)
+    # an empty line between episodes; only the end of the last one is trimmed, which ends the section
+    shown = F.array_join(F.transform("_items", lambda e: timed_text(e, F.col("_admission_date"))), "\n\n")
+    joined = joined.withColumn("_episodes", shown).withColumn("_episodes", text.rstrip(F.col("_episodes")))
     row = _Row(joined)
     body = F.coalesce("_episodes", F.lit(head["no_episodes"]))
     episode_section = F.concat_ws("\n", F.lit(head["episodes"]), F.nullif(body, F.lit("")))

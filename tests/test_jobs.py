@@ -235,3 +235,24 @@ def test_stream_query_deals_an_arrival_over_files(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(vectors, "FILE_DOCUMENTS", rows)
         found.append(sorted(tuple(r) for r in vectors.embed_stream_documents(Tables(spark, str(tmp_path))).collect()))
     assert files == [2, 3, 8, 12] and found[0] == found[1] and {r[2] for r in found[0]} == {0, 1, 2}
+
+
+def test_episodes_are_shuffled_once(spark):
+    """As rows of the input and by admission; neither their texts nor the admissions travel again."""
+    epi = spark.createDataFrame([(1, 1, "2020-03-04", "A")], "admission_ID long, BSI_episode_num int, test_date string, BSI_episode_short string")
+    built = narrative.build(admissions(spark), readers.coerce_records(epi))
+    assert built._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    dealt = narrative.build(admissions(spark), readers.coerce_records(epi).repartition("admission_ID"))
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_first_row_within_a_key(spark):
+    import random
+
+    draw = random.Random(5)
+    parts = [None, float("nan"), 0.0, -0.0, 1.0, 2.0]
+    rows = [(draw.choice([None, 1, 2, 3]), draw.choice(parts), draw.choice([None, 1, 2, 3]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, p double, t int, i int").repartition(4)
+    order = [("t", True), ("i", True)]
+    got, want = (sorted(r["i"] for r in f.collect()) for f in (joins.first_row_within(df, "k", "p", order), joins.first_row(df, ["k", "p"], order)))
+    assert got == want and len(got) == len({(k, str(p).replace("-", "")) for k, p, _, _ in rows})
